@@ -4,8 +4,8 @@
    ``max_repeats`` times its source, the excess reshared: the level at which this fills up has a closed form.
 2. Quotas. The documents of a source fall by a hash of their id into ``blocks`` blocks, put in the order of a
    second hash. Whole passes over the source come first; what is left of the target takes the first blocks of
-   that order, then in the next block the first cells of a second hash level, then documents of one cell, until
-   the next document would move the sum further from the target than it is.
+   that order, then the first cells (a second hash level) of the next blocks, then from the next cells the one
+   document that comes nearest to what is left.
 3. Splitting tree. The drawn blocks of all passes are a vector of quotas by source. Each node of the tree gives
    half of its blocks to either child: its blocks get random keys, the lower half goes left. Counting these by
    source is an exact draw from the multivariate hypergeometric distribution. The leaves are the output shards.
@@ -28,13 +28,15 @@ from evidencespark.llm.common import WORD, small_side, stored
 
 #: Most rows of a plan table that is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 50_000
+#: So many blocks, then cells, after the last whole one are looked into for the rest of a quota.
+EDGE = 32
 
 
 @dataclass(frozen=True)
 class MixPlan:
     """``sources``: one row for each source; ``blocks``: one for each source and block; ``cells``: for each cell of
-    the blocks that are drawn in part; ``edge``: the drawn documents of the cells that are drawn in part; ``draws``:
-    the shard of each drawn block and pass."""
+    the blocks that may be drawn in part; ``edge``: the one document of each source drawn beyond whole cells;
+    ``draws``: the shard of each block and pass that is drawn."""
 
     sources: DataFrame
     blocks: DataFrame
@@ -54,7 +56,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total_ratio: fl
     order = W.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
     t = sizes.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(max_repeats)))
-    # Sources fill up in the order of most / weight: before the k-th, the others share what the full ones leave.
+    # Sources fill up in the order of most / weight. If the first k are full, the others share what these leave;
+    # that share grows with k while the next source would still overflow, then falls: its maximum is the level.
     filling = W.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
     before = filling.rowsBetween(W.unboundedPreceding, -1)
     t = t.withColumns(
@@ -65,9 +68,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total_ratio: fl
         }
     )
     share = (F.col("total") - F.col("full")) / F.col("open")
-    t = t.withColumn("level", F.when(F.col("most") >= share * F.col("weight"), share))
-    t = t.withColumn("level", F.min("level").over(W.partitionBy()))
-    target = F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most")))
+    t = t.withColumn("level", F.max(share).over(W.partitionBy()))
+    target = F.least(F.col("most"), F.col("level") * F.col("weight"))
     return t.select("source", "source_size", "weight", target.alias("target"))
 
 
@@ -80,42 +82,52 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_rati
     sized = stored(sized, "mix-sizes")
     block_sums = stored(sized.groupBy("source", "block").agg(F.sum("size").alias("size")), "mix-blocks")
     sources = source_targets(block_sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_ratio, max_repeats)
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    sources = sources.withColumn("passes", F.least(passes, F.lit(max_repeats)))
-    sources = stored(sources.withColumn("rest", F.when(F.col("passes") < max_repeats, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(0.0)), "mix-sources")
-    no_source = ["source_size", "weight", "target"]
-
-    def prefix(level: DataFrame, keys: list[str], place: str) -> DataFrame:
-        """How far the running sum of sizes gets in the order of a hash of the place, and what is left there."""
-        by = W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), F.col(place)), place)
-        level = level.withColumns({"rank": F.row_number().over(by), "upto": F.sum("size").over(by)})
-        state = F.when(F.col("upto") <= F.col("rest"), "whole").when(F.col("upto") - F.col("size") < F.col("rest"), "part").otherwise("none")
-        left = F.col("rest") - (F.col("upto") - F.col("size"))
-        return level.withColumns({"state": state, "rest": left}).drop("upto")
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(max_repeats)
+    sources = sources.withColumn("passes", F.least(passes.cast("int"), F.lit(max_repeats)))
+    rest = F.when(F.col("passes") < max_repeats, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(-1.0)
+    sources = stored(sources.withColumn("rest", rest), "mix-sources")
 
     def on_source(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
         """Join on source (null with null) and other columns, of which the left ones stay."""
-        right = right.withColumnsRenamed({c: f"_{c}" for c in ("source", *more)})
+        right = small_side(right.withColumnsRenamed({c: f"_{c}" for c in ("source", *more)}), BROADCAST_ROWS)
         same = F.col("source").eqNullSafe(F.col("_source"))
         for c in more:
             same = same & (F.col(c) == F.col(f"_{c}"))
         return left.join(right, same).drop("_source", *[f"_{c}" for c in more])
 
-    ranked = on_source(block_sums, small_side(sources.drop(*no_source), BROADCAST_ROWS))
-    ranked = stored(prefix(ranked, ["source"], "block"), "mix-ranked")
-    part = ranked.where("state = 'part'").select("source", "block", "rest")
-    inner = on_source(sized, small_side(part, BROADCAST_ROWS), "block")
-    inner = stored(inner, "mix-inner")
-    cells = inner.groupBy("source", "block", "cell").agg(F.sum("size").alias("size"), F.max("rest").alias("rest"))
-    cells = stored(prefix(cells, ["source", "block"], "cell").drop("rank"), "mix-cells")
-    part = cells.where("state = 'part'").select("source", "block", "cell", "rest")
-    last = on_source(inner.drop("rest"), small_side(part, BROADCAST_ROWS), "block", "cell")
-    by = W.partitionBy("source", "block", "cell").orderBy("size", F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id")
-    last = last.withColumn("before", F.sum("size").over(by) - F.col("size"))
-    edge = last.where(F.col("before") + F.col("size") / 2 <= F.col("rest")).select("source", "block", "cell", "doc_id").distinct()
+    ranked = on_source(block_sums, sources.select("source", "passes", "rest"))
+    ranked = stored(_fill(ranked, [_order("block", seed, "block"), "block"]), "mix-ranked")
+    part = ranked.where("state = 'part'").select("source", "block", "rank", "rest")
+    inner = stored(on_source(sized, part, "block"), "mix-inner")
+    cells = inner.groupBy("source", "block", "cell").agg(F.sum("size").alias("size"), F.max("rank").alias("above"), F.max("rest").alias("rest"))
+    cells = stored(_fill(cells, ["above", _order("cell", seed, "cell"), "cell"]), "mix-cells")
+    part = cells.where("state = 'part'").select("source", "block", "cell", F.col("rest").alias("left"))
+    last = on_source(inner, part, "block", "cell").where((F.col("size") > 0) & (F.col("size") < 2 * F.col("left")))
+    nearest = F.struct(F.abs(F.col("left") - F.col("size")), _order("doc", seed, "doc_id"), "doc_id")
+    edge = last.groupBy("source").agg(F.min_by("doc_id", nearest).alias("doc_id"))
     return MixPlan(sources, ranked, cells, stored(edge, "mix-edge"), stored(_split(ranked, shards, seed), "mix-draws"))
 
 
+def _order(what: str, seed: int, column: str) -> Column:
+    """A random order that SQL has too."""
+    return F.md5(F.concat_ws(":", F.lit(what), F.lit(str(seed)), F.col(column).cast("string")).cast("binary"))
+
+
+def _fill(level: DataFrame, order: list) -> DataFrame:
+    """Fill each source's ``rest`` with its rows in the given order, as long as a whole row fits.
+
+    Those rows get the state ``whole``; the next ``EDGE`` rows are ``part``, with what is left as their ``rest``.
+    """
+    own = W.partitionBy("source")
+    by = own.orderBy(*order)
+    level = level.withColumns({"rank": F.row_number().over(by), "upto": F.sum("size").over(by)})
+    fits = F.col("upto") <= F.col("rest")
+    level = level.withColumns({"fitting": F.count_if(fits).over(own), "filled": F.coalesce(F.max(F.when(fits, F.col("upto"))).over(own), F.lit(0))})
+    edge = (F.col("rank") <= F.col("fitting") + EDGE) & (F.col("rest") > F.col("filled"))
+    state = F.when(fits, "whole").when(edge, "part").otherwise("none")
+    return level.withColumns({"state": state, "rest": F.col("rest") - F.col("filled")}).drop("upto", "fitting", "filled")
+
+
 def _split(ranked: DataFrame, shards: int, seed: int) -> DataFrame:
     """``(source, block, pass, shard)``: the splitting tree over quotas, then runs of permuted blocks for the leaves."""
     copies = F.col("passes") + F.when(F.col("state") == "none", 0).otherwise(1)
@@ -163,8 +175,8 @@ def copies_of(docs: DataFrame, plan: MixPlan, blocks: int = 1024) -> DataFrame:
     d = d.join(small_side(b, BROADCAST_ROWS), F.col("_source").eqNullSafe(F.col("b_source")) & (F.col("_block") == F.col("b_block")), "left")
     c = renamed(plan.cells, source="c_source", block="c_block", cell="c_cell", state="c_state")
     d = d.join(small_side(c, BROADCAST_ROWS), F.col("_source").eqNullSafe(F.col("c_source")) & (F.col("_block") == F.col("c_block")) & (F.col("_cell") == F.col("c_cell")), "left")
-    e = renamed(plan.edge, source="e_source", block="e_block", cell="e_cell", doc_id="e_doc_id").withColumn("e_hit", F.lit(True))
-    same = F.col("_source").eqNullSafe(F.col("e_source")) & (F.col("_block") == F.col("e_block")) & (F.col("_cell") == F.col("e_cell")) & F.col("doc_id").eqNullSafe(F.col("e_doc_id"))
+    e = renamed(plan.edge, source="e_source", doc_id="e_doc_id").withColumn("e_hit", F.lit(True))
+    same = F.col("_source").eqNullSafe(F.col("e_source")) & F.col("doc_id").eqNullSafe(F.col("e_doc_id"))
     d = d.join(small_side(e, BROADCAST_ROWS), same, "left")
     more = (F.col("b_state") == "whole") | ((F.col("b_state") == "part") & ((F.col("c_state") == "whole") | ((F.col("c_state") == "part") & F.col("e_hit"))))
     d = d.withColumn("_copies", F.col("b_passes") + F.when(more, 1).otherwise(0))

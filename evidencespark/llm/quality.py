@@ -73,8 +73,11 @@ def subword_cells(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.
     return np.concatenate(cells), np.concatenate(texts)
 
 
-def fit(rows: list, bits: int, dim: int, min_df: int, epochs: int, rate: float) -> QualityModel:
-    """Vectors and softmax layer from ``(y, cells, shares)`` rows by stochastic gradient descent in a fixed order."""
+def fit(rows: list, bits: int, dim: int, min_df: int, steps: int, rate: float) -> QualityModel:
+    """Vectors and softmax layer from ``(y, cells, shares)`` rows by stochastic gradient descent in a fixed order.
+
+    As many epochs as give ``steps`` steps, 40 at most.
+    """
     rng = np.random.default_rng(11)
     df = np.zeros(1 << bits, np.int32)
     for _, at, _ in rows:
@@ -85,7 +88,7 @@ def fit(rows: list, bits: int, dim: int, min_df: int, epochs: int, rate: float)
     layer = rng.uniform(-1, 1, (2, dim))
     bias = np.zeros(2)
     seen, seen_layer, seen_bias = np.full(1 << bits, 1e-8), 1e-8, 1e-8
-    for _ in range(epochs):
+    for _ in range(min(40, -(-steps // max(1, len(rows))))):
         for i in rng.permutation(len(rows)):
             y, at, share = rows[i]
             own = vectors[at]
@@ -105,7 +108,7 @@ def fit(rows: list, bits: int, dim: int, min_df: int, epochs: int, rate: float)
     return QualityModel((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, bits: int = 16, dim: int = 8, min_df: int = 4, epochs: int = 8, rate: float = 0.2) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, bits: int = 16, dim: int = 8, min_df: int = 4, steps: int = 40_000, rate: float = 0.2) -> QualityModel:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, <label>)``; without labelled rows it scores all 0.5."""
 
     def features(data):
@@ -114,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         return at, counts / max(1, len(cells))
 
     rows = collect_features(labelled_sample(docs, labels, label, per_class), features)
-    return fit(rows, bits, dim, min_df, epochs, rate)
+    return fit(rows, bits, dim, min_df, steps, rate)
 
 
 def score(model: QualityModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

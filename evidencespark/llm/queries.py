@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencespark.llm import block_naming, mixing, quality, toxicity
+from evidencespark.llm import block_naming, bpe, html_extract, mixing, quality, toxicity
 from evidencespark.llm.common import held_out, table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode_texts(docs, bpe.build_lexicon(docs, bpe.default_vocabulary()), decode=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = block_naming.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -28,6 +44,56 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_summary(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 7))::BIGINT % 1024 AS block,
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 8, 7))::BIGINT % 1024 AS cell
+  FROM documents),
+s0 AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, CAST(sum(size) AS DOUBLE) * 2 AS most,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight
+  FROM d GROUP BY source),
+s1 AS (
+  SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS total,
+    coalesce(sum(most) OVER f, 0.0::DOUBLE) AS filled, sum(weight) OVER () - coalesce(sum(weight) OVER f, 0.0::DOUBLE) AS unfilled
+  FROM s0 WINDOW f AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s2 AS (SELECT source, source_size, least(most, max((total - filled) / unfilled) OVER () * weight) AS target FROM s1),
+s3 AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 2 END AS passes FROM s2),
+s AS (SELECT *, CASE WHEN passes < 2 THEN target - passes * source_size ELSE -1.0 END AS rest FROM s3),
+b0 AS (SELECT source, block, sum(size) AS size FROM d GROUP BY source, block),
+b1 AS (
+  SELECT b0.source, b0.block, s.rest, row_number() OVER w AS rank, sum(b0.size) OVER w AS upto
+  FROM b0 JOIN s ON b0.source IS NOT DISTINCT FROM s.source
+  WINDOW w AS (PARTITION BY b0.source ORDER BY md5('block:0:' || CAST(b0.block AS VARCHAR)), b0.block)),
+b2 AS (
+  SELECT *, count(*) FILTER (upto <= rest) OVER (PARTITION BY source) AS fitting,
+    coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS filled FROM b1),
+b AS (SELECT source, block, rank, upto <= rest AS whole, upto > rest AND rank <= fitting + 32 AND rest > filled AS part, rest - filled AS rest FROM b2),
+c0 AS (
+  SELECT d.source, d.block, d.cell, sum(d.size) AS size, max(b.rank) AS above, max(b.rest) AS rest
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source AND d.block = b.block AND b.part GROUP BY d.source, d.block, d.cell),
+c1 AS (
+  SELECT *, row_number() OVER w AS rank, sum(size) OVER w AS upto
+  FROM c0 WINDOW w AS (PARTITION BY source ORDER BY above, md5('cell:0:' || CAST(cell AS VARCHAR)), cell)),
+c2 AS (
+  SELECT *, count(*) FILTER (upto <= rest) OVER (PARTITION BY source) AS fitting,
+    coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS filled FROM c1),
+c AS (SELECT source, block, cell, upto <= rest AS whole, upto > rest AND rank <= fitting + 32 AND rest > filled AS part, rest - filled AS rest FROM c2),
+e0 AS (
+  SELECT d.source, d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY abs(c.rest - d.size), md5('doc:0:' || CAST(d.doc_id AS VARCHAR)), d.doc_id) AS nth
+  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.block = c.block AND d.cell = c.cell AND c.part
+  WHERE d.size > 0 AND d.size < 2 * c.rest),
+e AS (SELECT source, doc_id FROM e0 WHERE nth = 1)
+SELECT d.doc_id, d.size, CAST(s.source_size AS BIGINT) AS source_size, s.target,
+  CAST((s.passes + CASE WHEN b.whole OR b.part AND (coalesce(c.whole, FALSE) OR coalesce(c.part, FALSE) AND e.doc_id IS NOT NULL) THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+JOIN b ON d.source IS NOT DISTINCT FROM b.source AND d.block = b.block
+LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.block = c.block AND d.cell = c.cell
+LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.doc_id = e.doc_id
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -43,10 +109,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_source_mix": op4_source_mix,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_source_mix": OP4_SQL}

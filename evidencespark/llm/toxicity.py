@@ -60,8 +60,11 @@ def _padded(data: np.ndarray) -> np.ndarray:
     return np.concatenate(([np.uint8(32)], data, [np.uint8(32)]))
 
 
-def fit(rows: list, bits: int, min_df: int, keep: int, epochs: int, rate: float) -> ToxicityModel:
-    """Ratios and logistic weights from ``(y, cells, [damping])`` rows, by AdaGrad steps in a fixed order."""
+def fit(rows: list, bits: int, min_df: int, keep: int, steps: int, rate: float) -> ToxicityModel:
+    """Ratios and logistic weights from ``(y, cells, [damping])`` rows, by AdaGrad steps in a fixed order.
+
+    As many epochs as give ``steps`` steps, 40 at most.
+    """
     cells = 1 << bits
     counts = [np.ones(cells), np.ones(cells)]
     sizes = [2.0, 2.0]
@@ -73,7 +76,7 @@ def fit(rows: list, bits: int, min_df: int, keep: int, epochs: int, rate: float)
     w, seen, bias, seen_bias = np.zeros(cells), np.full(cells, 1e-8), 0.0, 1e-8
     rows = [(y, at[ratio[at] != 0], damp[0]) for y, at, damp in rows]
     order = np.random.default_rng(7)
-    for _ in range(epochs):
+    for _ in range(min(40, -(-steps // max(1, len(rows))))):
         for i in order.permutation(len(rows)):
             y, at, damp = rows[i]
             x = ratio[at] * damp
@@ -89,7 +92,7 @@ def fit(rows: list, bits: int, min_df: int, keep: int, epochs: int, rate: float)
     return ToxicityModel(final.astype(np.float32), float(bias), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 3000, bits: int = 20, min_df: int = 3, keep: int = 65_536, epochs: int = 6, rate: float = 0.1) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 3000, bits: int = 20, min_df: int = 3, keep: int = 65_536, steps: int = 40_000, rate: float = 0.1) -> ToxicityModel:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, <label>)``; without labelled rows it scores all 0.5."""
 
     def features(data):
@@ -98,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         return at, _damp([len(text)])
 
     rows = collect_features(labelled_sample(docs, labels, label, per_class), features)
-    return fit(rows, bits, min_df, keep, epochs, rate)
+    return fit(rows, bits, min_df, keep, steps, rate)
 
 
 def score(model: ToxicityModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
