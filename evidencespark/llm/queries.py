@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencespark.llm import block_naming, bpe, html_extract, mixing, quality, toxicity
+from evidencespark.llm import block_naming, bpe, html_extract, mixing, ngram_join, quality, toxicity
 from evidencespark.llm.common import held_out, table
 
 
@@ -94,6 +94,10 @@ LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.doc_id = e.doc_id
 """
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -113,6 +117,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_source_mix": op4_source_mix,
+    "op8_ngram_join": op8_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
