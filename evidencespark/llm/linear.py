@@ -63,9 +63,10 @@ def collect_features(sample: DataFrame, features: Callable[[np.ndarray], tuple[n
                 names=["doc_id", "y", "at", "value"],
             )
 
-    rows = sample.mapInArrow(extract, "doc_id long, y int, at binary, value binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["at"])))
-    return [(r["y"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in rows]
+    rows = sample.mapInArrow(extract, "doc_id long, y int, at binary, value binary").toArrow()
+    rows = zip(*(rows.column(c).combine_chunks() for c in ("doc_id", "y", "at", "value")), strict=True)
+    rows = sorted(((i.as_py(), y.as_py(), at.as_buffer(), value.as_buffer()) for i, y, at, value in rows), key=lambda r: (r[0], r[1], r[2].size, r[2].to_pybytes()[:64]))
+    return [(y, np.frombuffer(at, "<i4"), np.frombuffer(value, "<f4")) for _, y, at, value in rows]
 
 
 def score_texts(docs: DataFrame, model, score: Callable, name: str = "score") -> DataFrame:

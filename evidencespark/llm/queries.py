@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencespark.llm import block_naming, bpe, html_extract, mixing, ngram_join, quality, toxicity
+from evidencespark.llm import block_naming, bpe, html_extract, mixing, ngram_join, quality, suffix_dedup, toxicity
 from evidencespark.llm.common import held_out, table
 
 
@@ -94,6 +94,17 @@ LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.doc_id = e.doc_id
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -117,6 +128,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_source_mix": op4_source_mix,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op8_ngram_join": op8_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,

@@ -92,7 +92,7 @@ def fit(rows: list, bits: int, min_df: int, keep: int, steps: int, rate: float)
     return ToxicityModel(final.astype(np.float32), float(bias), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 3000, bits: int = 20, min_df: int = 3, keep: int = 65_536, steps: int = 40_000, rate: float = 0.1) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, bits: int = 20, min_df: int = 3, keep: int = 65_536, steps: int = 40_000, rate: float = 0.1) -> ToxicityModel:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, <label>)``; without labelled rows it scores all 0.5."""
 
     def features(data):
