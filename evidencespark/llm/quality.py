@@ -108,7 +108,7 @@ def fit(rows: list, bits: int, dim: int, min_df: int, steps: int, rate: float) -
     return QualityModel((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, bits: int = 16, dim: int = 8, min_df: int = 4, steps: int = 40_000, rate: float = 0.2) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, bits: int = 16, dim: int = 8, min_df: int = 4, steps: int = 24_000, rate: float = 0.2) -> QualityModel:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, <label>)``; without labelled rows it scores all 0.5."""
 
     def features(data):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencespark.llm import block_naming, bpe, html_extract, mixing, ngram_join, quality, suffix_dedup, toxicity
+from evidencespark.llm import block_naming, bpe, embedding_dedup, html_extract, mixing, ngram_join, quality, suffix_dedup, toxicity
 from evidencespark.llm.common import held_out, table
 
 
@@ -105,6 +105,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -129,6 +133,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_source_mix": op4_source_mix,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_ngram_join": op8_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,

@@ -4,7 +4,7 @@ The features of a text are the hashed byte 4-, 5- and 6-grams of the text (A-Z i
 one kind of space) that occur in it at all. Feature ``f`` of class counts ``p_f`` and ``q_f`` (documents of
 either class that hold it, plus one) gets the log-count ratio ``r_f = log(p_f / |p|) - log(q_f / |q|)``; a
 logistic regression then learns a weight for each ``r_f``, on presence values damped by the text's length.
-Features seen in fewer than ``min_df`` sample texts have ratio 0, and only the ``keep`` strongest products of
+Features seen in fewer than ``min_df`` sample texts, or than a hundredth of the rarer class, have ratio 0, and only the ``keep`` strongest products of
 weight and ratio stay in the model, which bounds what is broadcast (4 bytes for each of ``2**bits`` cells).
 
 The ratios and weights are fitted on at most ``per_class`` labelled texts of each class (whole texts, taken by a
@@ -72,7 +72,8 @@ def fit(rows: list, bits: int, min_df: int, keep: int, steps: int, rate: float)
         counts[y][at] += 1
         sizes[y] += 1
     ratio = np.log(counts[1] / sizes[1]) - np.log(counts[0] / sizes[0])
-    ratio[counts[0] + counts[1] - 2 < min_df] = 0
+    ratio[counts[0] + counts[1] - 2 < max(min_df, min(sizes) // 100)] = 0
+    weight = [len(rows) / (2 * max(1, size - 2)) for size in sizes]  # classes count alike
     w, seen, bias, seen_bias = np.zeros(cells), np.full(cells, 1e-8), 0.0, 1e-8
     rows = [(y, at[ratio[at] != 0], damp[0]) for y, at, damp in rows]
     order = np.random.default_rng(7)
@@ -81,6 +82,7 @@ def fit(rows: list, bits: int, min_df: int, keep: int, steps: int, rate: float)
             y, at, damp = rows[i]
             x = ratio[at] * damp
             error = 1 / (1 + np.exp(-np.clip(bias + w[at] @ x, -30, 30))) - y
+            error *= weight[y]
             step = error * x + 1e-6 * w[at]
             seen[at] += step * step
             w[at] -= rate * step / np.sqrt(seen[at])
@@ -92,7 +94,7 @@ def fit(rows: list, bits: int, min_df: int, keep: int, steps: int, rate: float)
     return ToxicityModel(final.astype(np.float32), float(bias), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, bits: int = 20, min_df: int = 3, keep: int = 65_536, steps: int = 40_000, rate: float = 0.1) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, bits: int = 20, min_df: int = 3, keep: int = 65_536, steps: int = 20_000, rate: float = 0.1) -> ToxicityModel:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, <label>)``; without labelled rows it scores all 0.5."""
 
     def features(data):
