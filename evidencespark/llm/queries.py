@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencespark.llm import block_naming, bpe, embedding_dedup, html_extract, mixing, ngram_join, quality, suffix_dedup, toxicity
-from evidencespark.llm.common import held_out, table
+from evidencespark.llm import block_naming, bpe, embedding_dedup, html_extract, mixing, ngram_join, quality, suffix_dedup, token_rollup, toxicity
+from evidencespark.llm.common import held_out, shared_folder, stored, table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +111,20 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted, those whose id is divisible by 3 deleted, and those divisible by 3 inserted again with
+    the rest: what is left are the totals of the table."""
+    docs = table(spark, sf_dir, "documents")
+    counts = stored(token_rollup.token_counts(docs, bpe.build_lexicon(docs, bpe.default_vocabulary()), "byte_bpe_50k"), "token-counts")
+    rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("insert", token_rollup.signed(counts))
+    third = counts.where("doc_id % 3 = 0")
+    rollup.commit("delete", token_rollup.signed(third, -1))
+    rollup.commit("insert-again", token_rollup.signed(third))
+    rollup.commit("insert-again", token_rollup.signed(third))
+    return rollup.totals()
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -134,6 +150,7 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_token_counts": op7_token_counts,
     "op8_ngram_join": op8_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
