@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidencespark.functions import text as T
 from evidencespark.operators import fuse, ingest, lifecycle, search
 from evidencespark.sources.tables import table
+from evidencespark.streaming import tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -476,3 +477,34 @@ def rewrite_guard(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("tokens"))
     p = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("tokens").alias("before"))
     return c.join(p, ["conv_id", "turn"]).select("conv_id", "turn", F.size(F.array_except("tokens", "before")).cast("long").alias("introduced"))
+
+
+# --- streams ------------------------------------------------------------------------------------------------
+
+
+@query(ORACLE_SQL["claim_fence"])
+def claim_fence_stream(spark, sf_dir):
+    """The same claims through a stateful stream over the events' files."""
+    e = tasks.table_stream(spark, sf_dir, "events")
+    d = e.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("delivery_id"), F.col("ts").alias("arrived_at"), F.floor(F.col("value") * 10).cast("long").alias("sequence"))
+    return tasks.drained(tasks.claims(d))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts_stream(spark, sf_dir):
+    e = tasks.table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = tasks.drained(tasks.windowed_counts(e, "1 hour"), "complete")
+    return w.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+@query()
+def token_bucket(spark, sf_dir):
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    r = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), at.alias("at"), F.abs("value").alias("cost"))
+    return tasks.token_bucket(r, 0.001, 50.0)
+
+
+@query()
+def retention_ladder(spark, sf_dir):
+    s = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.pmod(F.col("value"), F.lit(100.0)) / 100).alias("used"))
+    return tasks.retention(s)

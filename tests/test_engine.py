@@ -1,0 +1,121 @@
+"""The engine's own operators: goldens, small brute-force versions, and all registered SQL at the smallest size."""
+
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from evidencespark.functions import text as T
+from evidencespark.operators import fuse, ingest, lifecycle, search
+from evidencespark.plans import queries as plans
+from evidencespark.sources import tables
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in os.listdir(SF):
+        con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{SF}/{name}'")
+    return con
+
+
+def plain(value):
+    if value is None or value != value:
+        return None
+    return round(value, 8) if isinstance(value, float) else str(value)
+
+
+@pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
+def test_same_rows_as_sql(spark, duck, name):
+    got = plans.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    want = duck.execute(f"SELECT {', '.join(columns)} FROM ({plans.ORACLE_SQL[name]})").fetchall()
+    rows = [tuple(r[c] for c in columns) for r in got.collect()]
+    assert sorted(tuple(map(plain, r)) for r in rows) == sorted(tuple(map(plain, r)) for r in want) or sorted(map(str, rows)) == sorted(map(str, want))
+
+
+def test_rrf_golden(spark):
+    routes = [[("a", 1), ("b", 2)], [("b", 1), ("c", 2)]]
+    frames = [spark.createDataFrame([(1, x, r) for x, r in route], "query_id int, record_id string, rank long") for route in routes]
+    rows = fuse.rrf([(frames[0], 1.0), (frames[1], 1.0)]).orderBy("rank").collect()
+    assert [r["record_id"] for r in rows] == ["b", "a", "c"]
+    assert rows[0]["fusion_score"] == pytest.approx(1 / 62 + 1 / 61, abs=1e-9)
+
+
+def test_budget_passes_over_what_does_not_fit(spark):
+    costs = [5, 9, 3, 8, 2, 1]
+    ev = spark.createDataFrame([(1, i, i, c) for i, c in enumerate(costs)], "query_id int, pos long, record_id long, tokens long")
+    row = fuse.budgeted(ev, 12).first()
+    assert (row["selected"], row["estimated_tokens"], row["n_omitted"]) == ("0,2,4,5", 11, 2)
+
+
+def test_rerank_without_scores_keeps_fusion_order(spark):
+    c = spark.createDataFrame([(1, "a", None, 0.3), (1, "b", None, 0.5), (1, "c", 0.1, 0.1)], "query_id int, record_id string, rerank_score double, fusion_score double")
+    assert [r["record_id"] for r in fuse.rerank(c, 3).orderBy("rank").collect()] == ["c", "b", "a"]
+
+
+def test_quota_takes_the_last_places(spark):
+    pool = spark.createDataFrame([(1, i, i, "pdf" if i in (5, 7) else "md") for i in range(1, 9)], "query_id int, record_id long, pos long, kind string")
+    rows = {r["record_id"]: r["place"] for r in fuse.with_quota(pool, 4, F.col("kind") == "pdf").collect()}
+    assert rows == {1: 1, 2: 2, 5: 4, 7: 3}
+
+
+def test_chunks_cover_the_text_and_have_the_golden_id(spark):
+    import xxhash
+
+    assert xxhash.xxh64(b"hello", seed=0).hexdigest() == "26c7827d889f6da3"
+    text = "First sentence here. Second one; third! " * 60 + "\n\n" + "x" * 2000
+    chunks = ingest.recursive_chunks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string"), 200, 30).orderBy("ordinal").collect()
+    assert {c["doc_id"] for c in chunks} == {1} and all(len(c["content"]) <= 201 for c in chunks)
+    at = 0
+    for c in chunks:
+        begin = text.index(c["content"], max(0, at - 31))
+        assert begin <= at
+        at = begin + len(c["content"])
+    assert at == len(text)
+
+
+def test_sections_trim_blank_edges(spark):
+    text = "intro\n\n# One \n\nbody\n\n## Two\nmore"
+    rows = ingest.sections(spark.createDataFrame([(1, text)], "doc_id long, text string"), ingest.HEADING).orderBy("start_line").collect()
+    assert [(r["start_line"], r["end_line"], r["title"]) for r in rows] == [(1, 1, None), (3, 5, "One"), (7, 8, "Two")]
+
+
+@pytest.mark.parametrize(("text", "index"), [("Chapter 1 ........ 12\nShort line", True), ("Only short", False), ("A...... 3\n" + "long prose " * 9, False), ("", False)])
+def test_navigation_index(spark, text, index):
+    assert spark.createDataFrame([(text,)], "t string").select(T.is_navigation_index(F.col("t"))).first()[0] is index
+
+
+def test_router_and_plain_text(spark, tmp_path):
+    (tmp_path / "a.TXT").write_bytes(b"\xef\xbb\xbfone\r\ntwo\rthree")
+    (tmp_path / "b.txt").write_bytes(b"\xff\xfe")
+    (tmp_path / "c.exe").write_bytes(b"x")
+    rows = {r["path"].rpartition("/")[2]: r for r in tables.plain_text(tables.routed(tables.objects(spark, str(tmp_path)))).collect()}
+    assert (rows["a.TXT"]["parser"], rows["a.TXT"]["text"], rows["a.TXT"]["end_line"]) == ("text", "one\ntwo\nthree", 3)
+    assert rows["b.txt"]["decode_error"] == "INVALID_UTF8" and rows["c.exe"]["error"] == "UNSUPPORTED_SOURCE_TYPE"
+
+
+def test_schema_check(spark):
+    with pytest.raises(ValueError, match="SEARCH_SCHEMA_MISMATCH"):
+        tables.require_schema(spark.range(1), {"id": "string"})
+
+
+def test_dense_search_of_zero_and_null_vectors(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "record_id long, vector array<double>")
+    asked = spark.createDataFrame([(9, [2.0, 0.0])], "query_id long, vector array<double>")
+    assert [(r["record_id"], r["score"]) for r in search.dense_topk(items, asked, 5).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]
+
+
+def test_late_lower_version_never_becomes_active(spark):
+    b = spark.createDataFrame([(1, 3, True), (1, 2, True), (1, 4, False)], "document_id int, version int, finished boolean")
+    assert lifecycle.active_versions(b).first()["active_version"] == 3
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
