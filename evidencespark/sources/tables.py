@@ -44,4 +44,4 @@ def plain_text(files: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^﻿", "")
     text = F.regexp_replace(text, "\r\n?", "\n")
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
-    return files.drop("content").withColumns({"text": text, "end_line": lines, "decode_error": F.when(text.isNull(), "INVALID_UTF8")})
+    return files.withColumns({"text": text, "end_line": lines, "decode_error": F.when(text.isNull(), "INVALID_UTF8")}).drop("content")

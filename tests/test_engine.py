@@ -68,7 +68,7 @@ def test_chunks_cover_the_text_and_have_the_golden_id(spark):
     import xxhash
 
     assert xxhash.xxh64(b"hello", seed=0).hexdigest() == "26c7827d889f6da3"
-    text = "First sentence here. Second one; third! " * 60 + "\n\n" + "x" * 2000
+    text = " ".join(f"Word{i} of it{'.;! '[i % 4]}" for i in range(300)) + "\n\n" + "".join(f"{i:04d}" for i in range(500))
     chunks = ingest.recursive_chunks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string"), 200, 30).orderBy("ordinal").collect()
     assert {c["doc_id"] for c in chunks} == {1} and all(len(c["content"]) <= 201 for c in chunks)
     at = 0
@@ -120,3 +120,29 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_token_bucket_waits(spark):
+    from evidencespark.streaming import tasks
+
+    r = spark.createDataFrame([(1, i, 0.0, 5.0) for i in range(4)], "key long, seq long, at double, cost double")
+    assert [x["wait"] for x in tasks.token_bucket(r, 1.0, 10.0).orderBy("seq").collect()] == [0.0, 0.0, 5.0, 10.0]
+
+
+def test_retention_steps(spark):
+    from evidencespark.streaming import tasks
+
+    s = spark.createDataFrame([(1, i, u) for i, u in enumerate([0.5, 0.85, 0.95, 0.75, 0.6])], "key long, seq long, used double")
+    rows = tasks.retention(s).orderBy("seq").collect()
+    assert [r["hours"] for r in rows] == [168, 72, 48, 48, 72] and [r["paused"] for r in rows] == [False, False, True, False, False]
+
+
+def test_stream_claims_over_two_files(spark, tmp_path):
+    from evidencespark.streaming import tasks
+
+    schema = "task_id long, delivery_id long, arrived_at timestamp, sequence long"
+    for part, rows in enumerate([[(1, 1, 10, 5), (1, 2, 11, 4), (2, 3, 12, 1)], [(1, 4, 20, 5), (1, 5, 21, 6), (2, 6, 22, 2)]]):
+        frame = spark.createDataFrame(rows, "task_id long, delivery_id long, at long, sequence long").selectExpr("task_id", "delivery_id", "timestamp_seconds(at) AS arrived_at", "sequence")
+        frame.coalesce(1).write.parquet(f"{tmp_path}/in/p={part}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/p=*")
+    assert sorted(r["delivery_id"] for r in tasks.drained(tasks.claims(stream)).collect()) == [1, 3, 5, 6]
