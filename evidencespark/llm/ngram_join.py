@@ -6,12 +6,14 @@ one global order: those that many documents hold come last. A pair that links sh
 
 1. One pass over the texts gives each document's set (by 62-bit hashes), a hash of the set, and its prefix. Equal
    sets are one node from here on.
-2. Prefix n-grams are shuffled; those of one node only go. What is left ties nodes to candidate components.
-3. The full sets of the nodes that are left are fetched once, and go to their component. A component is worked on
-   in blocks of bounded size, each pair of blocks in its own task: the sets of one block form a prefix tree, in
-   which sets with equal beginnings share nodes; each set of the other block is carried down the tree with the
-   overlap so far, and a subtree is left as soon as its remaining lengths cannot reach the threshold, or when all
-   its documents are connected with the set already.
+2. Prefix n-grams are shuffled; those that can link two nodes tie these to candidate components.
+3. The full sets of the nodes that are left are fetched once. Of each set, the n-grams that others of its component
+   hold go, with its size, to its component and class of sizes (sets that link are of the same class or of
+   neighbouring ones). A class is worked on in blocks of bounded size, each
+   pair of blocks in its own task: the sets of one block form a prefix tree, in which sets with equal beginnings
+   share nodes; each set of the other block is carried down the tree with the overlap so far, and a subtree is left
+   as soon as its remaining lengths cannot reach the threshold, or when all its documents are connected with the
+   set already.
 4. Tasks return a spanning forest of the links they find; components of these are the classes.
 
 The order comes from a bounded table of the most frequent n-grams (counted over all documents). Any order gives
@@ -28,13 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidencespark.llm.common import small_side, stored, text_bytes
+from evidencespark.llm.common import small_batches, small_side, stored, text_bytes
 from evidencespark.llm.components import connected_components
 
 #: Most frequent n-grams with a place of their own at the end of the order.
 FREQUENT = 65_536
 #: Most nodes, and about the most n-grams, of one block of a component.
-BLOCK_NODES, BLOCK_GRAMS = 1024, 1 << 20
+BLOCK_NODES, BLOCK_GRAMS = 2048, 1 << 21
+#: Holders of a prefix n-gram up to this many are looked at pair by pair; more are tied together as a chain.
+PAIRWISE = 1024
+#: N-grams with at least this count are dealt out by node as well.
+HOT = 4096
 RUN_BYTES = 1 << 22
 
 _LOW = np.arange(256, dtype=np.uint8)
@@ -107,10 +113,10 @@ def _runs(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i = j
 
 
-def frequent_grams(docs: DataFrame, words: int, most: int = FREQUENT) -> np.ndarray:
-    """The ``most`` n-grams that most documents hold, from the most frequent down: all documents are counted.
+def frequent_grams(docs: DataFrame, words: int, most: int = FREQUENT) -> tuple[np.ndarray, int]:
+    """The ``most`` n-grams that most documents hold, from the most frequent down, and how many of them are hot.
 
-    An n-gram that one slice of a few MB of texts holds once is not counted there.
+    All documents are counted; an n-gram that one slice of a few MB of texts holds once is not counted there.
     """
 
     def count(batches):
@@ -121,13 +127,14 @@ def frequent_grams(docs: DataFrame, words: int, most: int = FREQUENT) -> np.ndar
 
     counted = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = counted.where("n >= 4").orderBy(F.desc("n"), "gram").limit(most).collect()
-    return np.array([r["gram"] for r in top], np.int64)
+    return np.array([r["gram"] for r in top], np.int64), sum(r["n"] >= HOT for r in top)
 
 
 class GramOrder:
     """The global order as numbers: hashes as they are, then the frequent n-grams, the most frequent one last."""
 
-    def __init__(self, frequent: np.ndarray):
+    def __init__(self, frequent: np.ndarray, hot: int):
+        self.hot_from = (1 << 62) + len(frequent) - hot
         order = np.argsort(frequent, kind="stable")
         self.grams, self.places = frequent[order], (np.int64(1 << 62) + len(frequent) - 1 - order).astype(np.int64)
 
@@ -174,20 +181,86 @@ def sets_table(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
 
 
-def candidate_components(sets: DataFrame) -> DataFrame:
+def _tied(gram, part, n, node, pos, percent: int, hot_from: int, chained: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ties between the holders of whole groups of rows, sorted by n-gram, part, set size and node."""
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])
+    fresh = new.copy()
+    fresh[1:] |= node[1:] != node[:-1]  # rows of equal sets count once
+    gram, n, node, pos, new = gram[fresh], n[fresh], node[fresh], pos[fresh], new[fresh]
+    group = np.cumsum(new) - 1
+    sizes = np.bincount(group)[group]
+    chain = (gram >= hot_from) | (sizes > PAIRWISE)
+    if chained and len(chain):
+        chain |= group == 0
+    a, b = [], []
+    for d in range(1, PAIRWISE):
+        i = np.flatnonzero(group[d:] == group[:-d]) if d < len(group) else np.zeros(0, np.int64)
+        if not len(i):
+            break
+        j = i + d
+        fits = n[i] * 100 >= percent * n[j]  # sets come by size: beyond a gap no pair can link
+        reach = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least_overlap(n[i], n[j], percent)
+        keep = fits & np.where(chain[i], d == 1, reach)
+        a.append(node[i[keep]])
+        b.append(node[j[keep]])
+    return _forest(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ties of each node with one node of its component: they connect what ``(a, b)`` connect."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        np.minimum.at(label, high, low)  # roots hook to smaller roots
+        while (further := label[label]).tobytes() != label.tobytes():
+            label = further
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    own = label != np.arange(len(nodes))
+    return nodes[own], nodes[label[own]]
+
+
+def candidate_components(sets: DataFrame, order, percent: int) -> DataFrame:
     """``(node, component)`` of the nodes that are tied, directly or not, by n-grams their prefixes share.
 
-    The holders of an n-gram form a chain in the order of their names. Frequent n-grams are dealt out by node as
-    well; the first nodes of their parts form one more chain.
+    Two holders of an n-gram are tied if, by its place in both sets and their sizes, they can link. Where the
+    holders are many, they form a chain by size instead, cut where sizes jump too far to link. Hot n-grams are
+    dealt out by node as well; the first nodes of their parts form one more chain.
     """
-    rows = sets.where("n > 0").select(F.explode("prefix").alias("gram"), "node")
-    part = F.when(F.col("gram") >= 1 << 62, F.pmod(F.xxhash64("node"), F.lit(64))).otherwise(0)
-    rows = rows.withColumn("part", part)
-    before = F.lag("node").over(W.partitionBy("gram", "part").orderBy("node"))
-    chains = rows.withColumn("b", before).where("b <> node").select(F.col("node").alias("a"), "b")
-    heads = rows.where(F.col("gram") >= 1 << 62).groupBy("gram", "part").agg(F.min("node").alias("node"))
+    hot_from = order.value.hot_from
+    rows = sets.where("n > 0").select(F.posexplode("prefix").alias("pos", "gram"), "n", "node")
+    rows = rows.withColumn("part", F.when(F.col("gram") >= hot_from, F.pmod(F.xxhash64("node"), F.lit(64))).otherwise(0).cast("int"))
+    names = ["gram", "part", "n", "node", "pos"]
+
+    def tie(batches):
+        carry, chained = None, False
+        for batch in batches:
+            new = [batch.column(c).to_numpy() for c in names]
+            if not len(new[0]):
+                continue
+            whole = [np.concatenate(x) for x in zip(carry, new, strict=True)] if carry else new
+            last = len(whole[0]) - 1
+            same = (whole[0] == whole[0][last]) & (whole[1] == whole[1][last])
+            begin = int(np.argmax(same))  # the last group may go on in the next batch
+            a, b = _tied(*[x[:begin] for x in whole], percent, hot_from, chained)
+            chained = chained and begin == 0
+            carry = [x[begin:] for x in whole]
+            if len(carry[0]) > 16 * PAIRWISE:  # a large group: a chain in any case, so its last row is enough
+                c, d = _tied(*carry, percent, hot_from, True)
+                a, b = np.concatenate((a, c)), np.concatenate((b, d))
+                carry, chained = [x[-1:] for x in carry], True
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if carry:
+            a, b = _tied(*carry, percent, hot_from, chained)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    ties = rows.select(*names).repartition("gram", "part").sortWithinPartitions(*names[:4]).mapInArrow(tie, "a long, b long")
+    heads = rows.where(F.col("gram") >= hot_from).groupBy("gram", "part").agg(F.min("node").alias("node"))
     between = heads.withColumn("b", F.lag("node").over(W.partitionBy("gram").orderBy("node"))).where("b <> node")
-    return connected_components(chains.unionByName(between.select(F.col("node").alias("a"), "b")))
+    return connected_components(ties.unionByName(between.select(F.col("node").alias("a"), "b")))
 
 
 class PrefixTree:
@@ -195,15 +268,17 @@ class PrefixTree:
 
     For each node: its parent, the range of sorted sets below it, how many n-grams lead to it, and the least and
     largest size of those sets. ``tokens`` holds the sets one after another; a node's own n-grams are those of its
-    first set between its parent's depth and its own.
+    first set between its parent's depth and its own. ``sizes`` are the sizes of the whole sets, of which the tree
+    may hold only the n-grams that other sets have as well.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
         sets = [sets[i] for i in self.order]
-        self.sizes = np.array([len(x) for x in sets])
+        self.sizes = sizes[self.order]
+        lengths = np.array([len(x) for x in sets])
         self.tokens = np.concatenate(sets)
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         common = [0]
         for a, b in zip(sets[:-1], sets[1:], strict=True):
             k = min(len(a), len(b))
@@ -212,9 +287,9 @@ class PrefixTree:
         # Nodes as (depth, first set, end of sets, parent), made from the common lengths of neighbours by a stack.
         root = [0, 0, len(sets), None, 0]
         made, stack = [root], [root]
-        for i, (lcp, size) in enumerate(zip(common, self.sizes.tolist(), strict=True)):
+        for i, (lcp, size) in enumerate(zip(common, lengths.tolist(), strict=True)):
             last = None
-            while stack[-1][0] > lcp:
+            while stack[-1][0] > lcp or (stack[-1][4] and stack[-1][0] == lcp):  # leaves have no children
                 last = stack.pop()
                 last[2] = i
             if stack[-1][0] < lcp:
@@ -251,10 +326,10 @@ class PrefixTree:
         self.leaf = np.array([x[4] for x in made], bool)
         self.least = np.array([self.sizes[x[1] : x[2]].min() for x in made])
         self.most = np.array([self.sizes[x[1] : x[2]].max() for x in made])
+        self.longest = np.array([lengths[x[1] : x[2]].max() for x in made])
 
-    def matches(self, grams: np.ndarray, member: np.ndarray, wanted: np.ndarray, percent: int) -> np.ndarray:
-        """Positions (in sorted order) of the wanted sets that link with ``grams``; ``member`` marks these."""
-        size = len(grams)
+    def matches(self, grams: np.ndarray, size: int, member: np.ndarray, wanted: np.ndarray, percent: int) -> np.ndarray:
+        """Positions (in sorted order) of the wanted sets that link with a set of ``size``; ``member`` marks ``grams``."""
         open_sets = np.concatenate(([0], np.cumsum(wanted)))
         overlap = np.zeros(len(self.depth), np.int64)
         alive = np.zeros(len(self.depth), bool)
@@ -275,8 +350,8 @@ class PrefixTree:
             sums = np.concatenate(([0], np.cumsum(member[self.tokens[where]])))
             overlap[at] = overlap[self.parent[at]] + sums[ends] - sums[ends - length]
             last = self.tokens[self.starts[self.first[at]] + np.maximum(self.depth[at] - 1, 0)]
-            mine = size - np.searchsorted(grams, last, side="right")
-            reach = overlap[at] + np.minimum(mine, self.most[at] - self.depth[at])
+            mine = len(grams) - np.searchsorted(grams, last, side="right")
+            reach = overlap[at] + np.minimum(mine, self.longest[at] - self.depth[at])
             need = least_overlap(size, np.maximum(self.least[at], self.depth[at]), percent)
             leaf = self.leaf[at]
             alive[at] = ~leaf & (reach >= need)
@@ -286,33 +361,33 @@ class PrefixTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def link_forest(nodes: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
+def link_forest(nodes: list[int], sets: list[np.ndarray], sizes: list[int], side: list[int], percent: int, within: bool = True) -> list[tuple[int, int]]:
     """Links between ``nodes`` that connect all of them that links connect.
 
-    With one side, all pairs are looked at; with two, those of a node of side 0 (the tree) and one of side 1. Pairs
-    that the links so far connect are passed over.
+    Looked at are the pairs of side 0, which forms the tree (if ``within``), and those of a node of side 0 and one
+    of side 1. Pairs that the links so far connect are passed over.
     """
-    local = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    cut = np.cumsum([len(x) for x in sets])[:-1]
-    ranks = np.split(local.astype(np.int64), cut)
     tree_of = [i for i, s in enumerate(side) if s == 0]
-    probes = [i for i, s in enumerate(side) if s == 1] or tree_of
-    two = probes is not tree_of
+    others = [i for i, s in enumerate(side) if s == 1]
     if not tree_of:
         return []
-    tree = PrefixTree([ranks[i] for i in tree_of])
+    known = np.unique(np.concatenate(sets))
+    ranks = [np.searchsorted(known, x).astype(np.int32) for x in sets]
+    n_known = len(known)
+    del known
+    tree = PrefixTree([ranks[i] for i in tree_of], np.array([sizes[i] for i in tree_of]))
     sorted_nodes = np.array([tree_of[k] for k in tree.order])
     label = np.arange(len(nodes))
-    member = np.zeros(int(local.max()) + 1 if len(local) else 1, bool)
+    member = np.zeros(n_known + 1, bool)
     out = []
-    for place, q in enumerate(probes if two else sorted_nodes.tolist()):
+    asking = [(q, place + 1) for place, q in enumerate(sorted_nodes.tolist())] if within else []
+    for q, since in asking + [(q, 0) for q in others]:
         wanted = label[sorted_nodes] != label[q]
-        if not two:
-            wanted[: place + 1] = False
+        wanted[:since] = False
         if not wanted.any():
             continue
         member[ranks[q]] = True
-        for k in tree.matches(ranks[q], member, wanted, percent):
+        for k in tree.matches(ranks[q], sizes[q], member, wanted, percent):
             d = int(sorted_nodes[k])
             if label[d] != label[q]:
                 out.append((nodes[q], nodes[d]))
@@ -325,7 +400,8 @@ def _groups(batches, keys: int) -> Iterator[list[tuple]]:
     """Runs of rows with equal first ``keys`` columns; the rows come sorted by these."""
     run: list[tuple] = []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        columns = [[x.values.to_numpy() for x in c] if pa.types.is_list(c.type) and pa.types.is_int64(c.type.value_type) else c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
             if run and run[0][:keys] != row[:keys]:
                 yield run
                 run = []
@@ -336,15 +412,19 @@ def _groups(batches, keys: int) -> Iterator[list[tuple]]:
 
 def similarity_links(docs: DataFrame, sets: DataFrame, order, words: int, percent: int) -> DataFrame:
     """``(a, b)``: links between nodes, enough of them to connect all that links connect."""
-    tied = candidate_components(sets)
+    tied = candidate_components(sets, order, percent)
     reps = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     members = stored(tied.join(reps, "node"), "members")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("grams"))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    blocks = F.least(blocks, F.col("members").cast("int"))
-    sizes = stored(sizes.select(F.col("component").alias("_component"), blocks.alias("blocks")), "component-sizes")
-    members = members.join(sizes, F.col("component") == F.col("_component"))
-    members = members.select(F.col("doc_id").alias("rep"), F.col("node").alias("rep_node"), "component", "blocks")
+    # Sets that link are of the same class of sizes or of neighbouring ones.
+    members = members.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int"))
+    sizes = members.groupBy("component", "cls").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("grams"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("grams") / BLOCK_GRAMS))
+    sizes = sizes.select(F.col("component").alias("_component"), "cls", F.least(blocks, F.col("members")).cast("int").alias("blocks"))
+    sizes = sizes.groupBy("_component").agg(F.map_from_entries(F.collect_list(F.struct("cls", "blocks"))).alias("blocks"))
+    members = members.join(stored(sizes, "component-sizes"), F.col("component") == F.col("_component"))
+    of = lambda step: F.coalesce(F.try_element_at("blocks", F.col("cls") + step), F.lit(0))
+    counts = F.array(of(-1), of(0), of(1))
+    members = members.select(F.col("doc_id").alias("rep"), F.col("node").alias("rep_node"), "component", "cls", counts.alias("blocks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(small_side(stored(members, "wanted"), 1_000_000), F.col("doc_id").eqNullSafe(F.col("rep")))
 
@@ -356,31 +436,56 @@ def similarity_links(docs: DataFrame, sets: DataFrame, order, words: int, percen
                 own = batch.slice(done, len(grams))
                 done += len(grams)
                 right = np.array([_node(g) for g in grams], np.int64) == own.column("rep_node").to_numpy()
-                packed = pa.array([order.value.apply(g).tobytes() for g in grams], pa.binary())
-                rows = [own.column("component"), own.column("blocks"), own.column("rep_node"), packed]
-                yield pa.RecordBatch.from_arrays(rows, names=["component", "blocks", "node", "grams"]).filter(pa.array(right))
-
-    fetched = texts.select("text", "component", "blocks", "rep_node").mapInArrow(fetch, "component long, blocks int, node long, grams binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = fetched.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select(
-        "component",
-        F.least("own", "other").alias("left"),
-        F.greatest("own", "other").alias("right"),
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
-        "node",
-        "grams",
+                ordered = [order.value.apply(g) for g in grams]
+                ends = np.concatenate(([0], np.cumsum([len(g) for g in ordered]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ordered, np.zeros(0, np.int64)])))
+                rows = [own.column("component"), own.column("cls"), own.column("blocks"), own.column("rep_node"), lists]
+                yield pa.RecordBatch.from_arrays(rows, names=["component", "cls", "blocks", "node", "grams"]).filter(pa.array(right))
+
+    fetched = texts.select("text", "component", "cls", "blocks", "rep_node")
+    fetched = fetched.mapInArrow(fetch, "component long, cls int, blocks array<int>, node long, grams array<long>")
+    # N-grams of one set of the component only cannot overlap: of these, the set's size is all that matters.
+    size = F.size("grams").alias("n")
+    each = fetched.select("component", "cls", "blocks", "node", size, F.explode("grams").alias("gram"))
+    holders = W.partitionBy("component", "gram").orderBy("node")
+    each = each.withColumns({"before": F.lag("node").over(holders), "after": F.lead("node").over(holders)})
+    each = each.where("before <> node OR after <> node")
+    fetched = each.groupBy("component", "node").agg(
+        F.first("cls").alias("cls"), F.first("blocks").alias("blocks"), F.first("n").alias("n"), F.sort_array(F.collect_set("gram")).alias("grams")
+    )
+    # A block meets the other blocks of its class, and those of the class above: with the first of these (or alone,
+    # if there is none) its own pairs are looked at as well.
+    below, same, above = (F.col("blocks")[i] for i in range(3))
+    own = F.pmod(F.xxhash64("node"), same).cast("int")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def task(cls, up, left, right, side):
+        return F.struct(cls.alias("cls"), F.lit(up).alias("up"), left.alias("left"), right.alias("right"), side.alias("side"))
+
+    cls, mine, zero, one = F.col("cls"), F.col("own"), F.lit(0), F.lit(1)
+    tasks = F.concat(
+        F.transform(upto(above), lambda j: task(cls, 1, mine, j, zero)),
+        F.when(above == 0, F.array(task(cls, 0, mine, mine, zero))).otherwise(F.filter(F.array(task(cls, 0, mine, mine, zero)), lambda _: F.lit(False))),
+        F.transform(
+            F.filter(upto(same), lambda o: o != mine),
+            lambda o: task(cls, 0, F.least(o, mine), F.greatest(o, mine), F.when(mine > o, one).otherwise(zero)),
+        ),
+        F.transform(upto(below), lambda i: task(cls - 1, 1, i, mine, one)),
     )
+    placed = fetched.withColumn("own", own).select("component", "node", "n", "grams", F.explode(tasks).alias("t"))
+    placed = placed.select("component", "t.cls", "t.up", "t.left", "t.right", "t.side", "node", "n", "grams")
 
     def join(batches):
-        for run in _groups(batches, 3):
-            unique = {row[4]: row for row in run}.values()
-            nodes = [r[4] for r in unique]
-            found = link_forest(nodes, [np.frombuffer(r[5], np.int64) for r in unique], [r[3] for r in unique], percent)
+        for run in _groups(batches, 5):
+            unique = {row[6]: row for row in run}.values()
+            nodes = [r[6] for r in unique]
+            up, left, right = run[0][2:5]
+            within = right == 0 if up else left == right
+            found = link_forest(nodes, [r[8] for r in unique], [r[7] for r in unique], [r[5] for r in unique], percent, within)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    keys = ["component", "left", "right"]
+    keys = ["component", "cls", "up", "left", "right"]
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "a long, b long")
 
 
@@ -394,9 +499,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     without any other id. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(GramOrder(frequent_grams(docs, words)))
+    order = spark.sparkContext.broadcast(GramOrder(*frequent_grams(docs, words)))
     sets = stored(sets_table(docs, order, words, percent), "gram-sets")
-    links = stored(similarity_links(docs, sets, order, words, percent), "links")
+    links = similarity_links(docs, sets, order, words, percent)
+    with small_batches(spark):  # its rows hold whole sets
+        links = stored(links, "links")
     found = connected_components(links)
     each = sets.select("doc_id", "node", "n").join(found, "node", "left")
     each = stored(each.select("doc_id", "n", F.coalesce("component", "node").alias("component")), "labelled")
