@@ -7,14 +7,17 @@ one global order: those that many documents hold come last. A pair that links sh
 1. One pass over the texts gives each document's set (by 62-bit hashes), a hash of the set, and its prefix. Equal
    sets are one node from here on.
 2. Prefix n-grams are shuffled; those that can link two nodes tie these to candidate components.
-3. The full sets of the nodes that are left are fetched once. Of each set, the n-grams that others of its component
-   hold go, with its size, to its component and class of sizes (sets that link are of the same class or of
-   neighbouring ones). A class is worked on in blocks of bounded size, each
-   pair of blocks in its own task: the sets of one block form a prefix tree, in which sets with equal beginnings
-   share nodes; each set of the other block is carried down the tree with the overlap so far, and a subtree is left
-   as soon as its remaining lengths cannot reach the threshold, or when all its documents are connected with the
-   set already.
-4. Tasks return a spanning forest of the links they find; components of these are the classes.
+3. A component is worked on by classes of set sizes (sets that link are of the same class or of neighbouring ones), a
+   class in blocks of bounded size, each pair of blocks in its own task. First this is done with a bitmap of each set
+   (the parity of its n-grams by hash, about two bits an n-gram): as many bits as two bitmaps differ in, so many
+   n-grams at least are in one of the sets only. Pairs that may link by that bound make smaller components; most
+   nodes that share no more than a passage are gone after it.
+4. The full sets of the nodes that are left are fetched once. Of each set, the n-grams that others of its component
+   hold go, with its size, to the pairs of blocks: the sets of one block form a prefix tree, in which sets with equal
+   beginnings share nodes; each set of the other block is carried down the tree with the overlap so far, and a subtree
+   is left as soon as its remaining lengths cannot reach the threshold, or when all its documents are connected with
+   the set already.
+5. Tasks return a spanning forest of the links they find; components of these are the classes.
 
 The order comes from a bounded table of the most frequent n-grams (counted over all documents). Any order gives
 the same links: the table only keeps frequent n-grams out of prefixes.
@@ -41,6 +44,8 @@ BLOCK_NODES, BLOCK_GRAMS = 2048, 1 << 21
 PAIRWISE = 1024
 #: N-grams with at least this count are dealt out by node as well.
 HOT = 4096
+#: Fewest bits of a bitmap.
+LEAST_BITS = 256
 RUN_BYTES = 1 << 22
 
 _LOW = np.arange(256, dtype=np.uint8)
@@ -152,33 +157,53 @@ def _node(grams: np.ndarray) -> int:
     return int(_mix(np.array([total])).astype(np.int64)[0])
 
 
+def parity_bitmap(grams: np.ndarray) -> np.ndarray:
+    """The parities of how many n-grams of a set fall on each of a power of two of bits, at least two bits an n-gram."""
+    bits = max(LEAST_BITS, 1 << (2 * len(grams) - 1).bit_length()) if len(grams) else LEAST_BITS
+    places = _mix(grams.astype(np.uint64)) & np.uint64(bits - 1)
+    odd = np.bincount(places.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set with fewer bits."""
+    while len(bitmap) > words:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] ^ bitmap[half:]
+    return bitmap
+
+
 def least_overlap(a, b, percent: int):
     """The smallest intersection of sets of ``a`` and ``b`` elements that links them."""
     return -(-(a + b) * percent // (100 + percent))
 
 
 def sets_table(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
-    """``(doc_id, node, n, prefix)`` for each row of ``docs``."""
+    """``(doc_id, node, n, prefix, bits)`` for each row of ``docs``."""
 
     def run(batches):
         for batch in batches:
             ids, done = batch.column(0), 0
             for data, offsets in _runs(batch.column(1)):
-                nodes, sizes, prefixes = [], [], []
+                nodes, sizes, prefixes, bits = [], [], [], []
                 for grams in gram_sets(data, offsets, words):
                     n = len(grams)
                     nodes.append(_node(grams))
                     sizes.append(n)
+                    bits.append(parity_bitmap(grams).tobytes())
                     prefixes.append(order.value.apply(grams)[: n - -(-n * percent // 100) + 1 if n else 0])
                 ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
                 flat = np.concatenate([*prefixes, np.zeros(0, np.int64)])
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(done, len(sizes)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), prefix], names=["doc_id", "node", "n", "prefix"]
+                    [ids.slice(done, len(sizes)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), prefix, pa.array(bits, pa.binary())],
+                    names=["doc_id", "node", "n", "prefix", "bits"],
                 )
                 done += len(sizes)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, node long, n long, prefix array<long>, bits binary"
+    )
 
 
 def _tied(gram, part, n, node, pos, percent: int, hot_from: int, chained: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -396,6 +421,29 @@ def link_forest(nodes: list[int], sets: list[np.ndarray], sizes: list[int], side
     return out
 
 
+def near_forest(nodes: list[int], bitmaps: list[np.ndarray], sizes: list[int], side: list[int], percent: int, within: bool = True) -> list[tuple[int, int]]:
+    """As :func:`link_forest`, of the pairs that may link by their bitmaps and sizes: all that link are among them."""
+    words = min(len(x) for x in bitmaps)
+    maps, size = np.stack([folded(x, words) for x in bitmaps]), np.array(sizes)
+    ones = np.flatnonzero(np.array(side) == 0)
+    others = np.flatnonzero(np.array(side) == 1)
+    label = np.arange(len(nodes))
+    out = []
+    asking = [(q, place + 1) for place, q in enumerate(ones.tolist())] if within else []
+    for q, since in asking + [(q, 0) for q in others.tolist()]:
+        at = ones[since:]
+        at = at[(label[at] != label[q]) & (size[at] * 100 >= percent * size[q]) & (size[at] * percent <= 100 * size[q])]
+        if not len(at):
+            continue
+        differ = np.bitwise_count(maps[at] ^ maps[q]).sum(axis=1, dtype=np.int64)
+        at = at[differ <= size[at] + size[q] - 2 * least_overlap(size[at], size[q], percent)]
+        found, first = np.unique(label[at], return_index=True)
+        if len(found):
+            out.extend((nodes[q], nodes[d]) for d in at[first].tolist())
+            label[np.isin(label, found)] = label[q]
+    return out
+
+
 def _groups(batches, keys: int) -> Iterator[list[tuple]]:
     """Runs of rows with equal first ``keys`` columns; the rows come sorted by these."""
     run: list[tuple] = []
@@ -410,51 +458,26 @@ def _groups(batches, keys: int) -> Iterator[list[tuple]]:
         yield run
 
 
-def similarity_links(docs: DataFrame, sets: DataFrame, order, words: int, percent: int) -> DataFrame:
-    """``(a, b)``: links between nodes, enough of them to connect all that links connect."""
-    tied = candidate_components(sets, order, percent)
-    reps = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    members = stored(tied.join(reps, "node"), "members")
-    # Sets that link are of the same class of sizes or of neighbouring ones.
+def with_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` (component, node, n, ...) with their class of sizes ``cls`` and ``blocks``: how many blocks the class
+    below, the own one and the one above have in the component. Sets that link are of the same or of neighbouring classes.
+    """
     members = members.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int"))
     sizes = members.groupBy("component", "cls").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("grams"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("grams") / BLOCK_GRAMS))
     sizes = sizes.select(F.col("component").alias("_component"), "cls", F.least(blocks, F.col("members")).cast("int").alias("blocks"))
     sizes = sizes.groupBy("_component").agg(F.map_from_entries(F.collect_list(F.struct("cls", "blocks"))).alias("blocks"))
-    members = members.join(stored(sizes, "component-sizes"), F.col("component") == F.col("_component"))
+    members = members.join(stored(sizes, "component-sizes"), F.col("component") == F.col("_component")).drop("_component")
     of = lambda step: F.coalesce(F.try_element_at("blocks", F.col("cls") + step), F.lit(0))
-    counts = F.array(of(-1), of(0), of(1))
-    members = members.select(F.col("doc_id").alias("rep"), F.col("node").alias("rep_node"), "component", "cls", counts.alias("blocks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(small_side(stored(members, "wanted"), 1_000_000), F.col("doc_id").eqNullSafe(F.col("rep")))
+    return members.withColumn("blocks", F.array(of(-1), of(0), of(1)))
 
-    def fetch(batches):
-        for batch in batches:
-            done = 0
-            for data, offsets in _runs(batch.column("text")):
-                grams = list(gram_sets(data, offsets, words))
-                own = batch.slice(done, len(grams))
-                done += len(grams)
-                right = np.array([_node(g) for g in grams], np.int64) == own.column("rep_node").to_numpy()
-                ordered = [order.value.apply(g) for g in grams]
-                ends = np.concatenate(([0], np.cumsum([len(g) for g in ordered]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ordered, np.zeros(0, np.int64)])))
-                rows = [own.column("component"), own.column("cls"), own.column("blocks"), own.column("rep_node"), lists]
-                yield pa.RecordBatch.from_arrays(rows, names=["component", "cls", "blocks", "node", "grams"]).filter(pa.array(right))
 
-    fetched = texts.select("text", "component", "cls", "blocks", "rep_node")
-    fetched = fetched.mapInArrow(fetch, "component long, cls int, blocks array<int>, node long, grams array<long>")
-    # N-grams of one set of the component only cannot overlap: of these, the set's size is all that matters.
-    size = F.size("grams").alias("n")
-    each = fetched.select("component", "cls", "blocks", "node", size, F.explode("grams").alias("gram"))
-    holders = W.partitionBy("component", "gram").orderBy("node")
-    each = each.withColumns({"before": F.lag("node").over(holders), "after": F.lead("node").over(holders)})
-    each = each.where("before <> node OR after <> node")
-    fetched = each.groupBy("component", "node").agg(
-        F.first("cls").alias("cls"), F.first("blocks").alias("blocks"), F.first("n").alias("n"), F.sort_array(F.collect_set("gram")).alias("grams")
-    )
-    # A block meets the other blocks of its class, and those of the class above: with the first of these (or alone,
-    # if there is none) its own pairs are looked at as well.
+def block_pairs(members: DataFrame, content: str, forest, percent: int) -> DataFrame:
+    """``(a, b)``: what ``forest`` finds in the pairs of blocks; ``members`` has ``cls`` and ``blocks``, and ``content``.
+
+    A block meets the other blocks of its class, and those of the class above: with the first of these (or alone,
+    if there is none) its own pairs are looked at as well.
+    """
     below, same, above = (F.col("blocks")[i] for i in range(3))
     own = F.pmod(F.xxhash64("node"), same).cast("int")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -472,8 +495,8 @@ def similarity_links(docs: DataFrame, sets: DataFrame, order, words: int, percen
         ),
         F.transform(upto(below), lambda i: task(cls - 1, 1, i, mine, one)),
     )
-    placed = fetched.withColumn("own", own).select("component", "node", "n", "grams", F.explode(tasks).alias("t"))
-    placed = placed.select("component", "t.cls", "t.up", "t.left", "t.right", "t.side", "node", "n", "grams")
+    placed = members.withColumn("own", own).select("component", "node", "n", content, F.explode(tasks).alias("t"))
+    placed = placed.select("component", "t.cls", "t.up", "t.left", "t.right", "t.side", "node", "n", content)
 
     def join(batches):
         for run in _groups(batches, 5):
@@ -481,7 +504,7 @@ def similarity_links(docs: DataFrame, sets: DataFrame, order, words: int, percen
             nodes = [r[6] for r in unique]
             up, left, right = run[0][2:5]
             within = right == 0 if up else left == right
-            found = link_forest(nodes, [r[8] for r in unique], [r[7] for r in unique], [r[5] for r in unique], percent, within)
+            found = forest(nodes, [r[8] for r in unique], [r[7] for r in unique], [r[5] for r in unique], percent, within)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -489,6 +512,49 @@ def similarity_links(docs: DataFrame, sets: DataFrame, order, words: int, percen
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "a long, b long")
 
 
+def similarity_links(docs: DataFrame, sets: DataFrame, order, words: int, percent: int) -> DataFrame:
+    """``(a, b)``: links between nodes, enough of them to connect all that links connect."""
+    tied = candidate_components(sets, order, percent)
+    reps = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    members = stored(tied.join(reps, "node"), "members")
+
+    def near(nodes, bitmaps, *others):
+        return near_forest(nodes, [np.frombuffer(x, np.uint64) for x in bitmaps], *others)
+
+    closer = connected_components(block_pairs(with_blocks(members, percent), "bits", near, percent))
+    members = stored(members.select("node", "doc_id", "n").join(closer, "node"), "near-members")
+    members = with_blocks(members, percent).select(F.col("doc_id").alias("rep"), F.col("node").alias("rep_node"), "component", "cls", "blocks")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(small_side(stored(members, "wanted"), 1_000_000), F.col("doc_id").eqNullSafe(F.col("rep")))
+
+    def fetch(batches):
+        for batch in batches:
+            done = 0
+            for data, offsets in _runs(batch.column("text")):
+                grams = list(gram_sets(data, offsets, words))
+                own = batch.slice(done, len(grams))
+                done += len(grams)
+                right = np.array([_node(g) for g in grams], np.int64) == own.column("rep_node").to_numpy()
+                ordered = [order.value.apply(g) for g in grams]
+                ends = np.concatenate(([0], np.cumsum([len(g) for g in ordered]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ordered, np.zeros(0, np.int64)])))
+                rows = [own.column("component"), own.column("cls"), own.column("blocks"), own.column("rep_node"), lists]
+                yield pa.RecordBatch.from_arrays(rows, names=["component", "cls", "blocks", "node", "grams"]).filter(pa.array(right))
+
+    fetched = texts.select("text", "component", "cls", "blocks", "rep_node")
+    fetched = fetched.mapInArrow(fetch, "component long, cls int, blocks array<int>, node long, grams array<long>")
+    # N-grams of one set of the component only cannot overlap: of these, the set's size is all that matters.
+    size = F.size("grams").alias("n")
+    each = fetched.select("component", "cls", "blocks", "node", size, F.explode("grams").alias("gram"))
+    holders = W.partitionBy("component", "gram").orderBy("node")
+    each = each.withColumns({"before": F.lag("node").over(holders), "after": F.lead("node").over(holders)})
+    each = each.where("before <> node OR after <> node")
+    fetched = each.groupBy("component", "node").agg(
+        F.first("cls").alias("cls"), F.first("blocks").alias("blocks"), F.first("n").alias("n"), F.sort_array(F.collect_set("gram")).alias("grams")
+    )
+    return block_pairs(fetched, "grams", link_forest, percent)
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, a row for each row of ``docs(doc_id, text)``.
 

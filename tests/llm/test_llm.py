@@ -306,6 +306,31 @@ def test_prefix_tree_finds_all_links():
                     assert label[a] == label[b]
 
 
+def test_bitmaps_lose_no_link():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        base = [np.unique(rng.integers(0, 1 << 60, rng.integers(90, 700))) for _ in range(3)]
+        sets = []
+        for _ in range(24):
+            x = base[rng.integers(3)]
+            sets.append(np.unique(np.concatenate([x[rng.random(len(x)) > 0.1], rng.integers(0, 1 << 60, rng.integers(0, 30))])))
+        linked = [[100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)) for b in sets] for a in sets]
+        bitmaps = [ngram_join.parity_bitmap(x) for x in sets]
+        for side in ([0] * 24, [0, 1] * 12):
+            forest = ngram_join.near_forest(list(range(24)), bitmaps, [len(x) for x in sets], side, 75)
+            label = list(range(24))
+            for a, b in forest:
+                label = [label[a] if x == label[b] else x for x in label]
+            for a in range(24):
+                for b in range(a):
+                    if linked[a][b] and not side[a] == side[b] == 1:
+                        assert label[a] == label[b]
+    far = [np.arange(k * 1000, k * 1000 + 900) for k in range(5)]
+    assert ngram_join.near_forest(list(range(5)), [ngram_join.parity_bitmap(x) for x in far], [900] * 5, [0] * 5, 75) == []
+    wide = ngram_join.parity_bitmap(far[0])
+    assert len(ngram_join.folded(wide, 4)) == 4 and len(ngram_join.parity_bitmap(far[0][:0])) == 4
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
