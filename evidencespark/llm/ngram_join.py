@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,8 +42,10 @@ FREQUENT = 65_536
 BLOCK_NODES, BLOCK_GRAMS = 2048, 1 << 21
 #: Holders of a prefix n-gram up to this many are looked at pair by pair; more are tied together as a chain.
 PAIRWISE = 1024
-#: N-grams with at least this count are dealt out by node as well.
+#: N-grams with at least this count are dealt out by set size and node as well.
 HOT = 4096
+#: Parts by node of each class of sizes of a hot n-gram.
+HOT_PARTS = 64
 #: Fewest bits of a bitmap.
 LEAST_BITS = 256
 RUN_BYTES = 1 << 22
@@ -178,6 +180,11 @@ def least_overlap(a, b, percent: int):
     return -(-(a + b) * percent // (100 + percent))
 
 
+def size_class(n: Column, percent: int) -> Column:
+    """The class of a set's size: sets that link are of the same class or of neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+
+
 def sets_table(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
     """``(doc_id, node, n, prefix, bits)`` for each row of ``docs``."""
 
@@ -253,11 +260,13 @@ def candidate_components(sets: DataFrame, order, percent: int) -> DataFrame:
 
     Two holders of an n-gram are tied if, by its place in both sets and their sizes, they can link. Where the
     holders are many, they form a chain by size instead, cut where sizes jump too far to link. Hot n-grams are
-    dealt out by node as well; the first nodes of their parts form one more chain.
+    dealt out by class of sizes and by node; sets of one class are never too far apart, so each class of an n-gram
+    is tied whole through the first nodes of its parts, and to the class above it where the chain would go on.
     """
     hot_from = order.value.hot_from
     rows = sets.where("n > 0").select(F.posexplode("prefix").alias("pos", "gram"), "n", "node")
-    rows = rows.withColumn("part", F.when(F.col("gram") >= hot_from, F.pmod(F.xxhash64("node"), F.lit(64))).otherwise(0).cast("int"))
+    spread = size_class(F.col("n"), percent) * HOT_PARTS + F.pmod(F.xxhash64("node"), F.lit(HOT_PARTS)).cast("int")
+    rows = rows.withColumn("part", F.when(F.col("gram") >= hot_from, spread).otherwise(0).cast("int"))
     names = ["gram", "part", "n", "node", "pos"]
 
     def tie(batches):
@@ -283,9 +292,14 @@ def candidate_components(sets: DataFrame, order, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     ties = rows.select(*names).repartition("gram", "part").sortWithinPartitions(*names[:4]).mapInArrow(tie, "a long, b long")
-    heads = rows.where(F.col("gram") >= hot_from).groupBy("gram", "part").agg(F.min("node").alias("node"))
-    between = heads.withColumn("b", F.lag("node").over(W.partitionBy("gram").orderBy("node"))).where("b <> node")
-    return connected_components(ties.unionByName(between.select(F.col("node").alias("a"), "b")))
+    heads = rows.where(F.col("gram") >= hot_from).groupBy("gram", "part").agg(F.min("node").alias("node"), F.min("n").alias("least"), F.max("n").alias("most"))
+    heads = heads.withColumn("cls", F.floor(F.col("part") / HOT_PARTS).cast("int"))
+    own, by = W.partitionBy("gram", "cls"), W.partitionBy("gram").orderBy("cls", "part")
+    heads = heads.withColumns({"least": F.min("least").over(own), "most": F.max("most").over(own)})
+    heads = heads.select("node", "cls", "least", *[F.lag(c).over(by).alias(f"_{c}") for c in ("node", "cls", "most")])
+    goes_on = (F.col("cls") == F.col("_cls")) | (F.col("_most") * 100 >= F.col("least") * percent)
+    between = heads.where(goes_on & (F.col("node") != F.col("_node")))
+    return connected_components(ties.unionByName(between.select(F.col("node").alias("a"), F.col("_node").alias("b"))))
 
 
 class PrefixTree:
@@ -462,7 +476,7 @@ def with_blocks(members: DataFrame, percent: int) -> DataFrame:
     """``members`` (component, node, n, ...) with their class of sizes ``cls`` and ``blocks``: how many blocks the class
     below, the own one and the one above have in the component. Sets that link are of the same or of neighbouring classes.
     """
-    members = members.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int"))
+    members = members.withColumn("cls", size_class(F.col("n"), percent))
     sizes = members.groupBy("component", "cls").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("grams"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("grams") / BLOCK_GRAMS))
     sizes = sizes.select(F.col("component").alias("_component"), "cls", F.least(blocks, F.col("members")).cast("int").alias("blocks"))

@@ -290,6 +290,24 @@ def test_jaccard_components(spark, monkeypatch, pairwise):
     assert ngram_join.jaccard_components(docs(spark, [(1, "x", "s")]).limit(0)).count() == 0
 
 
+def test_hot_passages_of_sets_of_two_sizes(spark, monkeypatch):
+    rng = random.Random(13)
+    short, long = ([f"{name}{k}" for k in range(n)] for name, n in (("t", 100), ("p", 300)))
+
+    def variant(words, i):
+        words = list(words)
+        words[rng.randrange(10, 90)] = f"e{i}"
+        return " ".join(words)
+
+    texts = [variant(short, i) for i in range(40)] + [variant(short + long, 40 + i) for i in range(40)]
+    texts += [" ".join(long + [f"f{i}w{k}" for k in range(300)]) for i in range(60)]  # the short one's n-grams are rarer
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    least = jaccard_classes(rows)[1]
+    assert [got[i] for i, _ in rows] == least and len(set(least)) == 62
+
+
 def test_prefix_tree_finds_all_links():
     rng = np.random.default_rng(10)
     for _ in range(20):
