@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from evidencespark.functions import text as T
 
-#: Most queries of one dense batch; their vectors are broadcast.
-MAX_QUERIES = 20_000
+#: About the most queries a task of the dense search holds, and into how many blocks the items are dealt that it streams.
+QUERY_BLOCK, ITEM_BLOCKS = 4096, 16
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", item: str = "record_id") -> DataFrame:
@@ -27,40 +27,67 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", item: str = "recor
 def dense_topk(items: DataFrame, queries: DataFrame, k: int = 20, exclude_self: bool = False) -> DataFrame:
     """``(query_id, record_id, score, rank)``: exact cosine search of ``queries`` in ``items``.
 
-    Both have ``(record_id | query_id, vector)``. The query vectors, ``MAX_QUERIES`` at most, are broadcast; each
-    batch of items is multiplied with blocks of them, and only the best ``k`` of a batch leave its task. Scores
-    are rounded to 9 places before they are ranked; vectors that are null or zero score 0.
+    Both have ``(record_id | query_id, vector)``. Queries and items are dealt into blocks, and each pair of blocks is
+    one task: it holds its queries, multiplies them with batches of its items, and only the best ``k`` leave it. Scores
+    are rounded to 9 places before they are ranked; vectors that are zero score 0, as do null ones of queries.
     """
-    rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).limit(MAX_QUERIES + 1).toPandas()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search them in several batches")
-    spark = items.sparkSession
+    item_blocks = ITEM_BLOCKS
+    query_blocks = max(-(-queries.count() // QUERY_BLOCK), 1)
 
     def unit(vectors):
-        x = np.array(list(vectors), dtype=float)
+        width = max((len(v) for v in vectors if v is not None), default=1)
+        x = np.array([np.zeros(width) if v is None else v for v in vectors], dtype=float)
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
-    shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), unit(rows["vector"]) if len(rows) else None))
+    def found(ids, score, record):
+        rows = pd.DataFrame({"query_id": np.repeat(ids, k), "record_id": record.ravel(), "score": score.ravel()})
+        return rows[rows["score"] > -np.inf]
 
     def search(frames):
-        ids, q = shared.value
+        pair, asked, ids = None, [], None
         for frame in frames:
-            if not len(frame) or q is None:
-                continue
-            frame = frame.sort_values("record_id")
-            own, x = frame["record_id"].to_numpy(), unit(frame["vector"])
-            for a in range(0, len(ids), 512):
-                scores = np.round(q[a : a + 512] @ x.T, 9) + 0.0
-                if exclude_self:
-                    scores[ids[a : a + 512, None] == own[None, :]] = -np.inf
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame(
-                    {"query_id": np.repeat(ids[a : a + 512], best.shape[1]), "record_id": own[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}
-                ).query("score > -inf")
-
-    good = items.where(F.col("vector").isNotNull()).select(F.col("record_id").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
-    return top_k(good.mapInPandas(search, "query_id long, record_id long, score double"), k)
+            for key, part in frame.groupby(["query_block", "item_block"], sort=False):
+                if key != pair:
+                    if ids is not None:
+                        yield found(ids, score, record)
+                    pair, asked, ids = key, [], None
+                asked.append(part[part["side"] == 0])
+                held = part[part["side"] == 1].sort_values("id")
+                if not len(held):
+                    continue
+                if ids is None:  # a pair's queries come before its items
+                    own = pd.concat(asked)
+                    ids, q = own["id"].to_numpy(), unit(own["vector"]) if len(own) else None
+                    score, record = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+                if q is None:
+                    continue
+                own, x = held["id"].to_numpy(), unit(held["vector"])
+                if not q.any():
+                    q = np.zeros((len(q), x.shape[1]))
+                for a in range(0, len(ids), 512):
+                    b = slice(a, a + 512)
+                    scores = np.round(q[b] @ x.T, 9) + 0.0
+                    if exclude_self:
+                        scores[ids[b, None] == own[None, :]] = -np.inf
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    scores = np.concatenate((score[b], np.take_along_axis(scores, best, 1)), axis=1)
+                    records = np.concatenate((record[b], own[best]), axis=1)
+                    best = np.lexsort((records, -scores), axis=1)[:, :k]
+                    score[b], record[b] = np.take_along_axis(scores, best, 1), np.take_along_axis(records, best, 1)
+        if ids is not None:
+            yield found(ids, score, record)
+
+    def dealt(rows, name, side, own, n_own, other, n_other):
+        rows = rows.select(F.col(name).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(side).alias("side"))
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    held = dealt(items.where(F.col("vector").isNotNull()), "record_id", 1, "item_block", item_blocks, "query_block", query_blocks)
+    asked = dealt(queries, "query_id", 0, "query_block", query_blocks, "item_block", item_blocks)
+    keys = ["query_block", "item_block"]
+    pairs = held.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "side")
+    return top_k(pairs.mapInPandas(search, "query_id long, record_id long, score double"), k)
 
 
 def overlap_topk(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

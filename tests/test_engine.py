@@ -110,6 +110,34 @@ def test_dense_search_of_zero_and_null_vectors(spark):
     assert [(r["record_id"], r["score"]) for r in search.dense_topk(items, asked, 5).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]
 
 
+def test_dense_search_of_more_queries_than_a_block(spark):
+    items = spark.range(40).selectExpr("id AS record_id", "array(cos(id / 40.0), sin(id / 40.0)) AS vector")
+    asked = spark.range(20_001).selectExpr("id AS query_id", "array(cos(id % 40 / 40.0), sin(id % 40 / 40.0)) AS vector")
+    rows = search.dense_topk(items, asked, 1).collect()
+    assert len(rows) == 20_001 and all(r["record_id"] == r["query_id"] % 40 and r["rank"] == 1 for r in rows)
+
+
+def test_dense_search_by_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (90, 3)).astype(float)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "ITEM_BLOCKS", 5)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "record_id long, vector array<double>")
+    asked = frame.where("record_id % 3 = 0").withColumnRenamed("record_id", "query_id")
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    for exclude in (False, True):
+        got = {(r["query_id"], r["rank"]): r["record_id"] for r in search.dense_topk(frame, asked, 5, exclude).collect()}
+        want = {}
+        for i in range(0, 90, 3):
+            score = np.round(unit @ unit[i], 9)
+            best = [j for j in sorted(range(90), key=lambda j: (-score[j], j)) if not (exclude and j == i)][:5]  # noqa: B023
+            want |= {(i, n + 1): j for n, j in enumerate(best)}
+        assert got == want
+
+
 def test_late_lower_version_never_becomes_active(spark):
     b = spark.createDataFrame([(1, 3, True), (1, 2, True), (1, 4, False)], "document_id int, version int, finished boolean")
     assert lifecycle.active_versions(b).first()["active_version"] == 3
