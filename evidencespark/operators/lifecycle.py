@@ -82,3 +82,22 @@ def trimmed_context(messages: DataFrame, budget: int) -> DataFrame:
     last_user = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(own)
     m = messages.withColumns({"used": F.sum("tokens").over(after), "last_user": last_user})
     return m.where((F.col("role") == "system") | (F.col("turn") >= F.col("last_user")) | (F.col("used") <= budget)).drop("last_user")
+
+
+def percentiles(rows: DataFrame, label: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact percentiles of ``value`` by ``label``, interpolated, from running counts of sorted values; null without values."""
+    counts = rows.groupBy(label, "value").agg(F.count("value").alias("n"))
+    totals = counts.groupBy(F.col(label).alias("_label")).agg(F.sum("n").alias("total"))
+    upto = F.sum("n").over(W.partitionBy(label).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    counts = counts.withColumn("upto", upto).join(totals, F.col(label).eqNullSafe(F.col("_label")))
+
+    def at(place):
+        return F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("n")), F.col("value")))
+
+    def one(q):
+        place = (F.col("total") - 1) * F.lit(q)
+        low, high = F.floor(place), F.ceil(place)
+        share = F.max(place - low)
+        return F.round(F.when(share == 0, at(low)).otherwise((1 - share) * at(low) + share * at(high)), 6)
+
+    return counts.groupBy(label).agg(*[one(q).alias(name) for name, q in wanted.items()])

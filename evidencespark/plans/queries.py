@@ -416,8 +416,7 @@ def error_ratio(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(median(value), 6) AS median FROM events GROUP BY 1")
 def latency_p95(spark, sf_dir):
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.round(F.median("value"), 6).alias("median"))
+    return lifecycle.percentiles(table(spark, sf_dir, "events"), "event_type", {"p50": 0.5, "p95": 0.95, "median": 0.5})
 
 
 @query("""WITH f AS (SELECT event_id, user_id AS key, ts FROM events WHERE event_type = 'error'),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -72,39 +73,57 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(*[f"{folder}/out/batch={n}" for n in names])
 
 
+def folded(rows: DataFrame, order: list[str], names: list[str], start: tuple, step: Callable[..., tuple[tuple, tuple]], schema: str) -> DataFrame:
+    """``key``, ``seq`` and what ``step(state, *values of names)`` returns with the next state, over each key's rows in order.
+
+    Rows come sorted and only the state goes on from batch to batch, so a key may have more rows than memory holds.
+    """
+
+    def run(batches):
+        key, state = None, start
+        for batch in batches:
+            out = []
+            values = [batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in names]
+            for own, *now in zip(batch.column("key").to_pylist(), *values, strict=True):
+                if own != key:
+                    key, state = own, start
+                state, row = step(state, *now)
+                out.append(row)
+            columns = [pa.array(list(c), from_pandas=True) for c in zip(*out, strict=True)] if out else []
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("seq"), *columns], names=[c.split()[0] for c in schema.split(", ")])
+
+    rows = rows.select(F.col("key").cast("long").alias("key"), F.col("seq").cast("long").alias("seq"), *[c for c in names if c not in ("key", "seq")])
+    return rows.repartition("key").sortWithinPartitions("key", *[F.col(c).asc_nulls_last() for c in order]).mapInArrow(run, schema)
+
+
 def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
     """``(key, seq, wait)``: how long each request waits in a bucket of ``burst`` units that fills at ``rate`` a second.
 
     A fold over each key's requests ``(key, seq, at, cost)`` in order.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "seq"])
-        level, now, waits = burst, None, []
-        for at, cost in zip(frame["at"], frame["cost"], strict=True):
-            start = at if now is None else max(at, now)
-            level = min(burst, level + (start - (start if now is None else now)) * rate)
-            wait = max(0.0, (min(cost, burst) - level) / rate)
-            level = level + wait * rate - min(cost, burst)
-            now = start + wait
-            waits.append(round(now - at, 6))
-        return pd.DataFrame({"key": frame["key"], "seq": frame["seq"], "wait": waits})
+    def step(state: tuple, at: float, cost: float) -> tuple[tuple, tuple]:
+        level, now = state
+        start = at if now is None else max(at, now)
+        level = min(burst, level + (start - (start if now is None else now)) * rate)
+        wait = max(0.0, (min(cost, burst) - level) / rate)
+        return (level + wait * rate - min(cost, burst), start + wait), (round(start + wait - at, 6),)
 
-    return requests.groupBy("key").applyInPandas(fold, "key long, seq long, wait double")
+    requests = requests.withColumns({c: F.col(c).cast("double") for c in ("at", "cost")})
+    return folded(requests, ["at", "seq"], ["at", "cost"], (burst, None), step, "key long, seq long, wait double")
 
 
 def retention(samples: DataFrame, ladder: tuple[int, ...] = (168, 72, 48, 24, 12, 6, 3, 1)) -> DataFrame:
     """``(key, seq, hours, paused)``: retention steps down at 80 % use, up below 70 %, and pauses intake at 90 %."""
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        step, out = 0, []
-        for used in frame["used"]:
-            if used >= 0.8:
-                step = min(step + 1, len(ladder) - 1)
-            elif used < 0.7:
-                step = max(step - 1, 0)
-            out.append((ladder[step], bool(used >= 0.9)))
-        return pd.DataFrame({"key": frame["key"], "seq": frame["seq"], "hours": [h for h, _ in out], "paused": [p for _, p in out]})
-
-    return samples.groupBy("key").applyInPandas(fold, "key long, seq long, hours long, paused boolean")
+    def step(state: tuple, used: float) -> tuple[tuple, tuple]:
+        (at,) = state
+        if used >= 0.8:
+            at = min(at + 1, len(ladder) - 1)
+        elif used < 0.7:
+            at = max(at - 1, 0)
+        return (at,), (ladder[at], bool(used >= 0.9))
+
+    samples = samples.withColumn("used", F.col("used").cast("double"))
+    return folded(samples, ["seq"], ["used"], (0,), step, "key long, seq long, hours long, paused boolean")

@@ -165,6 +165,26 @@ def test_retention_steps(spark):
     assert [r["hours"] for r in rows] == [168, 72, 48, 48, 72] and [r["paused"] for r in rows] == [False, False, True, False, False]
 
 
+def test_percentiles_from_counts(spark):
+    rows = [(t, v) for t in ("a", None) for v in (4.0, 1.0, 1.0, None, 10.0)] + [("b", None), ("c", 7.0)]
+    got = lifecycle.percentiles(spark.createDataFrame(rows, "t string, value double"), "t", {"p50": 0.5, "p95": 0.95})
+    assert {tuple(r) for r in got.collect()} == {("a", 2.5, 9.1), (None, 2.5, 9.1), ("b", None, None), ("c", 7.0, 7.0)}
+
+
+def test_folds_go_on_over_batches_of_one_key(spark):
+    from evidencespark.llm.common import small_batches
+    from evidencespark.streaming import tasks
+
+    r = spark.createDataFrame([(k, i, 0.0, 5.0) for k in (1, None, 2) for i in range(7)], "key long, seq long, at double, cost double")
+    s = spark.createDataFrame([(k, i, 0.95) for k in (1, 2) for i in range(7)], "key long, seq long, used double")
+    with small_batches(spark, 2):
+        folds = tasks.token_bucket(r, 1.0, 10.0), tasks.retention(s)
+        waits, steps = ([tuple(x) for x in f.collect()] for f in folds)
+    assert sorted(waits, key=str) == sorted(((k, i, max(0.0, 5.0 * (i - 1))) for k in (1, None, 2) for i in range(7)), key=str)
+    assert sorted(steps) == [(k, i, h, True) for k in (1, 2) for i, h in enumerate((72, 48, 24, 12, 6, 3, 1))]
+    assert not any("FlatMapGroupsInPandas" in f._jdf.queryExecution().toString() for f in folds)  # a whole group in memory
+
+
 def test_stream_claims_over_two_files(spark, tmp_path):
     from evidencespark.streaming import tasks
 
