@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidencespark.llm.common import lower_ascii, stored
+from evidencespark.llm.common import free_name, lower_ascii, stored
 
 #: Stands for "no right neighbour" in a pair; names are never -1.
 _NONE = -1
@@ -36,10 +36,10 @@ def _numbered(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def text_identities(docs: DataFrame, block_bytes: int = 4096, digests: Callable = two_digests) -> DataFrame:
-    """``(doc_id, digest, n_blocks, name)``, a row for each distinct pair of id and normalised text.
+    """``(doc_id, digest, n_blocks, name, times)``, a row for each distinct pair of id and normalised text.
 
     ``(n_blocks, name)`` is the identity; ``digest`` is the SHA-256 of the normalised text (A-Z lower-cased, null
-    as empty), which here only tells apart texts that share an id.
+    as empty), which here only tells apart texts that share an id; ``times`` counts the rows of that id and text.
     """
     text = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
     whole = docs.select("doc_id", text.alias("norm"))
@@ -64,7 +64,7 @@ def text_identities(docs: DataFrame, block_bytes: int = 4096, digests: Callable
         clear = placed.drop("block").join(clashing, ["h1", "h2"], "left_anti").join(names, ["h1", "h2"])
         named = clear.select(*at, "name").unionByName(apart.join(own, "block").select(*at, "name"))
 
-    level = stored(named.withColumn("width", F.col("n_blocks")), "level-0")
+    level = stored(named.withColumns({"width": F.col("n_blocks"), "times": F.lit(1).cast("long")}), "level-0")
     widest = level.agg(F.max("width")).first()[0] or 1
     ended = level.where("width = 1")
     while widest > 1:
@@ -76,42 +76,58 @@ def text_identities(docs: DataFrame, block_bytes: int = 4096, digests: Callable
                 F.max(F.when(even, F.col("name"))).alias("a"),
                 F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(_NONE)).alias("b"),
                 F.ceil(F.max("width") / 2).cast("int").alias("width"),
+                F.sum(F.when(even, F.col("times"))).alias("times"),
             )
         )
         pairs = stored(pairs, "pairs")
         names = stored(_numbered(pairs.select("a", "b"), "a", "b"), "pair-names")
-        level = stored(pairs.join(names, ["a", "b"]).select("doc_id", "digest", "n_blocks", "pos", "name", "width"), "level")
+        level = stored(pairs.join(names, ["a", "b"]).select("doc_id", "digest", "n_blocks", "pos", "name", "width", "times"), "level")
         ended = ended.unionByName(level.where("width = 1"))
         widest = (widest + 1) // 2
-    return ended.select("doc_id", "digest", "n_blocks", "name").distinct()
+    return ended.groupBy("doc_id", "digest", "n_blocks", "name").agg(F.sum("times").alias("times"))
 
 
 def exact_groups(docs: DataFrame, block_bytes: int = 4096, digests: Callable = two_digests) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, digest)``: groups of equal texts; the largest ``doc_id`` stays.
 
-    ``docs`` needs ``doc_id`` (integer) and ``text``; other columns are ignored. Null texts are empty texts. Rows
-    with the same id and the same text are one document, returned once. A null id loses to any other; in a group
-    of null ids only, ``keep_id`` is null and its one document is kept. An empty table gives an empty result.
+    ``docs`` needs ``doc_id`` (integer) and ``text``; other columns are ignored. Null texts are empty texts. There is
+    a row for each row of ``docs``: rows that repeat an id and a text each count in ``group_size`` and are kept or not
+    alike. A null id loses to any other; in a group of null ids only, ``keep_id`` is null and its rows are kept. An
+    empty table gives an empty result.
     """
+    groups = _decided(docs, block_bytes, digests)
+    return groups.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("_", "times")
+
+
+def _decided(docs: DataFrame, block_bytes: int, digests: Callable) -> DataFrame:
+    """:func:`exact_groups` with one row for rows that repeat an id and a text, and how many these are (``times``)."""
     each = stored(text_identities(docs, block_bytes, digests), "identities")
-    groups = each.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("size"))
-    groups = stored(groups.where("size > 1"), "groups")
+    groups = each.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("top"), F.sum("times").alias("size"), F.count(F.lit(1)).alias("ids"))
+    groups = stored(groups.where("ids > 1").drop("ids"), "groups")
     joined = each.join(groups, ["n_blocks", "name"], "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("top"))
     return joined.select(
         "doc_id",
         keep.alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("size", "times").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         "digest",
+        "times",
     )
 
 
 def drop_exact_copies(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
     """The rows of ``docs`` that stay, each once, with all their columns; see :func:`exact_groups`."""
-    own = ["_keep_id", "_keep_digest"]
-    kept = exact_groups(docs, block_bytes).where("kept").select(F.col("doc_id").alias(own[0]), F.col("digest").alias(own[1]))
+    keep_id, keep_digest, row_id, row_digest = (free_name(docs, c) for c in ("keep_id", "keep_digest", "row_id", "row_digest"))
+    decided = _decided(docs.select("doc_id", "text"), block_bytes, two_digests).where("kept")
+    kept = decided.select(F.col("doc_id").alias(keep_id), F.col("digest").alias(keep_digest), "times")
     norm = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.withColumns({"_row_digest": F.unhex(F.sha2(norm.cast("binary"), 256)), "_row_id": F.col("doc_id")})
-    same = F.col("_row_digest").eqNullSafe(F.col(own[1])) & F.col("_row_id").eqNullSafe(F.col(own[0]))
-    return keyed.join(kept, same).dropDuplicates(own).select(*[F.col(c) for c in docs.columns])
+    keyed = docs.withColumns({row_digest: F.unhex(F.sha2(norm.cast("binary"), 256)), row_id: F.col("doc_id")})
+    same = F.col(row_digest).eqNullSafe(F.col(keep_digest)) & F.col(row_id).eqNullSafe(F.col(keep_id))
+    kept = stored(kept, "kept")
+    rows = keyed.join(kept.drop("times"), same)
+    repeated = kept.where("times > 1")
+    if not repeated.isEmpty():
+        once = keyed.join(repeated.drop("times"), same).dropDuplicates([row_id, row_digest])
+        rows = keyed.join(kept.where("times = 1").drop("times"), same).unionByName(once)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
