@@ -3,14 +3,16 @@
 1. Targets. Source sizes are summed; targets share ``total_ratio`` times all words by weight, none above
    ``max_repeats`` times its source, the excess reshared: the level at which this fills up has a closed form.
 2. Quotas. The documents of a source fall by a hash of their id into ``blocks`` blocks, put in the order of a
-   second hash. Whole passes over the source come first; what is left of the target takes the first blocks of
-   that order, then the first cells (a second hash level) of the next blocks, then from the next cells the one
-   document that comes nearest to what is left.
+   second hash. Whole passes over the source come first; what is left of the target is filled with blocks in that
+   order, passing over those that are larger than what is left, in ``ROUNDS`` rounds. The next blocks are drawn in
+   part: their cells (a second hash level) are filled in the same way, and of the next cells the one document is
+   drawn that comes nearest to what is left.
 3. Splitting tree. The drawn blocks of all passes are a vector of quotas by source. Each node of the tree gives
    half of its blocks to either child: its blocks get random keys, the lower half goes left. Counting these by
    source is an exact draw from the multivariate hypergeometric distribution. The leaves are the output shards.
 4. Draws. A shard's quota of a source is the next run of that source's permuted blocks, so shards are disjoint
-   within a pass; rows are shuffled within their shard by a hash of document and pass.
+   within a pass; how often a document is taken is how often the shards draw its block, and rows are shuffled within
+   their shard by a hash of document and pass.
 
 The tree works on at most ``blocks * max_repeats`` rows for each source, whatever the number of documents, and
 every random key is a hash of names and the seed, so reruns agree.
@@ -24,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidencespark.llm.common import WORD, small_side, stored
+from evidencespark.llm.common import WORD, free_name, small_side, stored
 
 #: Most rows of a plan table that is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 50_000
-#: So many blocks, then cells, after the last whole one are looked into for the rest of a quota.
+#: So many blocks, then cells, that are not drawn whole are looked into for the rest of a quota.
 EDGE = 32
+#: Rounds in which blocks, then cells, are filled in; each passes over what is larger than the rest that it begins with.
+ROUNDS = 3
 
 
 @dataclass(frozen=True)
@@ -114,18 +118,22 @@ def _order(what: str, seed: int, column: str) -> Column:
 
 
 def _fill(level: DataFrame, order: list) -> DataFrame:
-    """Fill each source's ``rest`` with its rows in the given order, as long as a whole row fits.
+    """Fill each source's ``rest`` with its rows: those get the state ``whole``.
 
-    Those rows get the state ``whole``; the next ``EDGE`` rows are ``part``, with what is left as their ``rest``.
+    A round goes through the rows that are no larger than what is left, in the given order, as long as they fit
+    together. The first ``EDGE`` rows that are in no round get the state ``part``, with what is left as their ``rest``.
     """
     own = W.partitionBy("source")
-    by = own.orderBy(*order)
-    level = level.withColumns({"rank": F.row_number().over(by), "upto": F.sum("size").over(by)})
-    fits = F.col("upto") <= F.col("rest")
-    level = level.withColumns({"fitting": F.count_if(fits).over(own), "filled": F.coalesce(F.max(F.when(fits, F.col("upto"))).over(own), F.lit(0))})
-    edge = (F.col("rank") <= F.col("fitting") + EDGE) & (F.col("rest") > F.col("filled"))
-    state = F.when(fits, "whole").when(edge, "part").otherwise("none")
-    return level.withColumns({"state": state, "rest": F.col("rest") - F.col("filled")}).drop("upto", "fitting", "filled")
+    level = level.withColumns({"rank": F.row_number().over(own.orderBy(*order)), "whole": F.lit(False)})
+    for _ in range(ROUNDS):
+        open_ = ~F.col("whole") & (F.col("size") <= F.col("rest"))
+        upto = F.sum(F.when(open_, F.col("size")).otherwise(0)).over(own.orderBy("rank"))
+        level = level.withColumn("fits", open_ & (upto <= F.col("rest")))
+        filled = F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(own)
+        level = level.withColumns({"whole": F.col("whole") | F.col("fits"), "rest": F.col("rest") - filled})
+    nth = F.count_if(~F.col("whole")).over(own.orderBy("rank"))
+    state = F.when(F.col("whole"), "whole").when((nth <= EDGE) & (F.col("rest") > 0), "part").otherwise("none")
+    return level.withColumn("state", state).drop("whole", "fits")
 
 
 def _split(ranked: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -138,10 +146,19 @@ def _split(ranked: DataFrame, shards: int, seed: int) -> DataFrame:
     while width > 1:
         each = quotas.select("source", "pass", "node", F.explode(F.sequence(F.lit(1), F.col("quota"))).alias("unit"))
         key = F.xxhash64(F.lit(seed), F.lit(width), "node", F.coalesce("source", F.lit("")), F.col("source").isNull(), "pass", "unit")
+        each = each.withColumn("key", key).withColumn("slot", F.shiftrightunsigned("key", 52))
+        # The lower half of a node's keys goes left: whole slots of keys by their counts, and of the slot in which the
+        # half ends the keys that come first. So no task orders a whole node.
+        slots = each.groupBy("node", "slot").agg(F.count(F.lit(1)).alias("n"))
         node = W.partitionBy("node")
-        each = each.withColumns({"at": F.row_number().over(node.orderBy(key, "source", "pass", "unit")), "all": F.count(F.lit(1)).over(node)})
-        side = F.when(F.col("at") * 2 <= F.col("all"), 0).otherwise(1)
-        quotas = each.groupBy("source", "pass", (F.col("node") * 2 + side).alias("node")).agg(F.count(F.lit(1)).cast("int").alias("quota"))
+        before = F.sum("n").over(node.orderBy("slot")) - F.col("n")
+        room = F.floor(F.sum("n").over(node) / 2).cast("int") - before
+        slots = slots.select(F.col("node").alias("_node"), F.col("slot").alias("_slot"), room.alias("room"))
+        each = each.join(slots, (F.col("node") == F.col("_node")) & (F.col("slot") == F.col("_slot")))
+        nth = F.row_number().over(W.partitionBy("node", "slot").orderBy("key", "source", "pass", "unit"))
+        side = F.when(nth <= F.col("room"), 0).otherwise(1)
+        each = each.withColumn("side", side)
+        quotas = each.groupBy("source", "pass", (F.col("node") * 2 + F.col("side")).alias("node")).agg(F.count(F.lit(1)).cast("int").alias("quota"))
         width //= 2
     upto = F.sum("quota").over(W.partitionBy("source", "pass").orderBy("node"))
     runs = quotas.select(F.col("source").alias("_source"), F.col("pass").alias("_pass"), F.col("node").alias("shard"), (upto - F.col("quota")).alias("after"), upto.alias("upto"))
@@ -160,46 +177,55 @@ def word_count(text: Column) -> Column:
 
 
 def copies_of(docs: DataFrame, plan: MixPlan, blocks: int = 1024) -> DataFrame:
-    """``docs`` with ``_copies`` (how often the mix takes the row), ``_block`` and its source's ``_size``, ``_target``.
+    """``(row, source, block, source_size, target, passes)``: each row of ``docs`` as a struct, and the passes that take it.
 
-    The plan's tables are joined by source and block, by cell, and by document; each is broadcast only if it has
-    at most ``BROADCAST_ROWS`` rows, and else joined on keys that spread a hot source over its blocks.
+    Passes are those in which some shard draws the row's block; from a block that is drawn in part, the last of them
+    takes only its whole cells and the one document at the edge. The plan's tables are joined by source and block,
+    by cell, and by document; each is broadcast only if it has at most ``BROADCAST_ROWS`` rows, and else joined on
+    keys that spread a hot source over its blocks.
     """
-    d = docs.withColumns({"_source": F.col("source").cast("string"), "_block": _level(F.col("doc_id"), 0, blocks), "_cell": _level(F.col("doc_id"), 1, blocks)})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d = docs.select(row, F.col("doc_id"), F.col("source").cast("string").alias("source"), _level(F.col("doc_id"), 0, blocks).alias("block"), _level(F.col("doc_id"), 1, blocks).alias("cell"))
 
     def renamed(df, **names):
         return df.select(*[F.col(a).alias(b) for a, b in names.items()])
 
-    b = plan.blocks.join(renamed(plan.sources, source="s", source_size="_size", target="_target"), F.col("source").eqNullSafe(F.col("s")))
-    b = renamed(b, source="b_source", block="b_block", passes="b_passes", state="b_state", _size="_size", _target="_target")
-    d = d.join(small_side(b, BROADCAST_ROWS), F.col("_source").eqNullSafe(F.col("b_source")) & (F.col("_block") == F.col("b_block")), "left")
+    drawn = plan.draws.groupBy("source", "block").agg(F.sort_array(F.collect_list("pass")).alias("passes"))
+    drawn = renamed(drawn, source="d_source", block="d_block", passes="d_passes")
+    b = plan.blocks.join(renamed(plan.sources, source="s", source_size="source_size", target="target"), F.col("source").eqNullSafe(F.col("s")))
+    b = b.join(drawn, F.col("source").eqNullSafe(F.col("d_source")) & (F.col("block") == F.col("d_block")), "left")
+    b = renamed(b, source="b_source", block="b_block", d_passes="b_passes", state="b_state", source_size="source_size", target="target")
+    d = d.join(small_side(b, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")), "left")
     c = renamed(plan.cells, source="c_source", block="c_block", cell="c_cell", state="c_state")
-    d = d.join(small_side(c, BROADCAST_ROWS), F.col("_source").eqNullSafe(F.col("c_source")) & (F.col("_block") == F.col("c_block")) & (F.col("_cell") == F.col("c_cell")), "left")
+    d = d.join(small_side(c, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("block") == F.col("c_block")) & (F.col("cell") == F.col("c_cell")), "left")
     e = renamed(plan.edge, source="e_source", doc_id="e_doc_id").withColumn("e_hit", F.lit(True))
-    same = F.col("_source").eqNullSafe(F.col("e_source")) & F.col("doc_id").eqNullSafe(F.col("e_doc_id"))
+    same = F.col("source").eqNullSafe(F.col("e_source")) & F.col("doc_id").eqNullSafe(F.col("e_doc_id"))
     d = d.join(small_side(e, BROADCAST_ROWS), same, "left")
-    more = (F.col("b_state") == "whole") | ((F.col("b_state") == "part") & ((F.col("c_state") == "whole") | ((F.col("c_state") == "part") & F.col("e_hit"))))
-    d = d.withColumn("_copies", F.col("b_passes") + F.when(more, 1).otherwise(0))
-    return d.select(*[F.col(x) for x in docs.columns], "_source", "_block", "_size", "_target", "_copies")
+    inside = (F.col("c_state") == "whole") | ((F.col("c_state") == "part") & F.col("e_hit"))
+    passes = F.coalesce("b_passes", F.array().cast("array<int>"))
+    left_out = (F.col("b_state") == "part") & ~F.coalesce(inside, F.lit(False))
+    passes = F.when(left_out, F.slice(passes, F.lit(1), F.greatest(F.size(passes) - 1, F.lit(0)))).otherwise(passes)
+    return d.select("row", "source", "block", "source_size", "target", passes.alias("passes"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_ratio: float = 1.5, max_repeats: int = 2, blocks: int = 1024, shards: int = 8, seed: int = 0) -> DataFrame:
     """The mix: the rows of ``docs``, each as often as it is drawn, with ``_pass``, ``_shard`` and ``_key``.
 
-    ``docs`` needs ``doc_id``, ``text`` and ``source``; other columns stay. A document's size is its number of
-    words (null text: 0). Sources weigh ``weights`` by turns in code-point order, null as the last source. Rows
-    are in shuffled order within a shard: sorted by ``_key`` in partitions that hold parts of one shard each.
-    Documents without words are drawn with their block. Rows that repeat an id fall into one place and are drawn
-    alike. An empty table gives an empty mix.
+    ``docs`` needs ``doc_id``, ``text`` and ``source``; other columns stay, and of clashing names the new ones get
+    further underscores. A document's size is its number of words (null text: 0). Sources weigh ``weights`` by turns
+    in code-point order, null as the last source. Rows are in shuffled order within a shard: sorted by ``_key`` in
+    partitions that hold parts of one shard each. Documents without words are drawn with their block. Rows that
+    repeat an id fall into one place and are drawn alike. An empty table gives an empty mix.
     """
+    names = [free_name(docs, c) for c in ("_pass", "_shard", "_key")]
     plan = plan_mix(docs, weights, total_ratio, max_repeats, blocks, shards, seed)
-    drawn = copies_of(docs, plan, blocks).where("_copies > 0")
-    drawn = drawn.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    s = plan.draws.select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), F.col("pass").alias("s_pass"), F.col("shard").alias("_shard"))
-    drawn = drawn.join(small_side(s, BROADCAST_ROWS), F.col("_source").eqNullSafe(F.col("s_source")) & (F.col("_block") == F.col("s_block")) & (F.col("_pass") == F.col("s_pass")))
-    drawn = drawn.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "_pass"))
-    drawn = drawn.select(*[F.col(x) for x in docs.columns], "_pass", "_shard", "_key")
-    return drawn.repartition("_shard", F.pmod(F.col("_key"), F.lit(64))).sortWithinPartitions("_shard", "_key")
+    drawn = copies_of(docs, plan, blocks).where(F.size("passes") > 0)
+    drawn = drawn.select("row", "source", "block", F.explode("passes").alias("pass"))
+    s = plan.draws.select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), F.col("pass").alias("s_pass"), "shard")
+    drawn = drawn.join(small_side(s, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") == F.col("s_block")) & (F.col("pass") == F.col("s_pass")))
+    drawn = drawn.withColumn("key", F.xxhash64(F.lit(seed), "row.doc_id", "pass"))
+    drawn = drawn.repartition("shard", F.pmod(F.col("key"), F.lit(64))).sortWithinPartitions("shard", "key")
+    return drawn.select("row.*", *[F.col(a).alias(b) for a, b in zip(("pass", "shard", "key"), names, strict=True)])
 
 
 def mix_summary(docs: DataFrame, **settings) -> DataFrame:
@@ -207,9 +233,9 @@ def mix_summary(docs: DataFrame, **settings) -> DataFrame:
     plan = plan_mix(docs, **settings)
     sized = copies_of(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), plan, settings.get("blocks", 1024))
     return sized.select(
-        "doc_id",
-        "size",
-        F.col("_size").cast("long").alias("source_size"),
-        F.col("_target").cast("double").alias("target"),
-        (F.col("_copies") * F.col("size")).cast("long").alias("taken"),
+        "row.doc_id",
+        "row.size",
+        F.col("source_size").cast("long").alias("source_size"),
+        F.col("target").cast("double").alias("target"),
+        (F.size("passes") * F.col("row.size")).cast("long").alias("taken"),
     )
