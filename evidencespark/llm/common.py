@@ -70,6 +70,41 @@ def small_batches(spark: SparkSession, rows: int = 64):
         spark.conf.set(key, before)
 
 
+def key_runs(batches, keys: int):
+    """Tables of the rows whose first ``keys`` columns are equal; the rows come sorted by these."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for i in range(keys):
+            column = pc.fill_null(batch.column(i), -1) if pa.types.is_integer(batch.column(i).type) else pc.fill_null(batch.column(i).cast(pa.string()), "")
+            new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(new).tolist()
+        first = [batch.column(i)[0].as_py() for i in range(keys)]
+        if held and first != last:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        for a, b in zip([0, *begins], [*begins, batch.num_rows], strict=True):
+            if a and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = [batch.column(i)[batch.num_rows - 1].as_py() for i in range(keys)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def list_parts(column) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column one after another, and the n + 1 offsets of the lists in them."""
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

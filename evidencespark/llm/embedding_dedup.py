@@ -11,7 +11,9 @@
    cosine in double precision. That filter loses no pair either.
 5. Tasks return link counts, and a spanning forest of the links; components of the forest are the classes.
 
-Lists are worked on in blocks of bounded size, each pair of blocks (vectors and queries) in its own task.
+Lists are worked on in blocks of bounded size, each pair of blocks (vectors and queries) in its own task. Vectors of
+different lengths never meet, as if the length were part of the label; the quantisers see each unit vector by its
+first ``dims`` components (zeros beyond its end), which brings vectors no farther apart, so the bounds hold.
 """
 
 from __future__ import annotations
@@ -23,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidencespark.llm.common import stored
+from evidencespark.llm.common import key_runs, list_parts, stored
 from evidencespark.llm.components import connected_components
-from evidencespark.llm.ngram_join import _groups
 
-#: Most vectors the quantisers are fitted on.
-SAMPLE = 16_384
+#: Most vectors the quantisers are fitted on, and most inverted lists; there are half as many as the root of the vectors.
+SAMPLE, LISTS = 32_768, 2048
 SUBSPACES, CODES = 8, 64
 #: Most vectors, and most queries, in one task's block of a list.
 BLOCK = 1024
@@ -41,8 +42,8 @@ class Quantiser:
     cuts: np.ndarray  # where the subspaces begin and end
 
     def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest list of each unit vector, and its squared distances to all centroids."""
-        far = 1 + (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
+        """The nearest list of each vector, and its squared distances to all centroids."""
+        far = (x**2).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
         return far.argmin(1), far
 
     def codes(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +58,8 @@ class Quantiser:
 
     def probes(self, far: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
         """Which lists can hold a vector within ``radius``: by the distance to the border between two lists."""
-        gap = np.sqrt(np.maximum(((self.centroids[own][:, None] - self.centroids[None]) ** 2).sum(2), 1e-18))
+        length, mine = (self.centroids**2).sum(1), self.centroids[own]
+        gap = np.sqrt(np.maximum(length[own][:, None] + length - 2 * mine @ self.centroids.T, 1e-18))
         border = (far - np.take_along_axis(far, own[:, None], 1)) / (2 * gap)
         border[np.arange(len(own)), own] = 0
         return border <= radius + 1e-9
@@ -90,18 +92,29 @@ def fit_quantiser(sample: np.ndarray, n_lists: int) -> Quantiser:
     return Quantiser(centroids, books, cuts)
 
 
-def _vectors(column: pa.Array, dims: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+def _units(column, dims: int) -> np.ndarray:
+    """The first ``dims`` components of each vector, scaled to length 1, with zeros beyond its end."""
+    values, offsets = list_parts(column)
+    size = np.diff(offsets)
+    length = np.sqrt(np.add.reduceat(values * values, offsets[:-1])) if len(size) else np.zeros(0)
+    if (size == dims).all():
+        return values.reshape(-1, dims) / length[:, None]
+    out = np.zeros((len(size), dims))
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(values)) - np.repeat(offsets[:-1], size)
+    inside = place < dims
+    out[row[inside], place[inside]] = values[inside]
+    return out / length[:, None]
 
 
 def block_links(quantiser: Quantiser, at: int, base: tuple, queries: tuple, threshold: float) -> tuple[np.ndarray, list]:
     """Weighted link counts of a block's queries, and links that connect all that its links connect.
 
-    ``base`` is ``(nodes, vectors, codes, missed, times)``, ``queries`` is ``(nodes, vectors)``; ``at`` the list.
+    ``base`` is ``(nodes, vectors, codes, missed, times)``, ``queries`` is ``(nodes, vectors, unit vectors as the
+    quantiser sees them)``; ``at`` the list.
     """
     nodes, x, codes, missed, times = base
-    q_nodes, q = queries
-    unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+    q_nodes, q, unit = queries
     residual = unit - quantiser.centroids[at]
     far = np.zeros((len(q), len(x)))
     for i, book in enumerate(quantiser.codebooks):
@@ -137,34 +150,30 @@ def block_links(quantiser: Quantiser, at: int, base: tuple, queries: tuple, thre
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``embeddings(vec_id, embedding, label)``.
 
-    Vectors of one label link if their cosine is at least ``threshold``. Vectors that are null, zero or hold null
-    or non-finite components link with nothing, nor do those without label, or of another length than most.
-    ``n_links`` counts the other rows linked directly, equal vectors included; ``component_id`` is the smallest
-    ``vec_id`` that links lead to; ``kept`` marks the row that has it. Null ids take part; repeated rows are rows
-    of their own. Other columns are ignored; an empty table gives an empty result.
+    Vectors of one label and one length link if their cosine is at least ``threshold``. Vectors that are null, zero or
+    hold null or non-finite components link with nothing, nor do those without label. ``n_links`` counts the other
+    rows linked directly, equal vectors included; ``component_id`` is the smallest ``vec_id`` that links lead to;
+    ``kept`` marks the row that has it. Null ids take part; repeated rows are rows of their own. Other columns are
+    ignored; an empty table gives an empty result.
     """
     spark = embeddings.sparkSession
-    e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     e = e.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    lengths = e.where("ok").groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    dims = lengths["dims"] if lengths else 0
-    # Zeros are one zero: equal vectors have equal digests.
-    v = F.transform("v", lambda x: x + F.lit(0.0))
-    e = e.withColumn("ok", F.col("ok") & (F.size("v") == dims)).withColumn("v", v)
+    # Zeros are one zero: equal vectors have equal digests. The length goes with the label.
+    e = e.withColumns({"v": F.transform("v", lambda x: x + F.lit(0.0)), "label": F.concat_ws(":", F.size("v").cast("string"), "label")})
     keys = ["h1", "h2", "label"]
     e = e.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
     nodes = e.where("ok").groupBy(*keys).agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("times"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    sample = nodes.orderBy(F.xxhash64(*keys), *keys[:2]).limit(SAMPLE).select("v").toArrow()
     count = nodes.count()
     if count:
-        x = _vectors(sample.column("v").combine_chunks(), dims)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        n_lists = int(min(1024, max(8, np.sqrt(count) / 2)))
-        shared = spark.sparkContext.broadcast(fit_quantiser(x, n_lists))
+        dims = nodes.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()["dims"]
+        sample = nodes.orderBy(F.xxhash64(*keys), *keys[:2]).limit(SAMPLE).select("v").toArrow()
+        n_lists = int(min(LISTS, max(8, np.sqrt(count) / 2)))
+        shared = spark.sparkContext.broadcast(fit_quantiser(_units(sample.column("v"), dims)[: 16 * max(n_lists, 512)], n_lists))
         links = stored(_links(nodes, shared, dims, threshold), "vector-links")
     else:
         links = spark.createDataFrame([], "node long, n long, other long")
@@ -191,12 +200,11 @@ def _links(nodes: DataFrame, shared, dims: int, threshold: float) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, 2048):
                 part = batch.slice(begin, 2048)
-                x = _vectors(part.column("v"), dims)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                unit = _units(part.column("v"), dims)
                 own, far = quantiser.lists(unit)
                 codes, missed = quantiser.codes(unit - quantiser.centroids[own])
                 row, probed = np.nonzero(quantiser.probes(far, own, radius))
-                ends = np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32)
+                ends = np.searchsorted(row, np.arange(len(unit) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node"), part.column("label"), part.column("v"), part.column("times"), pa.array(own, pa.int32())]
                     + [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed)]
@@ -205,7 +213,7 @@ def _links(nodes: DataFrame, shared, dims: int, threshold: float) -> DataFrame:
                 )
 
     schema = "node long, label string, v array<double>, times long, own int, codes binary, missed double, probes array<int>"
-    indexed = stored(nodes.select("node", F.col("label").cast("string").alias("label"), "v", "times").mapInArrow(index, schema), "vector-index")
+    indexed = stored(nodes.select("node", "label", "v", "times").mapInArrow(index, schema), "vector-index")
     queries = indexed.select("node", "label", "v", F.explode("probes").alias("own"))
     base_size = indexed.groupBy("label", "own").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("base_blocks"))
     query_size = queries.groupBy("label", "own").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("query_blocks"))
@@ -222,18 +230,22 @@ def _links(nodes: DataFrame, shared, dims: int, threshold: float) -> DataFrame:
 
     def join(batches):
         quantiser = shared.value
-        for run in _groups(batches, 4):
-            own = [r for r in run if r[4] == 0]
-            asking = [r for r in run if r[4] == 1]
-            if not own or not asking:
+        for run in key_runs(batches, 4):
+            side = run.column("side").to_numpy()
+            own, asking = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(own) or not len(asking):
                 continue
-            codes = np.frombuffer(b"".join(r[8] for r in own), np.uint8).reshape(len(own), -1)
-            base = (np.array([r[5] for r in own]), np.array([r[6] for r in own]), codes, np.array([r[9] for r in own]), np.array([r[7] for r in own]))
-            counts, links = block_links(quantiser, run[0][1], base, (np.array([r[5] for r in asking]), np.array([r[6] for r in asking])), threshold)
+            node, unit = run.column("node").to_numpy(), _units(run.column("v"), dims)
+            values, _ = list_parts(run.column("v"))
+            x = values.reshape(len(node), -1)  # of one length, as of one label
+            held = run.take(own)
+            codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(len(own), -1)
+            base = (node[own], x[own], codes, held.column("missed").to_numpy(), held.column("times").to_numpy())
+            counts, links = block_links(quantiser, run.column("own")[0].as_py(), base, (node[asking], x[asking], unit[asking]), threshold)
             some = np.flatnonzero(counts)
-            a = [asking[i][5] for i in some] + [x for x, _ in links]
+            a = node[asking[some]].tolist() + [u for u, _ in links]
             n = counts[some].tolist() + [0] * len(links)
-            b = [None] * len(some) + [x for _, x in links]
+            b = [None] * len(some) + [v for _, v in links]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.int64())], names=["node", "n", "other"])
 
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "node long, n long, other long")

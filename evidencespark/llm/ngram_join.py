@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidencespark.llm.common import small_batches, small_side, stored, text_bytes
+from evidencespark.llm.common import free_name, key_runs, list_parts, small_batches, small_side, stored, text_bytes
 from evidencespark.llm.components import connected_components
 
 #: Most frequent n-grams with a place of their own at the end of the order.
@@ -48,7 +48,7 @@ HOT = 4096
 HOT_PARTS = 64
 #: Fewest bits of a bitmap.
 LEAST_BITS = 256
-RUN_BYTES = 1 << 22
+RUN_BYTES = 1 << 20
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -186,12 +186,12 @@ def size_class(n: Column, percent: int) -> Column:
 
 
 def sets_table(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
-    """``(doc_id, node, n, prefix, bits)`` for each row of ``docs``."""
+    """``(doc_id, digest, node, n, prefix, bits)`` for each row of ``docs``; the digest is that of its text."""
 
     def run(batches):
         for batch in batches:
-            ids, done = batch.column(0), 0
-            for data, offsets in _runs(batch.column(1)):
+            done = 0
+            for data, offsets in _runs(batch.column(2)):
                 nodes, sizes, prefixes, bits = [], [], [], []
                 for grams in gram_sets(data, offsets, words):
                     n = len(grams)
@@ -203,17 +203,21 @@ def sets_table(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
                 flat = np.concatenate([*prefixes, np.zeros(0, np.int64)])
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(done, len(sizes)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), prefix, pa.array(bits, pa.binary())],
-                    names=["doc_id", "node", "n", "prefix", "bits"],
+                    [*(batch.column(i).slice(done, len(sizes)) for i in range(2)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), prefix, pa.array(bits, pa.binary())],
+                    names=["doc_id", "digest", "node", "n", "prefix", "bits"],
                 )
                 done += len(sizes)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, node long, n long, prefix array<long>, bits binary"
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, digest binary, node long, n long, prefix array<long>, bits binary")
+
+
+def text_digest(text: Column) -> Column:
+    """128 bits that tell apart the texts of rows that share an id; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
-def _tied(gram, part, n, node, pos, percent: int, hot_from: int, chained: bool) -> tuple[np.ndarray, np.ndarray]:
+def _tied(gram, part, n, node, pos, percent: int, hot_from: int, pairwise: int, chained: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ties between the holders of whole groups of rows, sorted by n-gram, part, set size and node."""
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])
@@ -222,11 +226,11 @@ def _tied(gram, part, n, node, pos, percent: int, hot_from: int, chained: bool)
     gram, n, node, pos, new = gram[fresh], n[fresh], node[fresh], pos[fresh], new[fresh]
     group = np.cumsum(new) - 1
     sizes = np.bincount(group)[group]
-    chain = (gram >= hot_from) | (sizes > PAIRWISE)
+    chain = (gram >= hot_from) | (sizes > pairwise)
     if chained and len(chain):
         chain |= group == 0
     a, b = [], []
-    for d in range(1, PAIRWISE):
+    for d in range(1, max(pairwise, 2)):
         i = np.flatnonzero(group[d:] == group[:-d]) if d < len(group) else np.zeros(0, np.int64)
         if not len(i):
             break
@@ -263,7 +267,7 @@ def candidate_components(sets: DataFrame, order, percent: int) -> DataFrame:
     dealt out by class of sizes and by node; sets of one class are never too far apart, so each class of an n-gram
     is tied whole through the first nodes of its parts, and to the class above it where the chain would go on.
     """
-    hot_from = order.value.hot_from
+    hot_from, pairwise = order.value.hot_from, PAIRWISE
     rows = sets.where("n > 0").select(F.posexplode("prefix").alias("pos", "gram"), "n", "node")
     spread = size_class(F.col("n"), percent) * HOT_PARTS + F.pmod(F.xxhash64("node"), F.lit(HOT_PARTS)).cast("int")
     rows = rows.withColumn("part", F.when(F.col("gram") >= hot_from, spread).otherwise(0).cast("int"))
@@ -279,16 +283,16 @@ def candidate_components(sets: DataFrame, order, percent: int) -> DataFrame:
             last = len(whole[0]) - 1
             same = (whole[0] == whole[0][last]) & (whole[1] == whole[1][last])
             begin = int(np.argmax(same))  # the last group may go on in the next batch
-            a, b = _tied(*[x[:begin] for x in whole], percent, hot_from, chained)
+            a, b = _tied(*[x[:begin] for x in whole], percent, hot_from, pairwise, chained)
             chained = chained and begin == 0
             carry = [x[begin:] for x in whole]
-            if len(carry[0]) > 16 * PAIRWISE:  # a large group: a chain in any case, so its last row is enough
-                c, d = _tied(*carry, percent, hot_from, True)
+            if len(carry[0]) > 16 * pairwise:  # a large group: a chain in any case, so its last row is enough
+                c, d = _tied(*carry, percent, hot_from, pairwise, True)
                 a, b = np.concatenate((a, c)), np.concatenate((b, d))
                 carry, chained = [x[-1:] for x in carry], True
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         if carry:
-            a, b = _tied(*carry, percent, hot_from, chained)
+            a, b = _tied(*carry, percent, hot_from, pairwise, chained)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     ties = rows.select(*names).repartition("gram", "part").sortWithinPartitions(*names[:4]).mapInArrow(tie, "a long, b long")
@@ -458,20 +462,6 @@ def near_forest(nodes: list[int], bitmaps: list[np.ndarray], sizes: list[int], s
     return out
 
 
-def _groups(batches, keys: int) -> Iterator[list[tuple]]:
-    """Runs of rows with equal first ``keys`` columns; the rows come sorted by these."""
-    run: list[tuple] = []
-    for batch in batches:
-        columns = [[x.values.to_numpy() for x in c] if pa.types.is_list(c.type) and pa.types.is_int64(c.type.value_type) else c.to_pylist() for c in batch.columns]
-        for row in zip(*columns, strict=True):
-            if run and run[0][:keys] != row[:keys]:
-                yield run
-                run = []
-            run.append(row)
-    if run:
-        yield run
-
-
 def with_blocks(members: DataFrame, percent: int) -> DataFrame:
     """``members`` (component, node, n, ...) with their class of sizes ``cls`` and ``blocks``: how many blocks the class
     below, the own one and the one above have in the component. Sets that link are of the same or of neighbouring classes.
@@ -513,12 +503,17 @@ def block_pairs(members: DataFrame, content: str, forest, percent: int) -> DataF
     placed = placed.select("component", "t.cls", "t.up", "t.left", "t.right", "t.side", "node", "n", content)
 
     def join(batches):
-        for run in _groups(batches, 5):
-            unique = {row[6]: row for row in run}.values()
-            nodes = [r[6] for r in unique]
-            up, left, right = run[0][2:5]
+        for run in key_runs(batches, 5):
+            nodes, first = np.unique(run.column("node").to_numpy(), return_index=True)
+            up, left, right = (run.column(i)[0].as_py() for i in (2, 3, 4))
             within = right == 0 if up else left == right
-            found = forest(nodes, [r[8] for r in unique], [r[7] for r in unique], [r[5] for r in unique], percent, within)
+            if pa.types.is_list(run.schema.field(8).type):
+                values, ends = list_parts(run.column(8))
+                held = [values[ends[i] : ends[i + 1]] for i in first.tolist()]
+            else:
+                held = [np.frombuffer(run.column(8)[i].as_buffer(), np.uint64) for i in first.tolist()]
+            sizes, sides = (run.column(c).to_numpy()[first].tolist() for c in ("n", "side"))
+            found = forest(nodes.tolist(), held, sizes, sides, percent, within)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -532,10 +527,7 @@ def similarity_links(docs: DataFrame, sets: DataFrame, order, words: int, percen
     reps = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     members = stored(tied.join(reps, "node"), "members")
 
-    def near(nodes, bitmaps, *others):
-        return near_forest(nodes, [np.frombuffer(x, np.uint64) for x in bitmaps], *others)
-
-    closer = connected_components(block_pairs(with_blocks(members, percent), "bits", near, percent))
+    closer = connected_components(block_pairs(with_blocks(members, percent), "bits", near_forest, percent))
     members = stored(members.select("node", "doc_id", "n").join(closer, "node"), "near-members")
     members = with_blocks(members, percent).select(F.col("doc_id").alias("rep"), F.col("node").alias("rep_node"), "component", "cls", "blocks")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -569,6 +561,19 @@ def similarity_links(docs: DataFrame, sets: DataFrame, order, words: int, percen
     return block_pairs(fetched, "grams", link_forest, percent)
 
 
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``(doc_id, digest, n, component)`` of each row: rows of one component, other than empty sets, are one class."""
+    spark = docs.sparkSession
+    order = spark.sparkContext.broadcast(GramOrder(*frequent_grams(docs, words)))
+    sets = stored(sets_table(docs, order, words, percent), "gram-sets")
+    links = similarity_links(docs, sets, order, words, percent)
+    with small_batches(spark):  # its rows hold whole sets
+        links = stored(links, "links")
+    found = connected_components(links)
+    each = sets.select("doc_id", "digest", "node", "n").join(found, "node", "left")
+    return stored(each.select("doc_id", "digest", "n", F.coalesce("component", "node").alias("component")), "labelled")
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, a row for each row of ``docs(doc_id, text)``.
 
@@ -578,17 +583,36 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     and rows that share an id included; null ids take part, and are the ``component_id`` only of components
     without any other id. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(GramOrder(*frequent_grams(docs, words)))
-    sets = stored(sets_table(docs, order, words, percent), "gram-sets")
-    links = similarity_links(docs, sets, order, words, percent)
-    with small_batches(spark):  # its rows hold whole sets
-        links = stored(links, "links")
-    found = connected_components(links)
-    each = sets.select("doc_id", "node", "n").join(found, "node", "left")
-    each = stored(each.select("doc_id", "n", F.coalesce("component", "node").alias("component")), "labelled")
+    each = _classes(docs, words, percent)
     least = each.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
     least = stored(least.where("rows > 1").select(F.col("component").alias("_component"), "least"), "component-ids")
     joined = each.join(least, (F.col("component") == F.col("_component")) & (F.col("n") > 0), "left")
     component_id = F.when(F.col("_component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each class of :func:`jaccard_components`: that of the smallest id, null ids last.
+
+    Decided by row: of rows that share an id the one with the smaller digest stays, of repeated rows one. Rows
+    without words (null and empty texts) link with nothing and stay. All columns stay, whatever their names; an
+    empty table stays empty.
+    """
+    own_id, own_digest = free_name(docs, "row_id"), free_name(docs, "row_digest")
+    each = _classes(docs, words, percent).where("n > 0").select("doc_id", "digest", "component")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    kept = each.groupBy("component").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    kept = stored(kept.select("component", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest")), "kept-rows")
+    each = each.join(kept, "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest"))
+    marked = each.select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest), stays.alias("stays"))
+    marked = stored(marked.groupBy(own_id, own_digest).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows")), "marked-rows")
+    dropped, repeated = marked.where("NOT stays"), marked.where("stays AND rows > 1")
+    keyed = docs.withColumns({f"{own_id}_": F.col("doc_id").cast("long"), f"{own_digest}_": text_digest(F.col("text"))})
+    same = F.col(f"{own_id}_").eqNullSafe(F.col(own_id)) & (F.col(f"{own_digest}_") == F.col(own_digest))
+    rest = keyed.join(small_side(dropped.select(own_id, own_digest), 500_000), same, "left_anti")
+    if not repeated.isEmpty():
+        repeated = small_side(repeated.select(own_id, own_digest), 500_000)
+        once = rest.join(repeated, same, "left_semi").dropDuplicates([f"{own_id}_", f"{own_digest}_"])
+        rest = rest.join(repeated, same, "left_anti").unionByName(once)
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
