@@ -38,6 +38,8 @@ RUN_BYTES = 1 << 21
 #: Most rows of a table of places that is broadcast to the texts; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 600_000
 
+#: Bytes that continue a character.
+_LATER_BYTES = bytes(range(0x80, 0xC0))
 _BASE = np.uint64(0xB2E1F4C3A5978D6B)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -294,11 +296,11 @@ def merged(spans: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
-    """``(doc_id, n_bytes, spans, kept)`` for each row of ``docs(doc_id, text)``.
+    """``(doc_id, n_bytes, spans, kept, kept_chars)`` for each row of ``docs(doc_id, text)``.
 
     ``spans`` are the maximal runs ``[start, end)`` of bytes that some ``window``-byte string covers which also
     starts anywhere else, in the same or another text; ``kept`` are the other bytes. Texts are UTF-8 bytes, null is
-    the empty text, texts shorter than the window keep all. Repeated rows are texts of their own: each makes the
+    the empty text, texts shorter than the window keep all; ``kept_chars`` counts the characters that begin in ``kept``. Repeated rows are texts of their own: each makes the
     other repeated. Null ids and other columns do not matter; an empty table gives an empty result.
     """
     found = repeated_windows(docs, window)
@@ -309,7 +311,7 @@ def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            kept = []
+            kept, chars = [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = text.encode()
                 if spans:
@@ -317,11 +319,19 @@ def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
                     begins = [*(a for a, _ in spans), len(raw)]
                     raw = b"".join(raw[a:b] for a, b in zip(ends, begins, strict=True))
                 kept.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), batch.column("spans"), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                chars.append(len(raw) if raw.isascii() else len(raw.translate(None, _LATER_BYTES)))
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), batch.column("spans"), pa.array(kept, pa.binary()), pa.array(chars, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept", "kept_chars"])
 
     spans = F.coalesce("spans", F.array().cast("array<array<bigint>>"))
     joined = joined.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), spans.alias("spans"), "text")
     schema = StructType(
-        [joined.schema["doc_id"], StructField("n_bytes", LongType()), StructField("spans", ArrayType(ArrayType(LongType()))), StructField("kept", BinaryType())]
+        [
+            joined.schema["doc_id"],
+            StructField("n_bytes", LongType()),
+            StructField("spans", ArrayType(ArrayType(LongType()))),
+            StructField("kept", BinaryType()),
+            StructField("kept_chars", LongType()),
+        ]
     )
     return joined.mapInArrow(cut, schema)
