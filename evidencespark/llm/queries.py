@@ -18,10 +18,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode_texts(docs, bpe.build_lexicon(docs, bpe.default_vocabulary()), decode=True)
+    coded = bpe.encode_texts(docs, bpe.build_lexicon(docs, bpe.default_vocabulary()), outputs=("ids", "decoded", "n_tokens"), keep_text=False)
     return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
+        "n_tokens",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
@@ -46,6 +46,20 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_summary(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def _rounds(name: str) -> str:
+    """The rounds in which the rows of ``name``1 are filled in, as common table expressions; the last is ``name``_filled."""
+    steps, before = [], f"(SELECT *, FALSE AS whole FROM {name}1)"
+    for k in range(mixing.ROUNDS):
+        steps.append(
+            f"{name}_u{k} AS (SELECT *, NOT whole AND size <= rest AND "
+            f"sum(CASE WHEN NOT whole AND size <= rest THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank) <= rest AS fits FROM {before}),\n"
+            f"{name}_r{k} AS (SELECT * EXCLUDE (whole, fits, rest), whole OR fits AS whole, "
+            f"rest - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest FROM {name}_u{k})"
+        )
+        before = f"{name}_r{k}"
+    return ",\n".join([*steps, f"{name}_filled AS (SELECT *, count(*) FILTER (NOT whole) OVER (PARTITION BY source ORDER BY rank) AS nth FROM {before})"])
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -65,23 +79,16 @@ s3 AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size
 s AS (SELECT *, CASE WHEN passes < 2 THEN target - passes * source_size ELSE -1.0 END AS rest FROM s3),
 b0 AS (SELECT source, block, sum(size) AS size FROM d GROUP BY source, block),
 b1 AS (
-  SELECT b0.source, b0.block, s.rest, row_number() OVER w AS rank, sum(b0.size) OVER w AS upto
-  FROM b0 JOIN s ON b0.source IS NOT DISTINCT FROM s.source
-  WINDOW w AS (PARTITION BY b0.source ORDER BY md5('block:0:' || CAST(b0.block AS VARCHAR)), b0.block)),
-b2 AS (
-  SELECT *, count(*) FILTER (upto <= rest) OVER (PARTITION BY source) AS fitting,
-    coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS filled FROM b1),
-b AS (SELECT source, block, rank, upto <= rest AS whole, upto > rest AND rank <= fitting + 32 AND rest > filled AS part, rest - filled AS rest FROM b2),
+  SELECT b0.source, b0.block, b0.size, s.rest, row_number() OVER (PARTITION BY b0.source ORDER BY md5('block:0:' || CAST(b0.block AS VARCHAR)), b0.block) AS rank
+  FROM b0 JOIN s ON b0.source IS NOT DISTINCT FROM s.source),
+{blocks},
+b AS (SELECT source, block, rank, whole, NOT whole AND nth <= 32 AND rest > 0 AS part, rest FROM b_filled),
 c0 AS (
   SELECT d.source, d.block, d.cell, sum(d.size) AS size, max(b.rank) AS above, max(b.rest) AS rest
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source AND d.block = b.block AND b.part GROUP BY d.source, d.block, d.cell),
-c1 AS (
-  SELECT *, row_number() OVER w AS rank, sum(size) OVER w AS upto
-  FROM c0 WINDOW w AS (PARTITION BY source ORDER BY above, md5('cell:0:' || CAST(cell AS VARCHAR)), cell)),
-c2 AS (
-  SELECT *, count(*) FILTER (upto <= rest) OVER (PARTITION BY source) AS fitting,
-    coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS filled FROM c1),
-c AS (SELECT source, block, cell, upto <= rest AS whole, upto > rest AND rank <= fitting + 32 AND rest > filled AS part, rest - filled AS rest FROM c2),
+c1 AS (SELECT source, block, cell, size, rest, row_number() OVER (PARTITION BY source ORDER BY above, md5('cell:0:' || CAST(cell AS VARCHAR)), cell) AS rank FROM c0),
+{cells},
+c AS (SELECT source, block, cell, whole, NOT whole AND nth <= 32 AND rest > 0 AS part, rest FROM c_filled),
 e0 AS (
   SELECT d.source, d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY abs(c.rest - d.size), md5('doc:0:' || CAST(d.doc_id AS VARCHAR)), d.doc_id) AS nth
   FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.block = c.block AND d.cell = c.cell AND c.part
@@ -93,10 +100,11 @@ FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 JOIN b ON d.source IS NOT DISTINCT FROM b.source AND d.block = b.block
 LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.block = c.block AND d.cell = c.cell
 LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.doc_id = e.doc_id
-"""
+""".replace("{blocks}", _rounds("b")).replace("{cells}", _rounds("c"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beyond the digests: whether anything is removed, and the length of what stays, in bytes and characters."""
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select(
         "doc_id",
@@ -104,6 +112,9 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("spans") > 0).alias("has_repeats"),
+        F.length("kept").cast("long").alias("n_kept"),
+        F.col("kept_chars").alias("n_kept_chars"),
     )
 
 
@@ -112,16 +123,20 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted, those whose id is divisible by 3 deleted, and those divisible by 3 inserted again with
-    the rest: what is left are the totals of the table."""
+    """All documents are inserted, those whose id is divisible by 3 deleted and inserted again (that batch twice), and
+    those divisible by 7 revised and revised back; batches are folded into one on the way. What is left are the totals
+    of the table."""
     docs = table(spark, sf_dir, "documents")
     counts = stored(token_rollup.token_counts(docs, bpe.build_lexicon(docs, bpe.default_vocabulary()), "byte_bpe_50k"), "token-counts")
     rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    third, seventh = counts.where("doc_id % 3 = 0"), counts.where("doc_id % 7 = 0")
+    changed = seventh.withColumn("tokens", F.col("tokens") * 2 + 1)
     rollup.commit("insert", token_rollup.signed(counts))
-    third = counts.where("doc_id % 3 = 0")
     rollup.commit("delete", token_rollup.signed(third, -1))
-    rollup.commit("insert-again", token_rollup.signed(third))
-    rollup.commit("insert-again", token_rollup.signed(third))
+    rollup.commit("revise", token_rollup.revised(seventh, changed))
+    rollup.compact("first-three")
+    for batch, deltas in (("insert-again", token_rollup.signed(third)), ("insert-again", token_rollup.signed(third)), ("revise-back", token_rollup.revised(changed, seventh))):
+        rollup.commit(batch, deltas)
     return rollup.totals()
 
 

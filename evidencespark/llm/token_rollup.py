@@ -22,8 +22,8 @@ SCHEMA = StructType([*(StructField(k, StringType()) for k in KEYS), StructField(
 
 def token_counts(docs: DataFrame, lexicon: bpe.Lexicon, version: str) -> DataFrame:
     """``(doc_id, source, lang, version, tokens)`` of the whole text of each row of ``docs``; null texts have none."""
-    coded = bpe.encode_texts(docs.select("doc_id", "source", "lang", "text"), lexicon)
-    return coded.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(version).alias("version"), F.size("ids").cast("long").alias("tokens"))
+    coded = bpe.encode_texts(docs.select("doc_id", "source", "lang", "text"), lexicon, outputs=("n_tokens",), keep_text=False)
+    return coded.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(version).alias("version"), F.col("n_tokens").alias("tokens"))
 
 
 def signed(counts: DataFrame, sign: Column | int = 1) -> DataFrame:
@@ -47,7 +47,12 @@ def totals(deltas: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Committed batches of deltas in one folder; the totals are their sums."""
+    """Committed batches of deltas in one folder; the totals are their sums.
+
+    A batch is a folder ``batch=NAME`` with its deltas below ``totals`` and, if it was made by :meth:`compact`, the
+    names that it holds below ``folded``. It appears by one rename, and a batch whose name another one has folded
+    does not count, so a driver lost at any point leaves totals that are right, at worst with folders to delete.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -56,48 +61,54 @@ class Rollup:
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(path)
 
-    def batches(self) -> list[str]:
+    def _present(self) -> list[str]:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
         return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
 
+    def _folded(self, names: list[str]) -> DataFrame:
+        """``name``: what the batches ``names`` have folded in."""
+        paths = [p for p in (f"{self.folder}/batch={n}/folded" for n in names) if self._fs.exists(self._path(p))]
+        return self.spark.read.schema("name string").parquet(*paths) if paths else self.spark.createDataFrame([], "name string")
+
+    def batches(self) -> list[str]:
+        """The names of the batches that count: those present which no other one has folded in."""
+        names = self._present()
+        gone = {r["name"] for r in self._folded(names).where(F.col("name").isin(names)).distinct().collect()} if names else set()
+        return [n for n in names if n not in gone]
+
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add a batch under its name; False if that name is committed already (nothing changes then)."""
         if not batch or "/" in batch:
             raise ValueError("a batch needs a name without slashes")
-        final = self._path(f"{self.folder}/batch={batch}")
-        if self._fs.exists(final) or batch in self._folded():
+        names = self._present()
+        if batch in names or not self._folded(names).where(F.col("name") == batch).isEmpty():
             return False
-        work = self._path(f"{self.folder}/_work-{batch}")
-        self._fs.delete(work, True)
-        totals(deltas).select(*SCHEMA.names).coalesce(1).write.mode("overwrite").parquet(work.toString())
-        return bool(self._fs.rename(work, final))
+        totals(deltas).select(*SCHEMA.names).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/_work-{batch}/totals")
+        self._publish(batch)
+        return True
 
-    def _folded(self) -> set[str]:
-        path = self._path(f"{self.folder}/folded")
-        if not self._fs.exists(path):
-            return set()
-        return {r["name"] for r in self.spark.read.schema("name string").parquet(path.toString()).collect()}
+    def _publish(self, batch: str) -> None:
+        if not self._fs.rename(self._path(f"{self.folder}/_work-{batch}"), self._path(f"{self.folder}/batch={batch}")):
+            raise OSError(f"batch {batch} could not be renamed; nothing is committed")
 
     def totals(self) -> DataFrame:
         """The current totals."""
         names = self.batches()
         if not names:
             return self.spark.createDataFrame([], SCHEMA)
-        return totals(self.spark.read.schema(SCHEMA).parquet(*[f"{self.folder}/batch={n}" for n in names]))
+        return totals(self.spark.read.schema(SCHEMA).parquet(*[f"{self.folder}/batch={n}/totals" for n in names]))
 
     def compact(self, into: str) -> None:
-        """Fold all batches into the one named ``into``; their names stay known, so none can be committed again.
+        """Fold all batches into a new one named ``into``; their names stay known, so none can be committed again.
 
-        One writer at a time: readers that started before may lose the folders they read.
+        The new batch and the names it holds appear together; the folders of the others are deleted after that, one
+        writer at a time. Readers that started before may lose the folders they read.
         """
-        names = self.batches()
-        known = sorted(self._folded() | set(names))
+        names = self._present()
         work = f"{self.folder}/_work-{into}"
-        self.totals().coalesce(1).write.mode("overwrite").parquet(work)
-        listed = f"{self.folder}/_work-folded"
-        self.spark.createDataFrame([(n,) for n in known], "name string").coalesce(1).write.mode("overwrite").parquet(listed)
-        self._fs.delete(self._path(f"{self.folder}/folded"), True)
-        self._fs.rename(self._path(listed), self._path(f"{self.folder}/folded"))
+        self.totals().select(*SCHEMA.names).coalesce(1).write.mode("overwrite").parquet(f"{work}/totals")
+        own = self.spark.createDataFrame([(n,) for n in names], "name string")
+        self._folded(names).unionByName(own).distinct().coalesce(1).write.mode("overwrite").parquet(f"{work}/folded")
+        self._publish(into)
         for n in names:
             self._fs.delete(self._path(f"{self.folder}/batch={n}"), True)
-        self._fs.rename(self._path(work), self._path(f"{self.folder}/batch={into}"))

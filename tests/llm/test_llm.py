@@ -77,9 +77,31 @@ def test_bpe_is_exact(spark):
     path = bpe.default_vocabulary()
     want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     d = docs(spark, [*((i, t, "s") for i, t in enumerate(texts)), (-1, None, None)])
-    rows = {r["doc_id"]: r for r in bpe.encode_texts(d, bpe.build_lexicon(d, path), decode=True).collect()}
+    lexicon = bpe.build_lexicon(d, path)
+    coded = bpe.encode_texts(d, lexicon, outputs=("ids", "decoded", "n_tokens", "round_trip"))
+    rows = {r["doc_id"]: r for r in coded.collect()}
+    assert coded.columns == [*d.columns, "ids", "decoded", "n_tokens", "round_trip"]
     assert [rows[i]["ids"] for i in range(len(texts))] == want
     assert [rows[i]["decoded"] for i in range(len(texts))] == texts and rows[-1]["ids"] == []
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows.values())
+    back = bpe.decode_ids(coded.select("doc_id", "ids"), lexicon).collect()
+    assert {r["doc_id"]: r["decoded"] for r in back} == {**dict(enumerate(texts)), -1: ""}
+    clash = d.limit(3).withColumn("IDS", F.lit(1))
+    assert bpe.encode_texts(clash, lexicon, keep_text=False).columns == ["doc_id", "lang", "source", "IDS", "_ids"]
+    assert bpe.encode_texts(d.limit(0), lexicon).count() == 0
+    broken = spark.createDataFrame([([161, 50256],), (None,), ([],)], "ids array<int>")
+    assert [r["decoded"] for r in bpe.decode_ids(broken, lexicon).collect()] == [bpe.Bpe(path).token_bytes[161].decode("utf-8", "replace") + "<|endoftext|>", "", ""]
+
+
+def test_words_are_cut_where_no_merge_can_cross():
+    """Any cut of a text gives the same pre-tokens as the text itself."""
+    rng = random.Random(17)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "é", "'s", " ", " ", "\n", "\t", "\xa0", "\u3000", "\u2003", "中", "7", "²", "!", "\x1c", "\x85"]) for _ in range(rng.randint(1, 14)))
+        data = np.frombuffer(text.encode(), np.uint8)
+        cut = [*bpe.word_borders(data, np.array([0])).tolist(), len(data)]
+        words = [data[a:b].tobytes().decode() for a, b in zip(cut[:-1], cut[1:])]
+        assert [p for w in words for p in bpe.pieces(w)] == bpe.pieces(text), repr(text)
 
 
 def test_transducer_finds_its_words_only():
@@ -87,41 +109,45 @@ def test_transducer_finds_its_words_only():
     entries = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 6))): (rng.randrange(99), rng.randrange(99)) for _ in range(300)}
     t = bpe.Transducer(bpe.compile_transducer(entries))
     words = [*entries, b"", b"zz", b"abcabcabc"]
-    assert t.find(words) == [entries.get(w) for w in words]
-    assert bpe.Transducer(bpe.compile_transducer({})).find([b"a"]) == [None]
+    sizes = np.array([len(w) for w in words])
+    data = np.frombuffer(b"".join(words), np.uint8)
+    numbers = t.find(data, np.cumsum(sizes) - sizes, sizes)
+    assert [tuple(t.ids[t.starts[k] : t.starts[k + 1]].tolist()) if k >= 0 else None for k in numbers] == [entries.get(w) for w in words]
+    assert bpe.Transducer(bpe.compile_transducer({})).find(data[:1], np.array([0]), np.array([1])).tolist() == [-1]
 
 
 # --- 3 ------------------------------------------------------------------------------------------------------
 
 
 def equal_texts(rows):
-    rows = set(rows)
     by_text = {}
     for i, t in rows:
         by_text.setdefault((t or "").translate(LOWER), []).append(i)
-    out = set()
+    out = []
     for i, t in rows:
         ids = by_text[(t or "").translate(LOWER)]
         keep = max((x for x in ids if x is not None), default=None)
-        out.add((i, keep, len(ids), i == keep, hashlib.sha256((t or "").translate(LOWER).encode()).hexdigest()))
-    return out
+        out.append((i, keep, len(ids), i == keep, hashlib.sha256((t or "").translate(LOWER).encode()).hexdigest()))
+    return Counter(out)
 
 
 @pytest.mark.parametrize("clash", [False, True])
 def test_exact_groups(spark, clash):
     rng = random.Random(2)
     texts = [None, "", "A", "a", "É", "é", "x" * 100, "x" * 101, "ab" * 64, prose(rng, 300), prose(rng, 300).upper()]
-    rows = [(i, rng.choice(texts)) for i in range(60)] + [(3, "a"), (3, "a"), (None, "lone"), (None, "a")]
+    rows = [(i, rng.choice(texts)) for i in range(60)] + [(3, "a"), (3, "a"), (4, "A"), (None, "lone"), (None, "lone"), (None, "a"), (70, "y" * 99), (70, "y" * 99)]
     digests = (lambda b: (F.length(b) % 2, F.lit(0))) if clash else block_naming.two_digests
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("name", F.lit(1))
     got = block_naming.exact_groups(d, 16, digests).collect()
-    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["digest"].hex()) for r in got} == equal_texts(rows) and len(got) == len(equal_texts(rows))
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["digest"].hex()) for r in got) == equal_texts(rows)
     assert block_naming.exact_groups(d.limit(0)).count() == 0
 
 
 def test_drop_exact_copies(spark):
-    d = docs(spark, [(1, "A b", "s"), (2, "a b", "s"), (2, "a b", "s"), (3, "c", None), (None, None, "s")])
-    assert sorted(str(r["doc_id"]) for r in block_naming.drop_exact_copies(d).collect()) == ["2", "3", "None"]
+    d = docs(spark, [(1, "A b", "s"), (2, "a b", "s"), (2, "a b", "s"), (3, "c", None), (None, None, "s"), (None, "", "s")])
+    d = d.withColumns({c: F.lit(1) for c in ("_keep_id", "row_id", "Row_Digest", "keep_digest", "times", "name", "a.b")})
+    kept = block_naming.drop_exact_copies(d)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "3", "None"] and kept.columns == d.columns
 
 
 # --- 4 ------------------------------------------------------------------------------------------------------
@@ -162,6 +188,31 @@ def test_mix(spark):
     assert all(copies[r["doc_id"]] * r["size"] == r["taken"] for r in got)
     assert mixed.select("_shard").distinct().count() == 4
     assert mixing.mix_summary(d.limit(0)).count() == 0
+    clash = d.withColumns({c: F.lit(1) for c in ("_pass", "block", "row", "_Source", "a.b")})
+    assert mixing.mix_sources(clash).columns == [*clash.columns, "__pass", "_shard", "_key"]
+
+
+def test_mix_passes_over_what_does_not_fit(spark):
+    """One very long document among short ones, whether it comes first or last."""
+    for seed in range(4):
+        rows = [(0, prose(random.Random(seed), 9000), "a"), *((i, prose(random.Random(i), 100), "a") for i in range(1, 51)), *((i, prose(random.Random(i), 100), "b") for i in range(51, 251))]
+        got = mixing.mix_summary(docs(spark, rows), weights=(1, 9), total_ratio=0.4, seed=seed).collect()
+        for source in "ab":
+            own = [r for r in got if (r["doc_id"] >= 51) == (source == "b")]
+            assert own[0]["target"] > 0 and abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 100
+
+
+def test_mix_draws_are_the_shards_draws(spark):
+    rng = random.Random(21)
+    d = docs(spark, [(i, prose(rng, rng.randint(1, 30)), rng.choice("aab")) for i in range(800)])
+    plan = mixing.plan_mix(d, blocks=64, shards=8)
+    draws = plan.draws.collect()
+    assert len({(r["source"], r["block"], r["pass"]) for r in draws}) == len(draws)  # disjoint
+    per_shard = Counter(r["shard"] for r in draws)
+    assert set(per_shard) == set(range(8)) and max(per_shard.values()) - min(per_shard.values()) <= 3
+    taken = Counter(r["doc_id"] for r in mixing.mix_sources(d, blocks=64, shards=8).collect())
+    sizes = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix_summary(d, blocks=64, shards=8).collect()}
+    assert all(taken[i] * size == words for i, (size, words) in sizes.items())
 
 
 # --- 5 ------------------------------------------------------------------------------------------------------
@@ -204,6 +255,7 @@ def test_remove_repeats(spark, monkeypatch, run_bytes):
     for i, (size, spans, kept) in enumerate(repeats(texts, 400)):
         r = got[None if i == 7 else i]
         assert (r["n_bytes"], [tuple(s) for s in r["spans"]], bytes(r["kept"])) == (size, spans, kept), i
+        assert r["kept_chars"] == sum(b & 0xC0 != 0x80 for b in kept)
     assert suffix_dedup.remove_repeats(d.limit(0)).count() == 0
 
 
@@ -217,7 +269,8 @@ def test_near_duplicate_vectors(spark):
     label = rng.integers(0, 2, len(x)).tolist()
     rows = [(i, [float(v) for v in x[i]], label[i]) for i in range(len(x))]
     odd = [(1000, None, 1), (1001, [0.0] * 12, 1), (1002, [float("nan")] * 12, 1), (1003, rows[0][1], None), (1004, [1.0, None] + [0.0] * 10, 1), (1005, [], 0), (1006, [1.0], 0)]
-    e = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
+    short = [(2000, [1.0, 2.0], 1), (2001, [1.0, 2.0], 1), (2002, [2.0, 4.0], 1), (2003, [1.0, 2.0], 0), (2004, [1.0, 2.0] + [0.0] * 10, 1), (2005, [0.0] * 11 + [1.0] * 3, 1), (2006, [0.0] * 11 + [1.0, 1.0, 1.01], 1)]
+    e = spark.createDataFrame(rows + odd + short, "vec_id long, embedding array<float>, label int")
     got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(e).collect()}
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     linked = (unit @ unit.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None])
@@ -231,13 +284,14 @@ def test_near_duplicate_vectors(spark):
     for i in range(len(x)):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (linked[i].sum(), component[i], component[i] == i)
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i, _, _ in odd)
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i, _, _ in short] == [(2, 2000)] * 3 + [(0, 2003), (0, 2004)] + [(1, 2005)] * 2
     assert embedding_dedup.near_duplicates(e.limit(0)).count() == 0
 
 
 # --- 7 ------------------------------------------------------------------------------------------------------
 
 
-def test_rollup(spark, tmp_path):
+def test_rollup(spark, tmp_path, monkeypatch):
     c = spark.createDataFrame([(1, "a", "en", "v", 5), (2, None, "en", "v", 7), (3, "a", "en", "v", 1)], "doc_id long, source string, lang string, version string, tokens long")
     r = token_rollup.Rollup(spark, f"file://{tmp_path}/r")
     assert r.totals().count() == 0
@@ -246,8 +300,42 @@ def test_rollup(spark, tmp_path):
     r.commit("3", token_rollup.revised(c.where("doc_id = 1"), c.where("doc_id = 1").withColumn("tokens", F.lit(9).cast("long"))))
     want = [("a", "en", "v", 2, 10)]
     assert [tuple(x) for x in r.totals().collect()] == want
+    monkeypatch.setattr(r, "_fs", KeepsFolders(r._fs))  # a driver lost before it deletes what is folded in
     r.compact("all")
     assert [tuple(x) for x in r.totals().collect()] == want and not r.commit("2", token_rollup.signed(c))
+    r = token_rollup.Rollup(spark, f"file://{tmp_path}/r")
+    assert r.commit("4", token_rollup.signed(c.where("doc_id = 2"))) and r.batches() == ["4", "all"]
+    r.compact("again")
+    assert r.batches() == ["again"] and not any(r.commit(n, token_rollup.signed(c)) for n in ("1", "2", "3", "4", "all"))
+    assert sorted(map(tuple, r.totals().collect()), key=str) == [("a", "en", "v", 2, 10), (None, "en", "v", 1, 7)]
+    empty = token_rollup.Rollup(spark, f"file://{tmp_path}/e")
+    assert empty.commit("none", token_rollup.signed(c.limit(0))) and empty.totals().count() == 0
+
+
+class KeepsFolders:
+    def __init__(self, fs):
+        self.fs = fs
+
+    def __getattr__(self, name):
+        return (lambda *_: True) if name == "delete" else getattr(self.fs, name)
+
+
+def test_token_counts_query(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from evidencespark.llm import queries
+
+    rows = [(i, t, lang, s) for i, (t, lang, s) in enumerate([(None, "en", "a"), ("", "en", "a"), ("one two three", None, "b"), ("one two three", None, "b"), ("été 中文 123", "fr", None), ("x" * 5000, "en", "b")] * 8)]
+    rows += [(None, "no id", "en", "a"), (3, "one two three", None, "b")]
+    coder = Tokenizer.from_file(bpe.default_vocabulary())
+    for part, some in (("full", rows), ("none", [])):
+        spark.createDataFrame(some, DOCS).write.parquet(f"{tmp_path}/{part}/documents.parquet")
+        want = Counter()
+        for _, t, lang, s in some:
+            want[s, lang, "byte_bpe_50k", "docs"] += 1
+            want[s, lang, "byte_bpe_50k", "tokens"] += len(coder.encode(t or "", add_special_tokens=False).ids)
+        got = {(*r[:3], kind): r[kind] for r in queries.op7_token_counts(spark, f"{tmp_path}/{part}").collect() for kind in ("docs", "tokens")}
+        assert got == dict(want)
 
 
 # --- 8 ------------------------------------------------------------------------------------------------------
@@ -308,6 +396,31 @@ def test_hot_passages_of_sets_of_two_sizes(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == least and len(set(least)) == 62
 
 
+@pytest.mark.parametrize(("hot", "pairwise", "parts"), [(100, 1024, 64), (4, 2, 3), (1 << 40, 2, 64)])
+def test_hot_words_of_short_and_long_texts(spark, monkeypatch, hot, pairwise, parts):
+    rng = random.Random(19)
+    shared = [f"s{k}" for k in range(11)]
+    texts = [" ".join([*shared, f"own{i}"]) for i in range(150)] + [" ".join([*shared, *(f"l{i}w{k}" for k in range(20))]) for i in range(150)]
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    for name, value in (("HOT", hot), ("PAIRWISE", pairwise), ("HOT_PARTS", parts)):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    least = jaccard_classes(rows)[1]
+    assert [got[i] for i, _ in rows] == least and len(set(least)) == 151
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    near = text + " end"
+    rows = [(1, "clean text of its own, six words"), (1, near), (2, text), (2, text), (None, text + " x"), (None, None), (None, ""), (5, "lone one"), (6, "lone two")]
+    d = docs(spark, [(i, t, "s") for i, t in rows]).withColumns({"row_id": F.lit(1), "Component": F.lit(2), "a.b": F.lit(3)})
+    kept = ngram_join.drop_near_copies(d)
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("1", rows[0][1]), ("1", near), ("None", ""), ("None", ""), ("5", "lone one"), ("6", "lone two")])
+    assert kept.columns == d.columns and ngram_join.drop_near_copies(d.limit(0)).count() == 0
+    twice = docs(spark, [(2, text, "s"), (2, text, "s"), (3, text, "s")])
+    assert [r["doc_id"] for r in ngram_join.drop_near_copies(twice).collect()] == [2]
+
+
 def test_prefix_tree_finds_all_links():
     rng = np.random.default_rng(10)
     for _ in range(20):
@@ -404,3 +517,21 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in near.collect()} == want and near.columns == d.columns
     coded = stages["bpe"](spark, stages["source_mix"](spark, near, sf), sf)
     assert coded.where("NOT round_trip").count() == 0 and coded.count() > 0
+
+
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op4_source_mix"])
+def test_same_rows_as_sql(spark, tmp_path, name):
+    import duckdb
+
+    from evidencespark.llm import queries
+
+    own = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = own.unionByName(own.limit(5)).unionByName(own.limit(2).withColumns({"text": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "doc_id": F.col("doc_id") + 10_000}))
+    own.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(got.columns)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    plain = lambda rows: sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
+    assert plain([r[c] for c in columns] for r in got.collect()) == plain(want)
