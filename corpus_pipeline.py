@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidencespark.llm import block_naming, bpe, mixing, ngram_join, quality
-from evidencespark.llm.common import small_side, stored, table
+from evidencespark.llm.common import stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (score of 0.5 or more)."""
+    """Documents that the quality classifier does not reject (score of 0.5 or more).
+
+    Null and empty texts have the score of no words; repeated rows and null ids are scored like any row, columns
+    stay whatever their names, and an empty table stays empty.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.quality_scores(docs, model)
     name = scored.columns[-1]
@@ -22,28 +26,39 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, that of the largest id (a null id loses to any other).
+
+    Null and empty texts are one group; of repeated rows one stays. Columns stay, and an empty table stays empty.
+    """
     return block_naming.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of texts that share 75 % of their five-word shingles."""
-    classes = ngram_join.jaccard_components(docs)
-    dropped = stored(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return docs.join(small_side(dropped, 1_000_000), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """The document with the smallest id of each class of texts that share 75 % of their five-word shingles.
+
+    Decided by row, so rows that share an id or have none are told apart by their texts; null and empty texts link
+    with nothing and stay. Columns stay, and an empty table stays empty.
+    """
+    return ngram_join.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, shuffled within output shards."""
-    return mixing.mix_sources(docs).select(*[F.col(c) for c in docs.columns])
+    """Documents as often as the mix takes them, shuffled within output shards.
+
+    Null sources are a source, null and empty texts have no words and come with their block; repeated rows are drawn
+    alike. The result has the columns of ``docs``, and an empty table stays empty.
+    """
+    return mixing.mix_sources(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its token ids; decoding must give back the text."""
+    """Every row with its token ids in place of its text, and whether decoding them gives back the text.
+
+    Null and empty texts have no ids. A column of ``docs`` named ``ids``, ``n_tokens`` or ``round_trip`` stays; the new
+    one then gets underscores before its name. An empty table stays empty.
+    """
     lexicon = bpe.build_lexicon(docs, bpe.default_vocabulary())
-    coded = bpe.encode_texts(docs, lexicon, decode=True)
-    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return coded.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": exact}).drop("text", "decoded")
+    return bpe.encode_texts(docs, lexicon, outputs=("ids", "n_tokens", "round_trip"), keep_text=False)
 
 
 STAGES = [
