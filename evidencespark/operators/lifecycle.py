@@ -6,13 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Allowed transitions of jobs and tasks.
-JOB_TRANSITIONS = (
-    ("PENDING", "RUNNING"), ("PENDING", "FAILED"), ("PENDING", "CANCELLED"),
-    ("RUNNING", "SUCCEEDED"), ("RUNNING", "FAILED"), ("RUNNING", "CANCELLED"),
-)
-
-
 def active_versions(builds: DataFrame) -> DataFrame:
     """``(document_id, active_version)``: the largest finished version; late lower ones never replace it."""
     return builds.where("finished").groupBy("document_id").agg(F.max("version").alias("active_version"))
@@ -62,11 +55,16 @@ def trailing_rate(events: DataFrame, seconds: int, *by: str) -> DataFrame:
     return events.withColumn("rate", F.round(F.count(F.lit(1)).over(over) / seconds, 9))
 
 
-def limited_logins(failures: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Failures that are at least the ``limit``-th of their key within ``seconds``."""
+def limited_logins(failures: DataFrame, limit: int, seconds: int, block: int) -> DataFrame:
+    """Failures that are at least the ``limit``-th of their key within ``seconds``, and until when the key is blocked.
+
+    The block lasts ``block`` seconds from the oldest of the failures within those seconds.
+    """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    over = W.partitionBy("key").orderBy(at).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return failures.withColumn("recent", F.count(F.lit(1)).over(over)).where(F.col("recent") >= limit)
+    over = W.partitionBy("key").orderBy("at").rangeBetween(-seconds * 1_000_000 + 1, 0)
+    failures = failures.withColumn("at", at)
+    counted = failures.withColumns({"recent": F.count(F.lit(1)).over(over), "blocked_until": F.min("at").over(over) + F.lit(block * 1_000_000)})
+    return counted.where(F.col("recent") >= limit).drop("at")
 
 
 def recent_history(messages: DataFrame, most: int = 12) -> DataFrame:
@@ -75,13 +73,34 @@ def recent_history(messages: DataFrame, most: int = 12) -> DataFrame:
     return messages.withColumn("_back", newest).where((F.col("_back") > 1) & (F.col("_back") <= most + 1)).drop("_back")
 
 
-def trimmed_context(messages: DataFrame, budget: int) -> DataFrame:
-    """The longest suffix of each conversation, the last user turn on in any case, that fits into ``budget`` tokens."""
+#: The context of a model call in tokens, and what is set aside in it.
+CONTEXT_TOKENS, RESERVE_TOKENS, SYSTEM_TOKENS, TOOL_TOKENS = 32_768, 4096, 512, 512
+
+
+def trimmed_context(messages: DataFrame, budget: int = CONTEXT_TOKENS, aside: int = RESERVE_TOKENS + SYSTEM_TOKENS + TOOL_TOKENS) -> DataFrame:
+    """The messages ``(conv_id, turn, role, calls_tools, tokens)`` that stay in a context of ``budget`` tokens.
+
+    The first message and all from the latest user message on stay in any case. Of those between, the newest groups
+    stay as long as all fit beside the ``aside`` tokens; an assistant's tool call and the tool results after it are one
+    group. If no message but the first comes from a user, only the first stays.
+    """
     own = W.partitionBy("conv_id")
-    after = own.orderBy(F.desc("turn"))
-    last_user = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(own)
-    m = messages.withColumns({"used": F.sum("tokens").over(after), "last_user": last_user})
-    return m.where((F.col("role") == "system") | (F.col("turn") >= F.col("last_user")) | (F.col("used") <= budget)).drop("last_user")
+    by_turn = own.orderBy("turn")
+    m = messages.withColumn("nth", F.row_number().over(by_turn))
+    m = m.withColumn("latest", F.max(F.when((F.col("role") == "user") & (F.col("nth") > 1), F.col("nth"))).over(own))
+    # A group begins at each message that is no tool result after a tool call (or after another such result).
+    head = F.last(F.when(F.col("role") != "tool", F.coalesce("calls_tools", F.lit(False))), ignorenulls=True).over(by_turn)
+    joins = (F.col("role") == "tool") & F.coalesce(head, F.lit(False)) & (F.col("nth") > 2)
+    m = m.withColumn("group", F.sum(F.when(joins, 0).otherwise(1)).over(by_turn))
+    fixed = (F.col("nth") == 1) | (F.col("nth") >= F.col("latest"))
+    m = m.withColumn("fixed", F.coalesce(fixed, F.lit(False)))
+    m = m.withColumns({"needed": F.sum(F.when(F.col("fixed"), F.col("tokens")).otherwise(0)).over(own), "all": F.sum("tokens").over(own), "count": F.count(F.lit(1)).over(own)})
+    groups = W.partitionBy("conv_id").orderBy(F.desc("group")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    used = F.col("needed") + F.sum(F.when(~F.col("fixed"), F.col("tokens")).otherwise(0)).over(groups)
+    m = m.withColumn("used", used)
+    room = budget - aside
+    stays = (F.col("all") <= room) | (F.col("count") <= 2) | F.col("fixed") | (F.col("latest").isNotNull() & (F.col("used") <= room))
+    return m.where(stays).drop("nth", "latest", "group", "fixed", "needed", "all", "count")
 
 
 def percentiles(rows: DataFrame, label: str, wanted: dict[str, float]) -> DataFrame:

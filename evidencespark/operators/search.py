@@ -90,43 +90,59 @@ def dense_topk(items: DataFrame, queries: DataFrame, k: int = 20, exclude_self:
     return top_k(pairs.mapInPandas(search, "query_id long, record_id long, score double"), k)
 
 
+#: Most distinct words of the queries that are broadcast to the texts; more of them are joined by a shuffle.
+ASKED_WORDS = 200_000
+
+
+def _asked_only(words: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+    """The rows of ``words`` whose ``name`` some query has, dropped in the tasks that read the texts."""
+    asked = asked.select(name).distinct()
+    few = asked.limit(ASKED_WORDS + 1).count() <= ASKED_WORDS
+    return words.join(F.broadcast(asked) if few else asked, name, "left_semi")
+
+
 def overlap_topk(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """``(query_id, record_id, score, rank)``: the share of a query's distinct words that a text holds."""
+    """``(query_id, record_id, score, rank)``: the share of a query's distinct words that a text holds.
+
+    Texts keep only the words that some query has before anything is shuffled. Pairs are counted in the tasks that
+    hold a part of the texts, so a common word's hits are combined before their shuffle.
+    """
     asked = queries.select("query_id", T.words(F.col("query")).alias("words"))
     asked = asked.select("query_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    held = docs.select("record_id", F.explode(T.words(F.col("text"))).alias("word"))
-    hits = held.join(asked, "word").groupBy("query_id", "record_id").agg((F.count(F.lit(1)) / F.max("n")).alias("score"))
+    held = _asked_only(docs.select("record_id", F.explode(T.words(F.col("text"))).alias("word")), asked, "word")
+    few = asked.limit(ASKED_WORDS + 1).count() <= ASKED_WORDS
+    hits = held.join(F.broadcast(asked) if few else asked, "word").groupBy("query_id", "record_id").agg((F.count(F.lit(1)) / F.max("n")).alias("score"))
     return top_k(hits.withColumn("score", F.round("score", 9)), k)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``(record_id, term, tf, length)`` of all texts."""
-    each = docs.select("record_id", T.terms(F.col("text")).alias("terms"))
-    each = each.select("record_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return each.groupBy("record_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-
-
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, phrase_boost: float = 0.0) -> DataFrame:
     """``(query_id, record_id, score, rank)`` by BM25 over all of ``docs``; scores rounded to 6 places.
 
-    Only postings of terms that a query has are counted.
+    Only postings of terms that a query has are counted. With a ``phrase_boost``, a text that holds all terms of the
+    query one after another gets the score of that phrase, so weighted, on top.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
     each = docs.select("record_id", T.terms(F.col("text")).alias("terms"))
     stats = each.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avg_length"))
     rows = each.select("record_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
-    tf = rows.groupBy("record_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    tf = _asked_only(rows, asked, "term").groupBy("record_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    scored = scored.groupBy("query_id", "record_id").agg(F.sum(part).alias("score"))
-    return top_k(scored.withColumn("score", F.round("score", 6)), k)
+    weighed = asked.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", idf)  # one row of statistics
+    part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    scored = tf.join(weighed, "term").groupBy("query_id", "record_id").agg(F.sum(part).alias("score"))
+    scored = scored.withColumn("score", F.round("score", 6))
+    if phrase_boost:
+        phrases = phrase_hits(docs, queries).join(weighed.groupBy("query_id").agg(F.sum("idf").alias("idf"), F.first("avg_length").alias("avg_length")), "query_id")
+        bonus = phrase_boost * F.col("idf") * F.col("times") / (F.col("times") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+        phrases = phrases.select("query_id", "record_id", F.round(bonus, 6).alias("bonus"))
+        scored = scored.join(phrases, ["query_id", "record_id"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 6)).drop("bonus")
+    return top_k(scored, k)
 
 
 def phrase_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, record_id)``: the texts that hold all terms of a query one after another.
+    """``(query_id, record_id, times, length)``: the texts that hold all terms of a query one after another, how often
+    (without overlap), and their number of terms.
 
     A text is looked at for the queries whose rarest term it holds.
     """
@@ -137,7 +153,7 @@ def phrase_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     df = term_rows.join(each.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rarest = each.join(df, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     pairs = term_rows.join(rarest, "term").select("query_id", "record_id")
-    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    return (
-        pairs.join(asked, "query_id").join(held, "record_id").where(F.instr(spaced(F.col("terms")), spaced(F.col("wanted"))) > 0).select("query_id", "record_id")
-    )
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, "  "), F.lit(" "))  # noqa: E731 - each term between blanks of its own
+    times = (F.length(spaced(F.col("terms"))) - F.length(F.replace(spaced(F.col("terms")), spaced(F.col("wanted")), F.lit("")))) / F.length(spaced(F.col("wanted")))
+    found = pairs.join(asked, "query_id").join(held, "record_id").select("query_id", "record_id", times.cast("long").alias("times"), F.size("terms").alias("length"))
+    return found.where("times > 0")

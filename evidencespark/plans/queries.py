@@ -45,6 +45,13 @@ q AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format("text")}) AS ter
 s AS (SELECT query_id, record_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avg_length))), 6) AS score
   FROM p JOIN df USING (term) JOIN q USING (term), stats GROUP BY 1, 2),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS rank FROM s) WHERE rank <= 20)"""
+PHRASED = """i AS (SELECT query_id, sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) AS idf FROM q JOIN df USING (term), stats GROUP BY 1),
+w AS (SELECT item_id AS query_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9_à-öø-ÿœß]+|[一-鿿]'), '  ') || ' ' AS w FROM benchmark),
+h AS (SELECT w.query_id, t.record_id, (length(c) - length(replace(c, w, ''))) // length(w) AS pf, len(terms) AS length
+  FROM (SELECT record_id, terms, ' ' || array_to_string(terms, '  ') || ' ' AS c FROM t) t, w WHERE w <> '  ' AND contains(c, w)),
+b AS (SELECT h.query_id, h.record_id, round(10 * idf * pf / (pf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avg_length)), 6) AS bonus FROM h JOIN i USING (query_id), stats),
+phrased AS (SELECT * FROM (SELECT query_id, record_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS rank
+  FROM (SELECT s.query_id, s.record_id, round(s.score + coalesce(bonus, 0), 6) AS score FROM s LEFT JOIN b ON b.query_id = s.query_id AND b.record_id = s.record_id)) WHERE rank <= 20)"""
 VECTOR = "[{0}]".format(", ".join(f"(('0x' || substr(sha256({{0}}), {2 * i + 1}, 2))::INT - 127.5::DOUBLE) / 127.5::DOUBLE" for i in range(8)))
 DENSE = f"""dv AS (SELECT doc_id AS record_id, {VECTOR.format("text")} AS v FROM documents),
 qv AS (SELECT item_id AS query_id, {VECTOR.format("text")} AS v FROM benchmark),
@@ -162,11 +169,17 @@ def bm25_topk(spark, sf_dir):
     return search.bm25_topk(_docs(spark, sf_dir), _asked(spark, sf_dir))
 
 
+@query(f"WITH {BM25}, {PHRASED} SELECT * FROM phrased")
+def bm25_phrase_topk(spark, sf_dir):
+    """BM25 with a weight of 10 on texts that hold the whole query as a phrase."""
+    return search.bm25_topk(_docs(spark, sf_dir), _asked(spark, sf_dir), phrase_boost=10.0)
+
+
 @query(f"""WITH d AS (SELECT doc_id AS record_id, ' ' || array_to_string({TERMS.format("text")}, ' ') || ' ' AS t FROM documents),
 q AS (SELECT item_id AS query_id, ' ' || array_to_string({TERMS.format("text")}, ' ') || ' ' AS w FROM benchmark)
 SELECT query_id, record_id FROM d, q WHERE w <> '  ' AND contains(t, w)""")
 def phrase_match(spark, sf_dir):
-    return search.phrase_hits(_docs(spark, sf_dir), _asked(spark, sf_dir))
+    return search.phrase_hits(_docs(spark, sf_dir), _asked(spark, sf_dir)).select("query_id", "record_id")
 
 
 @query(f"WITH {OVERLAP}, {DENSE}, {RRF} SELECT query_id, record_id, fusion_score, rank FROM fused")
@@ -419,12 +432,13 @@ def latency_p95(spark, sf_dir):
     return lifecycle.percentiles(table(spark, sf_dir, "events"), "event_type", {"p50": 0.5, "p95": 0.95, "median": 0.5})
 
 
-@query("""WITH f AS (SELECT event_id, user_id AS key, ts FROM events WHERE event_type = 'error'),
-r AS (SELECT *, count(*) OVER (PARTITION BY key ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM f) SELECT event_id, key, recent FROM r WHERE recent >= 2""")
+@query("""WITH f AS (SELECT event_id, event_type AS key, epoch_us(ts) AS us FROM events),
+r AS (SELECT event_id, key, count(*) OVER w AS recent, min(us) OVER w + 900000000 AS blocked_until FROM f WINDOW w AS (PARTITION BY key ORDER BY us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW)) SELECT * FROM r WHERE recent >= 2""")
 def login_limiter(spark, sf_dir):
-    """Users with two failures or more within a day (these events are sparse)."""
-    f = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.col("user_id").alias("key"), "ts")
-    return lifecycle.limited_logins(f, 2, 86_400).select("event_id", "key", "recent")
+    """Keys with two failures or more within five minutes are blocked for fifteen minutes (ten failures, or thirty of an
+    address, in production; these events are sparse)."""
+    f = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("key"), "ts")
+    return lifecycle.limited_logins(f, 2, 300, 900).select("event_id", "key", "recent", "blocked_until")
 
 
 @query("""WITH p AS (SELECT event_type, epoch_us(ts) // 3600000000 AS slot, avg(value) AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2)
@@ -450,12 +464,19 @@ def history_window(spark, sf_dir):
     return lifecycle.recent_history(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), 3)
 
 
-@query("""WITH m AS (SELECT conv_id, turn, role, greatest((length(text) + length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) + 3) // 4, 1) AS tokens FROM conversations),
-u AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS last_user FROM m)
-SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM u WHERE role = 'system' OR turn >= last_user OR used <= 200""")
+@query(r"""WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN 'tool' ELSE role END AS role, role = 'assistant' AND turn % 4 = 1 AS calls_tools,
+  greatest((length(text) + length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) + 3) // 4, 1) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations),
+l AS (SELECT *, max(CASE WHEN role = 'user' AND nth > 1 THEN nth END) OVER (PARTITION BY conv_id) AS latest, count(*) OVER (PARTITION BY conv_id) AS n, sum(tokens) OVER (PARTITION BY conv_id) AS everything FROM m),
+g AS (SELECT *, (SELECT max(h.nth) FROM m h WHERE h.conv_id = l.conv_id AND h.nth <= l.nth AND NOT (h.role = 'tool' AND h.nth > 2 AND coalesce((SELECT arg_max(p.calls_tools, p.nth) FROM m p WHERE p.conv_id = h.conv_id AND p.nth < h.nth AND p.role <> 'tool'), FALSE))) AS head FROM l),
+u AS (SELECT *, (SELECT sum(o.tokens) FROM g o WHERE o.conv_id = g.conv_id AND (o.nth = 1 OR o.nth >= o.latest)) AS needed, coalesce((SELECT sum(o.tokens) FROM g o WHERE o.conv_id = g.conv_id AND o.head >= g.head AND o.nth > 1 AND coalesce(o.nth < o.latest, TRUE)), 0) AS own FROM g)
+SELECT conv_id, turn, CAST(needed + own AS BIGINT) AS used FROM u WHERE everything <= 200 OR n <= 2 OR nth = 1 OR nth >= latest OR (latest IS NOT NULL AND needed + own <= 200)""")
 def context_trim(spark, sf_dir):
-    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.message_estimate(F.col("text")).alias("tokens"))
-    return lifecycle.trimmed_context(m, 200).select("conv_id", "turn", "used")
+    """Of each conversation what fits into 200 tokens; every second answer stands for a tool call and its result."""
+    c = table(spark, sf_dir, "conversations")
+    role = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 3), "tool").otherwise(F.col("role"))
+    calls = (F.col("role") == "assistant") & (F.col("turn") % 4 == 1)
+    m = c.select("conv_id", "turn", role.alias("role"), calls.alias("calls_tools"), T.message_estimate(F.col("text")).alias("tokens"))
+    return lifecycle.trimmed_context(m, 200, 0).select("conv_id", "turn", "used")
 
 
 @query("""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS key FROM conversations),
@@ -496,14 +517,27 @@ def windowed_counts_stream(spark, sf_dir):
     return w.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
-@query()
+@query(r"""WITH RECURSIVE r AS (SELECT user_id AS key, event_id AS seq, (epoch_us(ts) - 1700000000000000) / 1e6::DOUBLE AS came, abs(value) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events),
+b AS (SELECT key, seq, nth, came, cost, 50.0::DOUBLE AS level, came AS start, CASE WHEN cost > 50 THEN 0 ELSE greatest(0, (cost - 50) / 0.001::DOUBLE) END AS wait FROM r WHERE nth = 1
+  UNION ALL
+  SELECT n.key, n.seq, n.nth, n.came, n.cost, n.level, n.start, CASE WHEN n.cost > 50 THEN 0 ELSE greatest(0, (n.cost - n.level) / 0.001::DOUBLE) END FROM (
+    SELECT r.key, r.seq, r.nth, r.came, r.cost, greatest(r.came, b.start + b.wait) AS start,
+      least(50.0::DOUBLE, greatest(0, b.level + b.wait * 0.001::DOUBLE - b.cost) + (greatest(r.came, b.start + b.wait) - (b.start + b.wait)) * 0.001::DOUBLE) AS level
+    FROM b JOIN r ON r.key = b.key AND r.nth = b.nth + 1) n)
+SELECT key, seq, round(round(start + wait - came, 6), 3) AS wait FROM b""")
 def token_bucket(spark, sf_dir):
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) - 1_700_000_000_000_000) / 1e6  # small numbers keep their digits
     r = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), at.alias("at"), F.abs("value").alias("cost"))
-    return tasks.token_bucket(r, 0.001, 50.0)
+    return tasks.token_bucket(r, 0.001, 50.0).withColumn("wait", F.round("wait", 3))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT user_id AS key, event_id AS seq, (value % 100 + 100) % 100 / 100 AS used, (value * 7 % 100 + 100) % 100 / 100 AS free, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events),
+f AS (SELECT key, 0::BIGINT AS nth, 1 AS step, NULL::BIGINT AS seq, FALSE AS paused FROM s GROUP BY key
+  UNION ALL
+  SELECT s.key, s.nth, CASE WHEN used >= 0.8 OR free < 0.2 THEN least(step + 1, 6) WHEN used < 0.7 THEN greatest(step - 1, 1) ELSE step END, s.seq, used >= 0.9 OR free < 0.1
+  FROM f JOIN s ON s.key = f.key AND s.nth = f.nth + 1)
+SELECT key, seq, CAST([168, 96, 48, 24, 6, 1][step] AS BIGINT) AS hours, paused FROM f WHERE nth > 0""")
 def retention_ladder(spark, sf_dir):
-    s = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.pmod(F.col("value"), F.lit(100.0)) / 100).alias("used"))
+    share = lambda x: F.pmod(x, F.lit(100.0)) / 100
+    s = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), share(F.col("value")).alias("used"), share(F.col("value") * 7).alias("free"))
     return tasks.retention(s)

@@ -39,7 +39,9 @@ def claims(deliveries: DataFrame) -> DataFrame:
         before = frame["sequence"].cummax().shift()
         if seen is not None:
             before = before.fillna(seen).clip(lower=seen)
-        state.update((int(max(frame["sequence"].max(), seen if seen is not None else frame["sequence"].max())),))
+        newest = [x for x in (frame["sequence"].max(), seen) if x is not None and x == x]
+        if newest:  # without any sequence a task has no state yet
+            state.update((int(max(newest)),))
         yield frame.loc[before.isna() | (frame["sequence"] > before), ["task_id", "delivery_id", "sequence"]]
 
     return deliveries.groupBy("task_id").applyInPandasWithState(claim, CLAIMS, "seen long", "append", GroupStateTimeout.NoTimeout)
@@ -100,30 +102,39 @@ def folded(rows: DataFrame, order: list[str], names: list[str], start: tuple, st
 def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
     """``(key, seq, wait)``: how long each request waits in a bucket of ``burst`` units that fills at ``rate`` a second.
 
-    A fold over each key's requests ``(key, seq, at, cost)`` in order.
+    A fold over each key's requests ``(key, seq, at, cost)`` in order. A request that is larger than the bucket does
+    not wait and empties it.
     """
 
     def step(state: tuple, at: float, cost: float) -> tuple[tuple, tuple]:
         level, now = state
         start = at if now is None else max(at, now)
         level = min(burst, level + (start - (start if now is None else now)) * rate)
-        wait = max(0.0, (min(cost, burst) - level) / rate)
-        return (level + wait * rate - min(cost, burst), start + wait), (round(start + wait - at, 6),)
+        wait = 0.0 if cost > burst else max(0.0, (cost - level) / rate)
+        return (max(0.0, level + wait * rate - cost), start + wait), (round(start + wait - at, 6),)
 
     requests = requests.withColumns({c: F.col(c).cast("double") for c in ("at", "cost")})
     return folded(requests, ["at", "seq"], ["at", "cost"], (burst, None), step, "key long, seq long, wait double")
 
 
-def retention(samples: DataFrame, ladder: tuple[int, ...] = (168, 72, 48, 24, 12, 6, 3, 1)) -> DataFrame:
-    """``(key, seq, hours, paused)``: retention steps down at 80 % use, up below 70 %, and pauses intake at 90 %."""
+#: The steps of retention, in hours.
+RETENTION_HOURS = (168, 96, 48, 24, 6, 1)
 
-    def step(state: tuple, used: float) -> tuple[tuple, tuple]:
+
+def retention(samples: DataFrame, ladder: tuple[int, ...] = RETENTION_HOURS) -> DataFrame:
+    """``(key, seq, hours, paused)`` of samples ``(key, seq, used, free)``, shares of the budget and of the disk.
+
+    Retention steps down at 80 % used or below 20 % free, and up below 70 % used with 20 % free; intake pauses at
+    90 % used or below 10 % free.
+    """
+
+    def step(state: tuple, used: float, free: float) -> tuple[tuple, tuple]:
         (at,) = state
-        if used >= 0.8:
+        if used >= 0.8 or free < 0.2:
             at = min(at + 1, len(ladder) - 1)
         elif used < 0.7:
             at = max(at - 1, 0)
-        return (at,), (ladder[at], bool(used >= 0.9))
+        return (at,), (ladder[at], bool(used >= 0.9 or free < 0.1))
 
-    samples = samples.withColumn("used", F.col("used").cast("double"))
-    return folded(samples, ["seq"], ["used"], (0,), step, "key long, seq long, hours long, paused boolean")
+    samples = samples.withColumns({c: F.col(c).cast("double") for c in ("used", "free")})
+    return folded(samples, ["seq"], ["used", "free"], (0,), step, "key long, seq long, hours long, paused boolean")

@@ -79,6 +79,37 @@ def test_chunks_cover_the_text_and_have_the_golden_id(spark):
     assert at == len(text)
 
 
+def slow_chunks(text, size, overlap):
+    """Each cut found by trying all of its window's ends."""
+    import re
+
+    out, begin = [], 0
+    while True:
+        if begin + size >= len(text):
+            return [*out, (begin, len(text))] if begin < len(text) else out
+        low, high = begin + overlap + 1, begin + size
+        window = text[low : high + 1]
+        ends = [low + k + 2 for k in range(len(window) - 1) if window[k : k + 2] == "\n\n"]
+        ends = ends or [low + m.end() for m in re.finditer(r"[。！？!?；;.]\s*|\n+", window)]
+        ends = ends or [low + k + 1 for k, c in enumerate(window) if c in " \t"]
+        end = max(ends, default=high)
+        out.append((begin, end))
+        if end >= len(text):
+            return out
+        begin = max(begin + 1, end - overlap)
+
+
+def test_chunk_boundaries_against_a_slow_search():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(600):
+        text = "".join(rng.choice(["a", "b", "é", "中", " ", "\t", "\n", "\n\n", ".", "。", "! ", ";\n", "\u2003", "word"]) for _ in range(rng.randint(0, 120)))
+        size = rng.randint(4, 40)
+        overlap = rng.randint(0, size - 1)
+        assert ingest.Boundaries(text).chunks(size, overlap) == slow_chunks(text, size, overlap), (text, size, overlap)
+
+
 def test_sections_trim_blank_edges(spark):
     text = "intro\n\n# One \n\nbody\n\n## Two\nmore"
     rows = ingest.sections(spark.createDataFrame([(1, text)], "doc_id long, text string"), ingest.HEADING).orderBy("start_line").collect()
@@ -155,14 +186,17 @@ def test_token_bucket_waits(spark):
 
     r = spark.createDataFrame([(1, i, 0.0, 5.0) for i in range(4)], "key long, seq long, at double, cost double")
     assert [x["wait"] for x in tasks.token_bucket(r, 1.0, 10.0).orderBy("seq").collect()] == [0.0, 0.0, 5.0, 10.0]
+    r = spark.createDataFrame([(1, 0, 0.0, 4.0), (1, 1, 0.0, 11.0), (1, 2, 0.0, 3.0)], "key long, seq long, at double, cost double")
+    assert [x["wait"] for x in tasks.token_bucket(r, 1.0, 10.0).orderBy("seq").collect()] == [0.0, 0.0, 3.0]  # larger than the bucket: at once
 
 
 def test_retention_steps(spark):
     from evidencespark.streaming import tasks
 
-    s = spark.createDataFrame([(1, i, u) for i, u in enumerate([0.5, 0.85, 0.95, 0.75, 0.6])], "key long, seq long, used double")
+    s = [(0.5, 0.5), (0.85, 0.5), (0.95, 0.5), (0.75, 0.5), (0.6, 0.5), (0.6, 0.15), (0.6, 0.05)]
+    s = spark.createDataFrame([(1, i, *u) for i, u in enumerate(s)], "key long, seq long, used double, free double")
     rows = tasks.retention(s).orderBy("seq").collect()
-    assert [r["hours"] for r in rows] == [168, 72, 48, 48, 72] and [r["paused"] for r in rows] == [False, False, True, False, False]
+    assert [r["hours"] for r in rows] == [168, 96, 48, 48, 96, 48, 24] and [i for i, r in enumerate(rows) if r["paused"]] == [2, 6]
 
 
 def test_percentiles_from_counts(spark):
@@ -172,16 +206,20 @@ def test_percentiles_from_counts(spark):
 
 
 def test_folds_go_on_over_batches_of_one_key(spark):
-    from evidencespark.llm.common import small_batches
     from evidencespark.streaming import tasks
 
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
     r = spark.createDataFrame([(k, i, 0.0, 5.0) for k in (1, None, 2) for i in range(7)], "key long, seq long, at double, cost double")
-    s = spark.createDataFrame([(k, i, 0.95) for k in (1, 2) for i in range(7)], "key long, seq long, used double")
-    with small_batches(spark, 2):
+    s = spark.createDataFrame([(k, i, 0.95, 0.5) for k in (1, 2) for i in range(7)], "key long, seq long, used double, free double")
+    spark.conf.set(key, 2)
+    try:
         folds = tasks.token_bucket(r, 1.0, 10.0), tasks.retention(s)
         waits, steps = ([tuple(x) for x in f.collect()] for f in folds)
+    finally:
+        spark.conf.set(key, before)
     assert sorted(waits, key=str) == sorted(((k, i, max(0.0, 5.0 * (i - 1))) for k in (1, None, 2) for i in range(7)), key=str)
-    assert sorted(steps) == [(k, i, h, True) for k in (1, 2) for i, h in enumerate((72, 48, 24, 12, 6, 3, 1))]
+    assert sorted(steps) == [(k, i, h, True) for k in (1, 2) for i, h in enumerate((96, 48, 24, 6, 1, 1, 1))]
     assert not any("FlatMapGroupsInPandas" in f._jdf.queryExecution().toString() for f in folds)  # a whole group in memory
 
 
