@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 TERM = "[a-z0-9_à-öø-ÿœß]+|[一-鿿]"
 #: What a table-of-contents line and a dot leader look like.
 DOT_LEADER = r"([.．·・…]{4,}|\.{6,})\s*\|?\s*([ivxlcdm]{1,6}|\d{1,4})\s*\|?\s*$"
-DOT_RUN = r"[.．·・…]{4,}|\.{6,}"
 LONG_LINE = 40
 
 
@@ -46,10 +45,6 @@ def is_navigation_index(text: Column) -> Column:
     return F.exists(rows, leader) & F.forall(rows, lambda x: leader(x) | (F.length(x) <= LONG_LINE))
 
 
-def has_dot_leader(text: Column) -> Column:
-    return text.rlike(DOT_RUN)
-
-
 def record_id(document: Column, version: Column, chunk: Column) -> Column:
     return F.concat_ws(":", document.cast("string"), version.cast("string"), chunk.cast("string"))
 
@@ -66,3 +61,33 @@ def valid_vector(vector: Column, dims: int) -> Column:
     """True for a vector of ``dims`` finite components."""
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce((F.size(vector) == dims) & good, F.lit(False))
+
+
+#: The labels that stand before an indexed text, by kind of source.
+LABELS = {"chm": ("Topic", "Heading", "Symbol"), "chi": ("Index keyword", "Topic", "Topic path", "Topic URL", "Associated CHM")}
+
+
+def with_labels(labels: dict[str, Column], body: Column) -> Column:
+    """``Label: value`` lines of the values that are not blank, an empty line, and the body; without any, the body."""
+    lines = [F.when(F.trim(v) != "", F.concat(F.lit(f"{k}: "), F.trim(v))) for k, v in labels.items()]
+    prefix = F.concat_ws("\n", *lines)
+    return F.when(prefix == "", body).otherwise(F.concat(prefix, F.lit("\n\n"), body))
+
+
+def without_labels(text: Column, kind: Column) -> Column:
+    """The body of a labelled text; the whole text if some line before its first empty line has no label of its kind."""
+    at = F.instr(text, "\n\n")
+    lines = F.split(F.substring(text, F.lit(1), at - 1), "\n")
+    known = F.lit(False)
+    for name, labels in LABELS.items():
+        starts = lambda x: F.exists(F.array(*[F.lit(f"{k}: ") for k in labels]), lambda k: F.startswith(x, k))  # noqa: B023, E731
+        known = F.when(kind == name, F.forall(lines, starts)).otherwise(known)
+    return F.when((at > 0) & known, F.substring(text, at + 2, F.length(text))).otherwise(text)
+
+
+def renumbered(answer: Column, most: Column) -> tuple[Column, Column]:
+    """``valid`` (every ``[n]`` of an answer names one of ``most`` pieces of evidence) and ``sources``, these in the order in
+    which they first appear, whose places are their new numbers; null if not valid."""
+    cited = F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("long"))
+    valid = F.forall(cited, lambda n: (n >= 1) & (n <= most))
+    return valid.alias("valid"), F.when(valid, F.array_distinct(cited)).alias("sources")

@@ -10,6 +10,7 @@ from evidencespark.functions import text as T
 from evidencespark.operators import fuse, ingest, lifecycle, search
 from evidencespark.plans import more_queries  # noqa: F401 - registers its queries
 from evidencespark.plans import queries as plans
+from evidencespark.plans import text_queries  # noqa: F401
 from evidencespark.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -35,7 +36,7 @@ def test_same_rows_as_sql(spark, duck, name):
     columns = sorted(got.columns)
     want = duck.execute(f"SELECT {', '.join(columns)} FROM ({plans.ORACLE_SQL[name]})").fetchall()
     rows = [tuple(r[c] for c in columns) for r in got.collect()]
-    assert sorted(tuple(map(plain, r)) for r in rows) == sorted(tuple(map(plain, r)) for r in want) or sorted(map(str, rows)) == sorted(map(str, want))
+    assert sorted((tuple(map(plain, r)) for r in rows), key=str) == sorted((tuple(map(plain, r)) for r in want), key=str) or sorted(map(str, rows)) == sorted(map(str, want))
 
 
 def test_rrf_golden(spark):
@@ -232,3 +233,55 @@ def test_stream_claims_over_two_files(spark, tmp_path):
         frame.coalesce(1).write.parquet(f"{tmp_path}/in/p={part}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/p=*")
     assert sorted(r["delivery_id"] for r in tasks.drained(tasks.claims(stream)).collect()) == [1, 3, 5, 6]
+
+
+def test_query_analysis(spark):
+    from evidencespark.operators import analysis
+
+    rows = [(1, "  how to use\u3000ＤＷ "), (2, "create data writer fails with DDS_RETCODE_TIMEOUT"), (3, ""), (4, None), (5, "DDS_DataReaderQos and DDS_A_KIND"), (6, "这个怎么用"), (7, "SDPX")]
+    a = {r["id"]: r for r in analysis.analyzed(spark.createDataFrame(rows, "id int, query string")).collect()}
+    assert a[1]["normalized"] == "how to use DW DataWriter DDS_DataWriter" and a[1]["ambiguous"] and len(a[1]["subqueries"]) == 3
+    assert a[1]["subqueries"][2] == "DDS_Publisher_create_datawriter DDS_DataWriter_write"
+    assert [(e["kind"], e["canonical"]) for e in a[2]["entities"]] == [("term", "DataWriter"), ("api", "DDS_Publisher_create_datawriter"), ("error_code", "DDS_RETCODE_TIMEOUT")]
+    assert a[2]["intent"] == "troubleshooting" and a[2]["subqueries"] == [a[2]["normalized"]]
+    assert a[3]["subqueries"] is None and a[4]["intent"] is None
+    assert [e["kind"] for e in a[5]["entities"]] == ["term", "struct", "enum"] and a[5]["intent"] == "qos"
+    assert a[6]["subqueries"][1].startswith("DDS ") and a[6]["intent"] == "general" and a[7]["entities"] == []
+
+
+def test_topics_of_a_page():
+    from evidencespark.operators import topics
+
+    html = "<title>t</title><nav>menu</nav><p>outside</p><main><h1 id=top>One</h1><p>one</p><p>a &amp;  b<br>c</p><div class='left sidebar'>no</div><h2><a name=x>Two</a></h2><pre>k  1\n  l</pre><h1>Three</h1></main><footer>f</footer>"
+    blocks = topics.blocks_of(html)
+    assert blocks == [(1, "top", "One"), (0, "", "one"), (0, "", "a & b"), (0, "", "c"), (2, "x", "Two"), (0, "", "k 1\nl"), (1, "", "Three")]
+    assert topics.sections_of(blocks) == [("One", "top", 1, 7, "one\n\na & b\n\nc"), ("One > Two", "x", 9, 12, "k 1\nl")]
+    assert topics.markdown_of(blocks).startswith("# One\n\na & b\n\nc\n\n## Two") and topics.blocks_of("") == []
+    assert topics.decoded("<meta charset=gbk>中".encode("gbk")).endswith("中") and topics.decoded(b"caf\xe9") == "café" and topics.decoded(b"\xef\xbb\xbfx") == "x"
+    paths = ["a\\b.htm", "/A%20b.HTML#c", "../x.html", "C:/x.html", "x.png", "./a/./b.html"]
+    assert [topics.topic_path(p) for p in paths] == ["a/b.htm", "A b.HTML", None, None, None, "a/b.html"]
+
+
+def test_procedures_and_numerals(spark):
+    raw = ["3", "0", "十", "十二", "二十", "九十九", "一百", "两", "零", "二三"]
+    rows = spark.createDataFrame([(x,) for x in raw], "x string").select(ingest.step_number(F.col("x"))).collect()
+    assert [r[0] for r in rows] == [3, None, 10, 12, 20, 99, None, 2, None, None]
+    parts = [(0, "s", "", "Intro"), (1, "s", "H", "H\n\nStep 1: a"), (2, "s", "H", "第二步 b\n步骤 3 c"), (3, "s", "H", "step 4) d"), (4, "t", "", "Step 5: e"), (5, "t", "", "Step 7: f")]
+    s = spark.createDataFrame([(1, *p) for p in parts], "doc_id int, ordinal long, scope string, heading string, text string")
+    rows = ingest.coalesced_procedures(s).orderBy("ordinal").collect()
+    assert [(r["ordinal"], r["first_step"], r["last_step"], r["segments"]) for r in rows] == [(0, None, None, 1), (1, 1, 4, 3), (4, 5, 5, 1), (5, 7, 7, 1)]
+    assert rows[1]["text"] == "H\n\nStep 1: a\n\n第二步 b\n步骤 3 c\n\nstep 4) d"
+
+
+def test_entry_shows_faults_inside_the_subpackage(tmp_path):
+    import subprocess
+    import sys
+
+    (tmp_path / "evidencespark").symlink_to(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "evidencespark"))
+    entry = open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "__spark_entry__.py")).read()
+    (tmp_path / "__spark_entry__.py").write_text(entry)
+    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_missing\n")
+    if not os.path.exists(tmp_path / "evidencespark" / "llm" / "queries.py"):
+        pytest.skip("without the subpackage there is no pipeline")
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert run.returncode and "a_module_that_is_missing" in run.stderr
