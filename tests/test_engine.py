@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evidencespark.functions import text as T
 from evidencespark.operators import fuse, ingest, lifecycle, search
-from evidencespark.plans import more_queries  # noqa: F401 - registers its queries
+from evidencespark.plans import command_queries, more_queries  # noqa: F401 - they register their queries
 from evidencespark.plans import queries as plans
 from evidencespark.plans import text_queries  # noqa: F401
 from evidencespark.sources import tables
