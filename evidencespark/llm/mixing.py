@@ -146,7 +146,7 @@ def _split(ranked: DataFrame, shards: int, seed: int) -> DataFrame:
     while width > 1:
         each = quotas.select("source", "pass", "node", F.explode(F.sequence(F.lit(1), F.col("quota"))).alias("unit"))
         key = F.xxhash64(F.lit(seed), F.lit(width), "node", F.coalesce("source", F.lit("")), F.col("source").isNull(), "pass", "unit")
-        each = each.withColumn("key", key).withColumn("slot", F.shiftrightunsigned("key", 52))
+        each = stored(each.withColumn("key", key).withColumn("slot", F.shiftrightunsigned("key", 52)), "mix-units")
         # The lower half of a node's keys goes left: whole slots of keys by their counts, and of the slot in which the
         # half ends the keys that come first. So no task orders a whole node.
         slots = each.groupBy("node", "slot").agg(F.count(F.lit(1)).alias("n"))
