@@ -56,11 +56,18 @@ _BAD_NAMES = frozenset(
     "subscription tags teaser toolbar widget widgets".split()
 )
 
+#: Words that say of a name what state it is in ("comments-open", "has-sidebar"), not what it holds.
+_STATE_NAMES = frozenset("open opened closed enabled disabled has no with without on off active".split())
+#: Bad words that weigh less beside a good one ("story-legal").
+_SOFT_NAMES = frozenset("banner byline copyright disclaimer hidden legal masthead notice notices overlay paywall popup search social tags".split())
+#: How far containers speak against main text: not, by a doubtful name, or plainly.
+FINE, DOUBTFUL, BAD = 0, 1, 2
+
 #: Weights of the block classifier.
-GOOD_CONTAINER, BAD_CONTAINER, PAGE_HEADER, OUTSIDE = 3.0, -8.0, -8.0, -3.0
+GOOD_CONTAINER, DOUBTFUL_CONTAINER, BAD_CONTAINER, PAGE_HEADER, OUTSIDE = 3.0, -3.0, -8.0, -8.0, -3.0
 WORDS, LINKS, SENTENCE, PARAGRAPH, HEADING, ITEM, RIGHTS, BIAS = 0.9, -4.0, 0.7, 0.8, 0.5, -0.3, -2.0, -2.0
 #: Edge capacities: blocks that follow each other, further ones for a common parent, and across a boilerplate border.
-NEXT, SAME_PARENT, BORDER = 0.2, 0.3, 0.1
+NEXT, SAME_PARENT, BORDER = 0.6, 0.6, 0.1
 
 
 class Block:
@@ -73,30 +80,37 @@ class Block:
         self.good, self.bad, self.header = good, bad, header
 
 
-def _named(attrs: str) -> tuple[bool, bool]:
-    """Whether class, id or role speak for main text, and whether they or hiding attributes speak against it."""
-    good = bad = False
+def _named(attrs: str, holds_text: bool) -> tuple[bool, int]:
+    """Whether class, id or role speak for main text, and how far they or hiding attributes speak against it.
+
+    Names do not speak against an element that ``holds_text`` by its kind (article, main).
+    """
+    good, bad = False, FINE
     for key, value in _ATTR.findall(attrs):
         key = key.lower()
         value = value.strip("\"'")
         if key == "style":
-            bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            bad = max(bad, BAD * bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)))
         elif key == "hidden":
-            bad |= value.lower() != "until-found"
+            bad = max(bad, BAD * (value.lower() != "until-found"))
         elif key == "aria-hidden":
-            bad |= value.lower() == "true"
+            bad = max(bad, BAD * (value.lower() == "true"))
         else:
-            names = {x.lower() for x in _NAME_PART.findall(value)} | {value.lower()}
-            good |= not _GOOD_NAMES.isdisjoint(names)
-            bad |= not _BAD_NAMES.isdisjoint(names)
-    return good and not bad, bad
+            for name in value.split():
+                parts = {x.lower() for x in _NAME_PART.findall(name)} | {name.lower()}
+                well = not _GOOD_NAMES.isdisjoint(parts)
+                good |= well
+                against = parts & _BAD_NAMES
+                if against and not holds_text and _STATE_NAMES.isdisjoint(parts):
+                    bad = max(bad, DOUBTFUL if well and against <= _SOFT_NAMES else BAD)
+    return good and bad < BAD, bad
 
 
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in page order; what is never text (head, scripts, styles, markup) is left out."""
     out: list[Block] = []
     # Open containers: (tag, number, good, bad, header); inherited flags are those of the container above or its own.
-    stack = [("", 0, False, False, False)]
+    stack = [("", 0, False, FINE, False)]
     count, in_link = 0, False
     parts: list[str] = []
     linked = 0
@@ -142,7 +156,7 @@ def blocks_of(html: str) -> list[Block]:
             parts.append(" ")
         elif tag == "a":
             in_link = not closing
-        if tag not in _BREAKS and not (attrs and not closing and _named(attrs)[1]) and not (closing and any(x[0] == tag for x in stack)):
+        if tag not in _BREAKS and not (attrs and not closing and _named(attrs, False)[1]) and not (closing and any(x[0] == tag for x in stack)):
             continue
         if tag in ("br", "img", "input", "hr", "wbr", "a", "meta", "link", "embed", "source", "col", "area"):
             if tag == "hr":
@@ -166,14 +180,14 @@ def blocks_of(html: str) -> list[Block]:
                     del stack[i:]
                     break
         _, _, good, bad, header = stack[-1]
-        own_good, own_bad = _named(attrs) if attrs else (False, False)
+        own_good, own_bad = _named(attrs, tag in _GOOD_TAGS) if attrs else (False, FINE)
         if tag == "header" and good:
-            own_bad = False
+            own_bad = FINE
         if tag in ("html", "body"):
-            own_good = own_bad = False
+            own_good, own_bad = False, FINE
         count += 1
         stack.append(
-            (tag, count, good or own_good or tag in _GOOD_TAGS, bad or own_bad or tag in _BAD_TAGS, header or (tag == "header" and not good))
+            (tag, count, good or own_good or tag in _GOOD_TAGS, max(bad, own_bad, BAD * (tag in _BAD_TAGS)), header or (tag == "header" and not good))
         )
         if attrs.endswith("/") and tag not in _BREAKS:
             stack.pop()
@@ -202,8 +216,7 @@ def block_scores(blocks: list[Block]) -> list[float]:
             z += GOOD_CONTAINER
         elif some_good:
             z += OUTSIDE
-        if b.bad:
-            z += BAD_CONTAINER
+        z += (0.0, DOUBTFUL_CONTAINER, BAD_CONTAINER)[b.bad]
         if b.header:
             z += PAGE_HEADER
         scores.append(z)

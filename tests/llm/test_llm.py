@@ -37,6 +37,38 @@ def test_main_text():
     assert html_extract.main_text(PAGE)[0] == "The title\nFirst <para> with bold words in it.\nSecond one.\nShort."
 
 
+LONG = "The council met again on Monday, and after a long debate it agreed to build the bridge that the town has waited for. " * 4
+
+
+@pytest.mark.parametrize(
+    "opening", ['article class="post hentry comments-open"', 'div class="story-legal"', 'main id="search-guide"', "article", 'div class="has-sidebar"', 'section class="post-body no-comments"']
+)
+def test_names_do_not_overrule_the_text(opening):
+    tag = opening.split()[0]
+    page = f"<body><nav><a href=x>Home</a></nav><{opening}><p>{LONG}</p></{tag}><footer>Imprint of this site</footer></body>"
+    assert html_extract.main_text(page)[0] == LONG.strip()
+
+
+@pytest.mark.parametrize("name", ["comments", "post-comments", "comment-list", "sidebar", "newsletter-box", "cookie-notice", "ad", "related-posts", "site-footer"])
+def test_boilerplate_by_name(name):
+    page = f"<article><p>{LONG}</p><div class='{name}'><p>Subscribe to this and read what others say about it, every day.</p></div></article>"
+    assert html_extract.main_text(page)[0] == LONG.strip()
+
+
+def test_the_cut_mends_labels():
+    """A short line between paragraphs stays with them, a lone sentence among links goes with these."""
+    body = f"<div><p>{LONG}</p><p>Why</p><p>{LONG}</p></div><div><ul>" + "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(4)) + "<li>See more here now</li></ul></div>"
+    blocks = html_extract.blocks_of(body)
+    scores = html_extract.block_scores(blocks)
+    kept = html_extract.source_side(scores, html_extract.block_edges(blocks))
+    assert kept == [True] * 3 + [False] * 5 and [s > 0 for s in scores] != kept
+
+
+def test_a_long_page():
+    page = "<article>" + "".join(f"<p>{LONG}</p><div class=ad>Buy now</div>" for _ in range(1500)) + "</article>"
+    assert html_extract.main_text(page)[0] == "\n".join([LONG.strip()] * 1500)
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "&am", "<!-- never closed", "<script>x", "<a href='x"])
 def test_broken_pages(html):
     assert isinstance(html_extract.main_text(html)[0], str)
