@@ -567,3 +567,29 @@ def test_same_rows_as_sql(spark, tmp_path, name):
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     plain = lambda rows: sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
     assert plain([r[c] for c in columns] for r in got.collect()) == plain(want)
+
+
+def test_pipeline_runs_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, shared ids, clashing columns; then no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    base = [prose(rng, 80) for _ in range(12)]
+    rows = [(i, base[i % 12] + (f" tail{i}" if i % 3 else ""), "en", f"s{i % 3}") for i in range(36)]
+    rows += [(1, base[2], None, None), (None, base[3], "en", "s0"), (None, None, None, None), (50, "", "en", "s1"), (51, "", "en", "s1"), (4, rows[4][1], "en", "s1"), (52, "x" * 300_000, "en", "s2")]
+    d = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("own") for c in ("score", "ids", "row_id", "N_tokens", "_shard", "keep_id")})
+    for part, some in (("full", d), ("none", d.limit(0))):
+        some.write.parquet(f"{tmp_path}/{part}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(36)], "doc_id long, quality int, toxic int").where("false" if part == "none" else "true").write.parquet(f"{tmp_path}/{part}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full")
+    assert got.columns == [c for c in d.columns if c != "text"] + ["_ids", "_n_tokens", "round_trip"]
+    out = got.collect()
+    assert out and all(r["round_trip"] and r["ids"] == "own" and len(r["_ids"]) == r["_n_tokens"] for r in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    stage = dict(corpus_pipeline.STAGES)
+    unique = stage["exact_dedup"](spark, d, None)
+    kept = stage["ngram_jaccard_join"](spark, unique, None)
+    texts = Counter((t or "").translate(LOWER) for _, t, _, _ in rows)
+    assert unique.count() == len(texts) and kept.columns == d.columns
+    ordered = [(r["doc_id"], r["text"]) for r in unique.collect()]
+    assert kept.count() == len(set(jaccard_classes(ordered)[1]))
