@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -33,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="evidencespark-")
         _folders[app] = f"{base.rstrip('/')}/evidencespark-{app}"
         atexit.register(purge, spark)
