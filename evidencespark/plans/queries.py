@@ -121,7 +121,7 @@ def content_digest(spark, sf_dir):
 
 @query("""SELECT doc_id, sha256('{"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}') AS config_digest FROM documents""")
 def config_digest(spark, sf_dir):
-    keys = F.to_json(F.struct("lang", "n_chars", "source"))
+    keys = F.to_json(F.struct("lang", "n_chars", "source"), {"ignoreNullFields": "false"})
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(keys, 256).alias("config_digest"))
 
 
