@@ -125,3 +125,24 @@ def budgeted(evidence: DataFrame, budget: int) -> DataFrame:
         F.col("plan.used").alias("estimated_tokens"),
         (F.size("rows") - F.size("plan.taken")).cast("long").alias("n_omitted"),
     )
+
+
+def expanded(anchors: DataFrame, chunks: DataFrame, radius: int = 1) -> DataFrame:
+    """Anchors in their order, then the neighbours of each in the order of the anchors.
+
+    ``anchors`` are (query_id, pos, doc_id, version, ordinal), ``chunks`` (doc_id, version, topic, ordinal). Neighbours
+    are of the anchor's version and topic, nearest first, and each comes once, at its first anchor; an anchor without
+    a chunk or a topic has none. ``distance`` is signed, and 0 for anchors.
+    """
+    known = chunks.select("doc_id", "version", "topic", "ordinal")
+    placed = anchors.join(known.where("topic <> ''"), ["doc_id", "version", "ordinal"])
+    steps = F.explode(F.array(*[F.lit(d).cast("long") for d in range(-radius, radius + 1) if d])).alias("distance")
+    asked = placed.select("query_id", "pos", "doc_id", "version", "topic", F.col("ordinal").alias("from"), steps)
+    asked = asked.select("query_id", "pos", "doc_id", "version", "topic", (F.col("from") + F.col("distance")).alias("ordinal"), "distance")
+    found = asked.join(known, ["doc_id", "version", "topic", "ordinal"])
+    found = found.join(anchors.select("query_id", "doc_id", "version", "ordinal"), ["query_id", "doc_id", "version", "ordinal"], "left_anti")
+    best = F.min(F.struct("pos", F.abs("distance").alias("far"), "distance")).alias("at")
+    found = found.groupBy("query_id", "doc_id", "version", "ordinal").agg(best).select("query_id", "doc_id", "version", "ordinal", "at.pos", "at.distance")
+    own = anchors.select("query_id", "doc_id", "version", "ordinal", "pos", F.lit(0).cast("long").alias("distance"))
+    order = W.partitionBy("query_id").orderBy(F.col("distance") != 0, "pos", F.abs("distance"), "ordinal")
+    return own.unionByName(found).withColumn("place", F.row_number().over(order).cast("long"))

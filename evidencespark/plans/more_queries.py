@@ -35,17 +35,6 @@ def intent_classify(spark, sf_dir):
     return c.select("conv_id", "turn", F.when(F.col("b.score") > 0, F.col("b.intent")).otherwise("general").alias("intent"), F.col("b.score").alias("score"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
-SELECT conv_id, turn, CASE WHEN length(trim(text)) <= 8 AND NOT contains(text, '?') THEN 'reply' WHEN regexp_matches(lower(text), '^(it|that|this|they|those)[^a-z]') THEN CASE WHEN before IS NULL THEN 'clarify' ELSE 'follow_up' END ELSE 'retrieve' END AS action FROM p WHERE role = 'user'""")
-def intent_route(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
-    short = (F.length(F.trim("text")) <= 8) & ~F.contains("text", F.lit("?"))
-    follows = F.lower("text").rlike("^(it|that|this|they|those)[^a-z]")
-    action = F.when(short, "reply").when(follows, F.when(F.col("before").isNull(), "clarify").otherwise("follow_up")).otherwise("retrieve")
-    return c.withColumn("before", before).where("role = 'user'").select("conv_id", "turn", action.alias("action"))
-
-
 @query(f"""WITH {LINES}, p AS (SELECT doc_id, ordinal // 5 AS page, substr(regexp_replace(lower(trim(content)), '[0-9]', '#', 'g'), 1, 160) AS key FROM lines),
 n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM p GROUP BY 1), k AS (SELECT doc_id, key, count(DISTINCT page) AS on_pages FROM p GROUP BY 1, 2)
 SELECT k.doc_id, sha256(key) AS key_sha256, on_pages FROM k JOIN n USING (doc_id) WHERE on_pages >= greatest(3, ceil(0.6 * pages))""")
@@ -70,23 +59,6 @@ def page_outline(spark, sf_dir):
     )
 
 
-@query("""WITH o AS (SELECT page_id, url, regexp_extract(url, '^(?:https?)://([^/?#]+)', 1) AS host FROM pages), t AS (SELECT host, min(page_id) AS toc_rank FROM o WHERE page_id % 3 = 0 GROUP BY 1)
-SELECT o.page_id, row_number() OVER (PARTITION BY o.host ORDER BY coalesce(CASE WHEN o.page_id = t.toc_rank THEN 0 END, 1), lower(o.url), o.page_id) AS position FROM o LEFT JOIN t ON t.host = o.host""")
-def toc_order(spark, sf_dir):
-    """Topics that a table of contents lists come first, the others by path."""
-    o = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^(?:https?)://([^/?#]+)", 1).alias("host"))
-    t = o.where("page_id % 3 = 0").groupBy("host").agg(F.min("page_id").alias("toc_rank"))
-    order = W.partitionBy("host").orderBy(F.when(F.col("page_id") == F.col("toc_rank"), 0).otherwise(1), F.lower("url"), "page_id")
-    return o.join(t, "host", "left").select("page_id", F.row_number().over(order).cast("long").alias("position"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, 'page ' || (l_linenumber) || CASE WHEN l_quantity > 25 THEN ' · L' || CAST(l_quantity AS BIGINT) || '–L' || CAST(l_quantity + 3 AS BIGINT) ELSE '' END AS place FROM lineitem""")
-def locator_format(spark, sf_dir):
-    q = F.col("l_quantity")
-    lines = F.when(q > 25, F.concat(F.lit(" · L"), q.cast("long").cast("string"), F.lit("–L"), (q + 3).cast("long").cast("string"))).otherwise("")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("page "), F.col("l_linenumber").cast("string"), lines).alias("place"))
-
-
 @query("SELECT o.o_orderkey AS document_id, coalesce(l.status, 'FAILED') AS status, l.status IS NULL AS stale FROM orders o LEFT JOIN (SELECT l_orderkey, min(l_linestatus) AS status FROM lineitem WHERE l_quantity > 40 GROUP BY 1) l ON l.l_orderkey = o.o_orderkey")
 def document_job_status(spark, sf_dir):
     jobs = table(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy("l_orderkey").agg(F.min("l_linestatus").alias("job"))
@@ -128,17 +100,6 @@ def histogram_quantile(spark, sf_dir):
     return q.select("event_type", F.round(F.col("below") + (F.col("le") - F.col("below")) * share, 6).alias("p95"))
 
 
-@query("""SELECT round(coalesce(CAST(count(*) FILTER (quality = 1 AND toxic = 0) AS DOUBLE) / nullif(count(*) FILTER (quality = 1), 0), 1), 9) AS clean_ratio, round(coalesce(CAST(count(*) FILTER (quality = 7 AND toxic = 0) AS DOUBLE) / nullif(count(*) FILTER (quality = 7), 0), 1), 9) AS empty_ratio, count(*) AS cases FROM labels""")
-def agent_eval_ratios(spark, sf_dir):
-    """Ratios of evaluation cases; one without cases is 1."""
-
-    def ratio(part, whole):
-        return F.round(F.coalesce(F.count_if(part & whole) / F.nullif(F.count_if(whole).cast("double"), F.lit(0.0)), F.lit(1.0)), 9)
-
-    clean, q = F.col("toxic") == 0, F.col("quality")
-    return table(spark, sf_dir, "labels").agg(ratio(clean, q == 1).alias("clean_ratio"), ratio(clean, q == 7).alias("empty_ratio"), F.count(F.lit(1)).alias("cases"))
-
-
 @query("""WITH m AS (SELECT conv_id, turn, octet_length(encode(text)) AS bytes FROM conversations), u AS (SELECT *, sum(bytes) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM m) SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM u WHERE used <= 600""")
 def tool_output_budget(spark, sf_dir):
     """The longest prefix of a conversation's outputs within 600 bytes."""
@@ -146,14 +107,6 @@ def tool_output_budget(spark, sf_dir):
     return m.withColumn("used", F.sum("bytes").over(W.partitionBy("conv_id").orderBy("turn"))).where("used <= 600").select("conv_id", "turn", "used")
 
 
-@query("SELECT conv_id, string_agg(role || ':' || length(text), ',' ORDER BY turn) AS deltas, count(*) AS parts FROM conversations GROUP BY 1")
-def stream_assembly(spark, sf_dir):
-    """Parts of a message put together in their order."""
-    part = F.concat_ws(":", "role", F.length("text").cast("string"))
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("part")))).alias("rows"))
-    return c.select("conv_id", F.array_join(F.transform("rows", lambda r: r["part"]), ",").alias("deltas"), F.size("rows").cast("long").alias("parts"))
-
-
 @query("""WITH c AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS s FROM (SELECT doc_id, string_split(text, '. ') AS l FROM documents)),
 f AS (SELECT doc_id, pos, min(pos) OVER (PARTITION BY doc_id, length(s) % 9) AS first FROM c), n AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) AS number FROM f)
 SELECT doc_id, string_agg(CAST(number AS VARCHAR), ',' ORDER BY pos) AS numbers, max(number) AS n_sources FROM n GROUP BY 1""")

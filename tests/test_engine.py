@@ -6,9 +6,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from evidencespark.functions import places
 from evidencespark.functions import text as T
-from evidencespark.operators import fuse, ingest, lifecycle, search
-from evidencespark.plans import command_queries, more_queries  # noqa: F401 - they register their queries
+from evidencespark.operators import contents, dialogue, fuse, ingest, lifecycle, search
+from evidencespark.plans import answer_queries, command_queries, more_queries  # noqa: F401 - they register their queries
 from evidencespark.plans import queries as plans
 from evidencespark.plans import text_queries  # noqa: F401
 from evidencespark.sources import tables
@@ -285,3 +286,62 @@ def test_entry_shows_faults_inside_the_subpackage(tmp_path):
         pytest.skip("without the subpackage there is no pipeline")
     run = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert run.returncode and "a_module_that_is_missing" in run.stderr
+
+
+def test_routes_of_messages(spark):
+    said = ["hello", "hi, how do I configure the history depth", "你好，超时怎么配置？", "上一条总结一下", "上一条总结一下，另外告诉我版本", "那它呢", "这个知识库讲什么", None, "它是谁"]
+    rows = [(1, i, "user", text) for i, text in enumerate(said)] + [(2, 0, "assistant", "x"), (2, 1, "user", " 它是谁 ")]
+    got = {(r.conv_id, r.turn): r[2:] for r in dialogue.routed(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()}
+    actions = [got[1, i][1] for i in range(len(said))]
+    assert actions == ["reply", "retrieve", "retrieve", "reuse", "retrieve", "retrieve", "retrieve", "retrieve", "clarify"]
+    assert got[1, 5][2] == said[4] + "那它呢" and got[1, 7][2] == "" and got[2, 1] == ("follow_up", "clarify", None)
+    assert (2, 0) not in got
+
+
+def test_tool_calls_from_parts(spark):
+    parts = [(1, 0, 1, "a", "function", "find", '{"q"'), (1, 0, 3, "", "", "", ": 1}"), (1, 1, 2, "b", "function", "", ""), (1, 2, 4, "c", "", "last", None), (2, 0, 1, "", "", "x", "1"), (2, 0, 2, "z", "", "y", "2")]
+    deltas = spark.createDataFrame(parts, "run int, index int, at int, id string, type string, name string, arguments string")
+    got = sorted(tuple(r) for r in dialogue.assembled_calls(deltas).collect())
+    assert got == [(1, 0, "a", "function", "find", '{"q": 1}'), (1, 2, "c", "", "last", ""), (2, 0, "z", "", "y", "12")]
+    assert dialogue.assembled_calls(deltas.limit(0)).count() == 0
+
+
+def test_ratios_of_no_cases_are_one(spark):
+    schema = "expected string, action string, rounds long, max_rounds int, citations_ok boolean"
+    assert tuple(dialogue.case_ratios(spark.createDataFrame([], schema)).first()) == (1.0, 1.0, 1.0, 1.0, 1.0, 0)
+    cases = [("retrieve", "retrieve", 1, 2, True), ("retrieve", "reply", 0, 2, True), ("reply", "reply", 0, 2, False), (None, "retrieve", 3, 2, True)]
+    got = dialogue.case_ratios(spark.createDataFrame(cases, schema)).first()
+    assert tuple(got) == (round(2 / 3, 9), 0.5, 1.0, 0.75, 0.75, 4)
+
+
+def test_places_and_paths(spark):
+    rows = [("pdf", "iv", 6, 0, 0), ("pdf", "", 6, 0, 0), ("pptx", "", 2, 3, 4), ("text", "", 0, 1, 9), ("text", None, None, None, None)]
+    df = spark.createDataFrame(rows, "kind string, printed string, page long, a long, b long")
+    got = [r[0] for r in df.select(places.place(*map(F.col, df.columns))).collect()]
+    assert got == ["文档第 iv 页（PDF 第 6 页）", "PDF 第 6 页", "第 2 页 · L3–L4", "L1–L9", ""]
+    paths = {"a\\b%20c.HTM?x": "a/b c.HTM", "http://h/x//./y+z.html#t": "x/y+z.html", "../a.html": None, "a/%2e%2e/b.html": None, "/.html": None, "a.txt": None, "": None, "a%zz.xhtml": "a%zz.xhtml"}
+    df = spark.createDataFrame([(k,) for k in paths], "v string")
+    assert [r[0] for r in df.select(places.topic_path(F.col("v"))).collect()] == list(paths.values())
+
+
+def test_provider_waits(spark):
+    df = spark.createDataFrame([(" 1.5 ",), ("Mon, 01 Jan 2024 00:00:30 GMT",), ("Sun, 31 Dec 2023 00:00:00 GMT",), ("-1",), ("nan",), ("inf",), ("soon",), ("",), (None,)], "h string")
+    got = [r[0] for r in df.select(places.retry_after(F.col("h"), F.lit("2024-01-01 00:00:00").cast("timestamp"))).collect()]
+    assert got == [1.5, 30.0, None, None, None, None, None, None, None]
+    codes = spark.createDataFrame([("insufficient_quota",), ("Throttling.RateQuota",), ("Arrearage",), ("",), (None,)], "c string")
+    assert [r[0] for r in codes.select(places.quota_used_up(F.col("c"))).collect()] == [True, False, True, False, False]
+
+
+def test_order_by_contents(spark):
+    topics = spark.createDataFrame([("s", "A.html"), ("s", "d/b.html"), ("s", "c.html"), ("s", "z.html"), ("t", "A.html")], "site string, path string")
+    entry = '<param name="Local" value="{}">'.format
+    tocs = spark.createDataFrame([("s", "d/z.hhc", entry("B.HTML") + entry("/a.html")), ("s", "e.hhc", entry("z.html") + entry("a.html") + entry("no.html")), ("u", "x.hhc", entry("A.html"))], "site string, toc_path string, content string")
+    got = {(r.site, r.path): r.position for r in contents.in_order(topics, tocs).collect()}
+    assert got == {("s", "d/b.html"): 1, ("s", "A.html"): 2, ("s", "z.html"): 3, ("s", "c.html"): 4, ("t", "A.html"): 1}
+
+
+def test_neighbours_follow_all_anchors(spark):
+    chunks = spark.createDataFrame([(d, 1, "x" if o < 4 else "y", o) for d in (1, 2) for o in range(6)] + [(3, 1, "", 0), (3, 1, "", 1)], "doc_id int, version int, topic string, ordinal long")
+    anchors = spark.createDataFrame([(7, 1, 2, 1, 3), (7, 2, 1, 1, 1), (7, 3, 1, 1, 3), (7, 4, 3, 1, 0)], "query_id int, pos long, doc_id int, version int, ordinal long")
+    got = [(r.doc_id, r.ordinal, r.pos, r.distance) for r in fuse.expanded(anchors, chunks).orderBy("place").collect()]
+    assert got == [(2, 3, 1, 0), (1, 1, 2, 0), (1, 3, 3, 0), (3, 0, 4, 0), (2, 2, 1, -1), (1, 0, 2, -1), (1, 2, 2, 1)]
