@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencespark.llm import block_naming, bpe, embedding_dedup, html_extract, mixing, ngram_join, quality, suffix_dedup, token_rollup, toxicity
+from evidencespark.llm import block_naming, bpe, embedding_dedup, html_extract, id_files, merkle, mixing, ngram_join, quality, suffix_dedup, token_rollup, toxicity
 from evidencespark.llm.common import held_out, shared_folder, stored, table
 
 
@@ -158,6 +158,65 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents; those whose id has an even CRC are folded again without their line ends."""
+    text = F.col("text").cast("string")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate(text, "\n", "")).otherwise(text)
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+    hexed = lambda c: F.lower(F.hex(c))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), merkle.folded(F.coalesce("changed", "leaf"), F.col("path")).alias("folded"))
+    return rows.select("doc_id", *[hexed(c).alias(c) for c in ("leaf", "subroot", "root")], "proof_sha256", hexed("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+OP11_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('+' || source, '') AS k, source, lang, n_chars, text,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) AS crc
+  FROM documents),
+e AS (
+  SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS altered,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') ||
+    coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM d),
+leaves AS (
+  SELECT doc_id, k, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(altered) || ':' || altered, '-')) AS changed
+  FROM e),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM leaves),
+t1 AS (
+  SELECT k, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL SELECT k, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM t1 WHERE n > 1 GROUP BY k, level, pos // 3, n),
+sub AS (SELECT k, digest AS subroot, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n FROM t1 WHERE n = 1),
+t2 AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM sub
+  UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM t2 WHERE n > 1 GROUP BY level, pos // 3, n),
+depth AS (SELECT k, max(level) AS deep FROM t1 GROUP BY k),
+sides1 AS (
+  SELECT a.k, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM t1 a JOIN t1 b ON a.k = b.k AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+sides2 AS (
+  SELECT a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM t2 a JOIN t2 b ON a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+way AS (
+  SELECT p.k, p.pos AS leaf_pos, s.level AS step, s.l, s.r FROM placed p JOIN sides1 s ON s.k = p.k AND s.pos = p.pos // CAST(3 ** s.level AS BIGINT)
+  UNION ALL SELECT p.k, p.pos, depth.deep + s.level, s.l, s.r FROM placed p JOIN depth ON depth.k = p.k JOIN sub ON sub.k = p.k JOIN sides2 s ON s.pos = sub.pos // CAST(3 ** s.level AS BIGINT)),
+proofs AS (SELECT k, leaf_pos, string_agg(l || r, '' ORDER BY step) AS proof FROM way GROUP BY ALL),
+fold AS (
+  SELECT k, pos, 0 AS step, changed AS digest FROM placed
+  UNION ALL SELECT fold.k, fold.pos, fold.step + 1, sha256(w.l || fold.digest || w.r) FROM fold JOIN way w ON w.k = fold.k AND w.leaf_pos = fold.pos AND w.step = fold.step),
+ends AS (SELECT k, pos, max_by(digest, step) AS folded_root FROM fold GROUP BY ALL),
+top AS (SELECT digest AS root FROM t2 WHERE n = 1)
+SELECT p.doc_id, p.leaf, sub.subroot, top.root, sha256(coalesce(q.proof, '')) AS proof_sha256, ends.folded_root, ends.folded_root = top.root AS verified
+FROM placed p JOIN sub ON sub.k = p.k JOIN ends ON ends.k = p.k AND ends.pos = p.pos LEFT JOIN proofs q ON q.k = p.k AND q.leaf_pos = p.pos CROSS JOIN top
+"""
+
+
+def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    id_files.write_ids(table(spark, sf_dir, "documents"), folder, id_files.default_vocabulary())
+    return id_files.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").cast("long").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_bpe": op2_bpe,
@@ -169,6 +228,8 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_id_files": op13_id_files,
 }
 
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_source_mix": OP4_SQL}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_source_mix": OP4_SQL, "op11_merkle_manifest": OP11_SQL}
