@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencespark.llm import block_naming, bpe, embedding_dedup, html_extract, id_files, merkle, mixing, ngram_join, quality, suffix_dedup, token_rollup, toxicity
+from evidencespark.llm import block_naming, bpe, embedding_dedup, html_extract, id_files, merkle, mixing, ngram_join, quality, suffix_dedup, token_rollup, toxicity, whitening
 from evidencespark.llm.common import held_out, shared_folder, stored, table
 
 
@@ -211,6 +211,10 @@ FROM placed p JOIN sub ON sub.k = p.k JOIN ends ON ends.k = p.k AND ends.pos = p
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     id_files.write_ids(table(spark, sf_dir, "documents"), folder, id_files.default_vocabulary())
@@ -229,6 +233,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_whitening": op12_whitening,
     "op13_id_files": op13_id_files,
 }
 
