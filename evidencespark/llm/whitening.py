@@ -48,7 +48,8 @@ def secular_roots(d: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndarray,
     upper = np.append(d[1:], reach)
     middle = (d + upper) / 2
     own = np.arange(m)
-    f = 1 + (weight / (d[None, :] - middle[:, None])).sum(1)
+    with np.errstate(divide="ignore"):
+        f = 1 + (weight / (d[None, :] - middle[:, None])).sum(1)
     near = own + ((f < 0) & (own < m - 1))
     pole = d[near]
     gaps = d[None, :] - pole[:, None]
@@ -104,35 +105,18 @@ def updated(values: np.ndarray, vectors: np.ndarray, v: np.ndarray, rho: float)
         return values, vectors
     rho, z = rho * size * size, z / size
     tiny = 8 * _EPS * max(abs(values[-1]), abs(values[0]), rho)
-    close = np.flatnonzero(np.diff(values) <= tiny)
-    if len(close):  # in a run of equal eigenvalues one direction takes all of z
-        vectors = vectors.copy()
-        starts = [i for i in close.tolist() if i - 1 not in set(close.tolist())]
-        for a in starts:
-            b = a + 1
-            while b < len(values) and values[b] - values[a] <= tiny:
-                b += 1
-            if b - a < 2:
-                continue
-            part = z[a:b].copy()
-            norm = np.linalg.norm(part)
-            if norm == 0:
-                continue
-            w = part.copy()
-            w[-1] += np.copysign(norm, part[-1])
-            w /= np.linalg.norm(w)
-            vectors[:, a:b] -= 2 * np.outer(vectors[:, a:b] @ w, w)
-            z[a:b] = 0
-            z[b - 1] = -np.copysign(norm, part[-1])
     touched = rho * np.abs(z) > tiny
+    if (np.diff(values[touched]) <= tiny).any():  # of eigenvalues that are equal to rounding, the last takes all of z
+        vectors, before = vectors.copy(), None
+        for i in np.flatnonzero(touched).tolist():
+            if before is not None and values[i] - values[before] <= tiny:
+                r = np.hypot(z[before], z[i])
+                c, s = z[i] / r, z[before] / r
+                vectors[:, [before, i]] = vectors[:, [before, i]] @ np.array([[c, s], [-s, c]])
+                z[before], z[i], touched[before] = 0, r, False
+            before = i
     if touched.any():
-        # Equal poles that are left (in a longer run) keep their first touched one only if they differ.
         d, zt = values[touched], z[touched]
-        if len(d) > 1 and not (np.diff(d) > 0).all():
-            d = d + np.arange(len(d)) * 0.0
-            for i in range(1, len(d)):
-                if d[i] <= d[i - 1]:
-                    d[i] = np.nextafter(d[i - 1], np.inf)
         roots, delta = secular_roots(d, zt, rho)
         # The vector that these roots belong to exactly, so that the eigenvectors are orthogonal.
         gap = d[None, :] - d[:, None]
