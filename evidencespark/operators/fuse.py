@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: The rank constant of reciprocal rank fusion, and the over-fetch of a route.
 RRF_K = 60
+#: Most anchors that are broadcast to the chunks.
+ANCHORS = 200_000
 
 
 def over_fetch(top_k: int) -> int:
@@ -135,11 +137,12 @@ def expanded(anchors: DataFrame, chunks: DataFrame, radius: int = 1) -> DataFram
     a chunk or a topic has none. ``distance`` is signed, and 0 for anchors.
     """
     known = chunks.select("doc_id", "version", "topic", "ordinal")
-    placed = anchors.join(known.where("topic <> ''"), ["doc_id", "version", "ordinal"])
+    small = F.broadcast if anchors.limit(ANCHORS + 1).count() <= ANCHORS else lambda rows: rows
+    placed = known.where("topic <> ''").join(small(anchors), ["doc_id", "version", "ordinal"])
     steps = F.explode(F.array(*[F.lit(d).cast("long") for d in range(-radius, radius + 1) if d])).alias("distance")
     asked = placed.select("query_id", "pos", "doc_id", "version", "topic", F.col("ordinal").alias("from"), steps)
     asked = asked.select("query_id", "pos", "doc_id", "version", "topic", (F.col("from") + F.col("distance")).alias("ordinal"), "distance")
-    found = asked.join(known, ["doc_id", "version", "topic", "ordinal"])
+    found = known.join(small(asked), ["doc_id", "version", "topic", "ordinal"])
     found = found.join(anchors.select("query_id", "doc_id", "version", "ordinal"), ["query_id", "doc_id", "version", "ordinal"], "left_anti")
     best = F.min(F.struct("pos", F.abs("distance").alias("far"), "distance")).alias("at")
     found = found.groupBy("query_id", "doc_id", "version", "ordinal").agg(best).select("query_id", "doc_id", "version", "ordinal", "at.pos", "at.distance")

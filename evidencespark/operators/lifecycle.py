@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidencespark.sources.shared import stored
+
+
 def active_versions(builds: DataFrame) -> DataFrame:
     """``(document_id, active_version)``: the largest finished version; late lower ones never replace it."""
     return builds.where("finished").groupBy("document_id").agg(F.max("version").alias("active_version"))
@@ -48,23 +51,61 @@ def upserted(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return current.join(last.select(key), key, "left_anti").unionByName(last)
 
 
+def _binned(rows: DataFrame, seconds: int, at: Column) -> DataFrame:
+    """``rows`` with ``_at`` (microseconds), each in its bin of ``seconds`` and once more, as a ``_halo``, in the next one.
+
+    What happened in the ``seconds`` before a row lies in its bin, so windows go by bin, and no key is one task.
+    """
+    width = seconds * 1_000_000
+    rows = rows.withColumn("_at", at)
+    own = F.floor(F.col("_at") / width).cast("long")
+    places = F.array(F.struct(own.alias("bin"), F.lit(False).alias("halo")), F.struct((own + 1).alias("bin"), F.lit(True).alias("halo")))
+    return rows.withColumn("_place", F.explode(places)).withColumns({"_bin": F.col("_place.bin"), "_halo": F.col("_place.halo")}).drop("_place")
+
+
 def trailing_rate(events: DataFrame, seconds: int, *by: str) -> DataFrame:
-    """Events a second over the ``seconds`` before and at each event, by key."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    over = W.partitionBy(*by).orderBy(at).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return events.withColumn("rate", F.round(F.count(F.lit(1)).over(over) / seconds, 9))
+    """Events a second over the ``seconds`` before and at each event, by key; what is ``seconds`` old is out."""
+    over = W.partitionBy(*by, "_bin").orderBy("_at").rangeBetween(-seconds * 1_000_000 + 1, 0)
+    rows = _binned(events, seconds, F.unix_micros(F.col("ts").cast("timestamp")))
+    counted = rows.withColumn("rate", F.round(F.count(F.lit(1)).over(over) / seconds, 9))
+    return counted.where(~F.col("_halo")).drop("_at", "_bin", "_halo")
 
 
-def limited_logins(failures: DataFrame, limit: int, seconds: int, block: int) -> DataFrame:
-    """Failures that are at least the ``limit``-th of their key within ``seconds``, and until when the key is blocked.
+def sampled_rate(events: DataFrame, seconds: int, step: int, *by: str) -> DataFrame:
+    """``(by, sampled, rate)``: events a second over the ``seconds`` before each multiple of ``step`` seconds, for the samples that
+    see an event; an event of the sample's moment counts, one ``seconds`` older does not. ``step`` divides ``seconds``.
 
-    The block lasts ``block`` seconds from the oldest of the failures within those seconds.
+    Counts of steps are added up, so a hot key is summed in each task before anything is shuffled.
     """
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    over = W.partitionBy("key").orderBy("at").rangeBetween(-seconds * 1_000_000 + 1, 0)
-    failures = failures.withColumn("at", at)
-    counted = failures.withColumns({"recent": F.count(F.lit(1)).over(over), "blocked_until": F.min("at").over(over) + F.lit(block * 1_000_000)})
-    return counted.where(F.col("recent") >= limit).drop("at")
+    if seconds % step:
+        raise ValueError("the step must divide the window")
+    up = F.ceil(F.unix_micros(F.col("ts").cast("timestamp")) / (step * 1_000_000)).cast("long")
+    counts = events.groupBy(*by, up.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    seen = counts.withColumn("sampled", F.explode(F.transform(F.sequence("slot", F.col("slot") + seconds // step - 1), lambda i: i * step)))
+    return seen.groupBy(*by, "sampled").agg(F.round(F.sum("n") / seconds, 9).alias("rate"))
+
+
+def login_waits(attempts: DataFrame, key: str, limit: int, seconds: int = 300, block: int = 900) -> DataFrame:
+    """``attempts`` with ``recent``, the failures of ``key`` that count against each, and ``wait``, for how many seconds it is
+    refused (0: it is not).
+
+    ``attempts`` have (``key``, attempt_id, at in microseconds, success). A failure counts for ``seconds``, that moment
+    included, unless a success of its key came after it; the attempt itself and later ones of the same moment (by
+    attempt_id) do not. With ``limit`` failures an attempt is refused until ``block`` seconds after the oldest of them.
+    """
+    rows = _binned(attempts, seconds, F.col("at"))
+    in_order = W.partitionBy(key, "_bin").orderBy("_at", "attempt_id").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_epoch", F.coalesce(F.sum(F.col("success").cast("int")).over(in_order), F.lit(0)))
+    epoch = W.partitionBy(key, "_bin", "_epoch")
+    failed = F.when(~F.col("success"), F.col("_at"))
+    before = F.count(failed).over(epoch.orderBy("_at", "attempt_id").rowsBetween(W.unboundedPreceding, -1))
+    gone = F.count(failed).over(epoch.orderBy("_at").rangeBetween(W.unboundedPreceding, -seconds * 1_000_000 - 1))
+    oldest = F.min(failed).over(epoch.orderBy("_at").rangeBetween(-seconds * 1_000_000, 0))
+    rows = rows.withColumns({"_before": before, "_gone": gone, "_oldest": oldest}).where(~F.col("_halo"))
+    recent = (F.col("_before") - F.col("_gone")).cast("long")
+    left = (F.col("_oldest") + block * 1_000_000 - F.col("_at")) / 1e6
+    wait = F.when(recent >= limit, F.greatest(left, F.lit(0.0))).otherwise(0.0)
+    return rows.withColumns({"recent": recent, "wait": F.round(wait, 6)}).drop("_at", "_bin", "_halo", "_epoch", "_before", "_gone", "_oldest")
 
 
 def recent_history(messages: DataFrame, most: int = 12) -> DataFrame:
@@ -103,20 +144,40 @@ def trimmed_context(messages: DataFrame, budget: int = CONTEXT_TOKENS, aside: in
     return m.where(stays).drop("nth", "latest", "group", "fixed", "needed", "all", "count")
 
 
+#: Most parts of a range partition that are broadcast.
+PARTS = 100_000
+
+
 def percentiles(rows: DataFrame, label: str, wanted: dict[str, float]) -> DataFrame:
-    """Exact percentiles of ``value`` by ``label``, interpolated, from running counts of sorted values; null without values."""
-    counts = rows.groupBy(label, "value").agg(F.count("value").alias("n"))
-    totals = counts.groupBy(F.col(label).alias("_label")).agg(F.sum("n").alias("total"))
-    upto = F.sum("n").over(W.partitionBy(label).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
-    counts = counts.withColumn("upto", upto).join(totals, F.col(label).eqNullSafe(F.col("_label")))
+    """Exact percentiles of ``value`` by ``label``, interpolated; null without values.
 
-    def at(place):
-        return F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("n")), F.col("value")))
+    Distinct values are counted and partitioned by range, so a hot label lies in many parts. The counts of whole parts
+    show which parts hold the ranks asked for, and only in these single values are counted on.
+    """
+    counts = rows.groupBy(label, "value").agg(F.count("value").alias("n")).repartitionByRange(label, "value").sortWithinPartitions(label, "value")
+    counts = stored(counts.withColumn("_part", F.spark_partition_id()), "value-counts")
+    parts = counts.groupBy(label, "_part").agg(F.sum("n").alias("rows"))
+    by_part = W.partitionBy(label).orderBy("_part")
+    parts = parts.withColumns({"begin": F.sum("rows").over(by_part) - F.col("rows"), "total": F.sum("rows").over(W.partitionBy(label))})
+    place = lambda q: (F.col("total") - 1) * F.lit(q)
+    edges = [edge(place(q)) for q in wanted.values() for edge in (F.floor, F.ceil)]
+    held = sum((F.col("begin") <= e).cast("int") * (e < F.col("begin") + F.col("rows")).cast("int") for e in edges) > 0
+    parts = parts.withColumn("held", held).select(F.col(label).alias("_label"), F.col("_part").alias("_of"), "begin", "total", "held")
+    parts = stored(parts, "value-parts")
+    few = parts.limit(PARTS + 1).count() <= PARTS
+    needed = parts.where("held").drop("held")
+    near = counts.join(F.broadcast(needed) if few else needed, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_of")))
+    upto = F.col("begin") + F.sum("n").over(W.partitionBy(label, "_part").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    near = near.withColumn("upto", upto)
+
+    def at(where):
+        return F.max(F.when((where < F.col("upto")) & (where >= F.col("upto") - F.col("n")), F.col("value")))
 
     def one(q):
-        place = (F.col("total") - 1) * F.lit(q)
-        low, high = F.floor(place), F.ceil(place)
-        share = F.max(place - low)
+        low, high = F.floor(place(q)), F.ceil(place(q))
+        share = F.max(place(q) - low)
         return F.round(F.when(share == 0, at(low)).otherwise((1 - share) * at(low) + share * at(high)), 6)
 
-    return counts.groupBy(label).agg(*[one(q).alias(name) for name, q in wanted.items()])
+    found = near.groupBy(F.col("_label").alias("_of")).agg(*[one(q).alias(name) for name, q in wanted.items()])
+    labels = parts.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
+    return labels.join(found, F.col("_label").eqNullSafe(F.col("_of")), "left").select(F.col("_label").alias(label), *wanted)

@@ -6,13 +6,18 @@ query's candidates are cut to its top k in each task before they are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidencespark.functions import text as T
+from evidencespark.sources.shared import stored
 
 #: About the most queries a task of the dense search holds, and into how many blocks the items are dealt that it streams.
 QUERY_BLOCK, ITEM_BLOCKS = 4096, 16
@@ -92,68 +97,270 @@ def dense_topk(items: DataFrame, queries: DataFrame, k: int = 20, exclude_self:
 
 #: Most distinct words of the queries that are broadcast to the texts; more of them are joined by a shuffle.
 ASKED_WORDS = 200_000
+#: Posting rows that a task of the text search holds and searches at once.
+BLOCK_ROWS = 1 << 18
+#: Posting rows of its rarest terms from which a query gets its first threshold.
+SEED_ROWS = 4096
+
+
+def _few(words: DataFrame) -> bool:
+    return words.limit(ASKED_WORDS + 1).count() <= ASKED_WORDS
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """The part of an inverted index that a batch of queries asks for; the texts are read and cut once to make it.
+
+    ``postings`` are (record_id, term, part): what a term adds to the score of a text, whatever the query. ``asked`` are
+    (query_id, term, df, idf), ``average`` is the mean number of terms of a text, and ``weigh`` gives the part of a
+    count in a text of some length.
+    """
+
+    postings: DataFrame
+    asked: DataFrame
+    average: float
+    weigh: Callable
+
+
+def text_index(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> TextIndex:
+    """BM25 over ``docs(record_id, text)`` for ``queries(query_id, query)``.
+
+    Null texts count as texts without terms. A text keeps the terms that some query has, and one row that marks it.
+    """
+    spark = docs.sparkSession
+    asked = stored(queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term")), "asked")
+    wanted = asked.select("term").union(spark.createDataFrame([("",)], "term string")).distinct()
+    each = docs.select("record_id", F.coalesce(T.terms(F.col("text")), F.array().cast("array<string>")).alias("terms"))
+    rows = each.select("record_id", F.size("terms").alias("length"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    rows = rows.join(F.broadcast(wanted) if _few(wanted) else wanted, "term", "left_semi")
+    counts = stored(rows.groupBy("record_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")), "postings")
+    n_docs, average = counts.where("term = ''").agg(F.count(F.lit(1)), F.avg("length")).first()
+    average = average or 1.0
+    df = counts.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = stored(df.withColumn("idf", idf), "terms")
+
+    def weigh(weight: Column, times: Column, length: Column) -> Column:
+        return weight * times / (times + k1 * (1 - b + b * length / F.lit(average)))
+
+    small = F.broadcast(terms) if _few(terms) else terms
+    parts = counts.join(small, "term").select("record_id", "term", weigh(F.col("idf"), F.col("tf"), F.col("length")).alias("part"))
+    return TextIndex(stored(parts, "parts"), stored(asked.join(small, "term"), "asked-terms"), average, weigh)
+
+
+def _thresholds(index: TextIndex, k: int) -> DataFrame:
+    """``(query_id, floor)``: a score that ``k`` texts have at least, by the sums over a query's rarest terms alone."""
+    rare = W.partitionBy("query_id").orderBy("df", "term")
+    seeds = index.asked.withColumn("rows", F.sum("df").over(rare)).where(F.col("rows") <= SEED_ROWS).select("query_id", "term")
+    sums = index.postings.join(F.broadcast(seeds) if _few(seeds) else seeds, "term").groupBy("query_id", "record_id").agg(F.sum("part").alias("sum"))
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sum")))
+    return sums.withColumn("nth", nth).where(F.col("nth") == k).select("query_id", F.col("sum").alias("floor"))
+
+
+class _Asked:
+    """A block of queries in a task: their terms, the best ``k`` texts so far, and the scores that are still of use."""
+
+    def __init__(self, ids: np.ndarray, terms: np.ndarray, floors: np.ndarray, k: int, digits: int):
+        self.ids, first = np.unique(ids, return_index=True)
+        self.ends = np.append(first, len(ids))
+        self.terms, self.floor, self.k, self.digits = terms, floors[first].copy(), k, digits
+        self.best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in self.ids]
+        self.slack = 2.0 * 10.0**-digits if digits else 0.0  # whole numbers add up exactly
+
+    def search(self, ids: np.ndarray, terms: np.ndarray, parts: np.ndarray) -> int:
+        """Take whole texts in, sorted by id; returns how many pairs of a query and a text were scored."""
+        texts, at = np.unique(ids, return_inverse=True)
+        by_term = np.argsort(terms, kind="stable")
+        names, begin = np.unique(terms[by_term], return_index=True)
+        where, part = at[by_term], parts[by_term]
+        most = np.maximum.reduceat(part, begin)
+        end = np.append(begin[1:], len(terms))
+        place = np.minimum(np.searchsorted(names, self.terms), len(names) - 1)
+        known = names[place] == self.terms
+        scored = 0
+        for q in range(len(self.ids)):
+            own = slice(self.ends[q], self.ends[q + 1])
+            lists = place[own][known[own]]
+            least = self.floor[q] - self.slack
+            if not len(lists) or most[lists].sum() < least:
+                continue  # no text of this block can come in
+            lists = lists[np.argsort(most[lists], kind="stable")]
+            upto = np.cumsum(most[lists])
+            common = int(np.searchsorted(upto, least))  # texts with these terms alone stay below
+            sums = np.zeros(len(texts))
+            for x in lists[common:]:
+                sums[where[begin[x] : end[x]]] += part[begin[x] : end[x]]
+            found = np.flatnonzero(sums)
+            for i in range(common - 1, -1, -1):
+                found = found[sums[found] + upto[i] >= least]
+                a, b = begin[lists[i]], end[lists[i]]
+                if len(found) * 16 < b - a:
+                    hit = np.minimum(np.searchsorted(where[a:b], found), b - a - 1)
+                    same = where[a:b][hit] == found
+                    sums[found[same]] += part[a:b][hit[same]]
+                else:
+                    sums[where[a:b]] += part[a:b]
+            found = found[sums[found] >= least]
+            scored += len(found)
+            score, record = self.best[q]
+            score, record = np.append(score, np.round(sums[found], self.digits)), np.append(record, texts[found])
+            top = np.lexsort((record, -score))[: self.k]
+            self.best[q] = score[top], record[top]
+            if len(top) == self.k:
+                self.floor[q] = max(self.floor[q], score[top[-1]])
+        return scored
 
+    def rows(self) -> pa.RecordBatch:
+        sizes = [len(s) for s, _ in self.best]
+        parts = [np.repeat(self.ids, sizes), np.concatenate([r for _, r in self.best]), np.concatenate([s for s, _ in self.best])]
+        return pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.float64())], names=["query_id", "record_id", "score"])
 
-def _asked_only(words: DataFrame, asked: DataFrame, name: str) -> DataFrame:
-    """The rows of ``words`` whose ``name`` some query has, dropped in the tasks that read the texts."""
-    asked = asked.select(name).distinct()
-    few = asked.limit(ASKED_WORDS + 1).count() <= ASKED_WORDS
-    return words.join(F.broadcast(asked) if few else asked, name, "left_semi")
+
+def pruned_topk(index: TextIndex, k: int, digits: int) -> DataFrame:
+    """``(query_id, record_id, score)``: of each task the best ``k`` texts of each query by summed parts, among which are the
+    best ones of all; scores are rounded to ``digits`` before they are compared.
+
+    Queries and texts are dealt into blocks, a task for each pair of blocks, and a block of queries gets the postings
+    that one of them asks for. A text is scored for a query only if the largest parts of its terms can lift it over
+    the k-th score so far: a run of texts is skipped if the largest parts in it cannot, texts that share nothing but
+    common words with the query are not looked at, and others are left as soon as what is still to come is too little.
+    The first threshold comes from the query's rarest terms. No pair leaves a task but the best ``k``.
+    """
+    spark = index.postings.sparkSession
+    item_blocks = max(ITEM_BLOCKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ids = index.asked.select("query_id").distinct()
+    query_blocks = max(-(-ids.count() // QUERY_BLOCK), 1)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    names = stored(index.asked.select("term").distinct().withColumn("number", F.monotonically_increasing_id()), "term-numbers")
+    small = F.broadcast(names) if _few(names) else names
+    floors = _thresholds(index, k)
+    asked = index.asked.join(small, "term").join(floors, "query_id", "left").withColumn("query_block", block("query_id", query_blocks))
+    asked = stored(asked.select("query_block", F.col("query_id").cast("long").alias("id"), "number", F.coalesce("floor", F.lit(0.0)).alias("value")), "asked-blocks")
+    by_block = asked.select("query_block", "number").distinct()
+    held = index.postings.join(small, "term").withColumn("item_block", block("record_id", item_blocks))
+    held = held.join(F.broadcast(by_block) if _few(by_block) else by_block, "number")
+    columns = ["query_block", "item_block", "side", "id", "number", "value"]
+    held = held.select("query_block", "item_block", F.lit(1).alias("side"), F.col("record_id").cast("long").alias("id"), "number", F.col("part").alias("value"))
+    copies = asked.withColumns({"item_block": F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))), "side": F.lit(0)}).select(*columns)
+
+    def run(batches):
+        pair, queries, asked_rows, held_rows, n_held = None, None, [], [], 0
+
+        def searched(everything: bool):
+            nonlocal queries, held_rows, n_held
+            if queries is None:
+                queries = _Asked(*(np.concatenate(x) for x in zip(*asked_rows, strict=True)), k, digits) if asked_rows else None
+            if queries is None or not held_rows:
+                held_rows, n_held = [], 0
+                return
+            ids, terms, parts = (np.concatenate(x) for x in zip(*held_rows, strict=True))
+            cut = len(ids) if everything else int(np.searchsorted(ids, ids[-1]))  # the last text may go on
+            if cut:
+                queries.search(ids[:cut], terms[:cut], parts[:cut])
+            held_rows, n_held = [(ids[cut:], terms[cut:], parts[cut:])], len(ids) - cut
+
+        for batch in batches:
+            a, b, side, ids, terms, values = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            borders = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (side[1:] != side[:-1])) + 1
+            for i, j in zip([0, *borders.tolist()], [*borders.tolist(), len(a)], strict=True):
+                if i == j:
+                    continue
+                if (a[i], b[i]) != pair:
+                    if pair is not None:
+                        searched(True)
+                        if queries is not None:
+                            yield queries.rows()
+                    pair, queries, asked_rows, held_rows, n_held = (a[i], b[i]), None, [], [], 0
+                if side[i] == 0:  # a pair's queries come before its texts
+                    asked_rows.append((ids[i:j], terms[i:j], values[i:j]))
+                    continue
+                held_rows.append((ids[i:j], terms[i:j], values[i:j]))
+                n_held += j - i
+                if n_held >= BLOCK_ROWS:
+                    searched(False)
+        if pair is not None:
+            searched(True)
+            if queries is not None:
+                yield queries.rows()
+
+    keys = ["query_block", "item_block"]
+    pairs = held.select(*columns).unionByName(copies).repartition(*keys).sortWithinPartitions(*keys, "side", "id")
+    return pairs.mapInArrow(run, "query_id long, record_id long, score double")
 
 
 def overlap_topk(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """``(query_id, record_id, score, rank)``: the share of a query's distinct words that a text holds.
 
-    Texts keep only the words that some query has before anything is shuffled. Pairs are counted in the tasks that
-    hold a part of the texts, so a common word's hits are combined before their shuffle.
+    Texts keep only the words that some query has before anything is shuffled; see :func:`pruned_topk`.
     """
-    asked = queries.select("query_id", T.words(F.col("query")).alias("words"))
-    asked = asked.select("query_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    held = _asked_only(docs.select("record_id", F.explode(T.words(F.col("text"))).alias("word")), asked, "word")
-    few = asked.limit(ASKED_WORDS + 1).count() <= ASKED_WORDS
-    hits = held.join(F.broadcast(asked) if few else asked, "word").groupBy("query_id", "record_id").agg((F.count(F.lit(1)) / F.max("n")).alias("score"))
-    return top_k(hits.withColumn("score", F.round("score", 9)), k)
+    asked = stored(queries.select("query_id", F.explode(T.words(F.col("query"))).alias("term")), "asked-words")
+    wanted = asked.select("term").distinct()
+    held = docs.select("record_id", F.explode(T.words(F.col("text"))).alias("term"))
+    held = stored(held.join(F.broadcast(wanted) if _few(wanted) else wanted, "term", "left_semi").withColumn("part", F.lit(1.0)), "words")
+    counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    index = TextIndex(held, stored(asked.join(counts, "term").select("query_id", "term", "df"), "asked-terms"), 1.0, None)
+    sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    found = pruned_topk(index, k, 0).join(sizes, "query_id")
+    return top_k(found.select("query_id", "record_id", F.round(F.col("score") / F.col("n"), 9).alias("score")), k)
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, phrase_boost: float = 0.0) -> DataFrame:
     """``(query_id, record_id, score, rank)`` by BM25 over all of ``docs``; scores rounded to 6 places.
 
-    Only postings of terms that a query has are counted. With a ``phrase_boost``, a text that holds all terms of the
-    query one after another gets the score of that phrase, so weighted, on top.
+    With a ``phrase_boost``, a text that holds all terms of the query one after another gets the score of that phrase, so
+    weighted, on top.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
-    each = docs.select("record_id", T.terms(F.col("text")).alias("terms"))
-    stats = each.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avg_length"))
-    rows = each.select("record_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    tf = _asked_only(rows, asked, "term").groupBy("record_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", idf)  # one row of statistics
-    part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    scored = tf.join(weighed, "term").groupBy("query_id", "record_id").agg(F.sum(part).alias("score"))
-    scored = scored.withColumn("score", F.round("score", 6))
-    if phrase_boost:
-        phrases = phrase_hits(docs, queries).join(weighed.groupBy("query_id").agg(F.sum("idf").alias("idf"), F.first("avg_length").alias("avg_length")), "query_id")
-        bonus = phrase_boost * F.col("idf") * F.col("times") / (F.col("times") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-        phrases = phrases.select("query_id", "record_id", F.round(bonus, 6).alias("bonus"))
-        scored = scored.join(phrases, ["query_id", "record_id"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 6)).drop("bonus")
-    return top_k(scored, k)
-
-
-def phrase_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    index = text_index(docs, queries, k1, b)
+    return ranked_texts(index, phrase_bonus(index, docs, queries, phrase_boost) if phrase_boost else None, k)
+
+
+def ranked_texts(index: TextIndex, bonus: DataFrame | None, k: int) -> DataFrame:
+    """``(query_id, record_id, score, rank)`` of an index, with what :func:`phrase_bonus` adds."""
+    found = pruned_topk(index, k, 6)
+    if bonus is None:
+        return top_k(found, k)
+    # A text that a bonus lifts may not be among the best without it, so those are scored by themselves.
+    lifted = pair_scores(index, bonus.select("query_id", "record_id")).join(bonus, ["query_id", "record_id"])
+    lifted = lifted.select("query_id", "record_id", F.round(F.col("score") + F.col("bonus"), 6).alias("score"))
+    plain = found.join(bonus.select("query_id", "record_id"), ["query_id", "record_id"], "left_anti")
+    return top_k(plain.unionByName(lifted), k)
+
+
+def pair_scores(index: TextIndex, pairs: DataFrame) -> DataFrame:
+    """``pairs`` with their ``score`` (rounded to 6 places); pairs that share no term have no row."""
+    own = index.asked.select("query_id", "term")
+    both = pairs.join(own, "query_id").join(index.postings, ["record_id", "term"])
+    return both.groupBy(*pairs.columns).agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def _phrase_pairs(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """``(query_id, record_id)`` of the texts that hold every term of a query: those of its rarest term are looked at."""
+    sizes = queries.select("query_id", F.size(F.array_distinct(T.terms(F.col("query")))).alias("n_terms"))
+    rarest = index.asked.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("n_known"))
+    rarest = rarest.join(sizes, "query_id").where("n_known = n_terms")
+    pairs = index.postings.select("record_id", "term").join(rarest.select("query_id", "term", "n_terms"), "term").drop("term")
+    both = pairs.join(index.asked.select("query_id", "term"), "query_id").join(index.postings.select("record_id", "term"), ["record_id", "term"])
+    return both.groupBy("query_id", "record_id").agg(F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms")).where("n = n_terms").select("query_id", "record_id")
+
+
+def phrase_hits(docs: DataFrame, queries: DataFrame, index: TextIndex | None = None) -> DataFrame:
     """``(query_id, record_id, times, length)``: the texts that hold all terms of a query one after another, how often
     (without overlap), and their number of terms.
 
-    A text is looked at for the queries whose rarest term it holds.
+    Only texts that have all terms of a query are cut into terms again.
     """
-    asked = queries.select("query_id", T.terms(F.col("query")).alias("wanted")).where(F.size("wanted") > 0)
-    held = docs.select("record_id", T.terms(F.col("text")).alias("terms"))
-    term_rows = held.select("record_id", F.explode(F.array_distinct("terms")).alias("term"))
-    each = asked.select("query_id", F.explode(F.array_distinct("wanted")).alias("term"))
-    df = term_rows.join(each.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = each.join(df, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    pairs = term_rows.join(rarest, "term").select("query_id", "record_id")
+    pairs = _phrase_pairs(index or text_index(docs, queries), queries)
+    asked = queries.select("query_id", T.terms(F.col("query")).alias("wanted"))
+    held = docs.select("record_id", "text").join(pairs.select("record_id").distinct(), "record_id", "left_semi").select("record_id", T.terms(F.col("text")).alias("terms"))
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, "  "), F.lit(" "))  # noqa: E731 - each term between blanks of its own
     times = (F.length(spaced(F.col("terms"))) - F.length(F.replace(spaced(F.col("terms")), spaced(F.col("wanted")), F.lit("")))) / F.length(spaced(F.col("wanted")))
     found = pairs.join(asked, "query_id").join(held, "record_id").select("query_id", "record_id", times.cast("long").alias("times"), F.size("terms").alias("length"))
     return found.where("times > 0")
+
+
+def phrase_bonus(index: TextIndex, docs: DataFrame, queries: DataFrame, boost: float) -> DataFrame:
+    """``(query_id, record_id, bonus)``: the weighted BM25 score of the query as one term, for the texts that hold it."""
+    weights = index.asked.groupBy("query_id").agg(F.sum("idf").alias("idf"))
+    hits = phrase_hits(docs, queries, index).join(weights, "query_id")
+    bonus = F.round(boost * index.weigh(F.col("idf"), F.col("times"), F.col("length")), 6)
+    return stored(hits.select("query_id", "record_id", bonus.alias("bonus")), "phrases")

@@ -432,13 +432,40 @@ def latency_p95(spark, sf_dir):
     return lifecycle.percentiles(table(spark, sf_dir, "events"), "event_type", {"p50": 0.5, "p95": 0.95, "median": 0.5})
 
 
-@query("""WITH f AS (SELECT event_id, event_type AS key, epoch_us(ts) AS us FROM events),
-r AS (SELECT event_id, key, count(*) OVER w AS recent, min(us) OVER w + 900000000 AS blocked_until FROM f WINDOW w AS (PARTITION BY key ORDER BY us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW)) SELECT * FROM r WHERE recent >= 2""")
+#: Attempts to log in from events: seven addresses with three accounts each, ten minutes of the table as one second.
+_ATTEMPTS = """a AS (SELECT event_id AS attempt_id, CAST(user_id % 7 AS VARCHAR) AS ip, user_id % 7 || '|' || lower(trim(' User' || user_id % 21 || ' ')) AS account, epoch_us(ts) // 600 AS us, event_type = 'signup' AND event_id % 5 = 0 AS success FROM events)"""
+
+
+def _waits_sql(key: str, limit: int) -> str:
+    """Failures before each attempt, 300 s old at most and after the last success of its key, pair by pair."""
+    return f"""{key}_last AS (SELECT *, max(CASE WHEN success THEN nth END) OVER (PARTITION BY {key} ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reset
+  FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY us, attempt_id) AS nth FROM a)),
+{key}_seen AS (SELECT l.attempt_id, count(b.us) AS recent, CASE WHEN count(b.us) >= {limit} THEN greatest((min(b.us) + 900000000 - max(l.us)) / 1e6::DOUBLE, 0) ELSE 0 END AS wait
+  FROM {key}_last l LEFT JOIN {key}_last b ON b.{key} = l.{key} AND NOT b.success AND b.nth < l.nth AND b.nth > coalesce(l.reset, 0) AND b.us >= l.us - 300000000 GROUP BY 1)"""
+
+
+@query(f"""WITH {_ATTEMPTS}, {_waits_sql("account", 10)}, {_waits_sql("ip", 30)}
+SELECT attempt_id, c.recent AS by_account, i.recent AS by_address, round(greatest(c.wait, i.wait), 6) AS wait FROM account_seen c JOIN ip_seen i USING (attempt_id)""")
 def login_limiter(spark, sf_dir):
-    """Keys with two failures or more within five minutes are blocked for fifteen minutes (ten failures, or thirty of an
-    address, in production; these events are sparse)."""
-    f = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("key"), "ts")
-    return lifecycle.limited_logins(f, 2, 300, 900).select("event_id", "key", "recent", "blocked_until")
+    """For how long each attempt to log in is refused: ten failures of an address and account within five minutes, or
+    thirty of an address, block for fifteen minutes from the oldest one; a success clears both."""
+    user = F.col("user_id")
+    ip = (user % 7).cast("string")
+    account = F.concat_ws("|", ip, F.lower(F.trim(F.concat(F.lit(" User"), (user % 21).cast("string"), F.lit(" ")))))
+    success = (F.col("event_type") == "signup") & (F.col("event_id") % 5 == 0)
+    a = table(spark, sf_dir, "events").select(F.col("event_id").alias("attempt_id"), ip.alias("ip"), account.alias("account"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600).alias("at"), success.alias("success"))
+    own = lifecycle.login_waits(a, "account", 10).select("attempt_id", F.col("recent").alias("by_account"), F.col("wait").alias("_own"))
+    address = lifecycle.login_waits(a, "ip", 30).select("attempt_id", F.col("recent").alias("by_address"), F.col("wait").alias("_address"))
+    return own.join(address, "attempt_id").select("attempt_id", "by_account", "by_address", F.greatest("_own", "_address").alias("wait"))
+
+
+@query("""WITH s AS (SELECT event_type, CAST(ceil(epoch_us(ts) / 60000000.0::DOUBLE) AS BIGINT) * 60 AS first FROM events),
+t AS (SELECT event_type, first + 60 * unnest(range(5)) AS sampled FROM s)
+SELECT t.event_type, t.sampled, round((SELECT count(*) FROM events e WHERE e.event_type = t.event_type AND epoch_us(e.ts) > (t.sampled - 300) * 1000000 AND epoch_us(e.ts) <= t.sampled * 1000000) / 300.0::DOUBLE, 9) AS rate
+FROM (SELECT DISTINCT event_type, sampled FROM t) t""")
+def rate_sampled(spark, sf_dir):
+    """The five-minute rate of each type of event, sampled every minute."""
+    return lifecycle.sampled_rate(table(spark, sf_dir, "events"), 300, 60, "event_type")
 
 
 @query("""WITH p AS (SELECT event_type, epoch_us(ts) // 3600000000 AS slot, avg(value) AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2)

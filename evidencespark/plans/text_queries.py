@@ -23,8 +23,11 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def _analysis_sql() -> str:
-    """The analysis in SQL, from the same tables of fixed values."""
+def analysis_ctes(asked: str) -> str:
+    """The analysis in SQL, from the same tables of fixed values: common tables of which the last is ``f``.
+
+    ``asked`` is SQL for rows with the one-spaced query ``o``.
+    """
     entity = "{{'kind': {0}, 'surface': {1}, 'canonical': {2}}}".format
     found, added, tasks = [], [], []
     for short, names in analysis.ABBREVIATIONS.items():
@@ -52,7 +55,7 @@ def _analysis_sql() -> str:
     names = [name for name, _, _ in analysis.INTENTS]
     expansion = " ".join(f"WHEN {_quoted(n)} THEN {_quoted(('DDS ' if n in ('troubleshooting', 'installation', 'configuration') else '') + more)}" for n, _, more in analysis.INTENTS)
     focus = " ".join(f"WHEN len(list_filter(es, lambda e: contains(e.canonical, {_quoted(part)}))) > 0 THEN {_quoted(asks)}" for part, asks in analysis.FOCUS)
-    return f"""WITH q AS (SELECT conv_id, turn, trim(regexp_replace({_PROBED}, '\\s+', ' ', 'g')) AS o FROM conversations),
+    return f"""q AS ({asked}),
 a AS (SELECT *, list_concat(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL), {explicit}, {errors}) AS every, {flat(added + tasks)} AS added, list_distinct({flat(tasks)}) AS tasks FROM q),
 b AS (SELECT *, list_filter(every, lambda e, i: list_position(list_transform(every, lambda x: x.kind || ':' || lower(x.canonical)), e.kind || ':' || lower(e.canonical)) = i) AS es,
   list_reduce(list_prepend(o, added), lambda s, x: CASE WHEN contains(lower(s), lower(x)) THEN s ELSE s || ' ' || x END) AS normalized FROM a),
@@ -64,12 +67,12 @@ e AS (SELECT *, CASE WHEN list_max(scores) > 0 THEN [{', '.join(map(_quoted, nam
   CASE WHEN all_names = '' THEN 'DDS' ELSE array_to_string(list_filter(list_transform(es, lambda e: e.canonical), lambda x, i: list_position(list_transform(es, lambda e: e.canonical), x) = i), ' ') END AS names FROM d),
 f AS (SELECT *, names || ' ' || CASE intent {expansion} ELSE {_quoted(analysis.GENERAL_EXPANSION)} END AS second,
   CASE WHEN len(tasks) > 0 THEN array_to_string(list_filter({flat(tasks)}, lambda x: TRUE), ' ') {focus} ELSE names || ' DDS 接口 结构体 枚举 错误码' END AS third
-  FROM e)
-SELECT conv_id, turn, intent, ambiguous, sha256(normalized) AS normalized_sha256, array_to_string(list_transform(es, lambda e: e.kind || '=' || e.canonical), ',') AS found,
-  sha256(CASE WHEN NOT ambiguous THEN normalized ELSE normalized || '|' || second || CASE WHEN third = second THEN '' ELSE '|' || third END END) AS subqueries_sha256 FROM f"""
+  FROM e)"""
 
 
-_ANALYSIS_SQL = _analysis_sql()
+_ANALYSIS_SQL = f"""WITH {analysis_ctes(f"SELECT conv_id, turn, trim(regexp_replace({_PROBED}, '\\s+', ' ', 'g')) AS o FROM conversations")}
+SELECT conv_id, turn, intent, ambiguous, sha256(normalized) AS normalized_sha256, array_to_string(list_transform(es, lambda e: e.kind || '=' || e.canonical), ',') AS found,
+  sha256(CASE WHEN NOT ambiguous THEN normalized ELSE normalized || '|' || second || CASE WHEN third = second THEN '' ELSE '|' || third END END) AS subqueries_sha256 FROM f"""
 # The list of tasks inside of f is read again from o: it is spelt with the patterns, in order and without repeats.
 
 

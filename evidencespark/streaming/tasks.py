@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,17 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-CLAIMS = "task_id long, delivery_id long, sequence long"
-
+from evidencespark.sources.shared import working_folder
 
-def working_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, a local one if that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="evidencespark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+CLAIMS = "task_id long, delivery_id long, sequence long"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from evidencespark.functions import text as T
 from evidencespark.operators import contents, dialogue, fuse, ingest, lifecycle, search
 from evidencespark.plans import answer_queries, command_queries, more_queries  # noqa: F401 - they register their queries
 from evidencespark.plans import queries as plans
-from evidencespark.plans import text_queries  # noqa: F401
+from evidencespark.plans import retrieval_queries, text_queries  # noqa: F401
 from evidencespark.sources import tables
 
 SF = "/root/testdata/sf0.001"
