@@ -40,7 +40,7 @@ def message_estimate(text: Column) -> Column:
 
 def is_navigation_index(text: Column) -> Column:
     """True if every line is a dot leader with a page number or short, and one is a dot leader at least."""
-    rows = F.transform(lines(text), F.trim)
+    rows = F.transform(lines(text), lambda x: F.trim(x))
     leader = lambda x: x.rlike(DOT_LEADER)
     return F.exists(rows, leader) & F.forall(rows, lambda x: leader(x) | (F.length(x) <= LONG_LINE))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidencespark.functions import places
 from evidencespark.functions import text as T
 from evidencespark.operators import contents, dialogue, fuse, ingest, lifecycle, search
-from evidencespark.plans import answer_queries, command_queries, more_queries  # noqa: F401 - they register their queries
+from evidencespark.plans import answer_queries, command_queries, layout_queries, more_queries  # noqa: F401 - they register their queries
 from evidencespark.plans import queries as plans
 from evidencespark.plans import retrieval_queries, text_queries  # noqa: F401
 from evidencespark.sources import tables
@@ -345,3 +345,229 @@ def test_neighbours_follow_all_anchors(spark):
     anchors = spark.createDataFrame([(7, 1, 2, 1, 3), (7, 2, 1, 1, 1), (7, 3, 1, 1, 3), (7, 4, 3, 1, 0)], "query_id int, pos long, doc_id int, version int, ordinal long")
     got = [(r.doc_id, r.ordinal, r.pos, r.distance) for r in fuse.expanded(anchors, chunks).orderBy("place").collect()]
     assert got == [(2, 3, 1, 0), (1, 1, 2, 0), (1, 3, 3, 0), (3, 0, 4, 0), (2, 2, 1, -1), (1, 0, 2, -1), (1, 2, 2, 1)]
+
+
+def test_index_lines_keep_their_digits(spark):
+    """Each line is trimmed of blanks, and of nothing else, wherever it stands."""
+    rows = [("x\n" + "y" * 45 + " ..... 1",), ("a ..... 1\nb ..... 2\nc ..... 3",), ("a\n1\n2\n3 ",), ("a ..... 1\n" + "z" * 40 + "1",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "text string").select(T.is_navigation_index(F.col("text"))).collect()]
+    assert got == [True, True, False, False]
+
+
+# --- rates, limits and text search --------------------------------------------------------------------------
+
+
+def test_rate_of_a_hot_key_at_the_edges(spark):
+    import datetime
+
+    base = datetime.datetime(2024, 1, 1)
+    rows = [(i, "hot", base + datetime.timedelta(seconds=s)) for i, s in enumerate((0, 0, 1, 299, 300, 301, 599, 600, 1500))] + [(99, None, base)]
+    got = {r["id"]: round(r["rate"] * 300) for r in lifecycle.trailing_rate(spark.createDataFrame(rows, "id int, k string, ts timestamp"), 300, "k").collect()}
+    at = [r[2] for r in rows[:-1]]
+    assert got == {i: sum(0 <= (t - u).total_seconds() < 300 for u in at) for i, t in enumerate(at)} | {99: 1}
+
+
+def test_sampled_rate(spark):
+    import datetime
+
+    base = datetime.datetime(2024, 1, 1)
+    rows = [("a", base + datetime.timedelta(seconds=s)) for s in (0, 60, 61)]
+    got = {r["sampled"] - int(base.timestamp()): round(r["rate"] * 300) for r in lifecycle.sampled_rate(spark.createDataFrame(rows, "k string, ts timestamp"), 300, 60, "k").collect()}
+    assert got == {0: 1, 60: 2, 120: 3, 180: 3, 240: 3, 300: 2, 360: 1}
+
+
+def slow_waits(rows, limit, seconds=300, block=900):
+    """The limiter as it is: failures kept for a while, cleared by a success."""
+    kept, out = {}, {}
+    for key, i, at, success in sorted(rows, key=lambda r: (r[2], r[1])):
+        mine = [t for t in kept.get(key, []) if at - t <= seconds * 1_000_000]
+        out[i] = (len(mine), max((mine[0] + block * 1_000_000 - at) / 1e6, 0.0) if len(mine) >= limit else 0.0)
+        kept[key] = [] if success else [*mine, at]
+    return out
+
+
+def test_login_waits(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.choice([rng.randrange(2000), 300 * rng.randrange(6)]) * 1_000_000, rng.random() < 0.1) for i in range(400)]
+    for limit in (1, 3, 10):
+        got = lifecycle.login_waits(spark.createDataFrame(rows, "key string, attempt_id int, at long, success boolean"), "key", limit)
+        assert {r["attempt_id"]: (r["recent"], r["wait"]) for r in got.collect()} == slow_waits(rows, limit)
+
+
+def test_percentiles_over_many_parts(spark):
+    import random
+    import statistics
+
+    rng = random.Random(2)
+    rows = [("hot" if i % 3 else f"k{i % 5}", rng.choice([rng.random() * 100, 7.0])) for i in range(900)]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = lifecycle.percentiles(spark.createDataFrame(rows, "t string, value double").repartition(5), "t", {"q": 0.5, "top": 1.0, "low": 0.0}).collect()
+    finally:
+        spark.conf.set(key, before)
+    for r in got:
+        own = sorted(v for t, v in rows if t == r["t"])
+        assert (r["q"], r["top"], r["low"]) == (round(statistics.median(own), 6), round(own[-1], 6), round(own[0], 6))
+
+
+def test_pruned_search_scores_few_pairs_and_loses_none():
+    """Runs of texts, a threshold that rises, common words: the best texts of a plain search, and fewer pairs scored."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    weight = np.concatenate((np.full(5, 0.05), rng.uniform(2, 6, 195)))
+    texts = [np.unique(np.concatenate((np.arange(5), rng.choice(np.arange(5, 200), 6)))) for _ in range(600)]
+    part = {(d, t): weight[t] * rng.uniform(0.3, 1) for d, own in enumerate(texts) for t in own.tolist()}
+    asked = [np.unique(np.concatenate((np.arange(5), rng.choice(np.arange(5, 200), 4)))) for _ in range(20)]
+    block = search._Asked(np.repeat(np.arange(20), [len(a) for a in asked]), np.concatenate(asked), np.zeros(sum(map(len, asked))), 5, 6)
+    scored = 0
+    for a in range(0, 600, 50):
+        keys = [(d, t) for d in range(a, a + 50) for t in texts[d].tolist()]
+        scored += block.search(np.array([d for d, _ in keys]), np.array([t for _, t in keys]), np.array([part[k] for k in keys]))
+    for q, own in enumerate(asked):
+        sums = {d: round(sum(part.get((d, t), 0) for t in own.tolist()), 6) for d in range(600)}
+        best = sorted(sums, key=lambda d: (-sums[d], d))[:5]
+        assert block.best[q][1].tolist() == best and np.allclose(block.best[q][0], [sums[d] for d in best])
+    assert scored < 600 * 20 / 4
+
+
+def test_text_search_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (4, "c b a"), (5, "a a a " * 4000), (6, "x")], "record_id long, text string")
+    asked = spark.createDataFrame([(10, "a b"), (11, None), (12, ""), (13, "zzz"), (14, "x x")], "query_id long, query string")
+    got = [(r["query_id"], r["record_id"]) for r in search.bm25_topk(docs, asked, 3, phrase_boost=10.0).orderBy("query_id", "rank").collect()]
+    assert got == [(10, 1), (10, 4), (10, 5), (14, 6)]
+    share = {(r["query_id"], r["record_id"]): r["score"] for r in search.overlap_topk(docs, asked, 3).collect()}
+    assert share == {(10, 1): 1.0, (10, 4): 1.0, (10, 5): 0.5, (14, 6): 1.0}
+    assert [(r["query_id"], r["record_id"], r["times"]) for r in search.phrase_hits(docs, asked).collect()] == [(10, 1, 1)]
+    for some in (docs.limit(0), docs.where("record_id = 2")):
+        assert search.bm25_topk(some, asked).count() == 0 and search.overlap_topk(some, asked).count() == 0
+    assert search.bm25_topk(docs, asked.limit(0)).count() == 0
+
+
+# --- page layout --------------------------------------------------------------------------------------------
+
+WORDS = "doc_id long, page long, nth long, text string, x0 double, top double, x1 double, bottom double, font_size double, bold boolean"
+
+
+def words(spark, rows):
+    """Words of page 1 as (text, x0, top) or (text, x0, top, size, bold, page); letters are five points wide."""
+    full = [(t, x, y, *rest, *(10.0, False, 1)[len(rest) :]) for t, x, y, *rest in rows]
+    return spark.createDataFrame([(1, p, i, t, float(x), float(y), x + 5.0 * len(t), y + float(s), float(s), b) for i, (t, x, y, s, b, p) in enumerate(full)], WORDS)
+
+
+def slow_rows(tops, sizes):
+    rows, out = [], []
+    import statistics
+
+    for top, size in zip(tops, sizes, strict=True):
+        near = [r for r in rows[::-1][:4] if abs(statistics.median(r) - top) <= max(2.0, size * 0.35)]
+        if near:
+            near[0].append(top)
+        else:
+            near = [[top]]
+            rows.append(near[0])
+        out.append(next(i for i, r in enumerate(rows) if r is near[0]) + 1)
+    return out
+
+
+def test_rows_of_words():
+    import random
+
+    import numpy as np
+
+    from evidencespark.operators import layout
+
+    rng = random.Random(4)
+    for _ in range(200):
+        tops = sorted(rng.choice([rng.uniform(0, 60), 7.0 * rng.randrange(9)]) for _ in range(rng.randrange(40)))
+        sizes = [rng.choice([6.0, 10.0, 18.0]) for _ in tops]
+        assert layout.rows_of(np.array(tops), np.array(sizes)).tolist() == slow_rows(tops, sizes)
+
+
+def test_lines_have_tabs_blanks_and_no_blanks(spark):
+    from evidencespark.operators import layout
+
+    rows = [("left", 10, 50), ("right", 100, 51), ("well", 10, 70), (",", 32, 70), ("-", 40, 70), ("known", 48, 70), ("中", 10, 90), ("文", 18, 90), ("a", 26, 90), ("far", 10, 110.0, 20.0), ("away", 50, 112.0, 20.0, True)]
+    got = layout.lines(words(spark, rows)).orderBy("line").collect()
+    assert [(r["text"], r["columns"]) for r in got] == [("left\tright", 2), ("well, -known", 1), ("中文 a", 1), ("far away", 1)]
+    assert got[3]["bold"] and (got[0]["x0"], got[0]["top"], got[0]["x1"]) == (10.0, 50.0, 125.0)
+    assert layout.lines(words(spark, rows).limit(0)).count() == 0
+
+
+def test_reading_order_of_two_columns(spark):
+    from evidencespark.operators import layout
+
+    rows = [("Title-over-the-middle-of-the-page-of-text", 200, 10), ("R1", 400, 30), ("L1", 20, 36), ("R2", 400, 48), ("L2", 20, 54), ("wide-" * 40, 50, 80), ("R3", 400, 100), ("L3", 20, 106)]
+    ordered = layout.in_reading_order(layout.lines(words(spark, rows)), 600.0).orderBy("position")
+    assert [r["text"][:5] for r in ordered.collect()] == ["Title", "L1", "L2", "R1", "R2", "wide-", "R3", "L3"]
+    three = layout.in_reading_order(layout.lines(words(spark, rows[1:4])), 600.0).orderBy("position")
+    assert [r["text"] for r in three.collect()] == ["R1", "L1", "R2"]
+
+
+def test_blocks_below_headings(spark):
+    from evidencespark.operators import layout
+
+    body = [(f"text{i}", 20, 60 + 12 * i) for i in range(6)]
+    rows = [
+        ("Part", 20, 10, 18.0), ("Chapter", 20, 35, 15.0), *body, ("•", 20, 200), ("item", 30, 200), ("a", 20, 220), ("b", 90, 220), ("c", 20, 232), ("d", 90, 232), ("Ends.", 20, 250, 18.0),
+        ("Next", 20, 10, 15.0, False, 2), *[(f"more{i}", 20, 40 + 12 * i, 10.0, False, 2) for i in range(3)], ("apart", 20, 200, 10.0, False, 2), ("Alone", 20, 10, 10.0, True, 3),
+    ]
+    ordered = layout.in_reading_order(layout.lines(words(spark, rows)), 600.0)
+    got = layout.blocks(ordered, 600.0).orderBy("page", "block").collect()
+    assert [(r["page"], r["layout_type"], r["heading_path"], r["text"].split("\n\n")[-1]) for r in got] == [
+        (1, "paragraph", "Part > Chapter", "\n".join(f"text{i}" for i in range(6))), (1, "list", "Part > Chapter", "• item"), (1, "table", "Part > Chapter", "| a | b |\n| c | d |"), (1, "paragraph", "Part > Chapter", "Ends."),
+        (2, "paragraph", "Part > Next", "more0\nmore1\nmore2"), (2, "paragraph", "Part > Next", "apart"), (3, "heading", "Part > Next > Alone", "Alone"),
+    ]
+    assert got[0]["text"].startswith("Part > Chapter\n\n") and (got[0]["start_line"], got[0]["end_line"]) == (3, 8)
+    assert got[2]["bbox"] == "[20.00,220.00,95.00,242.00]" and got[6]["bbox"] == "[0.00,0.00,600.00,10.00]"
+
+
+# --- the retrieval plan -------------------------------------------------------------------------------------
+
+
+def test_references_stand_after_their_entries(spark):
+    """One that is an anchor itself is only marked, one that two entries name stands after the first."""
+    from evidencespark.operators import retrieval
+
+    anchors = spark.createDataFrame([(1, 10, 1, "chi"), (1, 11, 2, "chm"), (1, 12, 3, "chi"), (1, 13, 4, "chi"), (2, 10, 1, "chi")], "query_id long, record_id long, place long, source_type string")
+    found = spark.createDataFrame([(1, 1, 11), (1, 3, 20), (1, 4, 20), (2, 1, 11)], "query_id long, place long, record_id long")
+    got = retrieval.with_references(anchors, found).orderBy("query_id", "place", "kind").collect()
+    assert [(r["query_id"], r["record_id"], r["kind"], r["cause"]) for r in got] == [
+        (1, 10, 0, None), (1, 11, 0, 10), (1, 12, 0, None), (1, 20, 1, 12), (1, 13, 0, None), (2, 10, 0, None), (2, 11, 1, 10)
+    ]
+
+
+def test_budget_passes_over_what_does_not_fit(spark):
+    from evidencespark.operators import retrieval
+
+    e = spark.createDataFrame([(1, p, t) for p, t in ((1, 5), (2, 9), (3, 4), (4, 1))] + [(2, 1, 50)], "query_id long, position long, tokens long")
+    got = retrieval.fitted(e, 10).orderBy("query_id", "position").collect()
+    assert [r["selected"] for r in got] == [True, False, True, True, False]
+
+
+def test_identifiers_come_first(spark):
+    from evidencespark.operators import retrieval
+
+    rows = [(1, "read dds_read now", 0.5, "dds_read dds_read", None), (2, "read dds_read now", 0.1, "none", "DDS_READ"), (3, "read dds_read now", 0.9, "none", ""), (4, "read dds_read now", 0.4, None, None)]
+    c = spark.createDataFrame([(1, *r, None, None) for r in rows], "query_id long, record_id long, normalized string, fusion_score double, text string, symbol string, topic_title string, topic_url string")
+    got = retrieval.prioritized(c).orderBy("rank").collect()
+    assert [(r["record_id"], r["exact"], r["occurrences"]) for r in got] == [(2, 1, 1), (1, 0, 2), (3, 0, 0), (4, 0, 0)]
+
+
+def test_retrieval_without_rerank_and_without_anything(spark):
+    from evidencespark.operators import retrieval
+
+    kinds = "record_id long, doc_id long, version long, ordinal long, text string, source_name string, source_type string, topic_path string, topic_title string, topic_url string, symbol string, associated_source string, anchor string, vector array<double>"
+    row = lambda i, doc, n, text, kind, topic, named=None: (i, doc, 1, n, text, f"s.{kind}", kind, topic, None, None, None, named, "a", None)
+    rows = [row(1, 1, 0, "alpha beta", "chi", "t.html", "s.chm"), row(2, 2, 0, "gamma", "chm", "t.html"), row(3, 2, 1, "delta", "chm", "t.html"), row(4, 3, 0, "alpha", "text", None), row(5, 4, 0, "alpha beta", "text", None)]
+    chunks = spark.createDataFrame(rows, kinds)
+    active = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 2)], "document_id long, active_version long")
+    asked = spark.createDataFrame([(7, "alpha beta"), (8, "  "), (9, None)], "query_id long, query string")
+    got = retrieval.retrieve(chunks, asked, active, retrieval.Settings(rerank=False)).evidence.orderBy("position").collect()
+    assert [(r["query_id"], r["record_id"], r["role"], r["cause"], r["distance"]) for r in got] == [(7, 1, "anchor", None, 0), (7, 2, "reference", 1, 0), (7, 4, "anchor", None, 0), (7, 3, "neighbour", 2, 1)]
+    assert all(r["selected"] for r in got) and got[0]["fusion_score"] and got[1]["fusion_score"] is None
+    assert retrieval.retrieve(chunks.limit(0), asked, active).evidence.count() == 0
