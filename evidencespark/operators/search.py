@@ -17,9 +17,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidencespark.functions import text as T
+from evidencespark.operators import nearest as near
 from evidencespark.sources.shared import stored
 
-#: About the most queries a task of the dense search holds, and into how many blocks the items are dealt that it streams.
+#: The most queries that a task of the dense search holds (of the text search: about), and into how many blocks at least
+#: the items are dealt.
 QUERY_BLOCK, ITEM_BLOCKS = 4096, 16
 
 
@@ -32,15 +34,27 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", item: str = "recor
 def dense_topk(items: DataFrame, queries: DataFrame, k: int = 20, exclude_self: bool = False) -> DataFrame:
     """``(query_id, record_id, score, rank)``: exact cosine search of ``queries`` in ``items``.
 
-    Both have ``(record_id | query_id, vector)``. Queries and items are dealt into blocks, and each pair of blocks is
-    one task: it holds its queries, multiplies them with batches of its items, and only the best ``k`` leave it. Scores
-    are rounded to 9 places before they are ranked; vectors that are zero score 0, as do null ones of queries.
+    Both have ``(record_id | query_id, vector)``. Scores are rounded to 9 places before they are ranked; vectors that are
+    zero score 0, as do null ones of queries, and those of different lengths never meet. Few queries go to every block
+    of items, and only the best ``k`` leave a task; for more than one block of them items are put into lists, of which
+    each query searches those that can hold one of its best (:mod:`.nearest`).
     """
-    item_blocks = ITEM_BLOCKS
-    query_blocks = max(-(-queries.count() // QUERY_BLOCK), 1)
-
-    def unit(vectors):
-        width = max((len(v) for v in vectors if v is not None), default=1)
+    held = items.where(F.col("vector").isNotNull())
+    widths = [r[0] for r in held.select(F.size("vector")).distinct().collect()]  # lengths of embeddings: one, or a few
+    several = queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK
+    search = near.nearest if several else _all_pairs
+    found = None
+    for width in widths or [1]:
+        own = held.where(F.size("vector") == width)
+        part = search(own, queries.where(F.col("vector").isNull() | (F.size("vector") == width)), k, exclude_self)
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, k)
+
+
+def _all_pairs(items: DataFrame, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """Each task holds the queries, multiplies them with batches of its items, and gives its best ``k`` of each query."""
+
+    def unit(vectors, width):
         x = np.array([np.zeros(width) if v is None else v for v in vectors], dtype=float)
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
@@ -50,26 +64,25 @@ def dense_topk(items: DataFrame, queries: DataFrame, k: int = 20, exclude_self:
         return rows[rows["score"] > -np.inf]
 
     def search(frames):
-        pair, asked, ids = None, [], None
+        block, asked, ids = None, [], None
         for frame in frames:
-            for key, part in frame.groupby(["query_block", "item_block"], sort=False):
-                if key != pair:
+            for key, part in frame.groupby("item_block", sort=False):
+                if key != block:
                     if ids is not None:
                         yield found(ids, score, record)
-                    pair, asked, ids = key, [], None
+                    block, asked, ids = key, [], None
                 asked.append(part[part["side"] == 0])
                 held = part[part["side"] == 1].sort_values("id")
                 if not len(held):
                     continue
-                if ids is None:  # a pair's queries come before its items
-                    own = pd.concat(asked)
-                    ids, q = own["id"].to_numpy(), unit(own["vector"]) if len(own) else None
+                own = held["id"].to_numpy()
+                x = unit(held["vector"], len(held["vector"].iloc[0]))
+                if ids is None:  # a block's queries come before its items
+                    rows = pd.concat(asked)
+                    ids, q = rows["id"].to_numpy(), unit(rows["vector"], x.shape[1]) if len(rows) else None
                     score, record = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
                 if q is None:
                     continue
-                own, x = held["id"].to_numpy(), unit(held["vector"])
-                if not q.any():
-                    q = np.zeros((len(q), x.shape[1]))
                 for a in range(0, len(ids), 512):
                     b = slice(a, a + 512)
                     scores = np.round(q[b] @ x.T, 9) + 0.0
@@ -83,16 +96,14 @@ def dense_topk(items: DataFrame, queries: DataFrame, k: int = 20, exclude_self:
         if ids is not None:
             yield found(ids, score, record)
 
-    def dealt(rows, name, side, own, n_own, other, n_other):
-        rows = rows.select(F.col(name).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(side).alias("side"))
-        rows = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int"))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    def dealt(rows, name, side, block):
+        return rows.select(F.col(name).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(side).alias("side")).withColumn("item_block", block)
 
-    held = dealt(items.where(F.col("vector").isNotNull()), "record_id", 1, "item_block", item_blocks, "query_block", query_blocks)
-    asked = dealt(queries, "query_id", 0, "query_block", query_blocks, "item_block", item_blocks)
-    keys = ["query_block", "item_block"]
-    pairs = held.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "side")
-    return top_k(pairs.mapInPandas(search, "query_id long, record_id long, score double"), k)
+    blocks = max(ITEM_BLOCKS, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = dealt(items, "record_id", 1, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = dealt(queries, "query_id", 0, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = held.unionByName(asked).repartition("item_block").sortWithinPartitions("item_block", "side")
+    return rows.mapInPandas(search, "query_id long, record_id long, score double")
 
 
 #: Most distinct words of the queries that are broadcast to the texts; more of them are joined by a shuffle.

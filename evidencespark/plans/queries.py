@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidencespark.functions import text as T
-from evidencespark.operators import fuse, ingest, lifecycle, search
+from evidencespark.operators import fuse, ingest, lifecycle, nearest, search
 from evidencespark.sources.tables import table
 from evidencespark.streaming import tasks
 
@@ -159,6 +159,15 @@ def dense_topk(spark, sf_dir):
     return search.dense_topk(e, asked).withColumn("score", F.round("score", 6))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS record_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings e JOIN embeddings q ON q.vec_id <> e.vec_id)
+SELECT query_id, record_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS rank FROM s) WHERE rank <= 5""")
+def nearest_lists_topk(spark, sf_dir):
+    """The five nearest neighbours of every vector, from lists around centres whose bounds lose none."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), F.col("embedding").alias("vector"))
+    found = nearest.nearest(e, e.withColumnRenamed("record_id", "query_id"), 5, exclude_self=True)
+    return search.top_k(found, 5).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {OVERLAP} SELECT * FROM sparse")
 def sparse_overlap_topk(spark, sf_dir):
     return search.overlap_topk(_docs(spark, sf_dir), _asked(spark, sf_dir))

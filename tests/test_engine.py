@@ -11,7 +11,7 @@ from evidencespark.functions import text as T
 from evidencespark.operators import contents, dialogue, fuse, ingest, lifecycle, search
 from evidencespark.plans import answer_queries, command_queries, layout_queries, more_queries  # noqa: F401 - they register their queries
 from evidencespark.plans import queries as plans
-from evidencespark.plans import retrieval_queries, text_queries  # noqa: F401
+from evidencespark.plans import retrieval_queries, store_queries, text_queries  # noqa: F401
 from evidencespark.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -571,3 +571,149 @@ def test_retrieval_without_rerank_and_without_anything(spark):
     assert [(r["query_id"], r["record_id"], r["role"], r["cause"], r["distance"]) for r in got] == [(7, 1, "anchor", None, 0), (7, 2, "reference", 1, 0), (7, 4, "anchor", None, 0), (7, 3, "neighbour", 2, 1)]
     assert all(r["selected"] for r in got) and got[0]["fusion_score"] and got[1]["fusion_score"] is None
     assert retrieval.retrieve(chunks.limit(0), asked, active).evidence.count() == 0
+
+
+# --- nearest neighbours -------------------------------------------------------------------------------------
+
+
+def test_lists_lose_no_neighbour_and_score_few_pairs(spark):
+    """Clustered vectors, copies, zeros and null queries: the rows of all pairs, and less than a tenth of them scored."""
+    import numpy as np
+
+    from evidencespark.operators import nearest
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 12))
+    x = np.round(centres[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 12)) * 0.12, 3)
+    x[:30] = x[30]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1500, None)]
+    items = spark.createDataFrame(rows, "record_id long, vector array<double>")
+    asked = items.where("record_id % 3 = 0").withColumnRenamed("record_id", "query_id")
+    for own in (False, True):
+        pairs = spark.sparkContext.accumulator(0)
+        got = search.top_k(nearest.nearest(items, asked, 5, own, counted=pairs), 5).orderBy("query_id", "rank").collect()
+        want = search.top_k(search._all_pairs(items.where("vector IS NOT NULL"), asked, 5, own), 5).orderBy("query_id", "rank").collect()
+        assert got == want
+    assert spark.sparkContext.accumulator(0).value == 0
+    some = asked.where("vector IS NOT NULL")
+    pairs = spark.sparkContext.accumulator(0)
+    nearest.nearest(items, some, 5, counted=pairs).write.format("noop").mode("overwrite").save()
+    assert 0 < pairs.value < 0.1 * 1500 * 500
+    zeros = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.0])], "record_id long, vector array<double>")
+    for lists in (1, 3):
+        got = search.top_k(nearest.nearest(zeros, zeros.withColumnRenamed("record_id", "query_id"), 2, lists=lists), 2).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["record_id"], r["score"]) for r in got] == [(1, 1, 0.0), (1, 2, 0.0), (2, 2, 1.0), (2, 1, 0.0), (3, 3, 1.0), (3, 1, 0.0)]
+    assert nearest.nearest(items.limit(0), asked, 5).count() == 0
+
+
+def test_vectors_of_two_lengths_never_meet(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None)], "record_id long, vector array<double>")
+    asked = spark.createDataFrame([(7, [2.0, 0.0]), (8, [3.0]), (9, [1.0, 1.0, 1.0]), (10, None)], "query_id long, vector array<double>")
+    got = search.dense_topk(items, asked, 5).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["record_id"], r["score"]) for r in got] == [(7, 1, 1.0), (8, 2, 1.0), (10, 1, 0.0), (10, 2, 0.0)]
+
+
+# --- keyword indexes, keyed table, strict answers, traces ---------------------------------------------------
+
+
+def test_chains_are_followed_and_bad_ones_found(spark):
+    import random
+
+    from evidencespark.operators import keywords
+
+    rng = random.Random(6)
+    chains = {}
+    rows = []
+    for n in (1, 2, 3, 8, 9, 33):
+        order = [0, *rng.sample(range(1, n), n - 1)]
+        order = order[: max(1, n - n // 4)]  # some blocks are on no chain
+        chains[f"f{n}"] = order
+        after = dict(zip(order, [*order[1:], keywords.END], strict=True))
+        rows += [(f"f{n}", b, after.get(b, 0)) for b in range(n)]
+    rows += [("loop", 0, 1), ("loop", 1, 2), ("loop", 2, 1), ("self", 0, 0), ("lost", 0, 7), ("lost", 1, keywords.END)]
+    chain, errors = keywords.walked(spark.createDataFrame(rows, "file string, block long, next_block long"))
+    assert {(r["file"], r["pos"]): r["block"] for r in chain.collect()} == {(f, i): b for f, order in chains.items() for i, b in enumerate(order)}
+    assert {r["file"]: r["error"] for r in errors.collect()} == {"loop": "LOOP", "self": "LOOP", "lost": "BROKEN"}
+    chain, errors = keywords.walked(spark.createDataFrame([], "file string, block long, next_block long"))
+    assert chain.count() == errors.count() == 0
+
+
+def test_keywords_of_a_topic_in_groups(spark):
+    from evidencespark.operators import keywords
+
+    found = spark.createDataFrame([("f", i + 1, w, [1, 1, 2] if i == 0 else [1]) for i, w in enumerate(["a, b", "A, B", *[f"k{i}" for i in range(40)]])], "file string, ordinal long, keyword string, topics array<long>")
+    refs = spark.createDataFrame([("f", 1), ("f", 2)], "file string, topic long")
+    got = keywords.segments(found, refs).orderBy("topic", "nth").collect()
+    assert [(r["topic"], r["n_keywords"], r["symbol"], r["keyword_start"], r["keyword_end"]) for r in got] == [(1, 32, "b", 1, 33), (1, 9, "k31", 34, 42), (2, 1, "b", 1, 1)]
+
+
+def test_keyed_table(spark, tmp_path):
+    """Changes by key, null keys, deletion, pinned readers, writers that end early or come second."""
+    from evidencespark.sources.keyed import KeyedTable
+
+    schema = "k long, v string, n long"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    shown = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    t = KeyedTable(spark, f"{tmp_path}/t", spark.createDataFrame([], schema).schema, "k", buckets=4)
+    assert t.version() == 0 and t.read().count() == 0 and t.delete("k = 1") == 0
+    assert t.upsert(rows((1, "a", 1), (2, "b", 1), (None, "c", 1), (2, "later", 2)), order="n") == 1
+    first = t.read()
+    assert t.upsert(rows((2, "new", 3), (None, "d", 3), (9, "e", 3))) == 2
+    assert shown(first) == [(1, "a", 1), (2, "later", 2), (None, "c", 1)]
+    assert shown(t.read()) == [(1, "a", 1), (2, "new", 3), (9, "e", 3), (None, "d", 3)] and shown(t.read(1)) == shown(first)
+    assert t.delete("v = 'e' OR n = 1") == 3 and shown(t.read()) == [(2, "new", 3), (None, "d", 3)]
+    assert t.delete("v = 'nothing'") == 3
+
+    publish = t._publish
+    t._publish = lambda *a: (_ for _ in ()).throw(RuntimeError("the driver is lost"))
+    with pytest.raises(RuntimeError, match="lost"):
+        t.upsert(rows((5, "half", 1)))
+    assert t.version() == 3 and shown(t.read()) == [(2, "new", 3), (None, "d", 3)]
+    other = KeyedTable(spark, f"{tmp_path}/t", t.schema, "k", buckets=4)
+
+    def second(version, manifest):  # another writer comes in between, once
+        t._publish = publish
+        other.upsert(rows((7, "other", 1)))
+        return publish(version, manifest)
+
+    t._publish = second
+    assert t.upsert(rows((2, "mine", 4))) == 5 and shown(t.read()) == [(2, "mine", 4), (7, "other", 1), (None, "d", 3)]
+    t.vacuum(keep=1)
+    assert shown(t.read()) == [(2, "mine", 4), (7, "other", 1), (None, "d", 3)] and t.delete("true") == 6 and t.read().count() == 0
+
+
+def test_strict_answers(spark):
+    from evidencespark.functions import contracts
+
+    good = '{"sufficient":false,"missing_facts":["a\\u00e9"],"reason_code":" ok "}'
+    rows = [
+        (good, None), ("\n" + good + " ", None), (None, "NOT_AN_OBJECT"), ("", "NOT_AN_OBJECT"), ("```" + good, "NOT_AN_OBJECT"), (good + good, "INVALID_JSON"), ('{"sufficient":false}', "MISSING_FIELD"),
+        (good.replace("false", '"false"'), "INVALID_JSON"), (good.replace("]", ",1]"), "INVALID_JSON"), (good.replace('"a', '"\n'), "INVALID_JSON"), (good.replace(" ok ", "x" * 65), "BAD_REASON"), (good.replace('"a', '"' + "é" * 256), "FACT_TOO_LONG"),
+    ]
+    df = spark.createDataFrame(rows, "answer string, want string")
+    error, sufficient, facts, reason = contracts.assessment(F.col("answer"))
+    got = df.select("want", error.alias("error"), sufficient.alias("s"), facts.alias("f"), reason.alias("r")).collect()
+    assert [r["error"] for r in got] == [r["want"] for r in got]
+    assert (got[0]["s"], got[0]["f"], got[0]["r"]) == (False, ["aé"], "ok") and got[2]["f"] is None
+    answers = [('{"queries": [" New  one ", "new one"]}', None, ["New  one"]), ('{"queries": ["OLD query", "x"]}', None, ["x"]), ('{"queries": ["old  QUERY"]}', "NO_NEW_QUERY", None), ('{"queries": []}', "NO_NEW_QUERY", None), ('{"queries": ["a","b","c"]}', "TOO_MANY_QUERIES", None), ('{"queries": ["a", " "]}', "EMPTY_QUERY", None), ('{"queries": null}', "MISSING_FIELD", None)]
+    df = spark.createDataFrame(answers, "answer string, want string, new array<string>")
+    error, new = contracts.rewrite(F.col("answer"), F.array(F.lit("Old query")))
+    assert [(r["e"], r["n"]) for r in df.select(error.alias("e"), new.alias("n")).collect()] == [(w, n) for _, w, n in answers]
+
+
+def test_spans_of_a_trace(spark):
+    from evidencespark.operators import traces
+
+    own = lambda i, **more: {"span_id": i, "parent_id": "", "start_ns": "1000", "end_ns": "2500000", "status": "0", "attributes": [], **more}
+    named = lambda s: [{"key": "service.name", "value": s}]
+    spans = [own("00000000000000AB"), own("AAAAAAAAAAE="), own("short"), own("00000000000000ac", status="2", end_ns="1"), own("00000000000000ad", attributes=[{"key": "stage", "value": "chunk"}, {"key": "outcome", "value": "bad"}, {"key": "stage", "value": "parse"}])]
+    rows = [("t", [{"attributes": named("nobody"), "scopes": [{"spans": spans}]}, {"attributes": named("rag-go-api"), "scopes": [{"spans": []}, {"spans": spans}]}]), ("empty", None), ("none", [])]
+    df = spark.createDataFrame(rows, f"trace_id string, resources {traces.TRACE}")
+    got = traces.flattened(df).orderBy("nth").collect()
+    assert [(r["nth"], r["span_id"], r["stage"], r["outcome"], r["truncated"]) for r in got] == [
+        (1, "00000000000000ab", "rpc", "succeeded", False), (2, "0000000000000001", "rpc", "succeeded", False), (3, "00000000000000ac", "rpc", "failed", False), (4, "00000000000000ad", "chunk", "succeeded", False)
+    ]
+    assert (got[0]["duration_ms"], got[2]["duration_ms"]) == (2.499, 0.0)
+    cut = traces.flattened(df, 2).collect()
+    assert len(cut) == 2 and all(r["truncated"] for r in cut)
+    assert not any(r["truncated"] for r in traces.flattened(df, 4).collect())
