@@ -132,7 +132,7 @@ _ANSWERS_SQL = ", ".join("'" + a.replace("'", "''") + "'" for a in ANSWERS)
 
 
 @query(f"""WITH a AS (SELECT event_id, replace([{_ANSWERS_SQL}][event_id % {len(ANSWERS)} + 1], '@', coalesce(json_extract_string(props, '$.k'), '')) AS answer FROM events),
-b AS (SELECT event_id, trim(answer) AS t, json_valid(trim(answer)) AND NOT regexp_matches(answer, ',\\s*[\]}}]') AS ok FROM a),
+b AS (SELECT event_id, trim(answer) AS t, json_valid(trim(answer)) AND NOT regexp_matches(answer, ',\\s*[\\]}}]') AS ok FROM a),
 c AS (SELECT *, CASE WHEN ok THEN json_keys(t) END AS k, CASE WHEN ok THEN json_type(t, '$.sufficient') END AS s, CASE WHEN ok THEN json_type(t, '$.missing_facts') END AS m, CASE WHEN ok THEN json_type(t, '$.reason_code') END AS r FROM b),
 d AS (SELECT *, CASE WHEN m = 'ARRAY' THEN CAST(json_extract(t, '$.missing_facts') AS VARCHAR[]) END AS facts, CASE WHEN ok THEN trim(json_extract_string(t, '$.reason_code')) END AS reason FROM c),
 e AS (SELECT *, CASE WHEN NOT (starts_with(t, '{{') AND ends_with(t, '}}')) THEN 'NOT_AN_OBJECT' WHEN NOT ok OR len(k) <> len(list_distinct(k)) OR len(list_filter(k, lambda x: x NOT IN ('sufficient', 'missing_facts', 'reason_code'))) > 0

@@ -11,7 +11,7 @@ from evidencespark.functions import text as T
 from evidencespark.operators import contents, dialogue, fuse, ingest, lifecycle, search
 from evidencespark.plans import answer_queries, command_queries, layout_queries, more_queries  # noqa: F401 - they register their queries
 from evidencespark.plans import queries as plans
-from evidencespark.plans import retrieval_queries, store_queries, text_queries  # noqa: F401
+from evidencespark.plans import relay_queries, retrieval_queries, store_queries, text_queries  # noqa: F401
 from evidencespark.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -717,3 +717,56 @@ def test_spans_of_a_trace(spark):
     cut = traces.flattened(df, 2).collect()
     assert len(cut) == 2 and all(r["truncated"] for r in cut)
     assert not any(r["truncated"] for r in traces.flattened(df, 4).collect())
+
+
+# --- relay --------------------------------------------------------------------------------------------------
+
+
+def test_tries_go_on_after_a_restart(spark, tmp_path):
+    """Two runs with one checkpoint give what the batch twin gives of all deliveries; none is tried twice."""
+    import datetime
+
+    from evidencespark.streaming import relay
+
+    base = datetime.datetime(2024, 1, 1)
+    schema = "delivery_id long, ts timestamp, failures int, lasting boolean"
+    rows = [(i, base + datetime.timedelta(seconds=7 * i), i % 6, i % 4 == 1) for i in range(40)]
+    parts = [spark.createDataFrame(rows[:20], schema), spark.createDataFrame([*rows[20:], rows[25]], schema)]
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, relay.ROCKSDB)
+    try:
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            found = relay.tries(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 5, 4)
+            found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    newest = int(spark.createDataFrame(rows, schema).agg(F.max(F.unix_millis("ts"))).first()[0])
+    want = sorted(tuple(r) for r in relay.tries_batch(spark.createDataFrame(rows, schema), 5, 4, newest).collect())
+    assert got == want and {r[3] for r in got} == {"done", "failed", "retry"} and max(r[1] for r in got) == 4
+
+
+def test_publication_once(spark, tmp_path):
+    """A batch whose commit was lost is written again, under its own keys."""
+    from evidencespark.sources.keyed import KeyedTable
+    from evidencespark.streaming import relay
+
+    schema = "id long, created_at long, body string"
+    spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (1, 2, "c")], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    t = KeyedTable(spark, f"{tmp_path}/t", spark.createDataFrame([], schema).schema, "id", buckets=2)
+    upsert = t.upsert
+
+    def lost(*a):
+        upsert(*a)
+        raise RuntimeError("lost before the commit")
+
+    t.upsert = lost
+    with pytest.raises(Exception, match="lost before"):
+        relay.publish(source, t, f"{tmp_path}/at").awaitTermination()
+    t.upsert = upsert
+    for _ in range(2):
+        relay.publish(source, t, f"{tmp_path}/at").awaitTermination()
+    assert sorted(tuple(r) for r in t.read().collect()) == [(1, 2, "c"), (2, 1, "b")] and t.version() == 2
