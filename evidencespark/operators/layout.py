@@ -178,3 +178,98 @@ def blocks(lines: DataFrame, width: float) -> DataFrame:
     every = found.unionByName(bare).withColumnRenamed("_block", "block")
     begins = (F.col("heading_path") == "") | F.startswith(F.col("text"), F.col("heading_path"))
     return every.withColumn("text", F.when(begins, F.col("text")).otherwise(F.concat("heading_path", F.lit("\n\n"), "text")))
+
+
+#: The margins of a page, how large a line at the top may be, on how many pages a line repeats.
+MARGIN, MARGIN_SIZE, LEAST_PAGES, PAGE_SHARE = 0.12, 1.2, 3, 0.6
+LONGEST_MARGIN = 160
+#: Where a printed page number stands, and what it looks like.
+NUMBER_FROM = 0.82
+NUMBER = r"(?i)^(?:(?:page|第)\s*)?([0-9]{1,6}|[ivxlcdm]{1,12})(?:\s*页)?$"
+
+
+def _one_spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def printed_numbers(lines: DataFrame, height: float) -> DataFrame:
+    """``(doc_id, page, position, number)``: the lowest line at the foot of a page that is nothing but a page number."""
+    rows = lines.withColumn("number", F.regexp_extract(_one_spaced(F.col("text")), NUMBER, 1)).where((F.col("top") >= height * NUMBER_FROM) & (F.col("number") != ""))
+    lowest = F.row_number().over(W.partitionBy(*PAGE).orderBy(F.desc("top"), "position"))
+    return rows.withColumn("_nth", lowest).where("_nth = 1").select(*PAGE, "position", "number")
+
+
+def margin_keys(lines: DataFrame, height: float, ratio: float = MARGIN) -> DataFrame:
+    """``lines`` with their ``margin_key``: the folded text, digits as #, of one of the two lines at the top or foot of a page.
+
+    Empty for lines elsewhere, for long ones, and for those at the top that are larger than the body.
+    """
+    page = W.partitionBy(*PAGE)
+    at_top = (F.col("top") <= height * ratio) & (F.col("position") <= 2)
+    at_foot = (F.col("bottom") >= height * (1 - ratio)) & (F.col("position") >= F.count(F.lit(1)).over(page) - 1)
+    large = at_top & (F.col("font_size") > F.median("font_size").over(page) * MARGIN_SIZE)
+    key = F.regexp_replace(F.lower(_one_spaced(F.col("text"))), r"\d+", "#")
+    return lines.withColumn("margin_key", F.when((at_top | at_foot) & ~large & (F.length(key) <= LONGEST_MARGIN), key).otherwise(""))
+
+
+def repeated_keys(keyed: DataFrame) -> DataFrame:
+    """``(doc_id, margin_key, on_pages)`` of the keys that stand on three pages and 60 % of the pages of their document."""
+    pages = keyed.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
+    counts = keyed.where("margin_key <> ''").groupBy("doc_id", "margin_key").agg(F.count_distinct("page").alias("on_pages"))
+    least = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * PAGE_SHARE))
+    return counts.join(pages, "doc_id").where(F.col("on_pages") >= least).drop("pages")
+
+
+def visible(lines: DataFrame, height: float) -> DataFrame:
+    """``lines`` without printed page numbers and without what repeats in the margins."""
+    keyed = margin_keys(lines, height)
+    kept = keyed.join(repeated_keys(keyed).select("doc_id", "margin_key"), ["doc_id", "margin_key"], "left_anti")
+    kept = kept.join(printed_numbers(lines, height).select(*PAGE, "position"), [*PAGE, "position"], "left_anti")
+    return kept.select(*lines.columns)
+
+
+#: What a table of rows with bars may look like.
+CELL_LONGEST, CELL_MEDIAN, MOST_WIDER = 80, 32, 1
+PROSE = "[。；]"
+
+
+def displayed(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``shown``, their text as it is shown: without the heading's line, and rows with bars as Markdown.
+
+    A first line that repeats the heading goes, with a blank line after it. Rows between bars that follow each other are a
+    table if there are two or more, with two cells or more and about as many in each, of which none is long, and with
+    few ends of sentences; else they are running text. Where nothing is left the text stays as it is.
+    """
+    key = ["doc_id", "page", "block"]
+    own, by_line = W.partitionBy(*key), W.partitionBy(*key).orderBy("pos")
+    rows = blocks.select(*key, "heading_path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    blank = F.trim("line") == ""
+    first = F.min(F.when(~blank, F.col("pos"))).over(own)
+    folded = lambda c: F.lower(_one_spaced(c))
+    rows = rows.withColumn("_heading", F.coalesce((F.col("pos") == first) & (F.col("heading_path") != "") & (folded(F.col("line")) == folded(F.col("heading_path"))), F.lit(False)))
+    rows = rows.withColumn("_after", F.coalesce(F.lag("_heading").over(by_line), F.lit(False))).where(~F.col("_heading") & ~(F.col("_after") & blank))
+    plain = F.trim("line")
+    cells = F.transform(F.split(F.substring(plain, F.lit(2), F.length(plain) - 2), r"\|"), lambda c: F.trim(c))
+    barred = (F.length(plain) >= 2) & F.startswith(plain, F.lit("|")) & F.endswith(plain, F.lit("|"))
+    rows = rows.withColumn("cells", F.when(barred, cells)).withColumn("cells", F.when(F.exists("cells", lambda c: c != ""), F.col("cells")))
+    rows = rows.withColumn("_run", F.sum(F.col("cells").isNull().cast("int")).over(by_line))
+    filled = F.filter("cells", lambda c: c != "")
+    runs = rows.where(F.col("cells").isNotNull()).groupBy(*key, "_run").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.size("cells")).alias("least"), F.max(F.size("cells")).alias("most"), F.min("pos").alias("begin"),
+        F.flatten(F.collect_list(F.transform(filled, lambda c: F.length(c)))).alias("sizes"), F.sum(F.length(F.regexp_replace(F.array_join(filled, ""), f"[^{PROSE[1:-1]}]", ""))).alias("ends"),
+    )
+    sizes = F.sort_array("sizes")
+    at = lambda i: F.get(sizes, i.cast("int"))
+    middle = (at(F.floor((F.size(sizes) - 1) / 2)) + at(F.floor(F.size(sizes) / 2))) / 2
+    table = (F.col("n") >= 2) & (F.col("least") >= 2) & (F.col("most") - F.col("least") <= MOST_WIDER) & (F.array_max("sizes") <= CELL_LONGEST) & (middle <= CELL_MEDIAN) & (F.col("ends") < F.col("n"))
+    runs = runs.select(*key, "_run", "most", "begin", table.alias("table"))
+    rows = rows.join(runs, [*key, "_run"], "left")
+    padded = F.concat("cells", F.array_repeat(F.lit(""), F.col("most") - F.size("cells")))
+    row = F.concat(F.lit("| "), F.array_join(padded, " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("most")), " | "), F.lit(" |"))
+    running = F.trim(F.array_join(filled, " "))
+    shown = F.when(F.col("cells").isNull(), F.col("line")).when(~F.col("table"), running).when(F.col("pos") == F.col("begin"), F.concat(row, F.lit("\n"), rule)).otherwise(row)
+    listed = F.array_sort(F.collect_list(F.struct("pos", shown.alias("shown"))))
+    whole = rows.groupBy(*key).agg(F.array_join(F.transform(listed, lambda r: r["shown"]), "\n").alias("shown"))
+    stripped = F.regexp_replace("shown", r"^\s+|\s+$", "")
+    return blocks.join(whole.withColumn("shown", stripped), key, "left").withColumn("shown", F.coalesce(F.nullif("shown", F.lit("")), F.col("text")))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from evidencespark.operators import layout
 from evidencespark.plans.queries import query
+from evidencespark.sources.shared import stored
 from evidencespark.sources.tables import table
 
-WIDTH = 600.0
+WIDTH, HEIGHT = 600.0, 800.0
 
 
 def _words(spark, sf_dir):
@@ -68,6 +69,41 @@ bl AS (SELECT doc_id, page, block, any_value(kind) AS layout_type, any_value(pat
   UNION ALL SELECT doc_id, page, 1, 'heading', arg_max(path, position), arg_max(deepest, position), printf('[0.00,0.00,600.00,%.2f]', any_value(body)), 1, 1 FROM b5 WHERE filled = 0 GROUP BY 1, 2)"""
 
 
+def _page_words(spark, sf_dir):
+    """The words of :func:`_words`, with a line over each page that repeats but for its number, and the page's number below."""
+    body = _words(spark, sf_dir)
+    pages = body.select("doc_id", "page").distinct()
+    head = F.concat(F.lit("Document "), (F.col("doc_id") % 5).cast("string"), F.lit(" part "), F.col("page").cast("string"))
+    foot = F.concat(F.when(F.col("doc_id") % 2 == 0, "").otherwise("page "), (F.col("page") + 1).cast("string"))
+    more = None
+    for nth, text, x0, top in ((-1, head, 250.0, 20.0), (-2, foot, 295.0, 770.0)):
+        rows = pages.select("doc_id", "page", F.lit(nth).cast("long").alias("nth"), text.alias("text"), F.lit(x0).alias("x0"), F.lit(top).alias("top"), F.lit(10.0).alias("font_size"), F.lit(False).alias("bold"))
+        rows = rows.withColumns({"x1": F.col("x0") + F.length("text") * 5.0, "bottom": F.lit(top + 10.0)})
+        more = rows if more is None else more.unionByName(rows)
+    return body.unionByName(more)
+
+
+_MARGIN_WORDS = """wy AS (SELECT * FROM wd UNION ALL SELECT DISTINCT doc_id, page, -1, 'Document ' || doc_id % 5 || ' part ' || page, 250.0::DOUBLE, 20.0::DOUBLE, 10.0::DOUBLE, FALSE FROM wd
+  UNION ALL SELECT DISTINCT doc_id, page, -2, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'page ' END || (page + 1), 295.0::DOUBLE, 770.0::DOUBLE, 10.0::DOUBLE, FALSE FROM wd),
+"""
+_PAGE_LINES = _LINES.replace("wx AS (SELECT *, x0", _MARGIN_WORDS + "wx AS (SELECT *, x0").replace("AS k FROM wd)", "AS k FROM wy)")
+_VISIBLE = f"""sp AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS plain, median(font_size) OVER (PARTITION BY doc_id, page) AS size, count(*) OVER (PARTITION BY doc_id, page) AS n FROM od),
+pn AS (SELECT doc_id, page, position, regexp_extract(plain, {_RE(layout.NUMBER)}, 1) AS number FROM sp WHERE top >= 656 AND regexp_matches(plain, {_RE(layout.NUMBER)}) QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY top DESC, position) = 1),
+mk AS (SELECT *, regexp_replace(lower(plain), '\\d+', '#', 'g') AS key, (top <= 96 AND position <= 2 AND font_size <= size * 1.2::DOUBLE OR bottom >= 704 AND position >= n - 1 AND NOT (top <= 96 AND position <= 2)) AND length(plain) <= 160 AS marginal FROM sp),
+rp AS (SELECT doc_id, key, count(DISTINCT page) AS on_pages FROM mk WHERE marginal GROUP BY 1, 2 HAVING count(DISTINCT page) >= (SELECT greatest(3, ceil(count(DISTINCT page) * 0.6::DOUBLE)) FROM mk m WHERE m.doc_id = mk.doc_id)),
+vi AS (SELECT mk.* FROM mk LEFT JOIN pn USING (doc_id, page, position) LEFT JOIN rp ON rp.doc_id = mk.doc_id AND rp.key = mk.key AND mk.marginal WHERE pn.number IS NULL AND rp.key IS NULL)"""
+_SHOWN = """sl AS (SELECT doc_id, page, block, heading_path, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT *, string_split(text, chr(10)) AS l FROM bt)),
+sh AS (SELECT *, heading_path <> '' AND pos = min(CASE WHEN trim(line) <> '' THEN pos END) OVER (PARTITION BY doc_id, page, block) AND lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(heading_path, '\\s+', ' ', 'g'))) AS head FROM sl),
+sk AS (SELECT * FROM (SELECT *, coalesce(lag(head) OVER (PARTITION BY doc_id, page, block ORDER BY pos), FALSE) AS after FROM sh) WHERE NOT head AND NOT (after AND trim(line) = '')),
+sc AS (SELECT *, CASE WHEN length(trim(line)) >= 2 AND starts_with(trim(line), '|') AND ends_with(trim(line), '|') AND len(list_filter(cs, lambda c: c <> '')) > 0 THEN cs END AS cells FROM (SELECT *, list_transform(string_split(substr(trim(line), 2, length(trim(line)) - 2), '|'), lambda c: trim(c)) AS cs FROM sk)),
+sr AS (SELECT *, sum((cells IS NULL)::INT) OVER (PARTITION BY doc_id, page, block ORDER BY pos) AS run FROM sc),
+su AS (SELECT doc_id, page, block, run, max(len(cells)) AS most, min(pos) AS first, count(*) >= 2 AND min(len(cells)) >= 2 AND max(len(cells)) - min(len(cells)) <= 1 AND list_max(flatten(list(list_transform(cells, lambda c: length(c))))) <= 80
+  AND list_aggregate(flatten(list(list_transform(list_filter(cells, lambda c: c <> ''), lambda c: length(c)))), 'median') <= 32 AND sum(len(regexp_extract_all(array_to_string(cells, ''), '[。；]'))) < count(*) AS is_table FROM sr WHERE cells IS NOT NULL GROUP BY 1, 2, 3, 4),
+sw AS (SELECT sr.doc_id, sr.page, sr.block, pos, CASE WHEN cells IS NULL THEN line WHEN NOT is_table THEN trim(array_to_string(list_filter(cells, lambda c: c <> ''), ' '))
+  ELSE '| ' || array_to_string(list_resize(cells, most, ''), ' | ') || ' |' || CASE WHEN pos = first THEN chr(10) || '| ' || array_to_string(list_transform(range(most), lambda i: '---'), ' | ') || ' |' ELSE '' END END AS shown FROM sr LEFT JOIN su USING (doc_id, page, block, run)),
+sx AS (SELECT doc_id, page, block, regexp_replace(string_agg(shown, chr(10) ORDER BY pos), '^\\s+|\\s+$', '', 'g') AS shown FROM sw GROUP BY 1, 2, 3)"""
+
+
 @query(f"WITH RECURSIVE {_LINES} SELECT doc_id, page, line, sha256(text) AS text_sha256, x0, top, x1, bottom, font_size, bold, CAST(columns AS BIGINT) AS columns FROM li")
 def page_lines(spark, sf_dir):
     """Words of a page joined to lines, with tabs between columns."""
@@ -88,3 +124,28 @@ def page_blocks(spark, sf_dir):
     ordered = layout.in_reading_order(layout.lines(_words(spark, sf_dir)), WIDTH)
     found = layout.blocks(ordered, WIDTH)
     return found.select("doc_id", "page", "block", "layout_type", "heading_path", F.sha2("text", 256).alias("text_sha256"), "bbox", "start_line", "end_line")
+
+
+@query(f"WITH RECURSIVE {_PAGE_LINES}, {_ORDER}, {_VISIBLE} SELECT doc_id, key AS margin_key, on_pages FROM rp")
+def page_margins(spark, sf_dir):
+    """What repeats in the margins of the pages of a document."""
+    ordered = layout.in_reading_order(layout.lines(_page_words(spark, sf_dir)), WIDTH)
+    return layout.repeated_keys(layout.margin_keys(ordered, HEIGHT))
+
+
+@query(f"WITH RECURSIVE {_PAGE_LINES}, {_ORDER}, {_VISIBLE} SELECT doc_id, page, position, number FROM pn")
+def printed_page_numbers(spark, sf_dir):
+    """The number that is printed on each page."""
+    return layout.printed_numbers(layout.in_reading_order(layout.lines(_page_words(spark, sf_dir)), WIDTH), HEIGHT)
+
+
+@query(f"""WITH RECURSIVE {_PAGE_LINES}, {_ORDER}, {_VISIBLE}, {_BLOCKS.replace("FROM od)", "FROM vi)")},
+bt AS (SELECT doc_id, page, block, layout_type, heading_path, CASE WHEN heading_path = '' OR starts_with(text, heading_path) THEN text ELSE heading_path || chr(10) || chr(10) || text END AS text, start_line, end_line FROM bl), {_SHOWN}
+SELECT bt.doc_id, bt.page, CAST(bt.block AS BIGINT) AS block, layout_type, pn.number AS printed_page, start_line, end_line, sha256(coalesce(nullif(shown, ''), text)) AS shown_sha256 FROM bt LEFT JOIN sx USING (doc_id, page, block) LEFT JOIN pn ON pn.doc_id = bt.doc_id AND pn.page = bt.page""")
+def document_blocks(spark, sf_dir):
+    """Blocks of whole documents, without margins and page numbers, as they are shown with their printed page."""
+    ordered = stored(layout.in_reading_order(layout.lines(_page_words(spark, sf_dir)), WIDTH), "ordered-lines")
+    blocks = stored(layout.blocks(layout.visible(ordered, HEIGHT), WIDTH), "blocks")
+    numbers = layout.printed_numbers(ordered, HEIGHT).select("doc_id", "page", F.col("number").alias("printed_page"))
+    shown = layout.displayed(blocks).join(numbers, ["doc_id", "page"], "left")
+    return shown.select("doc_id", "page", "block", "layout_type", "printed_page", "start_line", "end_line", F.sha2("shown", 256).alias("shown_sha256"))

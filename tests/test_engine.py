@@ -770,3 +770,29 @@ def test_publication_once(spark, tmp_path):
     for _ in range(2):
         relay.publish(source, t, f"{tmp_path}/at").awaitTermination()
     assert sorted(tuple(r) for r in t.read().collect()) == [(1, 2, "c"), (2, 1, "b")] and t.version() == 2
+
+
+def test_margins_and_printed_numbers(spark):
+    from evidencespark.operators import layout
+
+    rows = []
+    for p in (1, 2, 3):
+        rows += [(f"Manual part {p}", 250, 20, 10.0, False, p), *[(f"body{p}{i}", 20, 100 + 14 * i, 10.0, False, p) for i in range(4)], (f"Page {p + 6}" if p < 3 else "iv", 295, 770, 10.0, False, p)]
+    rows += [("Large", 20, 40, 18.0, False, 4), ("only", 20, 200, 10.0, False, 4), ("here", 20, 214, 10.0, False, 4), ("12", 20, 300, 10.0, False, 4)]
+    ordered = layout.in_reading_order(layout.lines(words(spark, [(t.replace(" ", "_"), *rest) if t.startswith("Manual") else (t, *rest) for t, *rest in rows])), 600.0)
+    assert {(r["page"], r["number"]) for r in layout.printed_numbers(ordered, 800.0).collect()} == {(1, "7"), (2, "8"), (3, "iv")}
+    assert [(r["margin_key"], r["on_pages"]) for r in layout.repeated_keys(layout.margin_keys(ordered, 800.0)).collect()] == [("manual_part_#", 3)]
+    left = {r["text"] for r in layout.visible(ordered, 800.0).collect()}
+    assert left == {f"body{p}{i}" for p in (1, 2, 3) for i in range(4)} | {"Large", "only", "here", "12"}
+
+
+def test_shown_blocks(spark):
+    from evidencespark.operators import layout
+
+    long = "x" * 90
+    cases = [
+        ("A > B", "a >  b\n\ntext", "text"), ("A", "A", "A"), ("", "  plain ", "plain"), ("A", "other\n\ntext", "other\n\ntext"), ("", "| a | b |\n| c | |\nend", "| a | b |\n| --- | --- |\n| c |  |\nend"),
+        ("", "| a | b | c |\n| d | e |", "| a | b | c |\n| --- | --- | --- |\n| d | e |  |"), ("", "| one | row |", "one row"), ("", f"| {long} | b |\n| c | d |", f"{long} b\nc d"), ("", "| a。 | b； |\n| c | d |", "a。 b；\nc d"), ("", "| | |\n| a | b |", "| | |\na b"),
+    ]
+    df = spark.createDataFrame([(1, 1, i, h, t) for i, (h, t, _) in enumerate(cases)], "doc_id long, page long, block long, heading_path string, text string")
+    assert [r["shown"] for r in layout.displayed(df).orderBy("block").collect()] == [s for _, _, s in cases]
