@@ -44,6 +44,7 @@ _CLOSES_P = _BREAKS - {"button", "label", "option", "td", "th", "tr", "tbody", "
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"})} | {
     t: ({"td", "th"} | ({"tr"} if t == "tr" else set()), {"table"}) for t in ("td", "th", "tr")
 }
+_ANCHOR, _HREF = re.compile(r"<(/?)a(?![-\w:])", re.I), re.compile(r"\bhref\s*=", re.I)
 _GOOD_TAGS = frozenset(["article", "main"])
 _BAD_TAGS = frozenset("nav aside footer form menu dialog button fieldset label".split())
 _GOOD_NAMES = frozenset("article articlebody body content entry main post story text".split())
@@ -56,16 +57,26 @@ _BAD_NAMES = frozenset(
     "subscription tags teaser toolbar widget widgets".split()
 )
 
-#: Words that say of a name what state it is in ("comments-open", "has-sidebar"), not what it holds.
-_STATE_NAMES = frozenset("open opened closed enabled disabled has no with without on off active".split())
-#: Bad words that weigh less beside a good one ("story-legal").
-_SOFT_NAMES = frozenset("banner byline copyright disclaimer hidden legal masthead notice notices overlay paywall popup search social tags".split())
+#: Words that say of a name what state it is in ("comments-open", "has-sidebar"), not what it holds: at its begin, or at
+#: the end of a name of two words.
+_STATE_BEGINS = frozenset("has no with without".split())
+_STATE_ENDS = frozenset("open opened closed enabled disabled on off active".split())
+#: Bad words that weigh less beside a good one ("story-legal"), and one that weighs less by itself.
+_SOFT_NAMES = frozenset("banner byline copyright disclaimer hidden legal masthead overlay paywall popup search social tags".split())
+_MILD_NAMES = frozenset(["discussion"])
+#: Last words of names that say nothing of what is held; after any other one a bad word is in doubt ("share-price").
+_FRAME_NAMES = frozenset(
+    "area bar block body box button buttons container content entry form group header holder icon icons inner item items label layer left link links list "
+    "message module outer panel post posts right row section slot text thread title top unit wrap wrapper zone".split()
+)
 #: How far containers speak against main text: not, by a doubtful name, or plainly.
 FINE, DOUBTFUL, BAD = 0, 1, 2
 
 #: Weights of the block classifier.
 GOOD_CONTAINER, DOUBTFUL_CONTAINER, BAD_CONTAINER, PAGE_HEADER, OUTSIDE = 3.0, -3.0, -8.0, -8.0, -3.0
 WORDS, LINKS, SENTENCE, PARAGRAPH, HEADING, ITEM, RIGHTS, BIAS = 0.9, -4.0, 0.7, 0.8, 0.5, -0.3, -2.0, -2.0
+#: With fewer plain words than this a page has nothing but short blocks, which then weigh more.
+SHORT_PAGE, SHORT = 60, 1.5
 #: Edge capacities: blocks that follow each other, further ones for a common parent, and across a boilerplate border.
 NEXT, SAME_PARENT, BORDER = 0.6, 0.6, 0.1
 
@@ -97,12 +108,16 @@ def _named(attrs: str, holds_text: bool) -> tuple[bool, int]:
             bad = max(bad, BAD * (value.lower() == "true"))
         else:
             for name in value.split():
-                parts = {x.lower() for x in _NAME_PART.findall(name)} | {name.lower()}
+                words = [x.lower() for x in _NAME_PART.findall(name)] or [name.lower()]
+                parts = {*words, name.lower()}
                 well = not _GOOD_NAMES.isdisjoint(parts)
                 good |= well
                 against = parts & _BAD_NAMES
-                if against and not holds_text and _STATE_NAMES.isdisjoint(parts):
-                    bad = max(bad, DOUBTFUL if well and against <= _SOFT_NAMES else BAD)
+                state = words[0] in _STATE_BEGINS or (len(words) == 2 and words[1] in _STATE_ENDS)
+                if against and not holds_text and not state:
+                    other_end = words[-1] not in _BAD_NAMES and words[-1] not in _FRAME_NAMES and words[-1] not in _STATE_ENDS and name.lower() not in _BAD_NAMES
+                    doubtful = other_end or (well and against <= _SOFT_NAMES) or parts <= _MILD_NAMES
+                    bad = max(bad, DOUBTFUL if doubtful else BAD)
     return good and bad < BAD, bad
 
 
@@ -111,13 +126,15 @@ def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
     # Open containers: (tag, number, good, bad, header); inherited flags are those of the container above or its own.
     stack = [("", 0, False, FINE, False)]
-    count, in_link = 0, False
+    count, in_link, unclosed = 0, False, False
     parts: list[str] = []
     linked = 0
     upto, n = 0, len(html)
 
     def flush():
-        nonlocal linked
+        nonlocal linked, in_link
+        if unclosed:  # such a link ends with its block
+            in_link = False
         if parts:
             text = " ".join("".join(parts).split())
             if text:
@@ -155,7 +172,9 @@ def blocks_of(html: str) -> list[Block]:
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
-            in_link = not closing
+            in_link = not closing and _HREF.search(attrs) is not None
+            after = _ANCHOR.search(html, upto) if in_link else None
+            unclosed = in_link and (after is None or not after[1])
         if tag not in _BREAKS and not (attrs and not closing and _named(attrs, False)[1]) and not (closing and any(x[0] == tag for x in stack)):
             continue
         if tag in ("br", "img", "input", "hr", "wbr", "a", "meta", "link", "embed", "source", "col", "area"):
@@ -198,8 +217,10 @@ def blocks_of(html: str) -> list[Block]:
 def block_scores(blocks: list[Block]) -> list[float]:
     """The classifier: above 0 for main text, below for boilerplate; the distance is the cost of the other label."""
     some_good = any(b.good and not b.bad for b in blocks)
+    plain = [not b.bad and not b.header and 2 * b.linked < len(b.text) for b in blocks]
+    short = sum(b.text.count(" ") + 1 for b, p in zip(blocks, plain, strict=True) if p) < SHORT_PAGE
     scores = []
-    for b in blocks:
+    for b, p in zip(blocks, plain, strict=True):
         words = b.text.count(" ") + 1
         z = BIAS + WORDS * log1p(words) + LINKS * min(1.0, b.linked / len(b.text))
         if b.text[-1] in ".!?…\"”»:;":
@@ -219,6 +240,8 @@ def block_scores(blocks: list[Block]) -> list[float]:
         z += (0.0, DOUBTFUL_CONTAINER, BAD_CONTAINER)[b.bad]
         if b.header:
             z += PAGE_HEADER
+        if short and p:
+            z += SHORT
         scores.append(z)
     return scores
 

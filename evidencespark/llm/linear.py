@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidencespark.llm.common import free_name, held_out, text_bytes
@@ -25,12 +26,17 @@ def runs(texts: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[np.ndarr
         i = j
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """``(doc_id, text, y)`` of at most ``per_class`` labelled rows of each class outside the held-out fold.
+#: Most bytes of texts that a classifier is fitted on.
+SAMPLE_BYTES = 32 << 20
 
-    The bound is the documented one of the classifiers; rows are taken in the order of a hash of their id, so
-    reruns agree. Ids or labels that are null are passed over; of several labels of one id the largest counts.
-    At most ``2 * per_class`` ids are broadcast.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``(doc_id, text, y)`` of at most ``per_class`` labelled documents of each class outside the held-out fold.
+
+    The bounds are the documented ones of the classifiers: ids are taken in the order of a hash, so reruns agree, each
+    id with one text (of several rows that share it, the one whose text has the smallest hash), and whole texts as
+    long as all together have at most ``max_bytes``. Ids or labels that are null are passed over; of several labels of
+    one id the largest counts. At most ``2 * per_class`` ids are broadcast.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -42,8 +48,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return texts.join(F.broadcast(picked), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    one = F.struct(F.xxhash64("text").alias("hash"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    sizes = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(one).alias("of"), F.first("y").alias("y"))
+    upto = F.sum("of.size").over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))  # numbers of the bounded sample only
+    chosen = sizes.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select(F.col("doc_id").alias("_id"), F.col("of.hash").alias("_hash"), "y")
+    rows = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    return rows.groupBy("doc_id", "_hash").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("doc_id", "text", "y")
 
 
 def collect_features(sample: DataFrame, features: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> list:

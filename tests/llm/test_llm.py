@@ -55,6 +55,48 @@ def test_boilerplate_by_name(name):
     assert html_extract.main_text(page)[0] == LONG.strip()
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<a name='top'><p>{LONG}</p><p>{LONG}</p>", [LONG, LONG]),
+        (f"<a href='x'>More<p>{LONG}</p><p>{LONG}</p>", [LONG, LONG]),
+        (f"<article><p>{LONG}</p></article><a href='x'><div><p>Read what else has happened in the town</p></div></a>", [LONG]),
+        (f"<article><div class='share-price'><p>{LONG}</p></div></article>", [LONG]),
+        (f"<article><section id='discussion'><p>{LONG}</p></section></article>", [LONG]),
+        (f"<article><p>{LONG}</p><div class='story-notice'><p>This story will change as news comes in, so come back soon.</p></div></article>", [LONG]),
+        (f"<article><p>{LONG}</p><div class='post-comments-open'><p>Great article, thanks a lot for writing it, I liked it.</p></div></article>", [LONG]),
+        ("<h1>Title</h1><p>One short line.</p>", ["Title", "One short line."]),
+        ("<nav><a href=x>Home</a></nav><p>Short.</p><footer>Imprint</footer>", ["Short."]),
+    ],
+)
+def test_layouts_that_were_wrong(page, want):
+    assert html_extract.main_text(page)[0] == "\n".join(x.strip() for x in want)
+
+
+def test_pages_as_a_table(spark):
+    """Nulls, repeated rows, a very long page, clashing columns, no rows."""
+    long = "<article>" + f"<p>{LONG}</p>" * 3000 + "</article>"
+    rows = [(1, None, "x"), (2, "", "x"), (3, PAGE, "x"), (3, PAGE, "x"), (None, long, "x")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = html_extract.extract_main_text(df).orderBy("page_id").collect()
+    assert [len(r["_text"]) for r in got][1:] == [0, 0, *[len(html_extract.main_text(PAGE)[0])] * 2] and got[0]["_text"] == "\n".join([LONG.strip()] * 3000)
+    assert all(r["text"] == "x" for r in got) and html_extract.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_the_sample_of_a_classifier_is_bounded(spark):
+    """Rows that repeat an id or a text do not add to it, nor do texts beyond its bytes."""
+    from evidencespark.llm import linear
+
+    d = spark.createDataFrame([(1, f"text {i % 7}") for i in range(500)] + [(i, "y" * 100) for i in range(2, 40)] + [(3, "y" * 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(1, 0)], "doc_id long, toxic int")
+    got = linear.labelled_sample(d, labels, "toxic", 1000).collect()
+    assert len({r["doc_id"] for r in got}) == len(got) > 20
+    assert len(linear.labelled_sample(d, labels, "toxic", 3).collect()) == 6
+    assert sum(len(r["text"]) for r in linear.labelled_sample(d, labels, "toxic", 1000, max_bytes=1000).collect()) <= 1000
+    nothing = d.withColumn("text", F.lit(None).cast("string"))
+    assert {r["text"] for r in linear.labelled_sample(nothing, labels, "toxic", 5).collect()} == {None}
+
+
 def test_the_cut_mends_labels():
     """A short line between paragraphs stays with them, a lone sentence among links goes with these."""
     body = f"<div><p>{LONG}</p><p>Why</p><p>{LONG}</p></div><div><ul>" + "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(4)) + "<li>See more here now</li></ul></div>"
