@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidencespark.functions import places
 from evidencespark.functions import text as T
 from evidencespark.operators import contents, dialogue, fuse, ingest, lifecycle, search
-from evidencespark.plans import answer_queries, command_queries, layout_queries, more_queries  # noqa: F401 - they register their queries
+from evidencespark.plans import answer_queries, command_queries, ingestion_queries, layout_queries, more_queries  # noqa: F401 - they register their queries
 from evidencespark.plans import queries as plans
 from evidencespark.plans import relay_queries, retrieval_queries, store_queries, text_queries  # noqa: F401
 from evidencespark.sources import tables
@@ -796,3 +796,53 @@ def test_shown_blocks(spark):
     ]
     df = spark.createDataFrame([(1, 1, i, h, t) for i, (h, t, _) in enumerate(cases)], "doc_id long, page long, block long, heading_path string, text string")
     assert [r["shown"] for r in layout.displayed(df).orderBy("block").collect()] == [s for _, _, s in cases]
+
+
+# --- ingestion ----------------------------------------------------------------------------------------------
+
+TASKS = "task_id long, task_type string, task_status string, last_sequence long, job_id long, job_status string, cancelled boolean, job_generation long, version long, document_id long, document_status string, document_generation long, active_version long, corpus_status string, corpus_generation long"
+
+
+def task(i, **more):
+    row = {"task_id": i, "task_type": "INGEST_DOCUMENT", "task_status": "RUNNING", "last_sequence": None, "job_id": i, "job_status": "RUNNING", "cancelled": False, "job_generation": 1, "version": 2, "document_id": i, "document_status": "READY", "document_generation": 1, "active_version": None, "corpus_status": "ACTIVE", "corpus_generation": 1}
+    return tuple((row | more).values())
+
+
+def test_fences_of_claims(spark):
+    from evidencespark.operators import ingestion
+
+    rows = [
+        task(1, last_sequence=3), task(2, task_status="SUCCEEDED"), task(3, job_status="FAILED"), task(4, cancelled=True), task(5, document_generation=2), task(6, document_generation=None, document_status=None), task(7, document_status="DELETED"),
+        task(8, task_type="CLEANUP_DOCUMENT", document_status="DELETED"), task(9, task_type="CLEANUP_DATASET", corpus_status="DELETING", document_generation=None), task(10, task_type="CLEANUP_DATASET"),
+    ]
+    tasks = spark.createDataFrame(rows, TASKS)
+    deliveries = spark.createDataFrame([(1, 1, 3), (2, 1, 4), (3, 1, 4), (4, 1, 9), (5, 1, None), (6, 99, 1), *[(10 + i, i, 1) for i in range(2, 11)]], "delivery_id long, task_id long, sequence long")
+    got = {r["delivery_id"]: (r["refusal"], r["attempt"]) for r in ingestion.claims(tasks, deliveries).collect()}
+    assert [got[i] for i in (1, 2, 3, 4, 6)] == [("STALE_SEQUENCE", None), (None, 1), ("STALE_SEQUENCE", None), (None, 2), ("UNKNOWN_TASK", None)]
+    assert [got[10 + i][0] for i in range(2, 11)] == ["TASK_OVER", "JOB_OVER", "CANCELLED", "STALE_GENERATION", "NO_DOCUMENT", "DELETED", None, None, "STALE_GENERATION"]
+
+
+def test_active_versions_never_go_back(spark):
+    from evidencespark.operators import ingestion
+
+    rows = [task(i, document_id=1, version=v, active_version=3) for i, v in enumerate((4, 2, 6, 5, 3), 1)] + [task(6, document_id=2), task(7, document_id=3, cancelled=True), task(8, document_id=4, task_status="PENDING")]
+    builds = spark.createDataFrame([(1, v, "BUILDING") for v in range(2, 7)] + [(3, 2, "BUILDING")], "document_id long, version long, status string")
+    ended = spark.createDataFrame([(i, i) for i in range(1, 10)], "task_id long, at long")
+    got = {r["task_id"]: (r["outcome"], r["active_version"]) for r in ingestion.completions(spark.createDataFrame(rows, TASKS), builds, ended).collect()}
+    assert [got[i] for i in range(1, 6)] == [("ACTIVE", 4), ("ABANDONED", 4), ("ACTIVE", 6), ("ABANDONED", 6), ("ABANDONED", 6)]
+    assert [got[i][0] for i in range(6, 10)] == ["NO_BUILD", "CANCELLED", "NOT_RUNNING", "NOT_RUNNING"]
+
+
+def test_rows_of_new_jobs(spark):
+    """Ids agree between tables and between runs; a batch without requests makes no rows."""
+    from evidencespark.operators import ingestion
+
+    documents = spark.createDataFrame([(1, "READY", 1, 3, True, "ACTIVE"), (2, "DELETED", 1, 2, True, "ACTIVE"), (3, "READY", 1, 2, False, "ACTIVE"), (4, "READY", 1, 2, True, "DELETING")], "document_id long, status string, generation long, next_version long, has_object boolean, corpus_status string")
+    requests = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 9), (7, None)], "seq long, document_id long")
+    made, outcomes = ingestion.reindex_rows(documents, requests)
+    assert [(r["outcome"], r["version"]) for r in outcomes.orderBy("seq").collect()] == [("CREATED", 3), ("CREATED", 4), ("DELETED", None), ("OBJECT_MISSING", None), ("CORPUS_DELETING", None), ("NOT_FOUND", None), ("NOT_FOUND", None)]
+    jobs = {r["job_id"] for r in made["jobs"].collect()}
+    assert len(jobs) == 2 and jobs == {r["job_id"] for r in made["tasks"].collect()} == {r["job_id"] for r in made["builds"].collect()}
+    assert {r["task_id"] for r in made["tasks"].collect()} == {r["task_id"] for r in made["outbox"].collect()} and [tuple(r) for r in made["documents"].collect()] == [(1, 5)]
+    assert jobs == {r["job_id"] for r in ingestion.reindex_rows(documents, requests)[0]["jobs"].collect()}
+    assert all(df.count() == 0 for df in ingestion.reindex_rows(documents, requests.limit(0))[0].values())
