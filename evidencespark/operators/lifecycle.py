@@ -85,6 +85,33 @@ def sampled_rate(events: DataFrame, seconds: int, step: int, *by: str) -> DataFr
     return seen.groupBy(*by, "sampled").agg(F.round(F.sum("n") / seconds, 9).alias("rate"))
 
 
+#: Windows of panels in seconds, how many steps one has, the seconds of a rate, and what a panel shows at most.
+WINDOWS = {"15m": 900, "1h": 3600, "6h": 21_600, "24h": 86_400}
+STEPS, RATE_SECONDS, MOST_SERIES, MOST_POINTS = 60, 300, 8, 100
+
+
+def panel(events: DataFrame, end: int, window: str, by: str, allowed: list[str] | None = None) -> DataFrame:
+    """``(name, at, value)``: the five-minute rate of each ``by`` at the steps of a window that ends at ``end`` (seconds).
+
+    A step is a sixtieth of the window, rounded up. Names that are not ``allowed`` are left out (null: all but null ones
+    are), of the others the first eight; steps before a series' first or after its last value have no point.
+    """
+    seconds = WINDOWS[window]
+    step = -(-seconds // STEPS)
+    begin = end - seconds
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - begin
+    first = F.greatest(F.ceil(at / step), F.lit(0)).cast("long")
+    last = F.least(F.ceil((at + RATE_SECONDS) / step) - 1, F.lit(seconds // step)).cast("long")
+    rows = events.where(F.col(by).isNotNull() if allowed is None else F.col(by).isin(*allowed))
+    rows = rows.select(F.col(by).alias("name"), first.alias("first"), last.alias("last")).where(F.col("first") <= F.col("last"))
+    counts = rows.groupBy("name", "first", "last").agg(F.count(F.lit(1)).alias("n"))
+    points = counts.withColumn("nth", F.explode(F.sequence("first", "last"))).groupBy("name", "nth").agg(F.round(F.sum("n") / RATE_SECONDS, 9).alias("value"))
+    names = points.select("name").distinct().orderBy("name").limit(MOST_SERIES)
+    shown = points.join(F.broadcast(names), "name")  # eight names
+    kept = F.row_number().over(W.partitionBy("name").orderBy("nth"))
+    return shown.withColumn("_kept", kept).where(F.col("_kept") <= MOST_POINTS).select("name", (F.col("nth") * step + begin).alias("at"), "value")
+
+
 def login_waits(attempts: DataFrame, key: str, limit: int, seconds: int = 300, block: int = 900) -> DataFrame:
     """``attempts`` with ``recent``, the failures of ``key`` that count against each, and ``wait``, for how many seconds it is
     refused (0: it is not).
@@ -144,6 +171,26 @@ def trimmed_context(messages: DataFrame, budget: int = CONTEXT_TOKENS, aside: in
     return m.where(stays).drop("nth", "latest", "group", "fixed", "needed", "all", "count")
 
 
+#: What stands in place of a tool's result that was left out, and its tokens.
+BLANK = '{"note":"older tool evidence omitted to fit model context"}'
+BLANK_TOKENS = (len(BLANK) + 3) // 4
+
+
+def blanked_tools(trimmed: DataFrame, budget: int = CONTEXT_TOKENS, aside: int = RESERVE_TOKENS + SYSTEM_TOKENS + TOOL_TOKENS) -> DataFrame:
+    """The messages that :func:`trimmed_context` leaves, with ``blanked``, and ``tokens`` after it.
+
+    If what stays is still too much, results of tools are replaced by a note, the oldest first, until the rest fits;
+    calls and results stay pairs. Conversations of two messages or fewer are left as they are.
+    """
+    own = W.partitionBy("conv_id")
+    tool = (F.col("role") == "tool") & (F.row_number().over(own.orderBy("turn")) > 1)
+    saved = F.sum(F.when(F.col("_tool"), F.col("tokens") - BLANK_TOKENS).otherwise(0)).over(own.orderBy("turn").rowsBetween(W.unboundedPreceding, -1))
+    m = trimmed.withColumn("_tool", tool).withColumns({"_over": F.sum("tokens").over(own) - (budget - aside), "_n": F.count(F.lit(1)).over(own), "_saved": F.coalesce(saved, F.lit(0))})
+    blanked = F.col("_tool") & (F.col("_n") > 2) & (F.col("_over") - F.col("_saved") > 0)
+    m = m.withColumn("blanked", blanked).withColumn("tokens", F.when(F.col("blanked"), BLANK_TOKENS).otherwise(F.col("tokens")).cast("long"))
+    return m.drop("_tool", "_over", "_n", "_saved")
+
+
 #: Most parts of a range partition that are broadcast.
 PARTS = 100_000
 

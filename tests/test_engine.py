@@ -11,7 +11,7 @@ from evidencespark.functions import text as T
 from evidencespark.operators import contents, dialogue, fuse, ingest, lifecycle, search
 from evidencespark.plans import answer_queries, command_queries, ingestion_queries, layout_queries, more_queries  # noqa: F401 - they register their queries
 from evidencespark.plans import queries as plans
-from evidencespark.plans import relay_queries, retrieval_queries, store_queries, text_queries  # noqa: F401
+from evidencespark.plans import relay_queries, retrieval_queries, store_queries, text_queries, view_queries  # noqa: F401
 from evidencespark.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -846,3 +846,52 @@ def test_rows_of_new_jobs(spark):
     assert {r["task_id"] for r in made["tasks"].collect()} == {r["task_id"] for r in made["outbox"].collect()} and [tuple(r) for r in made["documents"].collect()] == [(1, 5)]
     assert jobs == {r["job_id"] for r in ingestion.reindex_rows(documents, requests)[0]["jobs"].collect()}
     assert all(df.count() == 0 for df in ingestion.reindex_rows(documents, requests.limit(0))[0].values())
+
+
+# --- ids, views, blanked tools ------------------------------------------------------------------------------
+
+
+def test_ids_and_digests_of_requests(spark):
+    import hashlib
+    import json
+    import uuid
+
+    from evidencespark.functions import identity
+
+    keys = ["a", "é/ü", 'quote " and \\ \n\t', "x" * 1000, *[f"k{i}" for i in range(40)]]
+    df = spark.createDataFrame([(k, None if i % 2 else k) for i, k in enumerate(keys)], "k string, other string")
+    digest = identity.request_digest({"b": F.col("other"), "a": F.col("k")})
+    for r in df.select("k", "other", identity.corpus_id(F.col("k")).alias("id"), identity.staging_key(F.col("k")).alias("at"), digest.alias("digest")).collect():
+        assert r["id"] == str(uuid.uuid5(uuid.NAMESPACE_URL, f"rag-dataset:{r['k']}")) and r["at"] == "staging/" + hashlib.sha256(r["k"].encode()).hexdigest()
+        payload = json.dumps({"a": r["k"], "b": r["other"]}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        assert r["digest"] == hashlib.sha256(payload.encode()).hexdigest()
+    folded = spark.createDataFrame([("Straße",), ("ΑΣ",), ("ﬁ",), (None,)], "t string").select(identity.casefolded("t")).collect()
+    assert [r[0] for r in folded] == ["strasse", "ας".casefold(), "fi", None]
+    odd = spark.createDataFrame([(None, "m"), ("NEW", "own"), ("INVALID_PDF", "m"), ("NEW", None)], "code string, message string")
+    assert [r[0] for r in odd.select(identity.failure_message(F.col("code"), F.col("message"))).collect()] == ["", "own", identity.FAILURES["INVALID_PDF"], ""]
+
+
+def test_oldest_tool_results_are_blanked_first(spark):
+    rows = [(1, t, role, tokens) for t, (role, tokens) in enumerate([("system", 10), ("user", 10), ("assistant", 10), ("tool", 50), ("tool", 40), ("tool", 100)])]
+    rows += [(2, 0, "system", 10), (2, 1, "tool", 900), (3, 0, "tool", 900), (3, 1, "user", 1), (3, 2, "tool", 5)]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, tokens long")
+    for budget, want in ((220, []), (219, [3]), (185, [3]), (184, [3, 4]), (50, [3, 4, 5])):
+        got = lifecycle.blanked_tools(m.where("conv_id = 1"), budget, 0).orderBy("turn").collect()
+        assert [r["turn"] for r in got if r["blanked"]] == want and all(r["tokens"] == lifecycle.BLANK_TOKENS for r in got if r["blanked"])
+    rest = lifecycle.blanked_tools(m.where("conv_id > 1"), 50, 0).collect()
+    assert [(r["conv_id"], r["turn"]) for r in rest if r["blanked"]] == [(3, 2)]
+
+
+def test_panel_of_rates(spark):
+    import datetime
+
+    base = datetime.datetime(2024, 1, 2)
+    end = int((base - datetime.datetime(1970, 1, 1)).total_seconds())
+    rows = [(f"s{i}", base - datetime.timedelta(seconds=s)) for i in range(10) for s in (0, 1, 14, 299, 300, 890, 901, 5000)] + [(None, base)]
+    got = lifecycle.panel(spark.createDataFrame(rows, "k string, ts timestamp"), end, "15m", "k").collect()
+    assert {r["name"] for r in got} == {f"s{i}" for i in range(8)}
+    ages = [r[1] for r in rows if r[0] == "s3"]
+    for r in (r for r in got if r["name"] == "s3"):
+        at = base + datetime.timedelta(seconds=r["at"] - end)
+        assert round(r["value"] * 300) == sum(0 <= (at - t).total_seconds() < 300 for t in ages) and (r["at"] - end) % 15 == 0
+    assert {r["name"] for r in lifecycle.panel(spark.createDataFrame(rows, "k string, ts timestamp"), end, "15m", "k", ["s9", "zz"]).collect()} == {"s9"}
