@@ -26,6 +26,20 @@ def runs(texts: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[np.ndarr
         i = j
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 texts as code points, and the n + 1 offsets of the texts in them.
+
+    Bytes that are no UTF-8 become U+FFFD, within their text.
+    """
+    try:
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+        begins = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        return points, begins[offsets]
+    except UnicodeDecodeError:
+        texts = [data[a:b].tobytes().decode("utf-8", errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+
+
 #: Most bytes of texts that a classifier is fitted on.
 SAMPLE_BYTES = 32 << 20
 

@@ -1,7 +1,7 @@
 """Quality: supervised subword embeddings.
 
 A text is the bag of its words (what lies between ASCII white space; a word that repeats the word before it is
-the one token "again" instead) and of its byte 3- and 4-grams. Each is hashed to one of ``2**bits`` cells that
+the one token "again" instead) and of the 3- and 4-grams of its characters. Each is hashed to one of ``2**bits`` cells that
 hold a learned vector; the vectors are averaged over the text and a softmax layer turns the average into class
 probabilities. Vectors and layer are trained together by numpy stochastic gradient descent with AdaGrad steps;
 cells in fewer than ``min_df`` of the sample's texts keep the zero vector. As average and layer are linear, a trained model is applied as one number for each
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from evidencespark.llm.linear import collect_features, labelled_sample, score_texts
+from evidencespark.llm.linear import code_points, collect_features, labelled_sample, score_texts
 
 GRAMS = (3, 4)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -33,7 +33,11 @@ class QualityModel:
 
 
 def subword_cells(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of all words and n-grams of a run of texts, and for each the text it belongs to."""
+    """The cells of all words and n-grams of a run of texts, and for each the text it belongs to.
+
+    Both are hashed by sums of code points times base ** (place), modulo 2 ** 64.
+    """
+    data, offsets = code_points(data, offsets)
     n = len(offsets) - 1
     shift = np.uint64(64 - bits)
     wide = data.astype(np.uint64)
@@ -44,10 +48,11 @@ def subword_cells(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.
         m = max(0, len(wide) - size + 1)
         value = value[:m]
         for i in range(have, size):
-            value = value | (wide[i : i + m] << np.uint64(8 * i))
+            value = value + wide[i : i + m] * np.uint64(pow(int(_BASE), i, 1 << 64))
         have = size
         inside = owner[:m] == owner[size - 1 : size - 1 + m]
-        cells.append((((value[inside] + np.uint64(size)) * _MIX) >> shift).astype(np.int32))
+        own = value[inside]
+        cells.append(((((own ^ (own >> np.uint64(29))) + np.uint64(size)) * _MIX) >> shift).astype(np.int32))
         texts.append(owner[:m][inside])
     letter = (data != 32) & ((data < 9) | (data > 13))
     first = letter.copy()
@@ -59,7 +64,7 @@ def subword_cells(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.
         end = np.flatnonzero(last) + 1
         length = end - start
         at = np.flatnonzero(letter)
-        # A word's hash: the sum of byte times base ** (place in the word), modulo 2 ** 64.
+        # A word's hash: the sum of (code point + 1) times base ** (place in the word).
         place = at - np.repeat(start, length)
         power = np.full(int(length.max()), _BASE, np.uint64)
         power[0] = 1

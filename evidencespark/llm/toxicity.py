@@ -1,6 +1,6 @@
 """Toxicity: a character n-gram linear classifier on naive Bayes log-count ratios.
 
-The features of a text are the hashed byte 4-, 5- and 6-grams of the text (A-Z in lower case, white space as
+The features of a text are the hashed 4-, 5- and 6-grams of its characters (A-Z in lower case, ASCII white space as
 one kind of space) that occur in it at all. Feature ``f`` of class counts ``p_f`` and ``q_f`` (documents of
 either class that hold it, plus one) gets the log-count ratio ``r_f = log(p_f / |p|) - log(q_f / |q|)``; a
 logistic regression then learns a weight for each ``r_f``, on presence values damped by the text's length.
@@ -18,15 +18,16 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from evidencespark.llm.linear import collect_features, labelled_sample, score_texts
+from evidencespark.llm.linear import code_points, collect_features, labelled_sample, score_texts
 
 SIZES = (4, 5, 6)
 #: Presence values are divided by (number of n-gram positions) ** DAMPING.
 DAMPING = 0.4
 
-_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD = np.arange(128, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
+_BASE, _MIX = 0x100000001B3, np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -36,28 +37,31 @@ class ToxicityModel:
     bits: int
 
 
-def gram_cells(data: np.ndarray, bits: int) -> list[np.ndarray]:
-    """For each n-gram size the cell of the n-gram that starts at each byte (none where it would pass the end)."""
-    low = _FOLD[data].astype(np.uint64)
-    out = []
-    value, have = np.zeros(len(low), np.uint64), 0
+def gram_cells(points: np.ndarray, bits: int) -> list[np.ndarray]:
+    """For each n-gram size the cell of the n-gram that starts at each code point (none where it would pass the end).
+
+    An n-gram's hash is the sum of its code points times base ** (place in it), modulo 2 ** 64.
+    """
+    low = np.where(points < 128, _FOLD[np.minimum(points, 127)], points).astype(np.uint64)
+    out, value, have = [], np.zeros(len(low), np.uint64), 0
     for n in SIZES:
         m = max(0, len(low) - n + 1)
         value = value[:m]
         for i in range(have, n):
-            value = value | (low[i : i + m] << np.uint64(8 * i))
+            value = value + low[i : i + m] * np.uint64(pow(_BASE, i, 1 << 64))
         have = n
-        out.append((((value + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32))
+        mixed = (value ^ (value >> np.uint64(29))) + np.uint64(n)
+        out.append(((mixed * _MIX) >> np.uint64(64 - bits)).astype(np.int32))
     return out
 
 
-def _damp(n_bytes):
-    """The factor on presence values of a text of ``n_bytes`` (padded) bytes."""
-    return 1.0 / np.maximum(len(SIZES) * np.asarray(n_bytes, float), 1.0) ** DAMPING
+def _damp(n_points):
+    """The factor on presence values of a text of ``n_points`` (padded) characters."""
+    return 1.0 / np.maximum(len(SIZES) * np.asarray(n_points, float), 1.0) ** DAMPING
 
 
-def _padded(data: np.ndarray) -> np.ndarray:
-    return np.concatenate(([np.uint8(32)], data, [np.uint8(32)]))
+def _padded(points: np.ndarray) -> np.ndarray:
+    return np.concatenate(([np.uint32(32)], points, [np.uint32(32)]))
 
 
 def fit(rows: list, bits: int, min_df: int, keep: int, steps: int, rate: float) -> ToxicityModel:
@@ -98,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, <label>)``; without labelled rows it scores all 0.5."""
 
     def features(data):
-        text = _padded(data)
+        text = _padded(code_points(data, np.array([0, len(data)]))[0])
         at = np.unique(np.concatenate(gram_cells(text, bits)))
         return at, _damp([len(text)])
 
@@ -109,10 +113,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 def score(model: ToxicityModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The probability of class 1 of each text of a run: a sum over the distinct cells it holds."""
     n = len(offsets) - 1
+    points, offsets = code_points(data, offsets)
     sizes = np.diff(offsets)
-    spaced = np.full(len(data) + 2 * n, 32, np.uint8)  # each text between two spaces
+    spaced = np.full(len(points) + 2 * n, 32, np.uint32)  # each text between two spaces
     owner = np.repeat(np.arange(n), sizes)
-    spaced[np.arange(len(data)) + 2 * owner + 1] = data
+    spaced[np.arange(len(points)) + 2 * owner + 1] = points
     starts = offsets[:-1] + 2 * np.arange(n)
     ends = starts + sizes + 2
     found = []

@@ -570,6 +570,67 @@ def test_classifiers_learn_and_score_empty_texts(spark, module):
     assert {r[0] for r in (toxicity.toxicity_scores if module is toxicity else quality.quality_scores)(d, untrained).select("_score").collect()} == {0.5}
 
 
+MASK = (1 << 64) - 1
+
+
+def slow_gram(gram, size, bits):
+    """The cell of a few characters."""
+    h = sum(ord(c) * pow(0x100000001B3, i, 1 << 64) for i, c in enumerate(gram)) & MASK
+    return ((((h ^ (h >> 29)) + size) * 0x9E3779B97F4A7C15) & MASK) >> (64 - bits)
+
+
+def slow_toxicity(model, text):
+    folded = " " + re.sub("[\t-\r]", " ", (text or "").translate(LOWER)) + " "
+    cells = {slow_gram(folded[i : i + n], n, model.bits) for n in toxicity.SIZES for i in range(len(folded) - n + 1)}
+    z = sum(float(model.weights[c]) for c in cells) / (len(toxicity.SIZES) * len(folded)) ** toxicity.DAMPING + model.bias
+    return 1 / (1 + np.exp(-z))
+
+
+def slow_quality(model, text):
+    text = text or ""
+    cells, before = [slow_gram(text[i : i + n], n, model.bits) for n in quality.GRAMS for i in range(len(text) - n + 1)], None
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text):
+        h = sum((ord(c) + 1) * pow(0x100000001B3, i, 1 << 64) for i, c in enumerate(word)) & MASK
+        mark = 1 if h == before else h
+        cells.append((((mark ^ (mark >> 29)) * 0x9E3779B97F4A7C15) & MASK) >> (64 - model.bits))
+        before = h
+    z = model.bias + (sum(float(model.logits[c]) for c in cells) / len(cells) if cells else 0)
+    return 1 / (1 + np.exp(-z))
+
+
+@pytest.mark.parametrize(("name", "module", "slow", "at"), [("op9_toxicity", toxicity, slow_toxicity, 0.7), ("op10_quality", quality, slow_quality, 0.5)])
+def test_scores_equal_a_slow_scorer(spark, name, module, slow, at):
+    """The query over whole texts, with the model that it trains: every score, the fold and the decision."""
+    import zlib
+
+    from evidencespark.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = module.train(d, labels)
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    got = queries.QUERIES[name](spark, sf).collect()
+    assert {r["doc_id"] for r in got} == set(texts)
+    for r in got:
+        want = slow(model, texts[r["doc_id"]])
+        assert abs(r["score"] - want) < 1e-6 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= at)
+
+
+@pytest.mark.parametrize(("module", "slow"), [(toxicity, slow_toxicity), (quality, slow_quality)])
+def test_scores_of_odd_texts(spark, module, slow):
+    """Ties, repeated rows, other scripts, white space only, bytes that are no UTF-8."""
+    rng = np.random.default_rng(4)
+    model = toxicity.ToxicityModel(rng.normal(size=1 << 12).astype(np.float32), 0.2, 12) if module is toxicity else quality.QualityModel(rng.normal(size=1 << 12).astype(np.float32), 0.2, 12)
+    texts = ["Abc déf GHI abc abc", "Abc déf GHI abc abc", "", None, " \t\n", "中文 😀 ÉÉÉ", "a", "ab", "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scored = toxicity.toxicity_scores if module is toxicity else quality.quality_scores
+    for r in scored(df, model).collect():
+        assert abs(r["score"] - slow(model, texts[r["doc_id"]])) < 1e-6
+    broken = spark.sql("SELECT 1L AS doc_id, cast(unhex('41FF42') AS string) AS text UNION ALL SELECT 2L, 'A\ufffdB'")
+    a, b = (r["score"] for r in scored(broken, model).orderBy("doc_id").collect())
+    assert a == b
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------
 
 
