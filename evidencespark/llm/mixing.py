@@ -229,7 +229,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_r
 
 
 def mix_summary(docs: DataFrame, **settings) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)``, a row for each row of ``docs``: the words the mix takes of it."""
+    """``(doc_id, size, source_size, target, taken)``, a row for each row of ``docs``: the words the mix takes of it.
+
+    A null source is a source of its own, the last one; null and empty texts have size 0 and nothing is taken of them.
+    Rows that share an id lie in one cell and are drawn alike, a null id is hashed as an empty text, and ties in the order of
+    blocks and cells go by their numbers. Other columns of ``docs`` are ignored; an empty table gives no rows.
+    """
     plan = plan_mix(docs, **settings)
     sized = copies_of(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), plan, settings.get("blocks", 1024))
     return sized.select(

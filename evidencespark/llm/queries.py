@@ -12,11 +12,13 @@ from evidencespark.llm.common import held_out, shared_folder, stored, table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null, empty and broken pages give what :func:`.html_extract.extract_main_text` states, and repeated rows come back each."""
     pages = html_extract.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every whole text and what they decode to, as digests; null texts are empty ones, and every row comes back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_texts(docs, bpe.build_lexicon(docs, bpe.default_vocabulary()), outputs=("ids", "decoded", "n_tokens"), keep_text=False)
     return coded.select(
@@ -28,6 +30,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every row; nulls, ties and repeats as :func:`.block_naming.exact_groups` states."""
     groups = block_naming.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -43,6 +46,7 @@ FROM t
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document; nulls, ties and repeats as :func:`.mixing.mix_summary` states."""
     return mixing.mix_summary(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
@@ -119,6 +123,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every vector among those of its label; vectors that are null, zero or not finite stand alone."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
@@ -141,10 +146,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document by shared five-word shingles; null and empty texts stand alone."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text by a model of the labels outside the held-out fold; null texts are scored as empty ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.toxicity_scores(docs, model)
@@ -152,6 +159,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text by a model of the labels outside the held-out fold; null texts are scored as empty ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.quality_scores(docs, model)
@@ -212,10 +220,12 @@ FROM placed p JOIN sub ON sub.k = p.k JOIN ends ON ends.k = p.k AND ends.pos = p
 
 
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitened components of every vector; null and non-finite ones have no rows, see :func:`.whitening.whiten`."""
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to files in the order of doc_id and read back from them; see :func:`.id_files.write_ids`."""
     folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     id_files.write_ids(table(spark, sf_dir, "documents"), folder, id_files.default_vocabulary())
     return id_files.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").cast("long").alias("ids_crc32"))

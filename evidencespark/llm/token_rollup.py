@@ -21,7 +21,11 @@ SCHEMA = StructType([*(StructField(k, StringType()) for k in KEYS), StructField(
 
 
 def token_counts(docs: DataFrame, lexicon: bpe.Lexicon, version: str) -> DataFrame:
-    """``(doc_id, source, lang, version, tokens)`` of the whole text of each row of ``docs``; null texts have none."""
+    """``(doc_id, source, lang, version, tokens)`` of the whole text of each row of ``docs``.
+
+    Null and empty texts have no tokens; repeated rows count each, null ids, sources and languages stay null, other columns
+    are ignored, and an empty table gives no rows.
+    """
     coded = bpe.encode_texts(docs.select("doc_id", "source", "lang", "text"), lexicon, outputs=("n_tokens",), keep_text=False)
     return coded.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(version).alias("version"), F.col("n_tokens").alias("tokens"))
 
@@ -52,6 +56,9 @@ class Rollup:
     A batch is a folder ``batch=NAME`` with its deltas below ``totals`` and, if it was made by :meth:`compact`, the
     names that it holds below ``folded``. It appears by one rename, and a batch whose name another one has folded
     does not count, so a driver lost at any point leaves totals that are right, at worst with folders to delete.
+
+    Null keys are keys, repeated rows of a batch all count, and an empty batch is committed like any other. One writer
+    commits a batch at a time: two that commit the same name together may leave a folder to delete.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
