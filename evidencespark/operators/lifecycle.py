@@ -91,7 +91,7 @@ STEPS, RATE_SECONDS, MOST_SERIES, MOST_POINTS = 60, 300, 8, 100
 
 
 def panel(events: DataFrame, end: int, window: str, by: str, allowed: list[str] | None = None) -> DataFrame:
-    """``(name, at, value)``: the five-minute rate of each ``by`` at the steps of a window that ends at ``end`` (seconds).
+    """``(name, sampled, value)``: the five-minute rate of each ``by`` at the steps of a window that ends at ``end`` (seconds).
 
     A step is a sixtieth of the window, rounded up. Names that are not ``allowed`` are left out (null: all but null ones
     are), of the others the first eight; steps before a series' first or after its last value have no point.
@@ -109,7 +109,7 @@ def panel(events: DataFrame, end: int, window: str, by: str, allowed: list[str]
     names = points.select("name").distinct().orderBy("name").limit(MOST_SERIES)
     shown = points.join(F.broadcast(names), "name")  # eight names
     kept = F.row_number().over(W.partitionBy("name").orderBy("nth"))
-    return shown.withColumn("_kept", kept).where(F.col("_kept") <= MOST_POINTS).select("name", (F.col("nth") * step + begin).alias("at"), "value")
+    return shown.withColumn("_kept", kept).where(F.col("_kept") <= MOST_POINTS).select("name", (F.col("nth") * step + begin).alias("sampled"), "value")
 
 
 def login_waits(attempts: DataFrame, key: str, limit: int, seconds: int = 300, block: int = 900) -> DataFrame:

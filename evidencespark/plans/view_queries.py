@@ -46,7 +46,7 @@ def job_views(spark, sf_dir):
 
 @query("""WITH e AS (SELECT event_type, epoch_us(ts) / 1e6::DOUBLE AS t FROM events), z AS (SELECT CAST(floor(max(t)) AS BIGINT) AS ending FROM e),
 s AS (SELECT DISTINCT event_type, ending - 86400 + 1440 * unnest(range(61)) AS sampled FROM e, z)
-SELECT s.event_type AS name, s.sampled AS at, round(count(*) / 300.0::DOUBLE, 9) AS value FROM s JOIN e ON e.event_type = s.event_type AND e.t > s.sampled - 300 AND e.t <= s.sampled GROUP BY 1, 2""")
+SELECT s.event_type AS name, s.sampled, round(count(*) / 300.0::DOUBLE, 9) AS value FROM s JOIN e ON e.event_type = s.event_type AND e.t > s.sampled - 300 AND e.t <= s.sampled GROUP BY 1, 2""")
 def metrics_panel(spark, sf_dir):
     """The rates of the last day of the table at sixty steps, by type of event."""
     e = table(spark, sf_dir, "events")

@@ -892,6 +892,6 @@ def test_panel_of_rates(spark):
     assert {r["name"] for r in got} == {f"s{i}" for i in range(8)}
     ages = [r[1] for r in rows if r[0] == "s3"]
     for r in (r for r in got if r["name"] == "s3"):
-        at = base + datetime.timedelta(seconds=r["at"] - end)
-        assert round(r["value"] * 300) == sum(0 <= (at - t).total_seconds() < 300 for t in ages) and (r["at"] - end) % 15 == 0
+        at = base + datetime.timedelta(seconds=r["sampled"] - end)
+        assert round(r["value"] * 300) == sum(0 <= (at - t).total_seconds() < 300 for t in ages) and (r["sampled"] - end) % 15 == 0
     assert {r["name"] for r in lifecycle.panel(spark.createDataFrame(rows, "k string, ts timestamp"), end, "15m", "k", ["s9", "zz"]).collect()} == {"s9"}
