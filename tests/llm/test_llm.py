@@ -654,7 +654,7 @@ def test_pipeline(spark):
     assert coded.where("NOT round_trip").count() == 0 and coded.count() > 0
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup", "op4_source_mix"])
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op4_source_mix", "op11_merkle_manifest"])
 def test_same_rows_as_sql(spark, tmp_path, name):
     import duckdb
 
