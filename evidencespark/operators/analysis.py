@@ -18,17 +18,17 @@ ABBREVIATIONS = {
 }
 #: Patterns of terms, and the names that they add.
 ALIASES = (
-    (r"域参与者|domain\s*participant", "DomainParticipant DDS_DomainParticipant"),
-    (r"数据写入者|数据写者|写端|data\s*writer", "DataWriter DDS_DataWriter"),
-    (r"数据读取者|数据读者|读端|data\s*reader", "DataReader DDS_DataReader"),
-    (r"发布者|publisher", "Publisher DDS_Publisher"),
-    (r"订阅者|subscriber", "Subscriber DDS_Subscriber"),
-    (r"等待集|wait\s*set", "WaitSet DDS_WaitSet"),
-    (r"可靠性|reliability", "ReliabilityQosPolicy DDS_ReliabilityQosPolicy"),
-    (r"持久性|耐久性|durability", "DurabilityQosPolicy DDS_DurabilityQosPolicy"),
-    (r"历史深度|history\s*depth", "HistoryQosPolicy DDS_HistoryQosPolicy"),
-    (r"截止时间|deadline", "DeadlineQosPolicy DDS_DeadlineQosPolicy"),
-    (r"存活性|活跃性|liveliness", "LivelinessQosPolicy DDS_LivelinessQosPolicy"),
+    (r"域参与者|domain\s*participant", ("DomainParticipant", "DDS_DomainParticipant")),
+    (r"数据写入者|数据写者|写端|data\s*writer", ("DataWriter", "DDS_DataWriter")),
+    (r"数据读取者|数据读者|读端|data\s*reader", ("DataReader", "DDS_DataReader")),
+    (r"发布者|publisher", ("Publisher", "DDS_Publisher")),
+    (r"订阅者|subscriber", ("Subscriber", "DDS_Subscriber")),
+    (r"等待集|wait\s*set", ("WaitSet", "DDS_WaitSet")),
+    (r"可靠性|reliability", ("ReliabilityQosPolicy", "DDS_ReliabilityQosPolicy")),
+    (r"持久性|耐久性|durability", ("DurabilityQosPolicy", "DDS_DurabilityQosPolicy")),
+    (r"历史深度|history\s*depth", ("HistoryQosPolicy", "DDS_HistoryQosPolicy")),
+    (r"截止时间|deadline", ("DeadlineQosPolicy", "DDS_DeadlineQosPolicy")),
+    (r"存活性|活跃性|liveliness", ("LivelinessQosPolicy", "DDS_LivelinessQosPolicy")),
 )
 #: Patterns of tasks, and the function for each.
 FUNCTIONS = (
@@ -45,12 +45,12 @@ FUNCTIONS = (
 )
 #: The keywords of each intent, in the order that decides ties, and what an intent adds to a vague query.
 INTENTS = (
-    ("troubleshooting", "错误 错误码 失败 异常 崩溃 超时 无法 不能 排查 error failed failure exception crash timeout troubleshoot", "错误码 原因 排查步骤 日志 修复方法"),
-    ("qos", "qos 可靠性 持久性 耐久性 历史深度 截止时间 存活性 reliability durability history deadline liveliness", "DDS QoS policy 配置 兼容性 默认值 生效范围"),
-    ("performance_tuning", "性能 调优 延迟 吞吐 抖动 占用率 performance tuning latency throughput jitter benchmark", "DDS 性能调优 延迟 吞吐 资源占用 参数建议"),
-    ("installation", "安装 部署 依赖 系统要求 环境准备 install setup deploy prerequisite", "安装步骤 系统要求 依赖 环境准备 验证"),
-    ("configuration", "配置 配置文件 环境变量 许可证 license configure configuration setting", "配置项 配置文件 环境变量 许可证 初始化"),
-    ("api_usage", "接口 函数 方法 参数 返回值 调用 示例 api function parameter return example", "DDS 接口 使用方法 参数 返回值 调用示例"),
+    ("troubleshooting", ("错误", "错误码", "失败", "异常", "崩溃", "超时", "无法", "不能", "排查", "error", "failed", "failure", "exception", "crash", "timeout", "troubleshoot"), "错误码 原因 排查步骤 日志 修复方法"),
+    ("qos", ("qos", "可靠性", "持久性", "耐久性", "历史深度", "截止时间", "存活性", "reliability", "durability", "history", "deadline", "liveliness"), "DDS QoS policy 配置 兼容性 默认值 生效范围"),
+    ("performance_tuning", ("性能", "调优", "延迟", "吞吐", "抖动", "占用率", "performance", "tuning", "latency", "throughput", "jitter", "benchmark"), "DDS 性能调优 延迟 吞吐 资源占用 参数建议"),
+    ("installation", ("安装", "部署", "依赖", "系统要求", "环境准备", "install", "setup", "deploy", "prerequisite"), "安装步骤 系统要求 依赖 环境准备 验证"),
+    ("configuration", ("配置", "配置文件", "环境变量", "许可证", "license", "configure", "configuration", "setting"), "配置项 配置文件 环境变量 许可证 初始化"),
+    ("api_usage", ("接口", "函数", "方法", "参数", "返回值", "调用", "示例", "api", "function", "parameter", "return", "example"), "DDS 接口 使用方法 参数 返回值 调用示例"),
 )
 GENERAL_EXPANSION = "DDS 概念 接口 配置 示例"
 #: Vague wording, identifiers, error codes, and how names end by kind.
@@ -107,7 +107,7 @@ def entities(text: Column, v: Vocabulary) -> Column:
         pattern = rf"(?i)(?<![A-Za-z0-9_]){short}(?![A-Za-z0-9_])"
         found.append(F.when(text.rlike(pattern), _entity("abbreviation", F.regexp_extract(text, pattern, 0), F.lit(names[0]))))
     for pattern, names in v.aliases:
-        found.append(F.when(text.rlike(f"(?i){pattern}"), _entity("term", F.regexp_extract(text, f"(?i){pattern}", 0), F.lit(names.split()[0]))))
+        found.append(F.when(text.rlike(f"(?i){pattern}"), _entity("term", F.regexp_extract(text, f"(?i){pattern}", 0), F.lit(names[0]))))
     for pattern, name in v.functions:
         found.append(F.when(text.rlike(f"(?i){pattern}"), _entity("api", text, F.lit(name))))
 
@@ -132,14 +132,14 @@ def analyzed(queries: DataFrame, vocabulary: Vocabulary | None = None, text_col:
     o = F.col("original")
     q = q.withColumn("entities", entities(o, v))
     added = [F.when(o.rlike(rf"(?i)(?<![A-Za-z0-9_]){short}(?![A-Za-z0-9_])"), F.array(*map(F.lit, names))) for short, names in (v.abbreviations or ABBREVIATIONS).items()]
-    added += [F.when(o.rlike(f"(?i){p}"), F.array(*map(F.lit, names.split()))) for p, names in v.aliases]
+    added += [F.when(o.rlike(f"(?i){p}"), F.array(*map(F.lit, names))) for p, names in v.aliases]
     tasks = [F.when(o.rlike(f"(?i){p}"), F.array(F.lit(name))) for p, name in v.functions]
     tokens = lambda parts: F.flatten(F.filter(F.array(*parts), lambda x: x.isNotNull()))
     q = q.withColumns({"normalized": append_unique(o, tokens(added + tasks)), "tasks": F.array_distinct(tokens(tasks))})
     has = lambda *kinds: F.exists("entities", lambda e: e["kind"].isin(*kinds))
     scores = []
     for i, (name, words, _) in enumerate(v.intents):
-        score = sum(F.contains(F.lower(o), F.lit(w)).cast("int") for w in words.split())
+        score = sum(F.contains(F.lower(o), F.lit(w)).cast("int") for w in words)
         score += F.when(has("error_code"), 3).otherwise(0) if name == "troubleshooting" else F.when(has("api", "struct", "enum"), 1).otherwise(0) if name == "api_usage" else 0
         scores.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("intent")))
     best = F.array_max(F.array(*scores))

@@ -35,7 +35,7 @@ def analysis_ctes(asked: str) -> str:
         found.append(f"CASE WHEN {hit} THEN {entity(_quoted('abbreviation'), f'regexp_extract(o, {_quoted(chr(40) + chr(63) + chr(105) + chr(41) + _BOUND.format(short))}, 1)', _quoted(names[0]))} END")
         added.append(f"CASE WHEN {hit} THEN [{', '.join(map(_quoted, names))}] END")
     for pattern, names in analysis.ALIASES:
-        hit, own = f"regexp_matches(o, {_quoted('(?i)' + pattern)})", names.split()
+        hit, own = f"regexp_matches(o, {_quoted('(?i)' + pattern)})", list(names)
         surface = f"regexp_extract(o, {_quoted('(?i)' + pattern)})"
         found.append(f"CASE WHEN {hit} THEN {entity(_quoted('term'), surface, _quoted(own[0]))} END")
         added.append(f"CASE WHEN {hit} THEN [{', '.join(map(_quoted, own))}] END")
@@ -49,7 +49,7 @@ def analysis_ctes(asked: str) -> str:
     flat = lambda parts: f"flatten(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL))"
     scores = []
     for name, words, _ in analysis.INTENTS:
-        score = " + ".join(f"contains(lower(o), {_quoted(w)})::INT" for w in words.split())
+        score = " + ".join(f"contains(lower(o), {_quoted(w)})::INT" for w in words)
         extra = {"troubleshooting": " + CASE WHEN has_error THEN 3 ELSE 0 END", "api_usage": " + CASE WHEN has_api THEN 1 ELSE 0 END"}.get(name, "")
         scores.append(f"{score}{extra}")
     names = [name for name, _, _ in analysis.INTENTS]
