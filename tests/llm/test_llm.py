@@ -696,3 +696,23 @@ def test_pipeline_runs_on_odd_rows(spark, tmp_path):
     assert unique.count() == len(texts) and kept.columns == d.columns
     ordered = [(r["doc_id"], r["text"]) for r in unique.collect()]
     assert kept.count() == len(set(jaccard_classes(ordered)[1]))
+
+
+def test_suffix_dedup_memory_of_a_task():
+    """Windows of 8 MB of texts are found, and batches taken, in little memory, whatever a batch holds."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(chr(c) for c in rng.integers(97, 123, 40_000)) for _ in range(200)]
+    run = suffix_dedup.RUN_BYTES
+    tracemalloc.start()
+    powers = [suffix_dedup._powers(run + 400, b) for b in (suffix_dedup._BASE, suffix_dedup._INVERSE)]
+    n = sum(found.shape[1] for found in suffix_dedup.anchor_lists(pa.array(texts), 400, powers))
+    assert n and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["a"])
+    cut = list(suffix_dedup.pieces([batch, batch.slice(0, 0), batch.slice(3, 5)]))
+    assert max(p.num_rows for p in cut) <= suffix_dedup.PIECE_ROWS
+    assert sum((p.column(0).to_pylist() for p in cut), []) == [*range(10_000), *range(3, 8)]
