@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
+from evidencespark.sources.shared import stored
+
 #: How far a word may stand from a row's median top, in points and in sizes, and among how many last rows.
 ROW_POINTS, ROW_SIZES, OPEN_ROWS = 2.0, 0.35, 4
 #: A gap that parts columns, in points and in sizes; the share of a page that a line without column spans.
@@ -30,51 +32,45 @@ TIGHT, CJK = r"^[,.:;)\]}，。：；]", "[㐀-鿿]"
 PAGE = ["doc_id", "page"]
 
 
-def rows_of(tops: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The row of each word of a page, from 1; words come by (top, x0).
+class PageRows:
+    """The last rows of a page while its words come one by one, by (top, x0); the tops of a row so come in order."""
 
-    A word joins the latest of the last rows whose median top is near enough to its own, and opens a row if none is.
-    """
-    found, held = np.zeros(len(tops), np.int64), []
-    for i, (top, size) in enumerate(zip(tops.tolist(), sizes.tolist(), strict=True)):
+    def __init__(self):
+        self.n, self.last = 0, []
+
+    def put(self, top: float, size: float) -> int:
+        """The row of the next word, from 1: the latest of the last rows whose median top is near enough, or a new one."""
         near = max(ROW_POINTS, size * ROW_SIZES)
-        for back in range(1, min(OPEN_ROWS, len(held)) + 1):
-            if abs(np.median(held[-back]) - top) <= near:
-                held[-back].append(top)
-                found[i] = len(held) - back + 1
-                break
-        else:
-            held.append([top])
-            found[i] = len(held)
-    return found
+        for back, tops in enumerate(reversed(self.last)):
+            if abs((tops[(len(tops) - 1) // 2] + tops[len(tops) // 2]) / 2 - top) <= near:
+                tops.append(top)
+                return self.n - back
+        self.last = [*self.last[1 - OPEN_ROWS :], [top]]
+        self.n += 1
+        return self.n
+
+
+def rows_of(tops: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The row of each word of a page, from 1; words come by (top, x0)."""
+    page = PageRows()
+    return np.array([page.put(top, size) for top, size in zip(tops.tolist(), sizes.tolist(), strict=True)], np.int64)
 
 
 def with_rows(words: DataFrame) -> DataFrame:
-    """``words`` with their ``line``; a task holds one page at a time."""
-    at = {c: words.columns.index(c) for c in (*PAGE, "top", "font_size")}
+    """``words`` with their ``line``; a task holds the last rows of one page."""
+    at = [words.columns.index(c) for c in (*PAGE, "top", "font_size")]
     schema = words.schema.add(StructField("line", LongType()))
 
     def run(batches):
-        held, key = [], None
-
-        def given():
-            page = pa.Table.from_batches(held).combine_chunks()
-            lines = rows_of(page.column(at["top"]).to_numpy(), page.column(at["font_size"]).to_numpy())
-            yield from page.append_column("line", pa.array(lines)).to_batches()
-
+        rows, own = PageRows(), None
         for batch in batches:
-            keys = list(zip(*(batch.column(at[c]).to_pylist() for c in PAGE), strict=True))
-            begin = 0
-            for i in range(1, len(keys) + 1):
-                if i < len(keys) and keys[i] == keys[begin]:
-                    continue
-                if held and keys[begin] != key:
-                    yield from given()
-                    held = []
-                held.append(batch.slice(begin, i - begin))
-                key, begin = keys[begin], i
-        if held:
-            yield from given()
+            found = []
+            values = (batch.column(i).to_numpy(zero_copy_only=False).tolist() if i in at[2:] else batch.column(i).to_pylist() for i in at)
+            for doc, page, top, size in zip(*values, strict=True):
+                if (doc, page) != own:
+                    rows, own = PageRows(), (doc, page)
+                found.append(rows.put(top, size))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "line"])
 
     ordered = words.repartition(*PAGE).sortWithinPartitions(*PAGE, "top", "x0", "nth")
     return ordered.mapInArrow(run, schema)
@@ -161,6 +157,7 @@ def blocks(lines: DataFrame, width: float) -> DataFrame:
     opens = F.lag("_kind").over(by_place).isNull() | (F.lag("_kind").over(by_place) != F.col("_kind")) | (gap > F.greatest(F.lit(BLOCK_POINTS), F.col("_body") * BLOCK_SIZES))
     rows = rows.withColumn("_opens", F.coalesce(opens, F.lit(True)) & F.col("_kind").isNotNull())
     rows = rows.withColumns({"_block": F.sum(F.col("_opens").cast("int")).over(by_place), "_filled": F.count("_kind").over(page)})
+    rows = stored(rows, "lines-in-blocks")  # read twice below
     cells = F.concat(F.lit("| "), F.array_join(F.transform(F.split("text", "\t"), lambda c: F.trim(c)), " | "), F.lit(" |"))
     shown = F.when(F.col("_kind") == "table", cells).otherwise(F.col("text"))
     path = F.array_join("_titles", " > ")
@@ -214,6 +211,7 @@ def margin_keys(lines: DataFrame, height: float, ratio: float = MARGIN) -> DataF
 
 def repeated_keys(keyed: DataFrame) -> DataFrame:
     """``(doc_id, margin_key, on_pages)`` of the keys that stand on three pages and 60 % of the pages of their document."""
+    keyed = stored(keyed.select("doc_id", "page", "margin_key").distinct(), "margin-keys")  # read twice below
     pages = keyed.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
     counts = keyed.where("margin_key <> ''").groupBy("doc_id", "margin_key").agg(F.count_distinct("page").alias("on_pages"))
     least = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * PAGE_SHARE))

@@ -895,3 +895,25 @@ def test_panel_of_rates(spark):
         at = base + datetime.timedelta(seconds=r["sampled"] - end)
         assert round(r["value"] * 300) == sum(0 <= (at - t).total_seconds() < 300 for t in ages) and (r["sampled"] - end) % 15 == 0
     assert {r["name"] for r in lifecycle.panel(spark.createDataFrame(rows, "k string, ts timestamp"), end, "15m", "k", ["s9", "zz"]).collect()} == {"s9"}
+
+
+def test_rows_of_a_long_page_and_over_batches(spark):
+    """A row of many words takes time in proportion to them, and a page goes on from batch to batch."""
+    import time
+
+    import numpy as np
+
+    from evidencespark.operators import layout
+
+    began = time.process_time()
+    assert set(layout.rows_of(np.full(40_000, 50.0), np.full(40_000, 10.0)).tolist()) == {1}
+    assert time.process_time() - began < 2
+    rows = [(f"w{i}", 10.0 * (i % 5), 50.0 + 20 * (i // 5)) for i in range(40)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 3)
+    try:
+        got = {r["text"]: r["line"] for r in layout.with_rows(words(spark, rows)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {f"w{i}": i // 5 + 1 for i in range(40)}
