@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evidencespark.llm.common import free_name, held_out, text_bytes
 
 #: Texts are scored in runs of about this many bytes, so that a task's memory does not follow its batch.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 
 
 def runs(texts: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -71,27 +71,52 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return rows.groupBy("doc_id", "_hash").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("doc_id", "text", "y")
 
 
-def collect_features(sample: DataFrame, features: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> list:
-    """``(y, indices, values)`` of each row of the bounded sample, in a fixed order; computed on the executors."""
+class FeatureRows:
+    """``(y, indices, values)`` of the rows of a sample, kept compressed and unpacked one at a time, each time anew."""
+
+    def __init__(self, packed: list):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for _, y, n, m, at, value in self.packed:
+            steps = np.frombuffer(pa.decompress(at, 4 * n, codec="zstd"), "<i4")
+            yield y, np.cumsum(steps, dtype=np.int32), np.frombuffer(pa.decompress(value, 4 * m, codec="zstd"), "<f4")
+
+
+def packed_features(at: np.ndarray, value: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending indices by their steps, and values, compressed: a few bytes for each feature."""
+    steps = np.diff(at.astype("<i4"), prepend=np.int32(0)).astype("<i4")
+    return pa.compress(steps.tobytes(), codec="zstd", asbytes=True), pa.compress(value.astype("<f4").tobytes(), codec="zstd", asbytes=True)
+
+
+def collect_features(sample: DataFrame, features: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> FeatureRows:
+    """``(y, indices, values)`` of each row of the bounded sample, in a fixed order; computed on the executors.
+
+    They come to the driver compressed, and stay so.
+    """
 
     def extract(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             found = [features(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            packed = [packed_features(*x) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("y"),
-                    pa.array([x[0].astype("<i4").tobytes() for x in found], pa.binary()),
-                    pa.array([x[1].astype("<f4").tobytes() for x in found], pa.binary()),
+                    pa.array([len(x[0]) for x in found], pa.int64()),
+                    pa.array([len(x[1]) for x in found], pa.int64()),
+                    pa.array([x[0] for x in packed], pa.binary()),
+                    pa.array([x[1] for x in packed], pa.binary()),
                 ],
-                names=["doc_id", "y", "at", "value"],
+                names=["doc_id", "y", "n", "m", "at", "value"],
             )
 
-    rows = sample.mapInArrow(extract, "doc_id long, y int, at binary, value binary").toArrow()
-    rows = zip(*(rows.column(c).combine_chunks() for c in ("doc_id", "y", "at", "value")), strict=True)
-    rows = sorted(((i.as_py(), y.as_py(), at.as_buffer(), value.as_buffer()) for i, y, at, value in rows), key=lambda r: (r[0], r[1], r[2].size, r[2].to_pybytes()[:64]))
-    return [(y, np.frombuffer(at, "<i4"), np.frombuffer(value, "<f4")) for _, y, at, value in rows]
+    rows = sample.mapInArrow(extract, "doc_id long, y int, n long, m long, at binary, value binary").collect()
+    return FeatureRows(sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1], r[2], bytes(r[4][:64]))))
 
 
 def score_texts(docs: DataFrame, model, score: Callable, name: str = "score") -> DataFrame:

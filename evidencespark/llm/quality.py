@@ -88,7 +88,8 @@ def fit(rows: list, bits: int, dim: int, min_df: int, steps: int, rate: float) -
     for _, at, _ in rows:
         df[at] += 1
     known = df >= min_df
-    rows = [(y, at[known[at]], share[known[at]]) for y, at, share in rows]
+    small = np.uint16 if bits <= 16 else np.int32
+    rows = [(y, at[known[at]].astype(small), share[known[at]]) for y, at, share in rows]
     vectors = np.zeros((1 << bits, dim))
     layer = rng.uniform(-1, 1, (2, dim))
     bias = np.zeros(2)

@@ -716,3 +716,42 @@ def test_suffix_dedup_memory_of_a_task():
     cut = list(suffix_dedup.pieces([batch, batch.slice(0, 0), batch.slice(3, 5)]))
     assert max(p.num_rows for p in cut) <= suffix_dedup.PIECE_ROWS
     assert sum((p.column(0).to_pylist() for p in cut), []) == [*range(10_000), *range(3, 8)]
+
+
+def test_features_come_packed(spark):
+    """Features reach the driver and stay there compressed, give back what was packed, and can be read twice."""
+    from evidencespark.llm import linear
+
+    def features(data):
+        at = np.unique(data.astype(np.int64) * 257 % 65_536)
+        return at, np.arange(len(at)) / 8
+
+    texts = [prose(random.Random(i), 400) for i in range(30)] + [""]
+    sample = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id long, text string, y int").repartition(3)
+    rows = linear.collect_features(sample, features)
+    assert len(rows) == len(list(rows)) == 31
+    for i, (y, at, value) in enumerate(rows):
+        want = features(np.frombuffer(texts[i].encode(), np.uint8))
+        assert y == i % 2 and (at == want[0]).all() and (value == want[1]).all() and at.dtype == np.int32 and value.dtype == np.float32
+    at = np.sort(np.random.default_rng(1).choice(65_536, 2_000, replace=False))
+    packed = linear.packed_features(at, np.ones(2_000) / 5_000)
+    assert sum(len(x) for x in packed) < 2 * len(at)
+
+
+def test_quality_memory_of_a_run():
+    """Scoring holds little beside the batch, and a text's score does not depend on its run."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from evidencespark.llm import linear
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(chr(c) for c in rng.choice([32, *range(97, 123)], 50_000)) for _ in range(80)]
+    model = quality.QualityModel(rng.normal(size=1 << 16).astype(np.float32), 0.1, 16)
+    column = pa.array(texts)
+    tracemalloc.start()
+    got = np.concatenate([quality.score(model, *run) for run in linear.runs(column)])
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    tracemalloc.stop()
+    assert (got == np.concatenate([quality.score(model, *run) for run in linear.runs(column, 1 << 21)])).all()
