@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -39,10 +38,10 @@ class _Tries(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getValueState("waiting", "attempt int, due long, failures int, lasting boolean")
 
-    def _go_on(self, key: int, attempt: int, due: int, failures: int, lasting: bool, now: int) -> Iterator[tuple]:
+    def _go_on(self, key: int, attempt: int, due: int, failures: int, lasting: bool, now: int) -> Iterator[Row]:
         while True:
             outcome = outcome_of(attempt, failures, lasting, self.most)
-            yield key, attempt, due, outcome
+            yield Row(delivery_id=key, attempt=attempt, at_ms=due, outcome=outcome)
             if outcome != "retry":
                 self.waiting.clear()
                 return
@@ -52,17 +51,15 @@ class _Tries(StatefulProcessor):
                 self.handle.registerTimer(due)
                 return
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        first = pd.concat(list(rows)).sort_values("at_ms").iloc[0]  # a delivery that comes again while it waits is the same one
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
+        first = min(rows, key=lambda r: r["at_ms"])  # a delivery that comes again while it waits is the same one
         if not self.waiting.exists():
-            found = self._go_on(int(key[0]), 1, int(first["at_ms"]), int(first["failures"]), bool(first["lasting"]), timerValues.getCurrentWatermarkInMs())
-            yield pd.DataFrame(list(found), columns=["delivery_id", "attempt", "at_ms", "outcome"])
+            yield from self._go_on(int(key[0]), 1, first["at_ms"], first["failures"], first["lasting"], timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         if self.waiting.exists():
             attempt, due, failures, lasting = self.waiting.get()
-            found = self._go_on(int(key[0]), int(attempt), int(due), int(failures), bool(lasting), timerValues.getCurrentWatermarkInMs())
-            yield pd.DataFrame(list(found), columns=["delivery_id", "attempt", "at_ms", "outcome"])
+            yield from self._go_on(int(key[0]), attempt, due, failures, lasting, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -75,7 +72,7 @@ def tries(deliveries: DataFrame, base_seconds: int = BASE_SECONDS, most: int = T
     watermark, ``late`` behind the newest delivery, has passed its time. Needs the RocksDB state store.
     """
     rows = deliveries.withWatermark("ts", late).select("delivery_id", "ts", F.unix_millis("ts").alias("at_ms"), "failures", "lasting")
-    return rows.groupBy("delivery_id").transformWithStateInPandas(_Tries(base_seconds * 1000, most), ATTEMPTS, "Append", "EventTime")
+    return rows.groupBy("delivery_id").transformWithState(_Tries(base_seconds * 1000, most), ATTEMPTS, "Append", "EventTime")
 
 
 def tries_batch(deliveries: DataFrame, base_seconds: int = BASE_SECONDS, most: int = TASK_TRIES, until_ms: int | None = None) -> DataFrame:

@@ -917,3 +917,43 @@ def test_rows_of_a_long_page_and_over_batches(spark):
     finally:
         spark.conf.set(key, before)
     assert got == {f"w{i}": i // 5 + 1 for i in range(40)}
+
+
+def test_tries_take_plain_rows():
+    """A delivery is handled as rows, without a data frame for each, and the earliest of its rows counts."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from evidencespark.streaming import relay
+
+    held, timers = [], []
+    tries = relay._Tries(5_000, 3)
+    tries.handle = SimpleNamespace(registerTimer=timers.append)
+    tries.waiting = SimpleNamespace(exists=lambda: bool(held), update=held.append, clear=held.clear, get=lambda: held[-1])
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 6_000)
+    rows = [Row(delivery_id=1, at_ms=t, failures=9, lasting=False) for t in (4_000, 1_000)]
+    got = [tuple(r) for r in tries.handleInputRows((1,), iter(rows), now)]
+    assert got == [(1, 1, 1_000, "retry"), (1, 2, 6_000, "retry")] and timers == [16_000]
+    assert list(tries.handleInputRows((1,), iter(rows), now)) == []
+    later = SimpleNamespace(getCurrentWatermarkInMs=lambda: 20_000)
+    assert [tuple(r) for r in tries.handleExpiredTimer((1,), later, None)] == [(1, 3, 16_000, "failed")] and not held
+
+
+def test_keyword_joins_send_no_table_through_the_driver(spark):
+    from evidencespark.operators import keywords
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10m")
+    try:
+        leaves = spark.createDataFrame([("a", 0, 1), ("a", 1, keywords.END)], "file string, block long, next_block long")
+        entries = spark.createDataFrame([("a", 0, 1, "k", 0, [1]), ("a", 1, 2, "m", 0, [1])], "file string, block long, nth long, keyword string, see_also int, topics array<long>")
+        found, _ = keywords.records(keywords.walked(leaves)[0], entries)
+        each = keywords.segments(found, spark.createDataFrame([("a", 1)], "file string, topic long"))
+        assert each.select("text").collect()[0][0] == "k\nm"
+        plan = each._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert not any(c in line for line in joins for c in ("topic", "block", "pos"))  # files alone may be broadcast
