@@ -18,6 +18,11 @@ END, MOST_TOPICS, LONGEST, GROUP = 0xFFFFFFFF, 4096, 488, 32
 ADDRESS_HEAD, NO_TITLE = 8, 0xFFFFFFFF
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """``df`` joined by a shuffle: tables of numbers are so small as files that Spark would broadcast them, through the driver."""
+    return df.hint("merge")
+
+
 def walked(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(file, block, pos)`` of the blocks on each file's chain from block 0, and ``(file, error)`` of chains that are none.
 
@@ -32,15 +37,15 @@ def walked(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     chain = stored(sizes.select("file", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("pos")), "chain")
     step = 1
     while step <= most:
-        new = stored(chain.join(jumps, ["file", "block"]).select("file", F.col("to").alias("block"), (F.col("pos") + step).alias("pos")), "chain")
+        new = stored(chain.join(_large(jumps), ["file", "block"]).select("file", F.col("to").alias("block"), (F.col("pos") + step).alias("pos")), "chain")
         if new.isEmpty():
             break
         chain = stored(chain.unionByName(new), "chain")
         further = jumps.select("file", F.col("block").alias("to"), F.col("to").alias("_to"))
-        jumps = stored(jumps.join(further, ["file", "to"]).select("file", "block", F.col("_to").alias("to")), "jumps")
+        jumps = stored(jumps.join(_large(further), ["file", "to"]).select("file", "block", F.col("_to").alias("to")), "jumps")
         step *= 2
     looped = chain.join(sizes, "file").where("pos >= blocks").select("file", F.lit("LOOP").alias("error"))
-    lost = chain.join(leaves.select("file", "block"), ["file", "block"], "left_anti").select("file", F.lit("BROKEN").alias("error"))
+    lost = chain.join(_large(leaves.select("file", "block")), ["file", "block"], "left_anti").select("file", F.lit("BROKEN").alias("error"))
     errors = stored(looped.unionByName(lost).groupBy("file").agg(F.max("error").alias("error")), "chain-errors")
     return chain.join(errors, "file", "left_anti"), errors
 
@@ -52,7 +57,7 @@ def records(chain: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]
     that refer to another one. Keywords are one-spaced; blank ones, very long ones and those without topics have no
     ordinal. Entries of other kinds, or with too many topics, spoil their file.
     """
-    placed = stored(entries.join(chain, ["file", "block"]), "entries")
+    placed = stored(entries.join(_large(chain), ["file", "block"]), "entries")
     wrong = F.when(~F.col("see_also").isin(0, 2), "LINK_TYPE").when(F.size("topics") > MOST_TOPICS, "FAN_OUT")
     errors = stored(placed.withColumn("error", wrong).where("error IS NOT NULL").groupBy("file").agg(F.max("error").alias("error")), "entry-errors")
     text = F.trim(F.regexp_replace("keyword", r"\s+", " "))
@@ -61,7 +66,7 @@ def records(chain: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]
     counts = kept.groupBy("file", "pos").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("file").orderBy("pos")) - F.col("n")  # a row for each block
     inside = F.row_number().over(W.partitionBy("file", "pos").orderBy("nth"))
-    numbered = kept.withColumn("_inside", inside).join(counts.select("file", "pos", before.alias("_before")), ["file", "pos"])
+    numbered = kept.withColumn("_inside", inside).join(_large(counts.select("file", "pos", before.alias("_before"))), ["file", "pos"])
     return numbered.select("file", (F.col("_before") + F.col("_inside")).cast("long").alias("ordinal"), "keyword", "topics"), errors
 
 
@@ -74,12 +79,12 @@ def topic_references(found: DataFrame, topics: DataFrame, url_table: DataFrame,
     out; one without a title has the name of its path.
     """
     wanted = found.select("file", F.explode("topics").alias("topic")).distinct()
-    rows = wanted.join(topics, ["file", "topic"], "left")
+    rows = wanted.join(_large(topics), ["file", "topic"], "left")
     links = url_table.select("file", F.col("offset").alias("url_table_offset"), F.col("topic").alias("_mapped"), "url_offset")
-    rows = rows.join(links, ["file", "url_table_offset"], "left")
+    rows = rows.join(_large(links), ["file", "url_table_offset"], "left")
     addresses = url_strings.select("file", (F.col("offset") - ADDRESS_HEAD).alias("url_offset"), F.col("text").alias("_url"))
-    rows = rows.join(addresses, ["file", "url_offset"], "left")
-    rows = rows.join(titles.select("file", F.col("offset").alias("title_offset"), F.col("text").alias("_title")), ["file", "title_offset"], "left")
+    rows = rows.join(_large(addresses), ["file", "url_offset"], "left")
+    rows = rows.join(_large(titles.select("file", F.col("offset").alias("title_offset"), F.col("text").alias("_title"))), ["file", "title_offset"], "left")
     wrong = F.when(F.col("url_table_offset").isNull(), "NO_TOPIC").when(F.col("_mapped").isNull(), "NO_LINK").when(F.col("_mapped") != F.col("topic"), "OTHER_TOPIC").when(F.col("_url").isNull(), "NO_ADDRESS")
     rows = stored(rows.withColumn("error", wrong), "topic-links")
     errors = stored(rows.where("error IS NOT NULL").groupBy("file").agg(F.max("error").alias("error")), "topic-errors")
@@ -101,7 +106,7 @@ def segments(found: DataFrame, references: DataFrame, group: int = GROUP) -> Dat
     keyword.
     """
     each = found.select("file", "ordinal", "keyword", F.explode(F.array_distinct("topics")).alias("topic"))
-    each = each.join(references.select("file", "topic"), ["file", "topic"])
+    each = each.join(_large(references.select("file", "topic")), ["file", "topic"])
     first = each.groupBy("file", "topic", F.lower("keyword").alias("_folded")).agg(F.min(F.struct("ordinal", "keyword")).alias("k"))
     nth = F.floor((F.row_number().over(W.partitionBy("file", "topic").orderBy("k.ordinal")) - 1) / group).cast("long")
     rows = first.select("file", "topic", "k.ordinal", "k.keyword", nth.alias("nth"))
