@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from evidencespark.functions import text as T
 from evidencespark.operators import fuse, ingest, lifecycle, nearest, search
+from evidencespark.sources.shared import stored
 from evidencespark.sources.tables import table
 from evidencespark.streaming import tasks
 
+#: Most best pages (one for each language and slot) that are broadcast to the documents.
+BEST_PAGES = 50_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -289,11 +293,16 @@ a AS (SELECT doc_id, 'h' || (doc_id % 7) AS k, lang FROM documents),
 j AS (SELECT a.doc_id, t.page_id, length(t.title) AS score FROM a JOIN topics t ON regexp_extract(t.url, '/([a-z]{2})/', 1) = a.lang AND t.page_id % 50 = a.doc_id % 50)
 SELECT doc_id, page_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_id) AS nth FROM j) WHERE nth = 1""")
 def reference_join(spark, sf_dir):
-    """The best page of each document's language and slot: an anchor's reference, first of equal scores."""
+    """The best page of each document's language and slot: an anchor's reference, first of equal scores.
+
+    All documents of a language and slot have the same best page, so it is found once for each of these.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"), (F.col("page_id") % 50).alias("slot"), F.length(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("score"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("doc_id") % 50).alias("slot"))
-    best = docs.join(pages, ["lang", "slot"]).groupBy("doc_id").agg(F.min_by("page_id", F.struct(-F.col("score"), "page_id")).alias("page_id"))
-    return best
+    place = F.struct(F.col("score").isNull().alias("unscored"), (-F.col("score")).alias("order"), "page_id")
+    best = stored(pages.groupBy("lang", "slot").agg(F.min(place).alias("best")), "best-pages")
+    found = docs.join(F.broadcast(best) if best.limit(BEST_PAGES + 1).count() <= BEST_PAGES else best, ["lang", "slot"])
+    return found.groupBy("doc_id").agg(F.min("best").alias("best")).select("doc_id", "best.page_id")
 
 
 @query(f"WITH RECURSIVE {OVERLAP}, ev AS (SELECT query_id, rank AS pos, record_id, CAST((length(d.text) + 3) // 4 AS BIGINT) AS tokens FROM sparse JOIN documents d ON d.doc_id = record_id), " + STEP_BUDGET.format(budget=1500))
