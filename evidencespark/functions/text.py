@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,10 +53,15 @@ def record_id(document: Column, version: Column, chunk: Column) -> Column:
 
 def digest_vector(text: Column, dims: int = 8) -> Column:
     """A stand-in for an embedding: the bytes of the SHA-256 digest on [-1, 1], scaled to length 1."""
-    byte = lambda i: F.conv(F.substring(F.sha2(text, 256), 2 * (i % 32) + 1, 2), 16, 10).cast("double")
-    raw = F.array(*[(byte(i) - 127.5) / 127.5 for i in range(dims)])
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / norm)
+    byte = lambda h, i: F.conv(F.substring(h, 2 * (i % 32) + 1, 2), 16, 10).cast("double")
+    raw = lambda h: F.array(*[(byte(h, i) - 127.5) / 127.5 for i in range(dims)])
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return _with(F.sha2(text, 256), lambda h: _with(raw(h), lambda v: _with(norm(v), lambda n: F.transform(v, lambda x: x / n))))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, for which ``value`` is evaluated once, however often it stands in it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def valid_vector(vector: Column, dims: int) -> Column:

@@ -16,6 +16,8 @@ from evidencespark.streaming import tasks
 
 #: Most best pages (one for each language and slot) that are broadcast to the documents.
 BEST_PAGES = 50_000
+#: Most ranked rows that are broadcast to the documents.
+CANDIDATES = 200_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -202,7 +204,8 @@ def rrf_fusion(spark, sf_dir):
 
 def _routes(spark, sf_dir):
     docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
-    dense = search.dense_topk(docs.select("record_id", T.digest_vector(F.col("text")).alias("vector")), asked.select("query_id", T.digest_vector(F.col("query")).alias("vector")))
+    vectors = stored(docs.select("record_id", T.digest_vector(F.col("text")).alias("vector")), "vectors")  # the texts are hashed once
+    dense = search.dense_topk(vectors, asked.select("query_id", T.digest_vector(F.col("query")).alias("vector")))
     return dense, search.overlap_topk(docs, asked)
 
 
@@ -233,8 +236,15 @@ def rerank_order(spark, sf_dir):
     return fuse.rerank(c, 6).select("query_id", "record_id", "rerank_score", "rank")
 
 
+def _with_docs(spark, sf_dir, ranked):
+    """``ranked`` with the columns of their documents; few rows go to the documents, many are joined by a shuffle."""
+    ranked = stored(ranked, "ranked")
+    few = ranked.limit(CANDIDATES + 1).count() <= CANDIDATES
+    return _docs(spark, sf_dir).join(F.broadcast(ranked) if few else ranked, "record_id")
+
+
 def _with_text(spark, sf_dir, ranked):
-    return ranked.join(_docs(spark, sf_dir), "record_id").join(_asked(spark, sf_dir), "query_id")
+    return _with_docs(spark, sf_dir, ranked).join(_asked(spark, sf_dir), "query_id")
 
 
 @query(f"""WITH {OVERLAP}, {DENSE}, {RRF},
@@ -256,7 +266,7 @@ def diversify(spark, sf_dir):
 
 
 def _pool(spark, sf_dir):
-    c = _fused(spark, sf_dir).join(_docs(spark, sf_dir), "record_id")
+    c = _with_docs(spark, sf_dir, _fused(spark, sf_dir))
     return fuse.diversified(c.withColumns({"content_sha256": F.sha2("text", 256), "topic": F.col("source")}))
 
 
