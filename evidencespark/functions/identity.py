@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -41,10 +45,29 @@ def request_digest(fields: dict[str, Column]) -> Column:
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")), 256)
 
 
-@F.pandas_udf(StringType())
-def casefolded(text: pd.Series) -> pd.Series:
+#: About how many bytes of texts are Python strings at once while they are folded.
+FOLDED_BYTES = 1 << 20
+
+
+def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in runs of about ``FOLDED_BYTES`` bytes, one text at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + FOLDED_BYTES, side="right")))
+        yield texts.slice(a, b - a)
+        a = b
+
+
+def _folded(texts: pa.Array) -> pa.Array:
+    parts = [pa.array([None if x is None else x.casefold() for x in piece.to_pylist()], pa.string()) for piece in _pieces(texts)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def casefolded(text: pa.Array) -> pa.Array:
     """Text for comparison without case, as Unicode folds it (ß and ss are the same); SQL only has lower case."""
-    return text.map(str.casefold, na_action="ignore")
+    return _folded(text)
 
 
 #: What users are told of failures.
