@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidencespark.sources.shared import dealt
+
 #: Jobs that are not over, and how often one is tried again.
 OPEN = ("PENDING", "RUNNING")
 MOST_RETRIES = 3
@@ -115,7 +117,7 @@ def deleted(documents: DataFrame, jobs: DataFrame, ids: DataFrame) -> tuple[Data
     d = d.withColumn("now", now)
     docs = d.select("document_id", F.when(F.col("now"), "DELETED").otherwise(F.col("status")).alias("status"), (F.col("generation") + F.col("now").cast("long")).alias("generation"))
     fresh = d.where("now").select("document_id")
-    j = jobs.join(fresh.withColumn("hit", F.lit(True)), "document_id", "left")
+    j = dealt(jobs, "document_id").join(fresh.withColumn("hit", F.lit(True)), "document_id", "left")
     hit = F.coalesce(F.col("hit") & (F.col("type") == "INGEST"), F.lit(False))
     j = j.select(
         "id", "document_id", "type",

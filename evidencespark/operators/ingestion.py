@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidencespark.sources.shared import dealt
+
 OPEN = ("PENDING", "RUNNING")
 #: The columns of a decision on a task: what is known of it, its job, its document and its corpus, in one row.
 TASK = ("task_id", "task_type", "task_status", "last_sequence", "job_id", "job_status", "cancelled", "job_generation", "version", "document_id", "document_status", "document_generation", "active_version", "corpus_status", "corpus_generation")
@@ -36,7 +38,7 @@ def claims(tasks: DataFrame, deliveries: DataFrame) -> DataFrame:
     go) is of the job's generation, and for an ingestion not deleted. Deliveries come in the order of their ids;
     ``attempt`` counts those of the batch that were taken.
     """
-    rows = deliveries.join(tasks, "task_id", "left")
+    rows = dealt(deliveries, "task_id").join(tasks, "task_id", "left")
     before = W.partitionBy("task_id").orderBy("delivery_id")
     seen = F.max("sequence").over(before.rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("_seen", F.greatest("last_sequence", seen))

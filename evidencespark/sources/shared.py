@@ -34,6 +34,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+#: About how many rows of a large table a task joins, sorts and looks through at once.
+TASK_ROWS = 1 << 19
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by ``key`` to tasks of about ``TASK_ROWS`` rows, so that a task's memory does not grow with the table
+    (shuffles by the session's number of partitions give larger ones); small tables stay as they are."""
+    tasks = -(-rows.count() // TASK_ROWS)
+    return rows.repartition(tasks, key) if tasks > 1 else rows
+
+
 def _purge() -> None:
     for spark, folder in _written:
         with contextlib.suppress(Exception):  # the context may have ended before this process
