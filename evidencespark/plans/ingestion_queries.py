@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidencespark.operators import commands, ingestion
 from evidencespark.plans.queries import query
+from evidencespark.sources.shared import dealt
 from evidencespark.sources.tables import table
 
 _TYPE = "CASE WHEN o_orderkey % 9 = 0 THEN 'CLEANUP_DATASET' WHEN o_orderkey % 9 = 1 THEN 'CLEANUP_DOCUMENT' ELSE 'INGEST_DOCUMENT' END"
@@ -42,7 +43,7 @@ SELECT delivery_id, task_id, sequence, refusal, CASE WHEN refusal IS NULL THEN C
 def task_claims(spark, sf_dir):
     """Lines of orders as deliveries of tasks: which are taken, and why others are not."""
     lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS delivery_id", "CASE WHEN l_partkey % 40 = 0 THEN -l_orderkey ELSE l_orderkey END AS task_id", "l_suppkey % 20 AS sequence")
-    once = lines.groupBy("delivery_id").agg(F.min(F.struct("sequence", "task_id")).alias("d")).select("delivery_id", "d.task_id", "d.sequence")
+    once = dealt(lines, "delivery_id").groupBy("delivery_id").agg(F.min(F.struct("sequence", "task_id")).alias("d")).select("delivery_id", "d.task_id", "d.sequence")
     return ingestion.claims(_tasks(spark, sf_dir), once)
 
 
