@@ -4,9 +4,12 @@ Documents whose sets of word n-grams have a Jaccard similarity of ``percent`` /
 one global order: those that many documents hold come last. A pair that links shares one of the first
 ``n - ceil(n * percent / 100) + 1`` n-grams of both documents (its prefix), so:
 
-1. One pass over the texts gives each document's set (by 62-bit hashes), a hash of the set, and its prefix. Equal
-   sets are one node from here on.
-2. Prefix n-grams are shuffled; those that can link two nodes tie these to candidate components.
+1. One pass over the texts gives each document's set (by 62-bit hashes), a hash of the set, its prefix, and its
+   n-grams below a fixed hash (a sample that all sets draw alike). Equal sets are one node from here on.
+2. The samples are shuffled: of a set that links, at most ``n - ceil(n * percent / 100)`` n-grams are in no other set.
+   Nodes of whose sample more are alone go, among those that are left again. So sets that share a passage only are gone
+   before anything is tied, and what is tied does not grow together with the corpus.
+   Prefix n-grams of the other nodes are shuffled; those that can link two nodes tie these to candidate components.
 3. A component is worked on by classes of set sizes (sets that link are of the same class or of neighbouring ones), a
    class in blocks of bounded size, each pair of blocks in its own task. First this is done with a bitmap of each set
    (the parity of its n-grams by hash, about two bits an n-gram): as many bits as two bitmaps differ in, so many
@@ -46,6 +49,10 @@ PAIRWISE = 1024
 HOT = 4096
 #: Parts by node of each class of sizes of a hot n-gram.
 HOT_PARTS = 64
+#: The share of all hashes below which n-grams are in the sample, and how often the samples are compared.
+SAMPLED, ROUNDS = 0.45, 2
+#: Most rows of one n-gram that a task holds while it counts who shares n-grams.
+HELD_ROWS = 65_536
 #: Fewest bits of a bitmap.
 LEAST_BITS = 256
 RUN_BYTES = 1 << 20
@@ -145,6 +152,13 @@ class GramOrder:
         order = np.argsort(frequent, kind="stable")
         self.grams, self.places = frequent[order], (np.int64(1 << 62) + len(frequent) - 1 - order).astype(np.int64)
 
+    def sample(self, grams: np.ndarray) -> np.ndarray:
+        """The n-grams of a set, sorted by hash, that are sampled and not frequent: those are known to be in several sets."""
+        grams = grams[: np.searchsorted(grams, int(SAMPLED * (1 << 62)))]
+        if not len(self.grams):
+            return grams
+        return grams[self.grams[np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)] != grams]
+
     def apply(self, grams: np.ndarray) -> np.ndarray:
         if len(self.grams) and len(grams):
             at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
@@ -186,30 +200,33 @@ def size_class(n: Column, percent: int) -> Column:
 
 
 def sets_table(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
-    """``(doc_id, digest, node, n, prefix, bits)`` for each row of ``docs``; the digest is that of its text."""
+    """``(doc_id, digest, node, n, prefix, bits, sample)`` for each row of ``docs``; the digest is that of its text."""
+
+    def lists(parts):
+        ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
 
     def run(batches):
         for batch in batches:
             done = 0
             for data, offsets in _runs(batch.column(2)):
-                nodes, sizes, prefixes, bits = [], [], [], []
+                nodes, sizes, prefixes, bits, samples = [], [], [], [], []
                 for grams in gram_sets(data, offsets, words):
                     n = len(grams)
                     nodes.append(_node(grams))
                     sizes.append(n)
                     bits.append(parity_bitmap(grams).tobytes())
                     prefixes.append(order.value.apply(grams)[: n - -(-n * percent // 100) + 1 if n else 0])
-                ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-                flat = np.concatenate([*prefixes, np.zeros(0, np.int64)])
-                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                    samples.append(order.value.sample(grams))
+                own = [batch.column(i).slice(done, len(sizes)) for i in range(2)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(done, len(sizes)) for i in range(2)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), prefix, pa.array(bits, pa.binary())],
-                    names=["doc_id", "digest", "node", "n", "prefix", "bits"],
+                    [*own, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists(prefixes), pa.array(bits, pa.binary()), lists(samples)],
+                    names=["doc_id", "digest", "node", "n", "prefix", "bits", "sample"],
                 )
                 done += len(sizes)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, digest binary, node long, n long, prefix array<long>, bits binary")
+    return rows.mapInArrow(run, "doc_id long, digest binary, node long, n long, prefix array<long>, bits binary, sample array<long>")
 
 
 def text_digest(text: Column) -> Column:
@@ -217,6 +234,58 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
+def _shared(gram: np.ndarray, node: np.ndarray, done: int = 0) -> np.ndarray:
+    """The nodes of those n-grams that two or more nodes have; rows are sorted, the first ``done`` are not asked for."""
+    new = gram[1:] != gram[:-1]
+    fresh = np.append(True, new | (node[1:] != node[:-1]))[: len(gram)]  # rows of equal sets count once
+    group = np.cumsum(np.append(True, new))[: len(gram)] - 1
+    found = fresh & (np.bincount(group, weights=fresh) > 1)[group] if len(gram) else fresh
+    found[:done] = False
+    return node[found]
+
+
+def shared_counts(rows: DataFrame) -> DataFrame:
+    """``(node, shared)``: how many n-grams of each node in ``rows(gram, node)`` another node has as well."""
+
+    def given(nodes):
+        names, times = np.unique(nodes, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(times, pa.int64())], names=["node", "shared"])
+
+    def count(batches):
+        gram, node, done = np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # rows of the last n-gram; of these are counted
+        for batch in batches:
+            gram, node = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((gram, "gram"), (node, "node")))
+            if not len(gram):
+                continue
+            begin = int(np.searchsorted(gram, gram[-1]))  # the last group may go on in the next batch
+            yield given(_shared(gram[:begin], node[:begin], done))
+            done = done if begin == 0 else 0
+            gram, node = gram[begin:], node[begin:]
+            if len(gram) > HELD_ROWS:  # a large group: two rows are enough of what is counted
+                before = node != node[-1]
+                if before.any():
+                    yield given(np.unique(node[before][done:]))
+                    gram, node, done = gram[[0, -1]], node[[0, -1]], 1
+                else:
+                    gram, node = gram[-1:], node[-1:]
+        yield given(_shared(gram, node, done))
+
+    found = rows.select("gram", "node").repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(count, "node long, shared long")
+    return found.groupBy("node").agg(F.sum("shared").alias("shared"))
+
+
+def linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``sets`` without those of nodes that cannot link, by the n-grams of their samples that no other has."""
+    for _ in range(ROUNDS):
+        sampled = sets.where("n > 0").select("node", F.explode("sample").alias("gram"))
+        sizes = sets.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max(F.size("sample")).alias("sampled"))
+        left = sizes.join(shared_counts(sampled), "node", "left")
+        alone = F.col("sampled") - F.coalesce("shared", F.lit(0))
+        left = stored(left.where(alone <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("node"), "linkable")
+        sets = sets.join(small_side(left, 1_000_000), "node")
+    return sets
+
+
 def _tied(gram, part, n, node, pos, percent: int, hot_from: int, pairwise: int, chained: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ties between the holders of whole groups of rows, sorted by n-gram, part, set size and node."""
     new = np.ones(len(gram), bool)
@@ -523,6 +592,7 @@ def block_pairs(members: DataFrame, content: str, forest, percent: int) -> DataF
 
 def similarity_links(docs: DataFrame, sets: DataFrame, order, words: int, percent: int) -> DataFrame:
     """``(a, b)``: links between nodes, enough of them to connect all that links connect."""
+    sets = linkable(sets, percent)
     tied = candidate_components(sets, order, percent)
     reps = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     members = stored(tied.join(reps, "node"), "members")

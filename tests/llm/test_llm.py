@@ -536,6 +536,31 @@ def test_bitmaps_lose_no_link():
     assert len(ngram_join.folded(wide, 4)) == 4 and len(ngram_join.parity_bitmap(far[0][:0])) == 4
 
 
+def test_texts_that_share_a_passage_only_are_not_tied(spark):
+    rng = random.Random(7)
+    passages = [prose(rng, 30, 10**6) for _ in range(61)]
+    rows = [(i, f"{passages[i]} {prose(rng, 120, 10**6)} {passages[i + 1]}") for i in range(60)]  # a chain through all texts
+    rows += [(100 + i, rows[i][1].rsplit(" ", 2)[0] + " end") for i in range(0, 60, 20)] + [(200, rows[5][1])]
+    d = docs(spark, [(i, t, "s") for i, t in rows])
+    order = spark.sparkContext.broadcast(ngram_join.GramOrder(np.zeros(0, np.int64), 0))
+    left = ngram_join.linkable(ngram_join.sets_table(d, order, 5, 75), 75)
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 20, 40, 100, 120, 140]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(d).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {100: 0, 120: 20, 140: 40, 200: 5}
+
+
+@pytest.mark.parametrize("held", [1, 65_536])
+def test_shared_counts(spark, monkeypatch, held):
+    monkeypatch.setattr(ngram_join, "HELD_ROWS", held)
+    rng = random.Random(held)
+    rows = [(rng.randrange(40) % (1 + rng.randrange(40)), rng.randrange(9)) for _ in range(400)] + [(77, 1), (77, 1), (78, 2)]
+    holders = {g: {n for f, n in rows if f == g} for g, _ in rows}
+    expected = Counter(n for x in holders.values() if len(x) > 1 for n in x)
+    with ngram_join.small_batches(spark, 7):
+        got = {r["node"]: r["shared"] for r in ngram_join.shared_counts(spark.createDataFrame(rows, "gram long, node long")).collect()}
+    assert got == expected
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
