@@ -171,7 +171,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, active: DataFrame, settings:
     anchors = stored(anchors, "anchors")
     # References are scored for the normalized query, which is each query's first subquery.
     first = lambda rows: rows.where("query_id % 4 = 0").withColumn("query_id", F.floor(F.col("query_id") / 4).cast("long"))
-    normal = search.TextIndex(index.postings, first(index.asked), index.average, index.weigh)
+    normal = search.TextIndex(index.postings, first(index.asked), index.average, index.weigh, index.texts)
     named = references(anchors, chunks, active, normal, first(bonus).withColumn("bonus", F.col("bonus") / PHRASE_BOOST))
     listed = stored(with_references(anchors, named), "listed")
     places = _described(listed, chunks, "doc_id", "version", "ordinal")

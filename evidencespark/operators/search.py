@@ -6,12 +6,13 @@ query's candidates are cut to its top k in each task before they are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,6 +111,8 @@ def _all_pairs(items: DataFrame, queries: DataFrame, k: int, exclude_self: bool)
 ASKED_WORDS = 200_000
 #: Posting rows that a task of the text search holds and searches at once.
 BLOCK_ROWS = 1 << 18
+#: Texts that a task cuts, or searches, at once.
+TEXTS = 2048
 #: Posting rows of its rarest terms from which a query gets its first threshold.
 SEED_ROWS = 4096
 
@@ -124,13 +127,63 @@ class TextIndex:
 
     ``postings`` are (record_id, term, part): what a term adds to the score of a text, whatever the query. ``asked`` are
     (query_id, term, df, idf), ``average`` is the mean number of terms of a text, and ``weigh`` gives the part of a
-    count in a text of some length.
+    count in a text of some length. ``texts`` are (record_id, length, terms, times), a row for each text, from which texts
+    are searched where they lie; there are none where ids repeat or the words of the queries are too many.
     """
 
     postings: DataFrame
     asked: DataFrame
     average: float
     weigh: Callable
+    texts: DataFrame | None = None
+
+
+def _counted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(record_id, length, terms, times)`` of each text: its number of terms, and how often it has each wanted one."""
+    known = docs.sparkSession.sparkContext.broadcast(wanted.toArrow().column(0).cast(pa.string()).combine_chunks())  # ASKED_WORDS at most
+
+    def run(batches):
+        names = known.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, TEXTS):
+                ids, terms = (batch.column(i).slice(a, TEXTS) for i in range(2))
+                length = pc.list_value_length(terms).to_numpy()
+                code = pc.fill_null(pc.index_in(terms.flatten().cast(pa.string()), value_set=names), -1).to_numpy()
+                own = np.repeat(np.arange(len(ids)), length)[code >= 0] * max(len(names), 1) + code[code >= 0]
+                own, times = np.unique(own, return_counts=True)
+                ends = pa.array(np.searchsorted(own, np.arange(len(ids) + 1) * max(len(names), 1)).astype(np.int32))
+                words = names.take(pa.array(own % max(len(names), 1)))
+                columns = [ids, pa.array(length, pa.int32()), pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["record_id", "length", "terms", "times"])
+
+    cut = docs.select("record_id", F.coalesce(T.terms(F.col("text")), F.array().cast("array<string>")).alias("terms"))
+    return cut.mapInArrow(run, f"record_id {cut.schema['record_id'].dataType.simpleString()}, length int, terms array<string>, times array<long>")
+
+
+def _text_blocks(batches, names: pa.Array, idf: np.ndarray, weigh: Callable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Postings (text, number of the term, part) of runs of whole texts ``(record_id, length, terms, times)``, sorted by text."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(a, TEXTS)
+            part = part.take(pc.sort_indices(part.column(0)))
+            sizes = pc.list_value_length(part.column(2)).to_numpy()
+            number = pc.fill_null(pc.index_in(part.column(2).flatten().cast(pa.string()), value_set=names), -1).to_numpy()
+            ids, length = (np.repeat(part.column(i).to_numpy(), sizes)[number >= 0] for i in range(2))
+            times, number = part.column(3).flatten().to_numpy()[number >= 0], number[number >= 0]
+            yield ids, number, weigh(idf[number], times, length)
+
+
+def _numbered(index: TextIndex, asked: DataFrame) -> tuple[pa.Table, pa.Array, np.ndarray] | None:
+    """The rows of ``asked`` with numbers of their terms, and the terms with their idf, if texts can be searched where they lie."""
+    if index.texts is None or not _few(asked) or asked.select("query_id").distinct().count() > QUERY_BLOCK:
+        return None
+    rows = asked.toArrow()  # a bound on what the driver gets
+    term = rows.column("term").cast(pa.string()).combine_chunks()
+    names = pc.unique(term)
+    number = pc.index_in(term, value_set=names).to_numpy()
+    idf = np.zeros(len(names))
+    idf[number] = rows.column("idf").to_numpy()
+    return rows.append_column("number", pa.array(number, pa.int64())), names, idf
 
 
 def text_index(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> TextIndex:
@@ -141,22 +194,28 @@ def text_index(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float =
     spark = docs.sparkSession
     asked = stored(queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term")), "asked")
     wanted = asked.select("term").union(spark.createDataFrame([("",)], "term string")).distinct()
-    each = docs.select("record_id", F.coalesce(T.terms(F.col("text")), F.array().cast("array<string>")).alias("terms"))
-    rows = each.select("record_id", F.size("terms").alias("length"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
-    rows = rows.join(F.broadcast(wanted) if _few(wanted) else wanted, "term", "left_semi")
-    counts = stored(rows.groupBy("record_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")), "postings")
-    n_docs, average = counts.where("term = ''").agg(F.count(F.lit(1)), F.avg("length")).first()
+    once = docs.groupBy("record_id").count().where("count > 1").isEmpty()
+    texts = stored(_counted(docs, wanted.where("term <> ''")), "texts") if once and _few(wanted) else None
+    if texts is not None:
+        counts = texts.select("record_id", "length", F.explode(F.arrays_zip("terms", "times")).alias("t")).select("record_id", F.col("t.terms").alias("term"), F.col("t.times").alias("tf"), "length")
+        n_docs, average = texts.agg(F.count(F.lit(1)), F.avg("length")).first()
+    else:
+        each = docs.select("record_id", F.coalesce(T.terms(F.col("text")), F.array().cast("array<string>")).alias("terms"))
+        rows = each.select("record_id", F.size("terms").alias("length"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+        rows = rows.join(F.broadcast(wanted) if _few(wanted) else wanted, "term", "left_semi")
+        counts = stored(rows.groupBy("record_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")), "postings")
+        n_docs, average = counts.where("term = ''").agg(F.count(F.lit(1)), F.avg("length")).first()
     average = average or 1.0
     df = counts.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = stored(df.withColumn("idf", idf), "terms")
 
-    def weigh(weight: Column, times: Column, length: Column) -> Column:
-        return weight * times / (times + k1 * (1 - b + b * length / F.lit(average)))
+    def weigh(weight, times, length):  # columns or arrays
+        return weight * times / (times + k1 * (1 - b + b * length / average))
 
     small = F.broadcast(terms) if _few(terms) else terms
     parts = counts.join(small, "term").select("record_id", "term", weigh(F.col("idf"), F.col("tf"), F.col("length")).alias("part"))
-    return TextIndex(stored(parts, "parts"), stored(asked.join(small, "term"), "asked-terms"), average, weigh)
+    return TextIndex(parts if texts is not None else stored(parts, "parts"), stored(asked.join(small, "term"), "asked-terms"), average, weigh, texts)
 
 
 def _thresholds(index: TextIndex, k: int) -> DataFrame:
@@ -227,6 +286,29 @@ class _Asked:
         return pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.float64())], names=["query_id", "record_id", "score"])
 
 
+def _searched_in_place(index: TextIndex, own: tuple[pa.Table, pa.Array, np.ndarray], k: int, digits: int) -> DataFrame:
+    """:func:`pruned_topk` for one block of queries, which goes to every task of the texts."""
+    rows, names, idf = own
+    floors = {r["query_id"]: r["floor"] for r in _thresholds(index, k).collect()}  # a row for each query at most
+    ids = rows.column("query_id").to_numpy().astype(np.int64)
+    order = np.argsort(ids, kind="stable")
+    value = np.array([floors.get(i, 0.0) for i in ids.tolist()])[order]
+    asked = index.postings.sparkSession.sparkContext.broadcast((ids[order], rows.column("number").to_numpy()[order], value, names, idf))
+    weigh = index.weigh
+
+    def run(batches):
+        ids, numbers, floor, names, idf = asked.value
+        queries = _Asked(ids, numbers, floor, k, digits)
+        for block in _text_blocks(batches, names, idf, weigh):
+            if len(block[0]):
+                queries.search(*block)
+        if len(queries.ids):
+            yield queries.rows()
+
+    texts = index.texts.select(F.col("record_id").cast("long").alias("record_id"), "length", "terms", "times")
+    return texts.mapInArrow(run, "query_id long, record_id long, score double")
+
+
 def pruned_topk(index: TextIndex, k: int, digits: int) -> DataFrame:
     """``(query_id, record_id, score)``: of each task the best ``k`` texts of each query by summed parts, among which are the
     best ones of all; scores are rounded to ``digits`` before they are compared.
@@ -238,6 +320,9 @@ def pruned_topk(index: TextIndex, k: int, digits: int) -> DataFrame:
     The first threshold comes from the query's rarest terms. No pair leaves a task but the best ``k``.
     """
     spark = index.postings.sparkSession
+    own = _numbered(index, index.asked)
+    if own is not None:
+        return _searched_in_place(index, own, k, digits)
     item_blocks = max(ITEM_BLOCKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = index.asked.select("query_id").distinct()
     query_blocks = max(-(-ids.count() // QUERY_BLOCK), 1)
@@ -340,12 +425,48 @@ def ranked_texts(index: TextIndex, bonus: DataFrame | None, k: int) -> DataFrame
 def pair_scores(index: TextIndex, pairs: DataFrame) -> DataFrame:
     """``pairs`` with their ``score`` (rounded to 6 places); pairs that share no term have no row."""
     own = index.asked.select("query_id", "term")
-    both = pairs.join(own, "query_id").join(index.postings, ["record_id", "term"])
+    ids = pairs.select("record_id").distinct()
+    held = index.postings.join(F.broadcast(ids) if _few(ids) else ids, "record_id", "left_semi")
+    both = pairs.join(own, "query_id").join(held, ["record_id", "term"])
     return both.groupBy(*pairs.columns).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
+def _pairs_in_place(index: TextIndex, queries: DataFrame, own: tuple[pa.Table, pa.Array, np.ndarray]) -> DataFrame:
+    """:func:`_phrase_pairs` for one block of queries, which goes to every task of the texts."""
+    rows, names, idf = own
+    sizes = dict(map(tuple, queries.select("query_id", F.size(F.array_distinct(T.terms(F.col("query"))))).collect()))  # one block at most
+    terms: dict[int, list] = {}
+    for query, df, number in zip(*(rows.column(c).to_pylist() for c in ("query_id", "df", "number")), strict=True):
+        terms.setdefault(query, []).append((df, number))
+    whole = [(q, np.array([n for _, n in sorted(x)])) for q, x in terms.items() if len(x) == sizes.get(q)]
+    asked = index.postings.sparkSession.sparkContext.broadcast((whole, names, idf))
+    weigh = index.weigh
+
+    def run(batches):
+        whole, names, idf = asked.value
+        for ids, numbers, _ in _text_blocks(batches, names, idf, weigh):
+            order = np.argsort(numbers, kind="stable")
+            ends, ids = np.searchsorted(numbers[order], np.arange(len(names) + 1)), ids[order]
+            found = []
+            for query, wanted in whole:
+                have = ids[ends[wanted[0]] : ends[wanted[0] + 1]]
+                for n in wanted[1:]:
+                    if not len(have):
+                        break
+                    have = np.intersect1d(have, ids[ends[n] : ends[n + 1]], assume_unique=True)
+                found += [(query, i) for i in have.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["query_id", "record_id"])
+
+    texts = index.texts.select(F.col("record_id").cast("long").alias("record_id"), "length", "terms", "times")
+    kinds = [f"CAST({c} AS {x.schema[c].dataType.simpleString()}) AS {c}" for c, x in (("query_id", index.asked), ("record_id", index.texts))]
+    return stored(texts.mapInArrow(run, "query_id long, record_id long").selectExpr(*kinds), "phrase-pairs")
+
+
 def _phrase_pairs(index: TextIndex, queries: DataFrame) -> DataFrame:
     """``(query_id, record_id)`` of the texts that hold every term of a query: those of its rarest term are looked at."""
+    own = _numbered(index, index.asked)
+    if own is not None:
+        return _pairs_in_place(index, queries, own)
     sizes = queries.select("query_id", F.size(F.array_distinct(T.terms(F.col("query")))).alias("n_terms"))
     rarest = index.asked.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("n_known"))
     rarest = rarest.join(sizes, "query_id").where("n_known = n_terms")
@@ -362,7 +483,8 @@ def phrase_hits(docs: DataFrame, queries: DataFrame, index: TextIndex | None = N
     """
     pairs = _phrase_pairs(index or text_index(docs, queries), queries)
     asked = queries.select("query_id", T.terms(F.col("query")).alias("wanted"))
-    held = docs.select("record_id", "text").join(pairs.select("record_id").distinct(), "record_id", "left_semi").select("record_id", T.terms(F.col("text")).alias("terms"))
+    ids = pairs.select("record_id").distinct()
+    held = docs.select("record_id", "text").join(F.broadcast(ids) if _few(ids) else ids, "record_id", "left_semi").select("record_id", T.terms(F.col("text")).alias("terms"))
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, "  "), F.lit(" "))  # noqa: E731 - each term between blanks of its own
     times = (F.length(spaced(F.col("terms"))) - F.length(F.replace(spaced(F.col("terms")), spaced(F.col("wanted")), F.lit("")))) / F.length(spaced(F.col("wanted")))
     found = pairs.join(asked, "query_id").join(held, "record_id").select("query_id", "record_id", times.cast("long").alias("times"), F.size("terms").alias("length"))

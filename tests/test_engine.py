@@ -558,6 +558,25 @@ def test_identifiers_come_first(spark):
     assert [(r["record_id"], r["exact"], r["occurrences"]) for r in got] == [(2, 1, 1), (1, 0, 2), (3, 0, 0), (4, 0, 0)]
 
 
+def test_texts_are_searched_where_they_lie(spark):
+    import dataclasses
+    import random
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(40)))) for i in range(300)] + [(300, None), (301, "Odd w1")]
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(words, k=q % 4 + 1))) for q in range(12)] + [(12, "absent w1"), (13, None)], "query_id long, query string")
+    docs = spark.createDataFrame(rows, "record_id long, text string")
+    index = search.text_index(docs, asked)
+    found, pairs = search.pruned_topk(index, 5, 6), search._phrase_pairs(index, asked)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # no posting is shuffled
+    dealt = dataclasses.replace(index, texts=None)
+    assert sorted(search.top_k(found, 5).collect()) == sorted(search.top_k(search.pruned_topk(dealt, 5, 6), 5).collect())
+    assert sorted(pairs.collect()) == sorted(search._phrase_pairs(dealt, asked).collect()) and not pairs.isEmpty()
+    twice = search.text_index(docs.union(docs.limit(1)), asked)
+    assert twice.texts is None and search.pruned_topk(twice, 5, 6).count() > 0
+
+
 def test_retrieval_without_rerank_and_without_anything(spark):
     from evidencespark.operators import retrieval
 
