@@ -51,6 +51,8 @@ _NO_MERGE = 1 << 62
 MEMO_WORDS = 30_000
 #: Texts are handled in slices of about this many bytes (one text at least).
 SLICE_BYTES = 1 << 21
+#: Encoding takes some thirty bytes of arrays for each byte of a slice, so its slices are smaller.
+ENCODED_BYTES = 1 << 19
 #: Words of up to this many bytes are counted and compiled.
 WORD_BYTES = 64
 
@@ -389,12 +391,12 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """``texts`` in runs of about ``SLICE_BYTES`` bytes (one text at least)."""
+def slices(texts: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """``texts`` in runs of about ``most`` bytes (one text at least), by default ``SLICE_BYTES``."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + SLICE_BYTES, side="right")))
+        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + (most or SLICE_BYTES), side="right")))
         yield texts.slice(i, j - i)
         i = j
 
@@ -527,7 +529,7 @@ def encode_texts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", outp
         coder = _coder(lexicon)
         for batch in batches:
             done = 0
-            for texts in slices(batch.column(at)):
+            for texts in slices(batch.column(at), min(ENCODED_BYTES, SLICE_BYTES)):
                 data, offsets = text_bytes(texts)
                 ids, ends = coder.encode(data, offsets)
                 found = {}

@@ -536,6 +536,32 @@ def test_bitmaps_lose_no_link():
     assert len(ngram_join.folded(wide, 4)) == 4 and len(ngram_join.parity_bitmap(far[0][:0])) == 4
 
 
+def test_encoding_holds_few_arrays_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = pa.array([prose(rng, 20_000, 3000) for _ in range(20)])  # 2 MB
+    b = bpe.Bpe(bpe.default_vocabulary())
+    coder = bpe.Coder(bpe.Transducer(bpe.compile_transducer({f" w{i}".encode(): b.encode_word(f" w{i}".encode()) for i in range(3000)})), b)
+
+    def encoded(most):
+        out, ends = [], []
+        tracemalloc.start()
+        for part in bpe.slices(texts, most):
+            ids, upto = coder.encode(*bpe.text_bytes(part))
+            out.append(ids)
+            ends += np.diff(upto).tolist()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return np.concatenate(out).tolist(), ends, peak
+
+    ids, ends, peak = encoded(bpe.ENCODED_BYTES)
+    whole = encoded(bpe.SLICE_BYTES)
+    assert (ids, ends) == whole[:2] and peak < 40 * bpe.ENCODED_BYTES + 8 * len(ids) and 2 * peak < whole[2]
+
+
 def test_texts_that_share_a_passage_only_are_not_tied(spark):
     rng = random.Random(7)
     passages = [prose(rng, 30, 10**6) for _ in range(61)]
