@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +21,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Tries of a task and of an object that is promoted; seconds before the first repetition.
 TASK_TRIES, OBJECT_TRIES, BASE_SECONDS = 3, 5, 15
 ATTEMPTS = "delivery_id long, attempt int, at_ms long, outcome string"
+#: Fixed value: how many groups deliveries are dealt to by a hash; a checkpoint holds for this number.
+GROUPS = 1024
+#: A try that waits, as it lies in the state of its group; what has no time is never repeated.
+WAITING = np.dtype([("delivery_id", "<i8"), ("due", "<i8"), ("attempt", "<i4"), ("failures", "<i4"), ("lasting", "?")])
+NO_TIME = np.iinfo(np.int64).min
 
 
 def outcome_of(attempt: int, failures: int, lasting: bool, most: int) -> str:
@@ -29,7 +36,8 @@ def outcome_of(attempt: int, failures: int, lasting: bool, most: int) -> str:
 
 
 class _Tries(StatefulProcessor):
-    """State: the number of the next try, when it is due, and what the delivery says of its faults."""
+    """One delivery for itself, as :class:`_TryGroups` has many. State: the number of the next try, when it is due, and
+    what the delivery says of its faults."""
 
     def __init__(self, base_ms: int, most: int):
         self.base_ms, self.most = base_ms, most
@@ -65,14 +73,84 @@ class _Tries(StatefulProcessor):
         pass
 
 
+class _TryGroups(StatefulProcessor):
+    """Deliveries of a group together, as calls for each one take longer than all else. State: the tries that wait, with
+    one timer for the earliest."""
+
+    def __init__(self, base_ms: int, most: int):
+        self.base_ms, self.most = base_ms, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", "tries binary")
+
+    def _held(self) -> np.ndarray:
+        return np.frombuffer(self.waiting.get()[0], WAITING) if self.waiting.exists() else np.zeros(0, WAITING)
+
+    def _hold(self, tries: np.ndarray, timer: int | None) -> None:
+        """Keep ``tries``; ``timer`` is the one that is set."""
+        if not len(tries):
+            self.waiting.clear()
+            return
+        self.waiting.update((tries.tobytes(),))
+        first = int(tries["due"].min())
+        if timer != first:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+
+    def _go_on(self, tries: np.ndarray, now: int) -> tuple[list[pd.DataFrame], np.ndarray]:
+        """The rows of all tries due by ``now``, beginning with ``tries``, and the tries that wait then."""
+        found, later = [], [np.zeros(0, WAITING)]
+        while len(tries):
+            done = tries["attempt"] > tries["failures"]
+            failed = ~done & (tries["lasting"] | (tries["attempt"] >= self.most))
+            outcome = np.where(done, "done", np.where(failed, "failed", "retry")).astype(object)
+            at = pd.arrays.IntegerArray(tries["due"].copy(), tries["due"] == NO_TIME)
+            found.append(pd.DataFrame({"delivery_id": tries["delivery_id"], "attempt": tries["attempt"], "at_ms": at, "outcome": outcome}))
+            tries = tries[~done & ~failed & (tries["due"] != NO_TIME)]
+            tries["due"] += np.int64(self.base_ms) << (tries["attempt"].astype(np.int64) - 1)
+            tries["attempt"] += 1
+            later.append(tries[tries["due"] > now])
+            tries = tries[tries["due"] <= now]
+        return found, np.concatenate(later)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        frame = pd.concat(list(rows))[["delivery_id", "at_ms", "failures", "lasting"]]
+        if frame["delivery_id"].isna().any():
+            raise ValueError("a delivery without its id")
+        frame = frame.sort_values("at_ms", kind="stable").drop_duplicates("delivery_id")
+        held = self._held()
+        frame = frame[~frame["delivery_id"].isin(held["delivery_id"])]  # what comes again while it waits is the same one
+        tries = np.zeros(len(frame), WAITING)
+        tries["attempt"] = 1
+        for name in ("delivery_id", "failures", "lasting"):
+            tries[name] = frame[name].to_numpy()
+        tries["due"] = np.where(frame["at_ms"].isna(), NO_TIME, frame["at_ms"].astype("Int64").fillna(0).to_numpy(np.int64))
+        found, later = self._go_on(tries, timerValues.getCurrentWatermarkInMs())
+        if len(later):
+            self._hold(np.concatenate([held, later]), int(held["due"].min()) if len(held) else None)
+        yield from found
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, held = timerValues.getCurrentWatermarkInMs(), self._held()
+        found, later = self._go_on(held[held["due"] <= now], now)
+        self._hold(np.concatenate([held[held["due"] > now], later]), None)  # the timer that is over is taken off by Spark
+        yield from found
+
+    def close(self) -> None:
+        pass
+
+
 def tries(deliveries: DataFrame, base_seconds: int = BASE_SECONDS, most: int = TASK_TRIES, late: str = "0 seconds") -> DataFrame:
     """A stream of ``(delivery_id, attempt, at_ms, outcome)`` from a stream of (delivery_id, ts, failures, lasting).
 
     ``failures`` is how many tries fail, ``lasting`` whether repeating them is no use. A repetition shows once the
     watermark, ``late`` behind the newest delivery, has passed its time. Needs the RocksDB state store.
     """
-    rows = deliveries.withWatermark("ts", late).select("delivery_id", "ts", F.unix_millis("ts").alias("at_ms"), "failures", "lasting")
-    return rows.groupBy("delivery_id").transformWithState(_Tries(base_seconds * 1000, most), ATTEMPTS, "Append", "EventTime")
+    group = F.pmod(F.hash("delivery_id"), F.lit(GROUPS)).alias("group")
+    rows = deliveries.withWatermark("ts", late).select(group, "delivery_id", "ts", F.unix_millis("ts").alias("at_ms"), "failures", "lasting")
+    return rows.groupBy("group").transformWithStateInPandas(_TryGroups(base_seconds * 1000, most), ATTEMPTS, "Append", "EventTime")
 
 
 def tries_batch(deliveries: DataFrame, base_seconds: int = BASE_SECONDS, most: int = TASK_TRIES, until_ms: int | None = None) -> DataFrame:

@@ -1044,3 +1044,73 @@ def test_tasks_get_a_bounded_number_of_rows(spark, monkeypatch, name):
     found = plans.QUERIES[name](spark, SF)
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, found.collect())) == want
+
+
+def test_groups_of_tries_go_as_single_ones(spark):
+    """Many deliveries in one call, some again, give what each gives alone, with one state and one timer for all."""
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from evidencespark.streaming import relay
+
+    random.seed(5)
+    base, most, now = 5_000, 4, 20_000
+    rows = [(random.randrange(300), random.randrange(30_000), random.randrange(6), i % 4 == 1) for i in range(500)]
+    calls = []
+
+    def ready(processor):
+        held, timers = [], set()
+        processor.handle = SimpleNamespace(registerTimer=lambda t: (calls.append(t), timers.add(t)), deleteTimer=timers.remove)
+        processor.waiting = SimpleNamespace(exists=lambda: bool(held), update=lambda x: held.__setitem__(slice(None), [x]), clear=held.clear, get=lambda: held[0])
+        return processor, held, timers
+
+    at = lambda t: SimpleNamespace(getCurrentWatermarkInMs=lambda: t)
+    parts = [pd.DataFrame(rows[:350], columns=["delivery_id", "at_ms", "failures", "lasting"]), pd.DataFrame(rows[350:], columns=["delivery_id", "at_ms", "failures", "lasting"])]
+    groups, held, timers = ready(relay._TryGroups(base, most))
+    got = []
+    for watermark, part in zip((0, now), parts, strict=True):
+        got += list(groups.handleInputRows((0,), iter([part[:100], part[100:]]), at(watermark)))
+        assert len(timers) == len(held) == 1
+    assert len(calls) <= 3  # a timer for each delivery before
+    for watermark in (now, 40_000, 10**6):
+        while held and min(timers) <= watermark:
+            timer = min(timers)
+            got += list(groups.handleExpiredTimer((0,), at(watermark), None))
+            timers.discard(timer)
+    assert not held
+    want = []
+    for key in range(300):
+        single, own, due = ready(relay._Tries(base, most))
+        for watermark, part in zip((0, now), parts, strict=True):
+            mine = [r for r in part.itertuples() if r.delivery_id == key]
+            if mine:
+                want += single.handleInputRows((key,), iter([dict(zip(part.columns, r[1:], strict=True)) for r in mine]), at(watermark))
+        for watermark in (now, 40_000, 10**6):
+            while own and min(due) <= watermark:
+                timer = min(due)
+                want += single.handleExpiredTimer((key,), at(watermark), None)
+                due.discard(timer)
+    assert sorted(map(tuple, pd.concat(got).itertuples(index=False))) == sorted((r[0], r[1], r[2], r[3]) for r in want)
+    untimed = list(groups.handleInputRows((0,), iter([pd.DataFrame([(1, None, 3, False)], columns=parts[0].columns)]), at(0)))
+    assert untimed[0].values.tolist() == [[1, 1, pd.NA, "retry"]] and not held
+
+
+def test_a_try_due_at_the_newest_delivery_is_made(spark, tmp_path):
+    import datetime
+
+    from evidencespark.streaming import relay
+
+    base, schema = datetime.datetime(2024, 1, 1), "delivery_id long, ts timestamp, failures int, lasting boolean"
+    rows = spark.createDataFrame([(1, base, 5, False), (2, base + datetime.timedelta(seconds=5), 0, False)], schema)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, relay.ROCKSDB)
+    try:
+        found = relay.tries(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 5, 4)
+        found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(r[:2] for r in map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(1, 1), (1, 2), (2, 1)]
