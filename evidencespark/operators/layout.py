@@ -196,6 +196,10 @@ def printed_numbers(lines: DataFrame, height: float) -> DataFrame:
     return rows.withColumn("_nth", lowest).where("_nth = 1").select(*PAGE, "position", "number")
 
 
+def margin_key(text: Column) -> Column:
+    return F.regexp_replace(F.lower(_one_spaced(text)), r"\d+", "#")
+
+
 def margin_keys(lines: DataFrame, height: float, ratio: float = MARGIN) -> DataFrame:
     """``lines`` with their ``margin_key``: the folded text, digits as #, of one of the two lines at the top or foot of a page.
 
@@ -205,7 +209,7 @@ def margin_keys(lines: DataFrame, height: float, ratio: float = MARGIN) -> DataF
     at_top = (F.col("top") <= height * ratio) & (F.col("position") <= 2)
     at_foot = (F.col("bottom") >= height * (1 - ratio)) & (F.col("position") >= F.count(F.lit(1)).over(page) - 1)
     large = at_top & (F.col("font_size") > F.median("font_size").over(page) * MARGIN_SIZE)
-    key = F.regexp_replace(F.lower(_one_spaced(F.col("text"))), r"\d+", "#")
+    key = margin_key(F.col("text"))
     return lines.withColumn("margin_key", F.when((at_top | at_foot) & ~large & (F.length(key) <= LONGEST_MARGIN), key).otherwise(""))
 
 

@@ -1114,3 +1114,102 @@ def test_a_try_due_at_the_newest_delivery_is_made(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert sorted(r[:2] for r in map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(1, 1), (1, 2), (2, 1)]
+
+
+# --- page layout, page by page ------------------------------------------------------------------------------
+
+
+def random_words(seed):
+    """Words of two documents of several pages, with rows that jitter, columns, headings, lists, margins and page numbers."""
+    import random
+
+    random.seed(seed)
+    rows = []
+    for doc in (3, 8):
+        for page in range(6 if doc == 3 else 4):
+            number = [("Manual-" + str(page), 250.0, 20.0, 10.0, False), (f"Page {page + 4}" if page % 2 else "iv", 295.0, 770.0, 10.0, False)] if page != 2 else []
+            for row in range(random.randrange(0 if number else 1, 9)):
+                size, bold = random.choice([(10.0, False)] * 4 + [(13.0, False), (15.0, True), (18.0, False), (10.0, True)])
+                wide = random.choice([0, 0, 60, 300])
+                for col in range(random.randrange(1, 6)):
+                    text = random.choice(["word", "end.", "-", "1.", "pre-", "漢字", "語", "(x", ",", "a|b", "|", "II", "…" * 4, "长；"])
+                    number.append((text, 30.0 + col * (30 + wide) % 560, 60.0 + row * 17 + random.choice([0, 0.7, 1.4, 2.5]), size, bold))
+            rows += [(doc, page, nth, text, x, y, x + 5.0 * len(text), y + size, size, bold) for nth, (text, x, y, size, bold) in enumerate(number)]
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pages_in_memory_are_as_by_windows(spark, seed):
+    import numpy as np
+    import pyarrow as pa
+
+    from evidencespark.operators import layout, pages
+
+    rows = random_words(seed)
+    names = [f.split()[0] for f in WORDS.split(", ")]
+    kinds = [np.int64, np.int64, np.int64, None, *[np.float64] * 5, bool]
+    table = {n: pa.array(c) if k is None else np.array(c, k) for n, k, c in zip(names, kinds, zip(*rows, strict=True), strict=True)}
+    ordered = pages.in_reading_order(pages.lines(table), 600.0)
+    as_rows = lambda t, columns: sorted(zip(*(t[c].to_pylist() if isinstance(t[c], pa.Array) else t[c].tolist() for c in columns), strict=True))
+    collected = lambda df: sorted(map(tuple, df.collect()))
+    slow = layout.stored(layout.in_reading_order(layout.lines(spark.createDataFrame(rows, WORDS)), 600.0), "ordered")
+    columns = [*PAGE_COLUMNS, "position"]
+    assert as_rows(ordered, columns) == collected(slow.select(columns))
+    numbers = [(int(ordered["doc_id"][i]), int(ordered["page"][i]), int(ordered["position"][i]), n) for i, n in pages.printed_numbers(ordered, 800.0).values()]
+    assert sorted(numbers) == collected(layout.printed_numbers(slow, 800.0)) and numbers
+    keyed = collected(layout.margin_keys(slow, 800.0).where("margin_key <> ''").select("doc_id", "page", "position"))
+    assert as_rows(pages.taken(ordered, pages.marginal(ordered, 800.0)), ["doc_id", "page", "position"]) == keyed
+    left, slow_left = pages.visible(ordered, 800.0), layout.stored(layout.visible(slow, 800.0), "left")
+    assert as_rows(left, columns) == collected(slow_left.select(columns)) and len(left["page"]) < len(ordered["page"])
+    for fast, windows in ((ordered, slow), (left, slow_left)):
+        made = layout.blocks(windows, 600.0).select("doc_id", "page", "block", "layout_type", "heading_path", "text", "bbox", "start_line", "end_line")
+        own = pages.blocks(fast, 600.0, pages.Headings())
+        assert sorted(own) == collected(made) and {r[3] for r in own} >= {"paragraph", "list"}
+    shown = collected(layout.displayed(made).select("doc_id", "page", "block", "shown"))
+    assert sorted((*r[:3], pages.displayed(r[5], r[4])) for r in own) == shown
+    cut = [pages.taken(ordered, ordered["page"] * 10 + ordered["doc_id"] == at) for at in [p * 10 + d for d in (3, 8) for p in range(6)]]
+    assert [as_rows(t, columns) for t in pages.documents(cut)] == [as_rows(pages.taken(ordered, ordered["doc_id"] == d), columns) for d in (3, 8)]
+    headings = pages.Headings()
+    assert [r for t in cut for r in pages.blocks(t, 600.0, headings)] == pages.blocks(ordered, 600.0, pages.Headings())
+
+
+PAGE_COLUMNS = ["doc_id", "page", "line", "text", "x0", "top", "x1", "bottom", "font_size", "bold", "columns"]
+
+
+def test_blocks_are_shown_in_memory():
+    from evidencespark.operators import pages
+
+    cases = [("A > B", "a >  b\n\ntext", "text"), ("A", "A", "A"), ("", "| a | b |\n| c | |\nend", "| a | b |\n| --- | --- |\n| c |  |\nend"), ("", "| one | row |", "one row"), ("", "| a。 | b； |\n| c | d |", "a。 b；\nc d"), ("", "| | |\n| a | b |", "| | |\na b"), ("", "||", "||")]
+    assert [pages.displayed(text, path) for path, text, _ in cases] == [shown for _, _, shown in cases]
+
+
+def test_parts_of_documents_have_whole_pages(monkeypatch):
+    """Documents of one id are laid out together, and a long one in parts, as in one part."""
+    import pyarrow as pa
+
+    from evidencespark.operators import pages
+
+    texts = [(1, 50), (2, 1000), (4, 30), (4, 700), (4, 20), (5, None), (6, 0), (7, 10), (7, 15), (9, 300)]
+    words = pa.array([None if n is None else [f"w{doc}x{i}" for i in range(n)] for doc, n in texts], pa.list_(pa.string()))
+    batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in texts]), words], names=["doc_id", "words"]).slice(i, 3) for i in range(0, len(texts), 3)]
+    found = []
+    for most in (10**6, 250):
+        monkeypatch.setattr(layout_queries, "RUN_WORDS", most)
+        parts = [p for p in layout_queries._parts(iter(batches)) if sum(len(w) for _, w, _ in p)]
+        tables = [pages.lines(layout_queries._with_margins(layout_queries._laid_out(p))) for p in parts]
+        found.append(sorted(zip(*(c.to_pylist() if isinstance(c, pa.Array) else c.tolist() for c in pages.joined(tables).values()), strict=True)))
+        assert len(parts) == 1 or max(sum(len(w) for _, w, _ in p) for p in parts) <= 2 * most
+    assert found[0] == found[1] and len(parts) > 8
+
+
+@pytest.mark.parametrize("name", ["page_lines", "page_order", "page_blocks", "page_margins", "printed_page_numbers", "document_blocks"])
+def test_words_of_pages_are_not_shuffled(spark, name):
+    """Before, each word went through shuffles with its place, and lines through those of the windows."""
+    from evidencespark.sources import shared
+
+    folders = len(shared._written)
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    if name == "page_margins":
+        assert len(shared._written) == folders + 1  # the keys of margins only
+        return
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Generate" not in plan and len(shared._written) == folders
