@@ -63,16 +63,44 @@ def _one_spaced(text: str) -> str:
     return _SPACES.sub(" ", text).strip(" ")
 
 
+#: Pages of at most so many words go through their rows together, word by word; longer ones each for itself.
+TOGETHER = 512
+
+
+def rows_of_pages(tops: np.ndarray, sizes: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """:func:`layout.rows_of` of many pages; words come by (page, top, x0), pages are numbered from 0."""
+    line, counts = np.zeros(len(page), np.int64), np.bincount(page)
+    begin = np.cumsum(counts) - counts
+    for at, n in zip(begin[counts > TOGETHER].tolist(), counts[counts > TOGETHER].tolist(), strict=True):
+        line[at : at + n] = layout.rows_of(tops[at : at + n], sizes[at : at + n])
+    order = np.argsort(-counts, kind="stable")
+    order = order[counts[order] <= TOGETHER]  # those that have a k-th word come first
+    if not len(order):
+        return line
+    begin, counts, most = begin[order], counts[order], layout.OPEN_ROWS
+    near = np.maximum(layout.ROW_POINTS, sizes * layout.ROW_SIZES)
+    held, length, median = np.zeros((most, len(order), counts[0])), np.zeros((most, len(order)), np.int64), np.zeros((most, len(order)))
+    rows, back, left = np.zeros(len(order), np.int64), np.arange(most)[:, None], np.searchsorted(-counts, -np.arange(counts[0]))
+    for k, n in enumerate(left.tolist()):  # ``n`` pages have more than ``k`` words
+        at, own = begin[:n] + k, np.arange(n)
+        last = rows[:n] - back
+        fits = (last >= 1) & (np.abs(median[last % most, own] - tops[at]) <= near[at])
+        new = ~fits.any(axis=0)
+        rows[:n] += new
+        hit = np.where(new, rows[:n], last[fits.argmax(axis=0), own])
+        slot = hit % most
+        size = np.where(new, 0, length[slot, own])
+        held[slot, own, size], length[slot, own] = tops[at], size + 1
+        median[slot, own] = (held[slot, own, size // 2] + held[slot, own, (size + 1) // 2]) / 2
+        line[at] = hit
+    return line
+
+
 def lines(words: Table) -> Table:
     """:func:`layout.lines` of whole pages."""
     order = np.lexsort((words["nth"], words["x0"], words["top"], words["page"], words["doc_id"]))
     page = np.cumsum(_first(words["doc_id"][order], words["page"][order])) - 1
-    top, size = words["top"][order].tolist(), words["font_size"][order].tolist()
-    line, rows, own = np.zeros(len(order), np.int64), None, -1
-    for i, at in enumerate(page.tolist()):
-        if at != own:
-            rows, own = layout.PageRows(), at
-        line[i] = rows.put(top[i], size[i])
+    line = rows_of_pages(words["top"][order], words["font_size"][order], page)
     by_place = np.lexsort((words["nth"][order], words["x0"][order], line, page))
     w, page, line = taken(words, order[by_place]), page[by_place], line[by_place]
     first, gap, last = _first(page, line), w["x0"] - _before(w["x1"]), _before(w["font_size"])
@@ -207,25 +235,28 @@ def blocks(rows: Table, width: float, headings: Headings) -> list[tuple]:
         shown[i] = "| " + " | ".join(c.strip(" ") for c in shown[i].split("\t")) + " |"
     stops = np.flatnonzero(opens | (kind == 0) | new)  # a block goes on up to the next of these
     following = dict(zip(stops.tolist(), [*stops[1:].tolist(), n], strict=True))
-    found = []
-    for i in np.flatnonzero((level > 0) | opens).tolist():
-        doc, own = int(rows["doc_id"][i]), int(rows["page"][i])
-        if level[i]:
-            headings.put(doc, int(level[i]), shown[i])
-            if filled[i] or not ends[i]:
+    begin = np.flatnonzero(opens)
+    spans = np.stack([begin, [following[i] for i in begin.tolist()]], axis=1).ravel().astype(np.int64)
+    over = lambda ufunc, c: ufunc.reduceat(np.append(rows[c], rows[c][-1:]), spans)[::2].tolist() if len(spans) else []
+    boxes = dict(zip(begin.tolist(), zip(over(np.minimum, "x0"), over(np.minimum, "top"), over(np.maximum, "x1"), over(np.maximum, "bottom"), strict=True), strict=True))
+    events = np.flatnonzero((level > 0) | opens)
+    found, position = [], rows["position"].tolist()
+    values = (c[events].tolist() for c in (rows["doc_id"], rows["page"], level, filled, ends, number, kind))
+    for i, doc, own, depth, full, end_of_page, block, what in zip(events.tolist(), *values, strict=True):
+        if depth:
+            headings.put(doc, depth, shown[i])
+            if full or not end_of_page:
                 continue
         titles = [t for t in headings.of(doc) if t is not None]
         path = " > ".join(titles)
-        if level[i]:
-            block, what, content, start, end = 1, 0, titles[-1], 1, 1
-            box = (0.0, 0.0, width, body[i])
+        if depth:
+            block, content, start, end, box = 1, titles[-1], 1, 1, (0.0, 0.0, width, float(body[i]))
         else:
             to = following[i]
-            block, what, content, start, end = int(number[i]), kind[i], "\n".join(shown[i:to]), int(rows["position"][i]), int(rows["position"][to - 1])
-            box = (rows["x0"][i:to].min(), rows["top"][i:to].min(), rows["x1"][i:to].max(), rows["bottom"][i:to].max())
+            content, start, end, box = "\n".join(shown[i:to]), position[i], position[to - 1], boxes[i]
         if path and not content.startswith(path):
             content = f"{path}\n\n{content}"
-        found.append((doc, own, block, KINDS[what], path, content, "[{:.2f},{:.2f},{:.2f},{:.2f}]".format(*box), start, end))
+        found.append((doc, own, block, KINDS[what], path, content, "[%.2f,%.2f,%.2f,%.2f]" % box, start, end))
     return found
 
 
@@ -233,8 +264,10 @@ def displayed(text: str, heading_path: str) -> str:
     """:func:`layout.displayed` of one block."""
     rows = text.split("\n")
     first = next((i for i, row in enumerate(rows) if row.strip(" ")), None)
-    if first is not None and heading_path and _one_spaced(rows[first]).lower() == _one_spaced(heading_path).lower():
+    if first is not None and heading_path and (rows[first] == heading_path or _one_spaced(rows[first]).lower() == _one_spaced(heading_path).lower()):
         del rows[first : first + (2 if first + 1 < len(rows) and not rows[first + 1].strip(" ") else 1)]
+    if "|" not in text:
+        return "\n".join(rows).strip(BLANKS) or text
     found, run = [], []
 
     def put_run():

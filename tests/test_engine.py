@@ -1173,6 +1173,23 @@ def test_pages_in_memory_are_as_by_windows(spark, seed):
     assert [r for t in cut for r in pages.blocks(t, 600.0, headings)] == pages.blocks(ordered, 600.0, pages.Headings())
 
 
+def test_rows_of_many_pages_at_once(monkeypatch):
+    import numpy as np
+
+    from evidencespark.operators import layout, pages
+
+    rng = np.random.default_rng(7)
+    page = np.repeat(np.arange(40), rng.integers(1, 60, 40))
+    tops, sizes = rng.integers(0, 300, len(page)) / 5, rng.choice([8.0, 10.0, 18.0], len(page))
+    tops = tops[np.lexsort((tops, page))]
+    tops[page == 3] = 7.0
+    want = np.concatenate([layout.rows_of(tops[page == p], sizes[page == p]) for p in range(40)])
+    for together in (512, 25, 0):
+        monkeypatch.setattr(pages, "TOGETHER", together)
+        assert pages.rows_of_pages(tops, sizes, page).tolist() == want.tolist()
+    assert pages.rows_of_pages(tops[:0], sizes[:0], page[:0]).tolist() == []
+
+
 PAGE_COLUMNS = ["doc_id", "page", "line", "text", "x0", "top", "x1", "bottom", "font_size", "bold", "columns"]
 
 
